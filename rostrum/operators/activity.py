@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions.text import name_parts, resolve_slug_collisions, slug
 from rostrum.operators.common import count_if, ratio, sum_if, top_k
+from rostrum.session import materialize
 
 ANSWER_TYPES = ("befragung", "fragestunde_antwort")
 QUESTION_TYPE = "fragestunde"
@@ -136,7 +137,8 @@ def merge_partial_profiles(profiles: DataFrame) -> DataFrame:
     taken; counts are summed and profiles without a counterpart are kept.
     """
     partial = F.trim(F.coalesce(F.col("first_name"), F.lit(""))) == ""
-    keyed = profiles.withColumn("_key", F.lower("last_name"))
+    # read four times below: kept once, one row per speaker
+    keyed = materialize(profiles.withColumn("_key", F.lower("last_name")))
     full = keyed.filter(~partial)
     best = full.groupBy("_key", "party").agg(
         F.min_by("speaker", F.struct(-F.col("total_speeches"), F.col("speaker"))).alias("_target")

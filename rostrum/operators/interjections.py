@@ -20,6 +20,16 @@ HECKLE = r"\(Zurufe? (?:von der |vom |der )?([^)]+)\)"
 NOISE = r"Beifall|Zuruf|Lachen|Heiterkeit|Widerspruch"
 
 
+def annotations_only(raw: Column) -> Column:
+    """The parenthesised spans of a raw text: all that interjection and reaction counts need of it."""
+    return F.array_join(F.regexp_extract_all(raw, F.lit(r"\([^)]+\)"), F.lit(0)), " ")
+
+
+def compact_speeches(speeches: DataFrame, raw: str = "raw_text") -> DataFrame:
+    """Speeches without their text and with annotations as the raw text, small enough to keep for several readers."""
+    return speeches.drop("text").withColumn(raw, annotations_only(F.col(raw)))
+
+
 def is_noise(name: Column) -> Column:
     """Names that are reactions rather than persons."""
     return name.rlike(NOISE)

@@ -139,34 +139,73 @@ def top_words_per_category(cat: DataFrame, by: Sequence[str], k: int = 50) -> Da
     return top_k(words, [*by, "scheme", "category"], [F.desc("n"), F.asc("word")], k)
 
 
-def tone_scores(cat: DataFrame, totals: DataFrame, by: Sequence[str], total: str = "total_words") -> DataFrame:
-    """Twelve tone scores per group of ``totals`` in one aggregation.
-
-    Ratio pairs give ``100 * a / (a + b)`` and 50 without evidence; index scores
-    give the share of their scheme's categorised words in percent and 0 without
-    evidence; ``discriminatory`` counts per 1000 words.
-    """
-    n = F.col("n")
-
-    def of(scheme: str, category: str | None = None) -> Column:
-        cond = F.col("scheme") == scheme
-        return sum_if(cond if category is None else cond & (F.col("category") == category), n)
-
+def _tone_sums(of) -> list[Column]:
+    """Aggregates behind the tone scores; ``of(scheme, category)`` counts words of a category (None = whole scheme)."""
     aggs = []
     for name, scheme, a, b in RATIO_SCORES:
         aggs += [of(scheme, a).alias(f"_{name}_a"), of(scheme, b).alias(f"_{name}_b")]
     for name, scheme, category in INDEX_SCORES:
         aggs.append(of(scheme, category).alias(f"_{name}_a"))
-    aggs += [of("adjective").alias("_adjective"), of("verb").alias("_verb"), of("discriminatory").alias("_disc")]
-    joined = totals.select(*by, total).join(cat.groupBy(*by).agg(*aggs), list(by), "left")
+    return aggs + [of("adjective", None).alias("_adjective"), of("verb", None).alias("_verb"), of("discriminatory", None).alias("_disc")]
+
+
+def _tone_columns(total: str) -> list[Column]:
     scores = []
     for name, _, _, _ in RATIO_SCORES:
         a, b = F.col(f"_{name}_a"), F.col(f"_{name}_b")
         scores.append(ratio(a, a + b, 50.0, 100).alias(name))
     for name, scheme, _ in INDEX_SCORES:
         scores.append(ratio(F.col(f"_{name}_a"), F.col(f"_{scheme}"), 0.0, 100).alias(name))
-    scores.append(ratio(F.col("_disc"), F.col(total), 0.0, 1000).alias("discriminatory"))
-    return joined.select(*by, total, *scores)
+    return [*scores, ratio(F.col("_disc"), F.col(total), 0.0, 1000).alias("discriminatory")]
+
+
+def tone_scores(cat: DataFrame, totals: DataFrame, by: Sequence[str], total: str = "total_words") -> DataFrame:
+    """Twelve tone scores per group of ``totals`` in one aggregation.
+
+    Ratio pairs give ``100 * a / (a + b)`` and 50 without evidence; index scores
+    give the share of their scheme's categorised words in percent and 0 without
+    evidence; ``discriminatory`` counts per 1000 words.
+    """
+
+    def of(scheme: str, category: str | None) -> Column:
+        cond = F.col("scheme") == scheme
+        return sum_if(cond if category is None else cond & (F.col("category") == category), F.col("n"))
+
+    joined = totals.select(*by, total).join(cat.groupBy(*by).agg(*_tone_sums(of)), list(by), "left")
+    return joined.select(*by, total, *_tone_columns(total))
+
+
+def wide_lexicon(lexicon: DataFrame) -> DataFrame:
+    """One row per word with its category in every scheme (null where it has none)."""
+    return lexicon.groupBy(F.col("word").alias("_word")).agg(
+        *[F.max(F.when(F.col("scheme") == s, F.col("category"))).alias(f"_in_{s}") for s in SCHEME_WORD_TYPE]
+    )
+
+
+def _with_categories(counts: DataFrame, lexicon: DataFrame) -> DataFrame:
+    # a left join keeps words outside the lexicon, so totals come from the same pass
+    return counts.join(wide_lexicon(lexicon), F.lower("word") == F.col("_word"), "left")
+
+
+def tone_from_counts(counts: DataFrame, lexicon: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``tone_scores`` straight from untyped ``counts(by..., word, n)``, reading them once."""
+
+    def of(scheme: str, category: str | None) -> Column:
+        hit = F.col(f"_in_{scheme}").isNotNull() if category is None else F.col(f"_in_{scheme}") == category
+        return sum_if(hit, F.col("n"))
+
+    sums = _with_categories(counts, lexicon).groupBy(*by).agg(F.sum("n").alias("total_words"), *_tone_sums(of))
+    return sums.select(*by, "total_words", *_tone_columns("total_words"))
+
+
+def topics_from_counts(counts: DataFrame, lexicon: DataFrame, by: Sequence[str], topics: Sequence[str] = TOPICS) -> DataFrame:
+    """``topic_scores`` straight from untyped ``counts(by..., word, n)``, reading them once."""
+    hits = [sum_if(F.col("_in_topic") == t, F.col("n")).alias(f"_t{i}") for i, t in enumerate(topics)]
+    sums = _with_categories(counts, lexicon).groupBy(*by).agg(F.sum("n").alias("_total"), *hits)
+    rows = [F.struct(F.lit(t).alias("topic"), F.col(f"_t{i}").alias("n")) for i, t in enumerate(topics)]
+    return sums.select(*by, "_total", F.inline(F.array(*rows))).select(
+        *by, "topic", "n", ratio(F.col("n"), F.col("_total"), 0.0, 1000).alias("score")
+    )
 
 
 def topic_scores(cat: DataFrame, totals: DataFrame, by: Sequence[str], topics: Sequence[str] = TOPICS, total: str = "total_words") -> DataFrame:
@@ -253,17 +292,17 @@ def score_documents(
     df: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text: str = "text", topics: Sequence[str] = TOPICS,
     min_chars: int = 1, min_len: int = 1, top: int = 10,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tone, topics and top words of every text: ``(tone, topics, words)`` keyed by ``id_col``."""
-    counts = (
-        df.filter(F.length(text) >= min_chars)
-        .select(id_col, F.explode(tokenize(F.col(text), min_len)).alias("word"))
-        .groupBy(id_col, "word")
-        .agg(F.count(F.lit(1)).alias("n"))
+    """Tone, topics and top words of every text: ``(tone, topics, words)`` keyed by ``id_col``.
+
+    A text is one row, so its tokens are combined inside their task before the
+    shuffle; each of the three results reads the texts once.
+    """
+    tokens = df.filter(F.length(text) >= min_chars).select(
+        id_col, F.explode(tokenize(F.col(text), min_len)).alias("word"), F.lit(1).alias("n")
     )
-    totals = counts.groupBy(id_col).agg(F.sum("n").alias("total_words"))
-    cat = categorize(counts, lexicon)
+    counts = tokens.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
     words = top_k(counts, [id_col], [F.desc("n"), F.asc("word")], top)
-    return tone_scores(cat, totals, [id_col]), topic_scores(cat, totals, [id_col], topics), words
+    return tone_from_counts(tokens, lexicon, [id_col]), topics_from_counts(tokens, lexicon, [id_col], topics), words
 
 
 def tone_comparison(scores: DataFrame, by: str = "party") -> DataFrame:

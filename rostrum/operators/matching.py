@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections import deque
 from collections.abc import Sequence
-from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +18,7 @@ from pyspark.sql import functions as F
 from rostrum.functions.groups import party_compare_key
 from rostrum.functions.text import match_name_key
 from rostrum.operators.common import count_if, distributed_rank, ratio
+from rostrum.session import materialize
 
 NAME_DISTANCE = 3
 PARTIAL_SIMILARITY = 0.5
@@ -43,9 +43,15 @@ def names_match(a: Column, b: Column, threshold: int = NAME_DISTANCE) -> Column:
     return (ka == kb) | near | ((ka != "") & (kb != "") & (_last_token(ka) == _last_token(kb)))
 
 
-@F.pandas_udf("double")
-def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b, strict=True)])
+def _sequence_ratio(a: Column, b: Column) -> Column:
+    # defined inside, so that workers need not have this package installed
+    @F.pandas_udf("double")
+    def ratio_of(x: pd.Series, y: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+
+        return pd.Series([SequenceMatcher(None, s, t).ratio() if s and t else 0.0 for s, t in zip(x, y, strict=True)])
+
+    return ratio_of(a, b)
 
 
 def text_similarity(a: Column, b: Column, chars: int = PARTIAL_CHARS) -> Column:
@@ -280,8 +286,6 @@ def match_all(truth: DataFrame, pred: DataFrame, block: str = "protocol_id") ->
 
     ``match_type`` is exact, partial, truth_only or pred_only.
     """
-    from rostrum.session import materialize
-
     t = truth.withColumn("idx", F.col("idx").cast("long"))
     p = pred.withColumn("idx", F.col("idx").cast("long"))
     exact = materialize(match_exact(t, p, block))
@@ -357,7 +361,8 @@ def near_duplicates(
     keyed = df.select(
         block, F.col(id_col).alias("_id"), match_name_key(F.col(speaker)).alias("_name"), F.substring(F.col(text), 1, chars).alias("_head")
     )
-    classes = keyed.groupBy(block, "_name", "_head").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
+    # read four times below, so the classes are kept once
+    classes = materialize(keyed.groupBy(block, "_name", "_head").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_n")))
     copies = classes.filter((F.col("_n") > 1) & (F.col("_head") != "")).select(
         block, F.col("_id").alias("left_id"), F.col("_id").alias("right_id"), F.lit(1.0).alias("similarity"),
         F.col("_n").alias("n_left"), F.col("_n").alias("n_right"), (F.col("_n") * (F.col("_n") - 1) / 2).cast("long").alias("pairs"),

@@ -186,12 +186,17 @@ def word_rollup(
     are also counted under these word types.
     """
     base = word_counts(speeches, ["party", "speaker"], min_len=min_len, exclude_types=exclude_types)
-    typed = base.withColumn("word_type", F.lit("all"))
-    if lexicon is not None:
-        kinds = lexicon.filter(F.col("scheme").isin("adjective", "verb", "topic")).select(
-            F.col("scheme").alias("word_type"), "word"
-        ).distinct()
-        typed = typed.unionByName(base.join(kinds, "word"))
+    if lexicon is None:
+        typed = base.withColumn("word_type", F.lit("all"))
+    else:
+        kinds = lexicon.filter(F.col("scheme").isin("adjective", "verb", "topic")).groupBy(F.col("word").alias("_word")).agg(
+            F.collect_set("scheme").alias("_kinds")
+        )
+        # the word types of a word as an array: the counts are read once
+        types = F.concat(F.array(F.lit("all")), F.coalesce("_kinds", F.expr("cast(array() as array<string>)")))
+        typed = base.join(kinds, F.col("word") == F.col("_word"), "left").select(
+            "party", "speaker", "word", "n", F.explode(types).alias("word_type")
+        )
     sets = [
         [F.col("word_type"), F.col("word"), F.col("party"), F.col("speaker")],
         [F.col("word_type"), F.col("word"), F.col("party")],

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from rostrum.functions.text import word_count
 from rostrum.operators.common import lookup_frame
 from rostrum.operators.transcript import parse_protocols
+from rostrum.session import materialize
 
 PARSE_MIN_WORDS = 60
 TURNS_PER_SITTING = 64
@@ -117,3 +118,77 @@ def officials(spark: SparkSession) -> DataFrame:
 
 def speeches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse_protocols(transcripts(spark, sf_dir), officials(spark), min_words=PARSE_MIN_WORDS)
+
+
+# ---------------------------------------------------------------- fixture lexicon, names, criteria
+
+# (scheme, category, word, weight): frequent words of the tables; one word in two categories, some absent words
+LEXICON = [
+    ("adjective", "affirmative", "that", 1.0), ("adjective", "affirmative", "pour", 1.0), ("adjective", "critical", "with", 1.0),
+    ("adjective", "critical", "from", 1.0), ("adjective", "aggressive", "this", 1.0), ("adjective", "labeling", "than", 1.0),
+    ("adjective", "labeling", "from", 1.0), ("adjective", "affirmative", "sich", 1.0),
+    ("verb", "solution", "from", 1.0), ("verb", "problem", "tion", 1.0), ("verb", "collaborative", "ther", 1.0),
+    ("verb", "confrontational", "zzzz", 1.0), ("verb", "demanding", "thth", 1.0), ("verb", "acknowledging", "sich", 1.0),
+    ("modal", "obligation", "that", 1.0), ("modal", "possibility", "this", 1.0),
+    ("temporal", "retrospective", "with", 1.0), ("temporal", "prospective", "from", 1.0),
+    ("intensity", "intensifier", "than", 1.0), ("intensity", "moderator", "pour", 1.0),
+    ("pronoun", "inclusive", "sich", 1.0), ("pronoun", "exclusive", "tion", 1.0),
+    ("discriminatory", "dog_whistle", "thth", 1.0), ("discriminatory", "xenophobic", "zzzz", 1.0),
+    ("topic", "migration", "that", 1.0), ("topic", "klima", "with", 1.0), ("topic", "wirtschaft", "pour", 1.0),
+    ("topic", "soziales", "tion", 1.0), ("topic", "soziales", "that", 1.0), ("topic", "sicherheit", "sich", 1.0),
+    ("topic", "europa", "this", 1.0), ("topic", "digital", "ther", 1.0),
+]
+# (word, topic, weight)
+MULTI_LABEL = [
+    ("that", "migration", 0.6), ("that", "sicherheit", 0.4), ("sich", "klima", 0.5), ("sich", "europa", 0.5), ("pour", "arbeit", 1.0),
+]
+TOPIC_LIST = ["migration", "klima", "wirtschaft", "soziales", "sicherheit", "europa", "digital", "justiz"]
+
+# (first name, gender, source, ambiguous)
+NAMES = [
+    ("anna", "female", "dictionary", False), ("bernd", "male", "dictionary", False), ("clara", "female", "dictionary", False),
+    ("dora", "female", "dictionary", True), ("emil", "male", "override", False), ("gustav", "male", "manual", False),
+    ("gustav", "female", "dictionary", False),
+]
+
+# archetype, metric, weight, scale, minimum, inverse
+CRITERIA = [
+    ("reader", "total_words", 0.5, 20000.0, None, False), ("reader", "avg_words", 0.5, 400.0, None, False),
+    ("sprinter", "avg_words", 0.7, 500.0, None, True), ("sprinter", "speeches", 0.3, 8.0, 2.0, False),
+    ("regular", "speeches", 0.5, 10.0, None, False), ("regular", "max_words", 0.5, 2000.0, 100.0, False),
+    ("steady", "min_words", 0.6, 50.0, None, False), ("steady", "total_words", 0.4, 8000.0, None, True),
+]
+
+
+def lexicon(spark: SparkSession) -> DataFrame:
+    from rostrum.operators.lexicon import build_lexicon
+
+    return build_lexicon(spark, LEXICON)
+
+
+def names(spark: SparkSession) -> DataFrame:
+    return lookup_frame(spark, NAMES, "first_name string, gender string, source string, ambiguous boolean")
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rostrum.operators.interjections import extract_interjections
+
+    return extract_interjections(speeches(spark, sf_dir))
+
+
+def compact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed speeches without texts, kept on reliable storage: parsing runs once however many operators read them."""
+    from rostrum.operators.interjections import compact_speeches
+
+    return materialize(compact_speeches(speeches(spark, sf_dir)))
+
+
+def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged speaker profiles of the transcripts."""
+    from rostrum.operators.activity import merge_partial_profiles, speaker_profiles
+    from rostrum.operators.attributes import detect_gender
+    from rostrum.operators.interjections import extract_interjections
+
+    sp = compact(spark, sf_dir)
+    raw = speaker_profiles(sp, extract_interjections(sp), lambda df: detect_gender(df, names(spark)))
+    return merge_partial_profiles(raw)

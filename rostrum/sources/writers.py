@@ -63,16 +63,12 @@ def summary(counts: DataFrame, totals: DataFrame) -> DataFrame:
             ]
         return per.groupBy(*keys).agg(*aggs)
 
-    by_party = totals.join(kinds(counts, ["party"]), "party", "left")
-    words = [c for c in by_party.columns if c.startswith(("unique_", "total_")) and c != "total_words"]
-    overall_words = kinds(counts, []).select(F.lit(None).cast("string").alias("party"), *words)
-    overall = totals.agg(F.sum("speeches").alias("speeches"), F.sum("total_words").alias("total_words")).select(
-        F.lit(None).cast("string").alias("party"), "speeches", "total_words"
-    )
-    grand = overall.join(overall_words, overall["party"].eqNullSafe(overall_words["party"])).drop(overall_words["party"])
-    return by_party.na.fill(0, words).select("party", "speeches", "total_words", *words).unionByName(
-        grand.select("party", "speeches", "total_words", *words)
-    )
+    by_party, overall = kinds(counts, ["party"]), kinds(counts, [])
+    words = [c for c in by_party.columns if c != "party"]
+    all_words = by_party.unionByName(overall.withColumn("party", F.lit(None).cast("string"))).withColumnRenamed("party", "_party")
+    all_totals = totals.rollup("party").agg(F.sum("speeches").alias("speeches"), F.sum("total_words").alias("total_words"))
+    joined = all_totals.join(all_words, F.col("party").eqNullSafe(F.col("_party")), "left")
+    return joined.na.fill(0, words).select("party", "speeches", "total_words", *words)
 
 
 def export_summary(counts: DataFrame, totals: DataFrame, path: str) -> None:
