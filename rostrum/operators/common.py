@@ -30,6 +30,17 @@ def lookup_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Dat
     return spark.createDataFrame(frame, schema=fields)
 
 
+def pinned(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed exactly once per row.
+
+    A filter on a projected column is normally pushed below the projection with
+    the column's expression copied into it, so costly text expressions would be
+    evaluated again for every mention. A generator of one row is a boundary the
+    optimizer does not push such filters through.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def ratio(num: Column, den: Column, default: float = 0.0, scale: float | None = None) -> Column:
     """``num / den`` (optionally scaled), or ``default`` where the denominator is 0 or null."""
     value = num / F.when(den != 0, den)

@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.functions.groups import PARTY_PATTERNS, normalize_party
-from rostrum.functions.rules import PRECEDING_RULES, Rule, classify_preceding, classify_start
+from rostrum.functions.rules import PRECEDING_RULES, Rule, classify_preceding, classify_start, rule_windows, start_rules
 from rostrum.functions.text import clean_text, derive_category, name_parts, strip_parentheses, word_count
+from rostrum.operators.common import interval_join, pinned
 
 # The three kinds of header line (the line ends with a colon).
 SPEAKER_HEADER = r"([A-ZÄÖÜ][^(\n:]{2,60})[^\S\n]*\(([^)\n]+)\):"
@@ -119,8 +120,6 @@ def qa_ranges(protocols: DataFrame, key: str = "protocol_id", text: str = "full_
 
 def in_range(points: DataFrame, ranges: DataFrame, key: str, pos: str, id_cols: Sequence[str]) -> DataFrame:
     """For every point in some range, the kind of the range that starts first."""
-    from rostrum.operators.common import interval_join
-
     hits = interval_join(points, ranges, key, pos, "start", "end")
     return hits.groupBy(*id_cols).agg(F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
 
@@ -171,30 +170,25 @@ def segment(protocols: DataFrame, key: str = "protocol_id", text: str = "full_te
 
     start = F.col("start")
     inside = F.filter("_ranges", lambda r: (r["start"] <= start) & (start < r["end"]))
-    kind = kind_of(F.col("header"))
-
-    def field(index_gov: int, index_spk: int) -> Column:
-        return F.trim(
-            F.when(F.col("kind") == "government", F.regexp_extract("header", rf"^\n{GOVERNMENT_HEADER}", index_gov))
-            .when(F.col("kind") == "president", F.regexp_replace(F.col("header"), r"^\n|:\s*\n$", ""))
-            .otherwise(F.regexp_extract("header", rf"^\n{SPEAKER_HEADER}", index_spk))
-        )
-
-    return (
-        rows.withColumn("kind", kind)
-        .withColumn("prev_kind", kind_of(F.col("prev_header")))
-        .withColumn("qa_kind", F.get(inside, F.lit(0))["kind"])
-        .select(
-            *others, "ordinal", "kind", "prev_kind",
-            field(1, 1).alias("speaker"),
-            F.when(F.col("kind") == "speaker", F.trim(F.regexp_extract("header", rf"^\n{SPEAKER_HEADER}", 2))).alias("party_raw"),
-            F.when(F.col("kind") == "government", F.trim(F.regexp_extract("header", rf"^\n{GOVERNMENT_HEADER}", 2))).alias("role"),
-            start.alias("header_start"),
-            (start + F.length("header")).alias("start"),
-            (start + F.length("piece")).alias("end"),
-            F.substring("piece", F.length("header") + 1, F.length("piece")).alias("raw_text"),
-            "context", "qa_kind",
-        )
+    kinds = pinned(
+        rows, kind=kind_of(F.col("header")), prev_kind=kind_of(F.col("prev_header")), qa_kind=F.get(inside, F.lit(0))["kind"]
+    )
+    government = F.col("kind") == "government"
+    gov, spk = rf"^\n{GOVERNMENT_HEADER}", rf"^\n{SPEAKER_HEADER}"
+    speaker = (
+        F.when(government, F.regexp_extract("header", gov, 1))
+        .when(F.col("kind") == "president", F.regexp_replace(F.col("header"), r"^\n|:\s*\n$", ""))
+        .otherwise(F.regexp_extract("header", spk, 1))
+    )
+    return kinds.select(
+        *others, "ordinal", "kind", "prev_kind", F.trim(speaker).alias("speaker"),
+        F.when(F.col("kind") == "speaker", F.trim(F.regexp_extract("header", spk, 2))).alias("party_raw"),
+        F.when(government, F.trim(F.regexp_extract("header", gov, 2))).alias("role"),
+        start.alias("header_start"),
+        (start + F.length("header")).alias("start"),
+        (start + F.length("piece")).alias("end"),
+        F.substring("piece", F.length("header") + 1, F.length("piece")).alias("raw_text"),
+        "context", "qa_kind",
     )
 
 
@@ -251,26 +245,24 @@ def parse_protocols(
     Presiding officers only delimit speeches. Contributions that are too short,
     belong to no known group or are neither introduced nor long are dropped.
     """
-    parts = segment(protocols.select(key, "full_text"), key=key, anchored=anchored)
-    spoken = (
-        parts.filter(F.col("kind") != "president")
-        .withColumn("text", strip_parentheses(F.col("raw_text")))
-        .filter(F.length("text") >= min_chars)
-    )
+    start = list(start_rules() if rules is None else rules)
+    parts = segment(protocols.select(key, "full_text"), key=key, anchored=anchored).filter(F.col("kind") != "president")
+    spoken = pinned(
+        parts, text=strip_parentheses(F.col("raw_text")), party_spoken=normalize_party(F.col("party_raw"), party_patterns)
+    ).filter(F.length("text") >= min_chars)
     grouped = (
         official_party(spoken, officials)
-        .withColumn(
-            "party",
-            F.when(F.col("kind") == "government", F.col("official_party")).otherwise(
-                normalize_party(F.col("party_raw"), party_patterns)
-            ),
-        )
+        .withColumn("party", F.when(F.col("kind") == "government", F.col("official_party")).otherwise(F.col("party_spoken")))
         .filter(F.col("party").isNotNull())
     )
+    windows = rule_windows(F.col("text"), start)
+    read = pinned(
+        grouped, words=word_count(F.col("text")), context_type=classify_preceding(F.col("context"), preceding),
+        **{f"_w{n}": c for n, c in windows.items()},
+    )
+    start_type = classify_start(F.col("text"), start, {n: F.col(f"_w{n}") for n in windows})
     typed = (
-        grouped.withColumn("words", word_count(F.col("text")))
-        .withColumn("start_type", classify_start(F.col("text"), rules))
-        .withColumn("context_type", classify_preceding(F.col("context"), preceding))
+        pinned(read, start_type=start_type)
         .withColumn("type", resolve_type(min_words))
         .filter(F.col("type").isNotNull())
         .withColumn("_name", name_parts(F.col("speaker")))
