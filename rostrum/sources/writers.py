@@ -76,10 +76,13 @@ def export_summary(counts: DataFrame, totals: DataFrame, path: str) -> None:
     summary(counts, totals).write.mode("overwrite").json(path)
 
 
-def export_raw(spark: SparkSession, tables: dict[str, DataFrame], path: str, version: str) -> DataFrame:
-    """Write every table as gzip JSON lines and a manifest of file name, size and SHA-256; returns the manifest."""
+def export_raw(spark: SparkSession, tables: dict[str, DataFrame], path: str, version: str, rows_per_file: int = 200_000) -> DataFrame:
+    """Write every table as gzip JSON lines and a manifest of file name, size and SHA-256; returns the manifest.
+
+    ``rows_per_file`` bounds the files, since a checksum reads a file as one value.
+    """
     for name, df in tables.items():
-        df.write.mode("overwrite").option("compression", "gzip").json(f"{path}/{version}/{name}")
+        df.write.mode("overwrite").option("compression", "gzip").option("maxRecordsPerFile", rows_per_file).json(f"{path}/{version}/{name}")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.json.gz").load([f"{path}/{version}/{n}" for n in tables])
     manifest = files.select(
         F.lit(version).alias("version"), F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("dataset"),
