@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import tokenize
+from rostrum.functions.words import STYLE_WORDS
 from rostrum.operators.common import lookup_frame, ratio, sum_if, top_k
 
 LEXICON_SCHEMA = "scheme string, category string, word string, weight double"
@@ -62,6 +63,17 @@ def build_lexicon(spark: SparkSession, entries: Sequence[tuple[str, str, str, fl
     return dedupe_lexicon(df, "ord", on_conflict)
 
 
+def style_lexicon(spark: SparkSession) -> DataFrame:
+    """The built-in style markers (modal verbs, time, intensity, pronouns) as a lexicon table."""
+    entries = [
+        (scheme, category, word, 1.0)
+        for scheme, categories in STYLE_WORDS.items()
+        for category, words in categories.items()
+        for word in words.split()
+    ]
+    return build_lexicon(spark, entries)
+
+
 def dedupe_lexicon(df: DataFrame, order: str, on_conflict: str = "last") -> DataFrame:
     """Keep one category per (scheme, word) of a lexicon table with an order column."""
     if on_conflict == "all":

@@ -545,7 +545,18 @@ def detection_metrics(spark, sf):
     return ma.detection_metrics(_labelled(spark, sf))
 
 
-@query("near_duplicates")
+@query("near_duplicates", sql("""
+, s AS (SELECT protocol_id, speech_id, least(length(text), 500) AS a, least(length(text) + 1, 500) AS b, CASE WHEN speech_id % 4 = 0 THEN 2 ELSE 1 END AS n FROM speeches)
+SELECT protocol_id, speech_id * 10 AS left_id, speech_id * 10 + 1 AS right_id, CAST(2 * (b - 1) AS DOUBLE) / (a + b) AS similarity, CAST(n AS BIGINT) AS n_left, CAST(1 AS BIGINT) AS n_right, CAST(n AS BIGINT) AS pairs FROM s WHERE speech_id % 3 = 0
+UNION ALL SELECT protocol_id, speech_id * 10, speech_id * 10, 1.0, 2, 2, 1 FROM s WHERE speech_id % 4 = 0""", "speeches"))
 def near_duplicates(spark, sf):
-    """Near-duplicate contributions of a speaker inside a transcript (whole table)."""
-    return ma.near_duplicates(v.speeches(spark, sf))
+    """Near-duplicates of a speaker inside a transcript: every third speech again with a letter in front, every fourth copied."""
+    i = F.col("speech_id")
+    copies = F.array_compact(F.array(
+        F.struct((i * 10).alias("id"), F.col("text").alias("t")),
+        F.when(i % 3 == 0, F.struct((i * 10 + 1).alias("id"), F.concat(F.lit("x"), F.col("text")).alias("t"))),
+        F.when(i % 4 == 0, F.struct((i * 10 + 2).alias("id"), F.col("text").alias("t"))),
+    ))
+    sp = v.speeches(spark, sf).select("protocol_id", "speaker", F.inline(copies))
+    named = sp.select("protocol_id", F.col("id").cast("long").alias("speech_id"), "speaker", F.col("t").alias("text"))
+    return ma.near_duplicates(named)

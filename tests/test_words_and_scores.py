@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rostrum.functions.words import POS_STOPWORDS
 from rostrum.operators import activity as ac
 from rostrum.operators import attributes as at
 from rostrum.operators import distinct as di
@@ -133,6 +134,16 @@ def test_lexicon_conflicts(spark):
     assert lx.build_lexicon(spark, entries, "all").count() == 2
 
 
+def test_built_in_words(spark):
+    style = lx.style_lexicon(spark)
+    assert {(r.scheme, r.category): r.n for r in style.groupBy("scheme", "category").agg(F.count("*").alias("n")).collect()} == {
+        ("modal", "obligation"): 8, ("modal", "possibility"): 4, ("modal", "intention"): 7, ("temporal", "retrospective"): 12,
+        ("temporal", "prospective"): 13, ("intensity", "intensifier"): 35, ("intensity", "moderator"): 25, ("pronoun", "inclusive"): 19,
+        ("pronoun", "exclusive"): 12,
+    }
+    assert {k: len(w) for k, w in POS_STOPWORDS.items()} == {"noun": 64, "adjective": 24, "verb": 28}
+
+
 def test_typed_counts_only_meet_their_scheme(spark):
     lex = lx.build_lexicon(spark, [("adjective", "critical", "schlecht", 1.0), ("modal", "obligation", "schlecht", 1.0)])
     c = counts_of(spark, [("A", "noun", "schlecht", 3), ("A", "adjective", "Schlecht", 2), ("A", "all", "schlecht", 5)], "party string, word_type string, word string, n long")
