@@ -14,6 +14,9 @@ from rostrum.session import materialize
 # Up to this k, Spark drops surplus rows of a group before the shuffle (window group limit).
 _GROUP_LIMIT = 1000
 
+# Largest group table that is sent to every executor (a few columns wide, so some megabytes).
+MAX_BROADCAST_ROWS = 100_000
+
 
 def lookup_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """A small driver-side table as a local relation.
@@ -49,6 +52,19 @@ def ratio(num: Column, den: Column, default: float = 0.0, scale: float | None =
     return F.coalesce(value, F.lit(float(default)))
 
 
+def join_groups(df: DataFrame, groups: DataFrame, on: Sequence[str], max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Inner join of a large table with a table of one row per group.
+
+    Groups are few and uneven, so shuffling the large side by them would put
+    each group in one task. The group table is kept and counted first; up to
+    ``max_rows`` rows it is broadcast, beyond that the sides are shuffled.
+    """
+    kept = materialize(groups)
+    if kept.count() <= max_rows:
+        kept = F.broadcast(kept)
+    return df.join(kept, list(on))
+
+
 def count_if(cond: Column) -> Column:
     """Number of rows that satisfy ``cond`` as a long (0 when there are none)."""
     return F.coalesce(F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))), F.lit(0)).cast("long")

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rostrum.operators.common import top_k
+from rostrum.operators.common import join_groups, top_k
 from rostrum.operators.tokens import EVENT_STOPWORDS, PARTY_STOPWORDS
 
 
@@ -18,11 +18,13 @@ def _group_ratios(counts: DataFrame, totals: DataFrame, by: str, stopwords: Sequ
     word x group matrix is built; absent words count as 0.
     """
     # one row per group: the window over the whole table sees as many rows as there are groups
-    sized = totals.filter(F.col("total_words") > 0).withColumn("_groups", F.count(F.lit(1)).over(Window.partitionBy()))
-    freq = counts.join(sized, by).withColumn("per_1000", F.col("n") / F.col("total_words") * 1000)
-    sums = freq.groupBy("word").agg(F.sum("per_1000").alias("_sum"))
+    sized = totals.select(by, "total_words").filter(F.col("total_words") > 0).withColumn(
+        "_groups", F.count(F.lit(1)).over(Window.partitionBy())
+    )
     counted = counts.groupBy(by).agg(F.sum("n").alias("_counted"))
-    joined = freq.join(sums, "word").join(counted, by)
+    freq = join_groups(counts, sized.join(counted, by), [by]).withColumn("per_1000", F.col("n") / F.col("total_words") * 1000)
+    # a word has at most one row per group, so a window over a word stays small
+    joined = freq.withColumn("_sum", F.sum("per_1000").over(Window.partitionBy("word")))
     others = (F.col("_sum") - F.col("per_1000")) / (F.col("_groups") - 1)
     rated = joined.filter(F.col("_groups") > 1).withColumn(
         "ratio", F.col("per_1000") / (F.greatest(others, F.lit(0.0)) + 0.001)
@@ -112,12 +114,8 @@ def signature_words(
         candidates = candidates.filter(~F.col("word").isin(*stopwords))
     party_counts = counts.groupBy("party", "word").agg(F.sum("n").alias("_party_n"))
     all_counts = party_counts.groupBy("word").agg(F.sum("_party_n").alias("_all_n"))
-    joined = (
-        candidates.join(party_counts, ["party", "word"])
-        .join(all_counts, "word")
-        .join(own, ["party", "speaker"])
-        .join(party_total, "party")
-    )
+    sizes = own.join(party_total, "party")
+    joined = join_groups(candidates.join(party_counts, ["party", "word"]).join(all_counts, "word"), sizes, ["party", "speaker"])
     rest_party, rest_all = F.col("_party_total") - F.col("_own"), F.col("_all_total") - F.col("_own")
     freq = F.col("n") / F.col("_own") * 1000
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import is_valid_word, tokenize
-from rostrum.operators.common import ratio, top_k
+from rostrum.operators.common import join_groups, ratio, top_k
 
 TOKEN_SCHEMA = (
     "doc_id long, idx int, token string, lemma string, upos string, "
@@ -234,7 +234,7 @@ def top_words_without_stopwords(
 
 def per_thousand(counts: DataFrame, totals: DataFrame, by: Sequence[str], total: str = "total_words") -> DataFrame:
     """Counts with ``per_1000`` = n / total words of the group * 1000; groups without words give no rows."""
-    joined = counts.join(totals.select(*by, total).filter(F.col(total) > 0), list(by))
+    joined = join_groups(counts, totals.select(*by, total).filter(F.col(total) > 0), by)
     return joined.withColumn("per_1000", F.col("n") / F.col(total) * 1000)
 
 
