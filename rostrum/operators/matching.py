@@ -211,8 +211,9 @@ def match_exact(truth: DataFrame, pred: DataFrame, block: str = "protocol_id") -
     )
     tc = t.groupBy(block, F.col("_name").alias("left_key"), F.col("_party").alias("_tp"), "_free").agg(F.count(F.lit(1)).alias("_tn"))
     pc = p.groupBy(block, F.col("_name").alias("right_key"), F.col("_party").alias("_pp")).agg(F.count(F.lit(1)).alias("_pn"))
-    classes = tc.join(names, [block, "left_key"]).join(pc, [block, "right_key"]).filter(
-        (F.col("_tp") == F.col("_pp")) | F.col("_free")
+    # one row per pair of matching classes; read by all steps below
+    classes = materialize(
+        tc.join(names, [block, "left_key"]).join(pc, [block, "right_key"]).filter((F.col("_tp") == F.col("_pp")) | F.col("_free"))
     )
     left_deg = classes.groupBy(block, "left_key", "_tp", "_free").agg(F.count(F.lit(1)).alias("_ld"))
     right_deg = classes.groupBy(block, "right_key", "_pp").agg(F.count(F.lit(1)).alias("_rd"))
