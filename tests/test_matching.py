@@ -55,7 +55,7 @@ def test_names_match_column(spark, a, b, want):
     assert df.select(ma.names_match(F.col("a"), F.col("b")).alias("x")).collect()[0].x is want
 
 
-def reference_match(truth, pred):
+def stepwise_match(truth, pred):
     """The stepwise definition on plain lists: (truth_idx, pred_idx, kind)."""
     out, used_t, used_p = [], set(), set()
     for t in truth:
@@ -107,7 +107,7 @@ def test_match_all_against_the_stepwise_definition(spark):
     for r in got.collect():
         rows.setdefault(r.protocol_id, []).append((r.truth_idx, r.pred_idx, r.match_type))
     for block in (1, 2, 3):
-        want = reference_match([x for x in truth if x["protocol_id"] == block], [x for x in pred if x["protocol_id"] == block])
+        want = stepwise_match([x for x in truth if x["protocol_id"] == block], [x for x in pred if x["protocol_id"] == block])
         assert sorted(rows[block], key=repr) == want
     issues = ma.match_issues(got, t, p)
     assert issues.count() == got.filter("match_type <> 'exact'").count() and issues.filter("issue is null").isEmpty()
