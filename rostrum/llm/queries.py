@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import exact, mixing, warc
+from rostrum.llm import exact, mixing, nearminhash, warc
 from rostrum.llm.common import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,12 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op6_minhash")
+def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups over all documents: five-word shingles, similarity 0.85."""
+    return nearminhash.near_groups(table(spark, sf_dir, "documents"), percent=85)
+
+
 @query(
     "op7_exact_dedup",
     r"""
