@@ -5,10 +5,53 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rostrum.llm.common import kept
+from rostrum.llm import exact, langid, mixing, nearminhash, packing
+from rostrum.llm.common import kept, word_count
+from rostrum.llm.queries import word_tokenizer
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without a letter or without text go."""
+    model = langid.fit(docs)
+    found = langid.identify(docs, model, names=("_held_out", "_lang_pred", "_score"))
+    return found.filter(F.col("_lang_pred") != langid.UNKNOWN).select(*docs.columns)
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that is equal without white space."""
+    return exact.exact_rows(docs)
+
+
+def distinct_shingles(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    surplus = nearminhash.near_groups(docs, percent=85).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(kept(surplus, "surplus"), F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated so that each source comes near its target; those the mix leaves out go."""
+    plan = mixing.mix(docs, weights=(5, 2, 1), share=1.5, max_epochs=2.0)
+    plan = plan.groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_words")).agg(F.max("repeats").alias("_repeats")).filter("_repeats > 0")
+    sized = docs.withColumn("_size", word_count(F.col("text")))
+    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_size") == F.col("_words"))
+    out = sized.join(plan, on).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_repeats"))))
+    return out.select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in windows of 2048 tokens."""
+    return packing.pack(docs, word_tokenizer())
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", known_language),
+    ("exact", distinct_texts),
+    ("near", distinct_shingles),
+    ("mixing", mixed_sources),
+    ("packing", packed),
+]
 
 #: The language model and the tokenizer cannot be expressed in SQL; the tests compare with a plain Python version.
 ORACLE_SQL: str | None = None

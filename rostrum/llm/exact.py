@@ -65,3 +65,22 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ((F.col("_rank") == 1) & (F.col("_grank") == 1)).alias("kept"),
         F.col("_sha").alias("text_sha256"),
     )
+
+
+def exact_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
+    """The rows that stay, with all their columns: of each group of :func:`exact_groups` the kept one.
+
+    The rows themselves go through the same two steps, so repeated ids and rows need no join; the normalised text is
+    computed again behind each exchange instead of being moved along with the original.
+    """
+    text = F.col(text_col)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.sha2(normalized(text), 256).alias("_sha"))
+    rows = rows.withColumn("_id", F.col(f"_row.`{id_col}`")).withColumn("_len", F.coalesce(F.length(F.col(f"_row.`{text_col}`")), F.lit(0)))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_id", "_len"), F.lit(salts)).cast("int"))
+    norm = normalized(F.col(f"_row.`{text_col}`"))
+    order = [F.desc("_len"), F.asc_nulls_last("_id")]
+    cell = Window.partitionBy("_sha", "_salt", "_norm").orderBy(*order)
+    local = rows.repartition("_sha", "_salt").withColumn("_norm", norm).withColumn("_rank", F.row_number().over(cell)).filter("_rank = 1").drop("_norm", "_rank")
+    group = Window.partitionBy("_sha", "_norm").orderBy(*order, F.asc("_salt"))
+    best = local.repartition("_sha").withColumn("_norm", norm).withColumn("_rank", F.row_number().over(group)).filter("_rank = 1")
+    return best.select("_row.*")
