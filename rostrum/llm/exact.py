@@ -36,8 +36,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col(id_col).alias("_id"),
         F.coalesce(F.length(text), F.lit(0)).alias("_len"),
         normalized(text).alias("_norm"),
-    ).withColumn("_sha", F.sha2(F.col("_norm"), 256))
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("_id", "_len"), F.lit(salts)).cast("int"))
+    ).withColumn("_sha", F.coalesce(F.sha2(F.col("_norm"), 256), F.lit("")))
+    # neither key can be null, so both readers of the dealt rows get the same plan and share one exchange of the texts
+    rows = rows.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_id", "_len"), F.lit(salts)).cast("int"), F.lit(0)))
     order = [F.desc("_len"), F.asc_nulls_last("_id")]
     whole = (Window.unboundedPreceding, Window.unboundedFollowing)
     cell = Window.partitionBy("_sha", "_salt", "_norm").orderBy(*order)
