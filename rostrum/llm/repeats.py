@@ -83,7 +83,10 @@ def segments(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     np.multiply.accumulate(power, out=power)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUE[data] * power, out=sums[1:])
-    content = mixed((sums[stop] - sums[start]) * power[n - 1 - start] + (stop - start).astype(np.uint64))
+    back = np.full(n, np.uint64(pow(int(_POWER), -1, 1 << 64)))
+    back[0] = 1
+    np.multiply.accumulate(back, out=back)
+    content = mixed((sums[stop] - sums[start]) * back[start] + (stop - start).astype(np.uint64))
     doc = np.searchsorted(offsets, start, "right") - 1
     return doc, start, stop, at[start], h[at[start]], content
 
