@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.session import ensure_checkpoint_dir
 
+Solve = Callable[[pa.Table], Iterator[pa.RecordBatch]]
+Task = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 #: The six characters of ``[\x20\x09-\x0D]``, the white space that the word and text rules name.
 BLANKS = " \t\n\x0b\x0c\r"
 #: A word is a maximal run of other characters.
@@ -60,3 +65,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(32)
     return x
+
+
+def by_group(key: str, solve: Solve) -> Task:
+    """A task function over rows sorted by ``key`` that calls ``solve(table)`` on the rows of each value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        current = None
+        for batch in batches:
+            codes = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)] if len(codes) else []
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and codes[a] != current:
+                    yield from solve(pa.Table.from_batches(held))
+                    held = []
+                current = codes[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from solve(pa.Table.from_batches(held))
+
+    return run

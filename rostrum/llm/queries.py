@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import exact, langid, mixing, nearminhash, packing, repeats, warc
+from rostrum.llm import exact, langid, mixing, nearminhash, packing, repeats, vectors, warc
 from rostrum.llm.common import scratch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,23 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op3_vector_dedup",
+    """
+    WITH RECURSIVE n AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    ok AS (SELECT vec_id, label, v FROM n WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0
+        AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_dot_product(v, v) > 0),
+    l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+        WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+    r AS (SELECT vec_id AS a, vec_id AS c FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON r.c = l.a)
+    SELECT e.vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, min(r.c) AS component_id, min(r.c) = e.vec_id AS kept
+    FROM embeddings e JOIN r ON r.a = e.vec_id GROUP BY e.vec_id""",
+)
+def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors linked within their label at a cosine of 0.93, as components."""
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 @query("op6_minhash")
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups over all documents: five-word shingles, similarity 0.85."""

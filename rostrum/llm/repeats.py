@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import kept, mixed, parts_for
+from rostrum.llm.common import by_group, kept, mixed, parts_for
 from rostrum.llm.shingles import views
 from rostrum.llm.suffixes import permuted_prefixes, suffix_array
 
@@ -159,27 +159,6 @@ def anchor_entries(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.select("block", "text").mapInArrow(gather, "bucket int, block int, h binary, s binary")
 
 
-def _by_group(key: str, solve) -> object:  # noqa: ANN001
-    """A task function over rows sorted by ``key`` that calls ``solve(table)`` on the rows of each value."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        current = None
-        for batch in batches:
-            codes = batch.column(batch.schema.get_field_index(key)).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)] if len(codes) else []
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and codes[a] != current:
-                    yield from solve(pa.Table.from_batches(held))
-                    held = []
-                current = codes[a]
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield from solve(pa.Table.from_batches(held))
-
-    return run
-
-
 def replies(entries: DataFrame, parts: int) -> DataFrame:
     """``block, kind, h, s``: which segments a block must remove (kind 0) or send to a shard (kind 1).
 
@@ -212,7 +191,7 @@ def replies(entries: DataFrame, parts: int) -> DataFrame:
             yield _blobs([block[order].astype(np.int32), kind[order].astype(np.int32)], h[order], s[order], ["block", "kind", "h", "s"])
 
     dealt = entries.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_by_group("bucket", solve), "block int, kind int, h binary, s binary")
+    return dealt.mapInArrow(by_group("bucket", solve), "block int, kind int, h binary, s binary")
 
 
 def _listed(h: np.ndarray, s: np.ndarray, table: list[tuple[bytes, bytes]]) -> np.ndarray:
@@ -321,7 +300,7 @@ def resolve_blocks(docs: DataFrame, answers: DataFrame, parts: int) -> DataFrame
             yield _batch(len(more["kind"]), **more)
 
     both = left.unionByName(right).repartition(parts, "block").sortWithinPartitions("block", "kind", "id")
-    return both.mapInArrow(_by_group("block", solve), FOUND)
+    return both.mapInArrow(by_group("block", solve), FOUND)
 
 
 SPANS = "key long, start long, stop long"
