@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import exact, langid, mixing, nearminhash, packing, repeats, vectors, warc
-from rostrum.llm.common import scratch
+from rostrum.llm import chat, edits, exact, langid, mixing, nearminhash, packing, repeats, vectors, warc
+from rostrum.llm.common import scratch, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,6 +84,88 @@ def op3_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"), least=0.93)
 
 
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every document before and after three edits: a replacement, a deletion, an addition.
+
+    With n code points: 5 from n / 4 on become the first 12; then 7 from 3 n / 4 on go; then ``" The end."`` follows.
+    """
+    import public_tokenizers
+
+    n = F.length("text").cast("long")
+    step = lambda start, stop, text: F.struct(start.cast("long").alias("start"), stop.cast("long").alias("stop"), text.alias("text"))
+    at, late = F.floor(n / 4), F.floor(3 * n / 4)
+    end = F.lit(1 << 40)
+    plan = F.array(step(at, at + 5, F.substring("text", 1, 12)), step(late, late + 7, F.lit("")), step(end, end, F.lit(" The end.")))
+    ranks, pattern = str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+    trees = edits.build_trees(table(spark, sf_dir, "documents"), ranks, pattern, edits=plan)
+    done = edits.apply_edits(trees, ranks, pattern)
+    return done.select(
+        F.col("id").alias("doc_id"), "n_edits", "tokens_before", F.col("tokens").alias("tokens_after"), F.length("text").cast("long").alias("chars_after"), "pieces_renewed"
+    )
+
+
+#: The tools that the chat query derives, and their schemas.
+TOOLS = (
+    chat.Argument("count", "limit", "integer", least=1, most=150),
+    chat.Argument("count", "query", "string"),
+    chat.Argument("lookup", "exact", "boolean", required=False),
+    chat.Argument("lookup", "key", "string"),
+)
+
+
+@query(
+    "op5_tool_calls",
+    r"""
+    WITH m AS (SELECT conv_id, turn, role, regexp_extract(coalesce(text, ''), '[A-Za-z]+') AS word,
+        len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS n FROM conversations),
+    c AS (SELECT conv_id, turn, 't' || turn AS call_id, CASE WHEN turn % 4 = 1 THEN 'count' ELSE 'lookup' END AS tool, word, n FROM m WHERE role = 'assistant'),
+    r AS (SELECT conv_id, 't' || (turn - 1) AS call_id, turn, word FROM m WHERE role = 'user' AND turn > 0 AND n % 5 <> 0),
+    a AS (SELECT *, CASE WHEN tool = 'count' THEN
+            CASE WHEN n % 11 = 0 THEN '{"limit":"' || n || '","query":"' || word || '"}' ELSE '{"limit":' || n || ',"query":"' || word || '"}' END
+        WHEN n % 7 = 0 THEN '{"exact":true}' WHEN n % 7 = 1 THEN '{"fuzzy":1,"key":"' || word || '"}' ELSE '{"exact":false,"key":"' || word || '"}' END AS arguments,
+        CASE WHEN tool = 'count' AND n % 11 = 0 THEN ['limit: not integer'] WHEN tool = 'count' AND n < 1 THEN ['limit: too small'] WHEN tool = 'count' AND n > 150 THEN ['limit: too large']
+        WHEN tool = 'lookup' AND n % 7 = 0 THEN ['key: missing'] WHEN tool = 'lookup' AND n % 7 = 1 THEN ['fuzzy: unknown'] ELSE CAST([] AS VARCHAR[]) END AS errors FROM c),
+    d AS (SELECT a.*, (SELECT count(*) FROM c x WHERE x.conv_id = a.conv_id AND x.turn < a.turn AND x.turn % 2 = a.turn % 2 AND x.turn // 8 = a.turn // 8
+            AND (SELECT count(*) FROM c y WHERE y.conv_id = a.conv_id AND y.turn % 2 = a.turn % 2 AND y.turn > x.turn AND y.turn < a.turn) = (a.turn - x.turn) / 2 - 1) AS level FROM a),
+    b AS (SELECT coalesce(d.conv_id, r.conv_id) AS conv_id, coalesce(d.call_id, r.call_id) AS call_id, d.tool, d.level, d.errors, d.arguments, r.word AS result,
+        CASE WHEN d.call_id IS NULL THEN 'orphan' WHEN len(d.errors) > 0 THEN 'invalid' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
+        coalesce(d.turn, r.turn) AS pos, CASE WHEN d.call_id IS NOT NULL THEN 1 END AS n_calls, CASE WHEN r.call_id IS NOT NULL THEN 1 END AS n_results
+        FROM d FULL JOIN r ON d.conv_id = r.conv_id AND d.call_id = r.call_id),
+    q AS (SELECT *, CASE WHEN result IS NULL THEN 'null' ELSE '"' || result || '"' END AS rq, CASE WHEN tool IS NULL THEN 'null' ELSE '"' || tool || '"' END AS tq FROM b)
+    SELECT conv_id, call_id, tool, level, row_number() OVER (PARTITION BY conv_id ORDER BY level NULLS LAST, pos, call_id) AS ord, status,
+        coalesce(array_to_string(errors, ', '), '') AS errors, n_calls, n_results,
+        '{"arguments":' || coalesce(arguments, 'null') || ',"call_id":"' || call_id || '","result":' || rq || ',"status":"' || status || '","tool":' || tq || '}' AS json
+    FROM q""",
+)
+def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls derived from the assistant turns of all conversations, results from the user turns that follow.
+
+    A call waits for the one two turns before it within its eight turns. Its arguments come from the first word and
+    the number of words; some break the schema.
+    """
+    turns = table(spark, sf_dir, "conversations")
+    text = F.coalesce(F.col("text"), F.lit(""))
+    word, n = F.regexp_extract(text, "[A-Za-z]+", 0), word_count(F.col("text"))
+    turns = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", word.alias("word"), n.alias("n"))
+    name = lambda turn: F.concat(F.lit("t"), turn.cast("string"))
+    calls = turns.filter("role = 'assistant'").withColumn("tool", F.when(F.col("turn") % 4 == 1, "count").otherwise("lookup"))
+    number = F.when(F.col("n") % 11 == 0, F.format_string('"%d"', "n")).otherwise(F.col("n").cast("string"))
+    arguments = (
+        F.when(F.col("tool") == "count", F.format_string('{ "query": "%s",  "limit": %s }', "word", number))
+        .when(F.col("n") % 7 == 0, F.lit('{"exact" : true}'))
+        .when(F.col("n") % 7 == 1, F.format_string('{"key":"%s", "fuzzy": 1}', "word"))
+        .otherwise(F.format_string('{"key": "%s", "exact": false}', "word"))
+    )
+    waits = F.when(F.col("turn") % 8 >= 2, F.array(name(F.col("turn") - 2)))
+    calls = calls.select("conv_id", name(F.col("turn")).alias("call_id"), F.col("turn").alias("position"), "tool", arguments.alias("arguments"), waits.alias("depends_on"))
+    results = turns.filter("role = 'user' AND turn > 0 AND n % 5 <> 0")
+    results = results.select("conv_id", name(F.col("turn") - 1).alias("call_id"), F.col("turn").alias("position"), F.col("word").alias("content"))
+    linked = chat.link_calls(calls, results, TOOLS)
+    return linked.withColumn("errors", F.array_join("errors", ", "))
+
+
 @query("op6_minhash")
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups over all documents: five-word shingles, similarity 0.85."""
