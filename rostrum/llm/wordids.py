@@ -12,49 +12,93 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Text bytes split at once.
-STEP = 8 << 20
-#: Words a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_500_000
-#: Words encoded in one call.
+STEP = 16 << 20
+#: Word parts a worker remembers; beyond it the memory starts anew.
+REMEMBERED = 1_000_000
+#: Word parts encoded in one call, with a mark between them.
 CALL = 500
+MARK = "\x01"
+#: Words of these characters are cut into letters and others; combining marks, apostrophes and rarer scripts are not.
+PLAIN = r"^[\x21-\x26\x28-\x7e¡-¬®-ɏΆ-ϿЀ-҂Ҋ-ӿ]*$".encode().decode("unicode_escape")
+
+
+def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs ``which`` of a flat array one after another, and where each begins (with the end of the last)."""
+    size = sizes[which]
+    place = np.concatenate(([0], np.cumsum(size)))
+    return flat[np.repeat(starts[which] - place[:-1], size) + np.arange(place[-1])], place
 
 
 class WordIds:
-    """Encodes texts through a memory of the words met so far.
+    """Encodes texts through a memory of the word parts met so far.
 
     White space only separates in such a tokenizer, so a text's ids are those of its words one after another. Each
-    distinct word is encoded once per worker. Texts with one of the separators U+001C to U+001F are encoded whole.
+    distinct word of a step is looked up once; its runs of letters and of other characters, which the tokenizer parts
+    too, are remembered by the worker. Words with apostrophes, combining marks, special tokens or characters outside
+    the alphabets of :data:`PLAIN` are encoded as they are, texts with a separator U+001C to U+001F whole.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.uint16 if self.vocabulary <= 1 << 16 else np.uint32
+        self.special = [str(t) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
-        self.words = pa.array([], pa.large_string())
+        self.index: dict[str, int] = {}
         self.flat, self.starts, self.sizes = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, new: pa.Array) -> None:
-        words = new.to_pylist()
+    def _learn(self, parts: list[str]) -> None:
+        """Add parts to the memory: plain ones many to a call, others one by one."""
+        plain = pc.match_substring_regex(pa.array(parts, pa.large_string()), PLAIN).to_pylist()
+        easy = [p for p, ok in zip(parts, plain, strict=True) if ok and p and not any(t in p for t in self.special)]
+        known = set(easy)
+        hard = [p for p in parts if p not in known]
         ids, sizes = [], []
-        for at in range(0, len(words), CALL):
-            for x in self.tokenizer.encode_batch_fast([[w] for w in words[at : at + CALL]], is_pretokenized=True, add_special_tokens=False):
-                ids.append(np.asarray(x.ids, self.kind))
-                sizes.append(len(ids[-1]))
-        at = np.concatenate(([0], np.cumsum(sizes)))[:-1] + len(self.flat)
-        self.words = pa.concat_arrays([self.words, new])
+        calls = [f" {MARK} ".join(easy[i : i + CALL]) for i in range(0, len(easy), CALL)]
+        for text, i in zip(self.tokenizer.encode_batch_fast(calls, add_special_tokens=False), range(0, len(easy), CALL), strict=True):
+            got = np.asarray(text.ids + self.mark, self.kind)
+            at = np.flatnonzero(got == self.mark[0])
+            if len(self.mark) != 1 or len(at) != len(easy[i : i + CALL]):
+                raise ValueError("the tokenizer does not keep the mark apart")
+            sizes.append(np.diff(np.concatenate(([-1], at))) - 1)
+            ids.append(np.delete(got, at))
+        for x in self.tokenizer.encode_batch_fast(hard, add_special_tokens=False):
+            ids.append(np.asarray(x.ids, self.kind))
+            sizes.append(np.array([len(x.ids)]))
+        if not ids:
+            return
+        size = np.concatenate(sizes).astype(np.int64)
+        start = np.concatenate(([0], np.cumsum(size)))[:-1] + len(self.flat)
+        self.index.update(zip([*easy, *hard], range(len(self.index), len(self.index) + len(size)), strict=True))
         self.flat = np.concatenate([self.flat, *ids])
-        self.starts, self.sizes = np.concatenate([self.starts, at]), np.concatenate([self.sizes, sizes]).astype(np.int64)
+        self.starts, self.sizes = np.concatenate([self.starts, start]), np.concatenate([self.sizes, size])
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some distinct words one after another, and where each word's begin."""
+        plain = pc.match_substring_regex(words, PLAIN)
+        for token in self.special:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(words, token)))
+        cut = pc.replace_substring_regex(pc.ascii_lower(words), r"([^\p{L}]+)", r" \1 ")
+        lists = pc.split_pattern(pc.if_else(plain, cut, words), " ")
+        coded = lists.flatten().dictionary_encode()
+        parts = coded.dictionary.to_pylist()
+        new = [p for p in parts if p not in self.index]
+        if new:
+            self._learn(new)
+        index = self.index
+        number = np.fromiter((index[p] for p in parts), np.int64, len(parts))
+        ids, place = gathered(self.flat, self.starts, self.sizes, number[coded.indices.to_numpy(zero_copy_only=False)])
+        return ids, place[np.asarray(lists.offsets)]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text; none for null."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        sizes = pc.binary_length(texts).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
         out: list[np.ndarray] = []
         first = 0
-        ends = np.cumsum(sizes)
         while first < len(texts):
             last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + STEP, "right")))
             out += self._step(texts.slice(first, last - first))
@@ -62,18 +106,12 @@ class WordIds:
         return out
 
     def _step(self, texts: pa.Array) -> list[np.ndarray]:
-        if len(self.words) > REMEMBERED:
+        if len(self.index) > REMEMBERED:
             self.forget()
         lists = pc.utf8_split_whitespace(texts)
-        coded = lists.flatten().cast(pa.large_string()).dictionary_encode()
-        known = pc.index_in(coded.dictionary, self.words)
-        if known.null_count:
-            self._learn(coded.dictionary.filter(pc.is_null(known)))
-            known = pc.index_in(coded.dictionary, self.words)
-        word = known.to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)].astype(np.int64)
-        size = self.sizes[word]
-        place = np.concatenate(([0], np.cumsum(size)))
-        ids = self.flat[np.repeat(self.starts[word] - place[:-1], size) + np.arange(place[-1])]
+        coded = lists.flatten().dictionary_encode()
+        flat, begin = self._words(coded.dictionary)
+        ids, place = gathered(flat, begin[:-1], np.diff(begin), coded.indices.to_numpy(zero_copy_only=False))
         bounds = place[np.asarray(lists.offsets) - lists.offsets[0].as_py()]
         out = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         odd = pc.match_substring_regex(texts, r"[\x1c-\x1f]").to_numpy(zero_copy_only=False)
