@@ -26,6 +26,13 @@ PARTY_PATTERNS: list[tuple[str, str]] = [
 ]
 
 
+# How annotations part, bracket and introduce group names.
+AFTER_COLON = r":\s*[^,)]+"
+SEPARATOR = r"\s+(?:sowie|und|–|,)\s+"
+IN_BRACKETS = r"\[([^\]]+)\]"
+AFTER_ARTICLE = r"(?:der|dem|des|bei)\s+(\S+)"
+
+
 def normalize_party(c: Column, patterns: Sequence[tuple[str, str]] = PARTY_PATTERNS) -> Column:
     """Canonical name of the first pattern found in the trimmed text (case-insensitive), else null."""
     text = F.trim(c)
@@ -42,14 +49,14 @@ def parties_in_annotation(c: Column, patterns: Sequence[tuple[str, str]] = PARTY
     The text is split at separators; each part gives at most one group, looked
     for in the whole part, then in ``[...]``, then in the word after an article.
     """
-    bare = F.regexp_replace(c, r":\s*[^,)]+", "")
-    parts = F.split(bare, r"\s+(?:sowie|und|–|,)\s+")
+    bare = F.regexp_replace(c, AFTER_COLON, "")
+    parts = F.split(bare, SEPARATOR)
 
     def party_of(part: Column) -> Column:
         return F.coalesce(
             normalize_party(part, patterns),
-            normalize_party(F.regexp_extract(part, r"\[([^\]]+)\]", 1), patterns),
-            normalize_party(F.regexp_extract(part, r"(?:der|dem|des|bei)\s+(\S+)", 1), patterns),
+            normalize_party(F.regexp_extract(part, IN_BRACKETS, 1), patterns),
+            normalize_party(F.regexp_extract(part, AFTER_ARTICLE, 1), patterns),
         )
 
     return F.filter(F.transform(parts, party_of), lambda p: p.isNotNull())

@@ -4,33 +4,29 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from rostrum.session import materialize
 
-# Up to this k, Spark drops surplus rows of a group before the shuffle (window group limit).
-_GROUP_LIMIT = 1000
-
-# Largest group table that is sent to every executor (a few columns wide, so some megabytes).
-MAX_BROADCAST_ROWS = 100_000
+# Cells over which the rows of a busy group are dealt before they meet in one place.
+SALTS = 16
 
 
 def lookup_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A small driver-side table as a local relation.
+    """A small driver-side table as a local relation with real nulls, whatever the session's settings.
 
     Its exact size is part of the plan, so Spark itself broadcasts it below
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it above.
     """
     fields = T._parse_datatype_string(schema)
-    names = [f.name for f in fields.fields]
-    frame = pd.DataFrame([tuple(r) for r in rows], columns=names, dtype=object)
-    for field in fields.fields:
-        if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
-            frame[field.name] = frame[field.name].astype("float64")
-    return spark.createDataFrame(frame, schema=fields)
+    kinds = to_arrow_schema(fields)
+    columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+    table = pa.table([pa.array(list(c), f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
+    return spark.createDataFrame(table, schema=fields)
 
 
 def pinned(df: DataFrame, **columns: Column) -> DataFrame:
@@ -52,17 +48,15 @@ def ratio(num: Column, den: Column, default: float = 0.0, scale: float | None =
     return F.coalesce(value, F.lit(float(default)))
 
 
-def join_groups(df: DataFrame, groups: DataFrame, on: Sequence[str], max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+def join_groups(df: DataFrame, groups: DataFrame, on: Sequence[str]) -> DataFrame:
     """Inner join of a large table with a table of one row per group.
 
-    Groups are few and uneven, so shuffling the large side by them would put
-    each group in one task. The group table is kept and counted first; up to
-    ``max_rows`` rows it is broadcast, beyond that the sides are shuffled.
+    Groups are few and uneven, so each group's rows are dealt over :data:`SALTS` cells and the group's row is repeated
+    for each. Whether the group table is broadcast is Spark's choice by its measured size.
     """
-    kept = materialize(groups)
-    if kept.count() <= max_rows:
-        kept = F.broadcast(kept)
-    return df.join(kept, list(on))
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(SALTS)).cast("int")
+    cells = groups.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return df.withColumn("_salt", salt).join(cells, [*on, "_salt"]).drop("_salt")
 
 
 def count_if(cond: Column) -> Column:
@@ -78,16 +72,16 @@ def sum_if(cond: Column, value: Column) -> Column:
 def top_k(df: DataFrame, by: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank") -> DataFrame:
     """First ``k`` rows per group by ``order`` with their 1-based position.
 
-    Each map task keeps at most ``k`` rows per group before the shuffle, so a hot
-    group never reaches one task whole.
+    The rows of a group are dealt over :data:`SALTS` cells that keep ``k`` each, so a hot group never reaches one task
+    whole; what the cells keep is ranked together.
     """
-    if k > _GROUP_LIMIT:
-        return distributed_rank(df, by, order, rank).filter(F.col(rank) <= k)
     if not by:
         best = df.orderBy(*order).limit(k)
         return best.withColumn(rank, F.row_number().over(Window.orderBy(*order)))
-    w = Window.partitionBy(*by).orderBy(*order)
-    return df.withColumn(rank, F.row_number().over(w)).filter(F.col(rank) <= k)
+    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c not in by], F.lit(1)), F.lit(SALTS))
+    cell = Window.partitionBy(*by, "_salt").orderBy(*order)
+    first = df.withColumn("_salt", salt).withColumn(rank, F.row_number().over(cell)).filter(F.col(rank) <= k).drop(rank, "_salt")
+    return first.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
 
 
 def distributed_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column], rank: str = "rank") -> DataFrame:
@@ -115,7 +109,7 @@ def distributed_rank(df: DataFrame, by: Sequence[str], order: Sequence[Column],
     on = F.col("_part") == F.col("_p")
     for c in by:
         on = on & F.col(c).eqNullSafe(F.col(f"_by_{c}"))
-    position = (F.col("_mid") - F.col("_first") + F.col("_before") + 1).cast("int")
+    position = (F.col("_mid") - F.col("_first") + F.col("_before") + 1).cast("long")
     return numbered.join(offsets, on, "inner").select(*cols, position.alias(rank))
 
 
@@ -208,8 +202,9 @@ def forward_asof(
     heads = r.groupBy(key, cell).agg(F.min("_hit").alias("_head"))
     lcells = left.select(key, F.floor(F.col(left_pos) / width).alias(cell)).distinct()
     spine = lcells.join(heads, [key, cell], "full")
-    following = Window.partitionBy(key).orderBy(cell).rowsBetween(1, Window.unboundedFollowing)
-    nexts = spine.select(key, cell, F.first("_head", ignorenulls=True).over(following).alias("_next"))
+    # from the last row back, so that the frame only grows and each row is looked at once
+    following = Window.partitionBy(key).orderBy(F.desc(cell)).rowsBetween(Window.unboundedPreceding, -1)
+    nexts = spine.select(key, cell, F.last("_head", ignorenulls=True).over(following).alias("_next"))
     cols = left.columns
     tagged = left.select(
         key, F.floor(F.col(left_pos) / width).alias(cell), F.col(left_pos).alias("_p"),
@@ -218,8 +213,8 @@ def forward_asof(
     )
     both = tagged.unionByName(r.withColumn("_row", F.lit(None).cast(tagged.schema["_row"].dataType)))
     # a right row at the same position sorts before the left row, so it is not "larger"
-    within = Window.partitionBy(key, cell).orderBy("_p", F.col("_row").isNotNull()).rowsBetween(1, Window.unboundedFollowing)
-    near = both.withColumn("_near", F.first("_hit", ignorenulls=True).over(within)).filter(F.col("_row").isNotNull())
+    within = Window.partitionBy(key, cell).orderBy(F.desc("_p"), F.col("_row").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    near = both.withColumn("_near", F.last("_hit", ignorenulls=True).over(within)).filter(F.col("_row").isNotNull())
     return near.join(nexts, [key, cell], "left").select(
         "_row.*", F.coalesce("_near", "_next")["v"].alias(value)
     )

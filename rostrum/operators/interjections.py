@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rostrum.functions.groups import PARTY_PATTERNS, normalize_party, parties_in_annotation
 from rostrum.functions.sentiment import NEGATIVE_KEYWORDS, POSITIVE_KEYWORDS, annotation_content, classify_sentiment
 from rostrum.functions.text import last_name_key, strip_honorific
-from rostrum.operators.common import count_if, ratio, top_k
+from rostrum.operators.common import count_if, distributed_rank, ratio, top_k
 
 # The forms of annotations in a transcript.
 INTERJECTION = r"\(([A-ZÄÖÜ][^\[\]()]{2,40})\s*\[([A-ZÄÖÜa-zäöü0-9/\s-]+)\]:[^)]+\)"
@@ -98,9 +98,12 @@ def cross_group_totals(events: DataFrame) -> DataFrame:
     )
 
 
-def cross_group_wide(events: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """The matrix with one column per receiving group."""
-    return cross_group_matrix(events).groupBy("from_party").pivot("to_party", list(groups)).agg(F.sum("n")).na.fill(0)
+def cross_group_wide(events: DataFrame, groups: Sequence[str] | None = None) -> DataFrame:
+    """The matrix with one column per receiving group: the given ones, or all that occur."""
+    edges = cross_group_matrix(events)
+    if groups is None:
+        groups = [r[0] for r in edges.select("to_party").filter(F.col("to_party").isNotNull()).distinct().orderBy("to_party").collect()]
+    return edges.groupBy("from_party").pivot("to_party", list(groups)).agg(F.sum("n")).na.fill(0)
 
 
 def sentiment_counts(events: DataFrame) -> DataFrame:
@@ -153,15 +156,21 @@ def sentiment_summary(events: DataFrame) -> DataFrame:
     return totals.select("total", *kinds, *shares)
 
 
-def interruption_report(events: DataFrame, n: int = 1000) -> DataFrame:
-    """Ranked interrupters with their sentiment split."""
+def ranked_names(counts: DataFrame) -> DataFrame:
+    """All rows of a (name, party, n) table with their position."""
+    return distributed_rank(counts, [], [F.desc("n"), F.asc("name"), F.asc("party")])
+
+
+def interruption_report(events: DataFrame, n: int | None = None) -> DataFrame:
+    """Ranked interrupters with their sentiment split: all of them, or the first ``n``."""
     split = sentiment_counts(events).withColumn("n", F.col("positive") + F.col("negative") + F.col("neutral"))
-    return top_names(split, n)
+    return ranked_names(split) if n is None else top_names(split, n)
 
 
-def interrupted_report(events: DataFrame, n: int = 1000) -> DataFrame:
-    """Ranked list of interrupted speakers."""
-    return top_names(interrupted_counts(events), n)
+def interrupted_report(events: DataFrame, n: int | None = None) -> DataFrame:
+    """Ranked list of interrupted speakers: all of them, or the first ``n``."""
+    counts = interrupted_counts(events)
+    return ranked_names(counts) if n is None else top_names(counts, n)
 
 
 def critic_score(events: DataFrame, min_total: int = 50) -> DataFrame:

@@ -69,7 +69,7 @@ def style_lexicon(spark: SparkSession) -> DataFrame:
         (scheme, category, word, 1.0)
         for scheme, categories in STYLE_WORDS.items()
         for category, words in categories.items()
-        for word in words.split()
+        for word in words
     ]
     return build_lexicon(spark, entries)
 
@@ -302,17 +302,18 @@ def group_topics(counts: DataFrame, cat: DataFrame, by: str = "party", topics: S
 
 def score_documents(
     df: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", text: str = "text", topics: Sequence[str] = TOPICS,
-    min_chars: int = 1, min_len: int = 1, top: int = 10,
+    min_chars: int = 0, min_len: int = 1, top: int = 10,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Tone, topics and top words of every text: ``(tone, topics, words)`` keyed by ``id_col``.
 
+    A text without words, or a null one, has the scores of no evidence and no top words.
+
     A text is one row, so its tokens are combined inside their task before the
     shuffle; each of the three results reads the texts once.
     """
-    tokens = df.filter(F.length(text) >= min_chars).select(
-        id_col, F.explode(tokenize(F.col(text), min_len)).alias("word"), F.lit(1).alias("n")
-    )
-    counts = tokens.groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
+    tokens = df.filter(F.coalesce(F.length(text), F.lit(0)) >= min_chars).select(id_col, F.explode_outer(tokenize(F.col(text), min_len)).alias("word"))
+    tokens = tokens.withColumn("n", F.col("word").isNotNull().cast("int"))
+    counts = tokens.filter("n > 0").groupBy(id_col, "word").agg(F.count(F.lit(1)).alias("n"))
     words = top_k(counts, [id_col], [F.desc("n"), F.asc("word")], top)
     return tone_from_counts(tokens, lexicon, [id_col]), topics_from_counts(tokens, lexicon, [id_col], topics), words
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostrum.operators.activity import ANSWER_TYPES, FORMAL, QUESTION_TYPE
-from rostrum.operators.common import metric_ranks, ratio, top_k
+from rostrum.operators.common import join_groups, metric_ranks, ratio, top_k
 
 NO_RANK = 999
 
@@ -401,16 +401,19 @@ def fit_scores(features: DataFrame, criteria: DataFrame, keys: Sequence[str] = (
     long = features.select(
         *keys, F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
     )
-    used = F.when(F.col("inverse"), F.greatest(F.lit(0.0), F.col("scale") - F.col("value"))).otherwise(F.col("value"))
-    part = F.when(F.col("scale") > 0, F.least(F.lit(1.0), used / F.col("scale"))).otherwise(0.0) * F.col("weight")
-    ok = F.col("min").isNull() | (F.col("value") >= F.col("min"))
-    return (
-        long.join(criteria, "metric")
-        .groupBy(*keys, "archetype")
-        .agg(F.sum(part).alias("score"), F.bool_and(ok).alias("_ok"))
-        .filter("_ok")
-        .drop("_ok")
+    def terms(value: Column) -> tuple[Column, Column]:
+        used = F.when(F.col("inverse"), F.greatest(F.lit(0.0), F.col("scale") - value)).otherwise(value)
+        part = F.when(F.col("scale") > 0, F.least(F.lit(1.0), used / F.col("scale"))).otherwise(0.0) * F.col("weight")
+        return part, F.col("min").isNull() | (value >= F.col("min"))
+
+    part, ok = terms(F.col("value"))
+    found = long.join(criteria, "metric").groupBy(*keys, "archetype").agg(F.sum(part).alias("score"), F.bool_and(ok).alias("_ok")).filter("_ok")
+    # a metric without a column counts as 0, so that its minimum and its share of the fit still apply
+    part0, ok0 = terms(F.lit(0.0))
+    rest = criteria.groupBy("archetype").agg(
+        F.sum(F.when(~F.col("metric").isin(*metrics), part0).otherwise(0.0)).alias("_more"), F.bool_and(F.col("metric").isin(*metrics) | ok0).alias("_may")
     )
+    return join_groups(found, rest, ["archetype"]).filter("_may").select(*keys, "archetype", (F.col("score") + F.col("_more")).alias("score"))
 
 
 def assign_archetype(

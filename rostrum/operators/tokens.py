@@ -238,8 +238,17 @@ def per_thousand(counts: DataFrame, totals: DataFrame, by: Sequence[str], total:
     return joined.withColumn("per_1000", F.col("n") / F.col(total) * 1000)
 
 
-def frequency_matrix(counts: DataFrame, totals: DataFrame, groups: Sequence[str], by: str = "party") -> DataFrame:
-    """Word x group table with ``{group}_count`` and ``{group}_per1000`` (4 decimals, 0 where absent)."""
+def groups_of(totals: DataFrame, by: str) -> list[str]:
+    """The groups of a table of one row per group; each becomes a column, which bounds their number."""
+    return [r[0] for r in totals.select(by).filter(F.col(by).isNotNull()).distinct().orderBy(by).collect()]
+
+
+def frequency_matrix(counts: DataFrame, totals: DataFrame, groups: Sequence[str] | None = None, by: str = "party") -> DataFrame:
+    """Word x group table with ``{group}_count`` and ``{group}_per1000`` (4 decimals, 0 where absent).
+
+    Without ``groups`` there are columns for all groups of ``totals``.
+    """
+    groups = groups_of(totals, by) if groups is None else groups
     freq = per_thousand(counts, totals, [by]).filter(F.col(by).isin(*groups))
     wide = freq.groupBy("word").pivot(by, list(groups)).agg(
         F.sum("n").alias("count"), F.round(F.sum("per_1000"), 4).alias("per1000")
@@ -259,8 +268,12 @@ def unpivot_frequencies(wide: DataFrame) -> DataFrame:
     return wide.select("word", F.inline(F.array(*pairs)))
 
 
-def compare_groups(counts: DataFrame, totals: DataFrame, groups: Sequence[str], by: str = "party", n: int = 30) -> DataFrame:
-    """Union of all groups' top ``n`` words with every group's per-1000 (2 decimals) and the spread max - min."""
+def compare_groups(counts: DataFrame, totals: DataFrame, groups: Sequence[str] | None = None, by: str = "party", n: int = 30) -> DataFrame:
+    """Union of all groups' top ``n`` words with every group's per-1000 (2 decimals) and the spread max - min.
+
+    Without ``groups`` all groups of ``totals`` are compared.
+    """
+    groups = groups_of(totals, by) if groups is None else groups
     words = top_words(counts.filter(F.col(by).isin(*groups)), [by], n).select("word").distinct()
     freq = per_thousand(counts.filter(F.col(by).isin(*groups)).join(words, "word", "left_semi"), totals, [by])
     wide = freq.groupBy("word").pivot(by, list(groups)).agg(F.round(F.sum("per_1000"), 2)).na.fill(0.0)

@@ -18,6 +18,7 @@ from rostrum.plans.sqltext import SPACE, div, pick, sql, tone_columns, values, w
 from rostrum.session import materialize
 from rostrum.sources import writers as wr
 
+# the groups that the tables hold, for the SQL only: the operators take theirs from the data
 GROUPS = ["en", "fr", "de", "es"]
 STOP = ["that", "with", "pour", "sich"]
 
@@ -165,13 +166,13 @@ _MATRIX = ", ".join(
 @query("frequency_matrix", sql(f"SELECT word, {_MATRIX} FROM pwc p JOIN ptot t ON p.party = t.party GROUP BY word", "ptot"))
 def frequency_matrix(spark, sf):
     counts, totals = _party(spark, sf)
-    return tk.frequency_matrix(counts, totals, GROUPS)
+    return tk.frequency_matrix(counts, totals)
 
 
 @query("unpivot_frequencies", sql("SELECT w.word, t.party, coalesce(p.n, 0) AS n, coalesce(round(CAST(p.n AS DOUBLE) / t.total_words * 1000, 4), 0) AS per_1000 FROM (SELECT DISTINCT word FROM pwc) w CROSS JOIN ptot t LEFT JOIN pwc p ON p.word = w.word AND p.party = t.party", "ptot"))
 def unpivot_frequencies(spark, sf):
     counts, totals = _party(spark, sf)
-    return tk.unpivot_frequencies(tk.frequency_matrix(counts, totals, GROUPS))
+    return tk.unpivot_frequencies(tk.frequency_matrix(counts, totals))
 
 
 _CMP = ", ".join(f"coalesce(round(sum(CAST(n AS DOUBLE) / total_words * 1000) FILTER (p.party = '{g}'), 2), 0) AS {g}" for g in GROUPS)
@@ -182,7 +183,7 @@ _CMP = ", ".join(f"coalesce(round(sum(CAST(n AS DOUBLE) / total_words * 1000) FI
 SELECT *, greatest(en, fr, de, es) - least(en, fr, de, es) AS spread FROM (SELECT p.word, {_CMP} FROM pwc p JOIN ptot t ON p.party = t.party WHERE p.word IN (SELECT word FROM w) GROUP BY p.word)""", "ptot"))
 def compare_groups(spark, sf):
     counts, totals = _party(spark, sf)
-    return tk.compare_groups(counts, totals, GROUPS)
+    return tk.compare_groups(counts, totals)
 
 
 @query("hot_words", sql("""
@@ -458,7 +459,7 @@ def group_topics_rollup(spark, sf):
 
 
 @query("score_documents", sql(f"""
-, dt AS (SELECT speech_id AS doc_id, word, count(*) AS n FROM tokens GROUP BY ALL), tt AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS total_words FROM dt GROUP BY ALL),
+, dt AS (SELECT speech_id AS doc_id, word, count(*) AS n FROM tokens GROUP BY ALL), tt AS (SELECT d.doc_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_words FROM documents d LEFT JOIN dt ON d.doc_id = dt.doc_id GROUP BY ALL),
 c AS (SELECT d.doc_id, d.n, scheme, category FROM dt d JOIN lex ON d.word = lex.word)
 SELECT t.doc_id, max(t.total_words) AS total_words, {tone_columns('t.total_words')} FROM tt t LEFT JOIN c ON t.doc_id = c.doc_id GROUP BY t.doc_id""", "tokens", "lex"))
 def score_documents(spark, sf):
@@ -466,7 +467,7 @@ def score_documents(spark, sf):
 
 
 @query("score_document_topics", sql(f"""
-, dt AS (SELECT speech_id AS doc_id, word, count(*) AS n FROM tokens GROUP BY ALL), tt AS (SELECT doc_id, CAST(sum(n) AS BIGINT) AS total_words FROM dt GROUP BY ALL),
+, dt AS (SELECT speech_id AS doc_id, word, count(*) AS n FROM tokens GROUP BY ALL), tt AS (SELECT d.doc_id, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_words FROM documents d LEFT JOIN dt ON d.doc_id = dt.doc_id GROUP BY ALL),
 c AS (SELECT d.doc_id, category AS topic, CAST(sum(d.n) AS BIGINT) AS n FROM dt d JOIN lex ON d.word = lex.word WHERE scheme = 'topic' GROUP BY ALL)
 SELECT t.doc_id, topics.topic, coalesce(c.n, 0) AS n, {div('coalesce(c.n, 0)', 't.total_words', '0.0', '1000')} AS score FROM tt t CROSS JOIN topics LEFT JOIN c ON t.doc_id = c.doc_id AND topics.topic = c.topic""", "tokens", "lex", "topics"))
 def score_document_topics(spark, sf):

@@ -104,10 +104,21 @@ CTES["topics"] = "SELECT * FROM " + values([(t,) for t in v.TOPIC_LIST], "topic"
 CTES["cat"] = "SELECT p.party, p.speaker, p.word, p.n, l.scheme, l.category FROM wc p JOIN lex l ON p.word = l.word"
 
 
+# what the scores are expected to compare, written out here and not taken from the operators
+RATIO_SCORES = [
+    ("affirmative", "adjective", "affirmative", "critical"), ("solution_focus", "verb", "solution", "problem"),
+    ("collaboration", "verb", "collaborative", "confrontational"), ("authority", "modal", "obligation", "possibility"),
+    ("future_orientation", "temporal", "prospective", "retrospective"), ("emotional_intensity", "intensity", "intensifier", "moderator"),
+    ("inclusivity", "pronoun", "inclusive", "exclusive"),
+]
+INDEX_SCORES = [
+    ("aggression", "adjective", "aggressive"), ("labeling", "adjective", "labeling"), ("demand_intensity", "verb", "demanding"),
+    ("acknowledgment", "verb", "acknowledging"),
+]
+
+
 def tone_columns(total: str = "total_words") -> str:
     """Score columns over a table with one row per (group, scheme, category, n)."""
-    from rostrum.operators.lexicon import INDEX_SCORES, RATIO_SCORES
-
     def of(scheme: str, category: str | None = None) -> str:
         cond = f"scheme = '{scheme}'" + (f" AND category = '{category}'" if category else "")
         return f"coalesce(sum(n) FILTER ({cond}), 0)"
@@ -132,7 +143,7 @@ LEFT JOIN (SELECT party, category AS topic, CAST(sum(n) AS BIGINT) AS n FROM cat
 # ---------------------------------------------------------------- transcripts
 
 CTES["turns"] = f"""
-SELECT conv_id * 65536 + turn // {v.TURNS_PER_SITTING} AS protocol_id, conv_id, turn, role,
+SELECT conv_id AS protocol_id, conv_id, turn, role,
   CASE role WHEN 'system' THEN 'Präsidentin Julia Weber' WHEN 'user' THEN {pick(_USER, f'(conv_id + turn) % {len(_USER)}')}
     ELSE {pick(_ASSISTANT, f'(conv_id * 3 + turn) % {len(_ASSISTANT)}')} END AS header,
   CASE WHEN turn = 0 AND conv_id % 3 = 0 THEN {lit(chr(10) + 'Präsidentin Julia Weber:' + chr(10) + 'Ich rufe auf: Befragung der Bundesregierung.' + chr(10))}

@@ -16,7 +16,6 @@ from rostrum.operators.transcript import parse_protocols
 from rostrum.session import materialize
 
 PARSE_MIN_WORDS = 60
-TURNS_PER_SITTING = 64
 
 # (name in the officials table, group)
 OFFICIALS = [("Dora Lindner", "SPD"), ("Hanno Vogel", "CDU/CSU")]
@@ -93,7 +92,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     body = F.replace(F.translate(F.col("text"), "()[]", "    "), F.lit("\n"), F.lit("  "))
     return c.select(
-        (conv * 65536 + F.floor(turn / TURNS_PER_SITTING)).alias("protocol_id"),
+        conv.alias("protocol_id"),
         "turn",
         "role",
         F.concat(
@@ -103,7 +102,7 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Protocols of at most ``TURNS_PER_SITTING`` consecutive turns each, so that no text grows with a busy conversation."""
+    """One protocol per conversation, whole."""
     parts = turns(spark, sf_dir)
     return parts.groupBy("protocol_id").agg(
         F.array_join(

@@ -28,11 +28,14 @@ def speech_db(speeches: DataFrame, mode: str = "full", speaker: str = "speaker",
     The numbering is distributed: no task sorts all speeches.
     """
     keys = [c for c in ("protocol_id", orig_id) if c in speeches.columns]
-    numbered = distributed_rank(speeches.select(speaker, *keys), [], [F.asc(speaker), *[F.asc(k) for k in keys]], "id")
-    joined = speeches.join(numbered, [speaker, *keys])
+    text = F.substring("text", 1, chars) if mode == "short" else F.col("text")
+    cols = [speaker, "party", "type", "words", *(["category"] if mode == "full" else [])]
+    rows = speeches.select(*dict.fromkeys([*cols, *keys]), text.alias("text"))
+    # the rows themselves are numbered where they are sorted: no second pass over the texts, and null speakers stay
+    numbered = distributed_rank(rows, [], [F.asc_nulls_first(speaker), *[F.asc_nulls_first(k) for k in keys]], "id")
     if mode == "short":
-        return joined.select("id", speaker, "party", F.substring("text", 1, chars).alias("text"), "type", "words")
-    return joined.select("id", speaker, "party", "type", "category", "words", preview(F.col("text")).alias("preview"), "text")
+        return numbered.select("id", speaker, "party", "text", "type", "words")
+    return numbered.select("id", speaker, "party", "type", "category", "words", preview(F.col("text")).alias("preview"), "text")
 
 
 def export_speech_db(speeches: DataFrame, path: str, mode: str = "full", **kwargs) -> None:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
+from pyspark.errors import AnalysisException
 
 from rostrum.operators.common import count_if
 from rostrum.sources.readers import stream_protocols
@@ -43,10 +43,13 @@ def ingest_status(manifest: DataFrame) -> DataFrame:
 
 
 def _existing(spark: SparkSession, path: str) -> DataFrame | None:
+    """The ids in the sink, or None where nothing has been written; any other trouble is the caller's to see."""
     try:
         return spark.read.parquet(path).select("protocol_id")
-    except AnalysisException:
-        return None
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def write_new_protocols(batch: DataFrame, sink: str, publisher: str | None = None) -> None:
