@@ -46,6 +46,14 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as it takes to be no column yet (case does not count)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def salted(df: DataFrame, salts: int, *by: str) -> DataFrame:
     """``df`` with a column ``_salt`` of 0 .. salts - 1 that depends on the columns ``by`` only."""
     return df.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))

@@ -131,7 +131,7 @@ TOOLS = (
             AND (SELECT count(*) FROM c y WHERE y.conv_id = a.conv_id AND y.turn % 2 = a.turn % 2 AND y.turn > x.turn AND y.turn < a.turn) = (a.turn - x.turn) / 2 - 1) AS level FROM a),
     b AS (SELECT coalesce(d.conv_id, r.conv_id) AS conv_id, coalesce(d.call_id, r.call_id) AS call_id, d.tool, d.level, d.errors, d.arguments, r.word AS result,
         CASE WHEN d.call_id IS NULL THEN 'orphan' WHEN len(d.errors) > 0 THEN 'invalid' WHEN r.call_id IS NULL THEN 'unanswered' ELSE 'ok' END AS status,
-        coalesce(d.turn, r.turn) AS pos, CASE WHEN d.call_id IS NOT NULL THEN 1 END AS n_calls, CASE WHEN r.call_id IS NOT NULL THEN 1 END AS n_results
+        coalesce(d.turn, r.turn) AS pos, CASE WHEN d.call_id IS NOT NULL THEN CAST(1 AS BIGINT) END AS n_calls, CASE WHEN r.call_id IS NOT NULL THEN CAST(1 AS BIGINT) END AS n_results
         FROM d FULL JOIN r ON d.conv_id = r.conv_id AND d.call_id = r.call_id),
     q AS (SELECT *, CASE WHEN result IS NULL THEN 'null' ELSE '"' || result || '"' END AS rq, CASE WHEN tool IS NULL THEN 'null' ELSE '"' || tool || '"' END AS tq FROM b)
     SELECT conv_id, call_id, tool, level, row_number() OVER (PARTITION BY conv_id ORDER BY level NULLS LAST, pos, call_id) AS ord, status,

@@ -89,7 +89,7 @@ def write_warc(
     A null URL becomes ``urn:page:<id>``, line breaks in a URL are percent-encoded. An empty table gives no record.
     """
     cols = [F.col(id_col).cast("string").alias("id"), F.col(url_col).cast("string").alias("url"), "record_type", F.col("refers_to").cast("string").alias("refers_to"), "_payload"]
-    rows = with_record_types(pages, id_col, text_col, least).select(*cols)
+    rows = with_record_types(pages.select(*dict.fromkeys([id_col, text_col, url_col])), id_col, text_col, least).select(*cols)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[bytes] = []
