@@ -399,7 +399,7 @@ def near_duplicates(
 
 
 def sample_protocols(protocols: DataFrame, n: int, seed: int = 0, key: str = "protocol_id", only: Sequence | None = None) -> DataFrame:
-    """The protocols with the given ids, or ``n`` chosen by a seeded hash of the id."""
+    """The protocols with the given ids, or the ``n`` with the smallest md5 of seed and id."""
     if only is not None:
         return protocols.filter(F.col(key).isin(*only))
-    return protocols.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    return protocols.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key).cast("string"))), F.col(key)).limit(n)

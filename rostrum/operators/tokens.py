@@ -75,15 +75,18 @@ def annotate(
     return source.mapInPandas(run, TOKEN_SCHEMA)
 
 
-def lexicon_annotate(df: DataFrame, pos_lexicon: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def lexicon_annotate(df: DataFrame, pos_lexicon: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """Default annotator without a language model: word tokens tagged from ``pos_lexicon(word, lemma, upos)``.
 
-    Words outside the lexicon are their own lemma and get the tag ``X``.
+    Words outside the lexicon are their own lemma and get the tag ``X``; of a word listed twice the smaller
+    (lemma, upos) counts. ``keep`` names columns of the document that every token carries, so that groups need no
+    second look at the documents.
     """
-    words = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.posexplode(tokenize(F.col(text), min_len=1)).alias("idx", "token"))
-    tags = pos_lexicon.select(F.col("word").alias("_w"), F.col("lemma").alias("_l"), F.col("upos").alias("_u")).dropDuplicates(["_w"])
+    words = df.select(F.col(doc_id).cast("long").alias("doc_id"), *keep, F.posexplode(tokenize(F.col(text), min_len=1)).alias("idx", "token"))
+    tags = pos_lexicon.groupBy(F.col("word").alias("_w")).agg(F.min(F.struct("lemma", "upos")).alias("_t"))
+    tags = tags.select("_w", F.col("_t.lemma").alias("_l"), F.col("_t.upos").alias("_u"))
     return words.join(tags, F.col("token") == F.col("_w"), "left").select(
-        "doc_id", "idx", "token", F.coalesce("_l", "token").alias("lemma"), F.coalesce("_u", F.lit("X")).alias("upos"),
+        "doc_id", *keep, "idx", "token", F.coalesce("_l", "token").alias("lemma"), F.coalesce("_u", F.lit("X")).alias("upos"),
         F.lit(False).alias("is_space"), F.lit(False).alias("is_punct"), F.lit(None).cast("int").alias("ent_id"),
         F.lit(None).cast("string").alias("ent_label"), F.lit(None).cast("string").alias("ent_text"),
     )

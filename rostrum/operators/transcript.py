@@ -195,9 +195,9 @@ def segment(protocols: DataFrame, key: str = "protocol_id", text: str = "full_te
 def official_party(df: DataFrame, officials: DataFrame, name: str = "speaker", out: str = "official_party") -> DataFrame:
     """Group of an official by exact name, else by the name without a leading title; null if unknown.
 
-    ``officials(name, party)`` holds one row per name.
+    ``officials(name, party)`` holds one row per name; of several the smallest party counts.
     """
-    o = officials.select(F.col("name").alias("_name"), F.col("party").alias("_party")).dropDuplicates(["_name"])
+    o = officials.groupBy(F.col("name").alias("_name")).agg(F.min("party").alias("_party"))
     bare = F.trim(F.regexp_replace(F.col(name), r"^(?:Dr\.|Prof\.|Dr\s|Prof\s)\s*", ""))
     exact = o.select(F.col("_name").alias("_n1"), F.col("_party").alias("_p1"))
     untitled = o.select(F.col("_name").alias("_n2"), F.col("_party").alias("_p2"))

@@ -218,9 +218,8 @@ g AS (SELECT t.*, coalesce(p.lemma, t.token) AS lemma, coalesce(p.upos, 'X') AS
 
 
 def _tokens(spark, sf) -> DataFrame:
-    d = v.read(spark, sf, "documents")
-    tagged = tk.lexicon_annotate(d, lookup_frame(spark, _POS, "word string, lemma string, upos string"))
-    return tagged.join(d.select("doc_id", F.col("lang").alias("party")), "doc_id")
+    d = v.read(spark, sf, "documents").withColumnRenamed("lang", "party")
+    return tk.lexicon_annotate(d, lookup_frame(spark, _POS, "word string, lemma string, upos string"), keep=["party"])
 
 
 @query("pos_counts", _tagged("""

@@ -8,6 +8,7 @@ from rostrum.operators import matching as ma
 from rostrum.operators.common import interval_join
 from rostrum.plans import views as v
 from rostrum.plans.registry import query
+from rostrum.plans.sqltext import sql
 from rostrum.streaming import ingest
 
 
@@ -39,6 +40,6 @@ def in_range_counts(spark, sf):
     return hits.groupBy(F.col("purchase").alias("event_id")).agg(F.count(F.lit(1)).alias("clicks"))
 
 
-@query("sample_protocols")
+@query("sample_protocols", sql("SELECT protocol_id, string_agg(chair || chr(10) || header || ':' || chr(10) || spoken, '' ORDER BY turn) AS full_text FROM turns GROUP BY protocol_id ORDER BY md5('7:' || protocol_id), protocol_id LIMIT 3", "turns"))
 def sample_protocols(spark, sf):
     return ma.sample_protocols(v.transcripts(spark, sf), 3, seed=7)
