@@ -141,6 +141,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     Only the sample's ids are broadcast and only its features reach the driver; both are bounded by ``sample`` times
     the number of languages. None where there is no labelled text with a letter.
     """
+    docs = docs.select(*dict.fromkeys([id_col, text_col, lang_col]))
     rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.md5(F.col(id_col).cast("string")), id_col))
     chosen = docs.filter(learnable(id_col, lang_col)).select(id_col, lang_col).withColumn("_rank", rank)
     chosen = chosen.filter(F.col("_rank") <= sample).select(F.col(id_col).alias("_id")).distinct()

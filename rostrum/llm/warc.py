@@ -216,7 +216,7 @@ def salvage(data: bytes) -> Iterator[dict]:
             continue
         if lost is None:
             lost, why = at, got if isinstance(got, str) else "empty member"
-        nexts = [x for x in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"\nWARC/1.", at) + 1 or -1) if x > at]
+        nexts = [x for x in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", at + 1)) if x > at]
         at = min(nexts, default=len(data))
     if lost is not None:
         yield {"kind": "gap", "start": lost, "stop": len(data), "reason": why}
