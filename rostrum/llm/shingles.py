@@ -12,7 +12,7 @@ from rostrum.llm.common import mixed
 #: Words of a shingle.
 SHINGLE = 5
 #: Text bytes hashed at once.
-STEP = 1 << 20
+STEP = 1 << 19
 
 _rng = np.random.default_rng(20)
 _VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Up to this alphabet a scan handles whole buckets at a time; beyond it buckets are too small for that.
+#: Up to this alphabet buckets are large enough to be handled whole, one after another.
 WIDE = 1024
 
 
@@ -75,32 +75,19 @@ def _induce_buckets(t: np.ndarray, smaller: np.ndarray, first: np.ndarray, order
     return sa
 
 
-def _induce_one_by_one(t: np.ndarray, smaller: np.ndarray, first: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Both scans, entry by entry, for alphabets of many small buckets."""
+def _ranked_by_doubling(t: np.ndarray) -> np.ndarray:
+    """Suffix array of a string over many names: ranks by 1, 2, 4, .. names until all differ."""
     n = len(t)
-    text, kind = t.tolist(), smaller.tolist()
-    sa = [-1] * n
-    tail = first[1:].tolist()
-    for j in order[::-1].tolist():
-        c = text[j]
-        tail[c] -= 1
-        sa[tail[c]] = j
-    head = first[:-1].tolist()
-    for i in range(n):
-        j = sa[i] - 1
-        if j >= 0 and not kind[j]:
-            c = text[j]
-            sa[head[c]] = j
-            head[c] += 1
-    tail = first[1:].tolist()
-    for i in range(n - 1, -1, -1):
-        j = sa[i] - 1
-        if j >= 0 and kind[j]:
-            c = text[j]
-            tail[c] -= 1
-            sa[tail[c]] = j
-    sa[0] = n - 1
-    return np.array(sa, np.int64)
+    rank, width = t.copy(), 1
+    while True:
+        key = rank * np.int64(int(rank.max()) + 2)
+        key[: max(0, n - width)] += rank[width:] + 1
+        order = np.argsort(key, kind="stable")
+        new = np.zeros(n, np.int64)
+        new[order] = np.cumsum(np.concatenate(([0], key[order][1:] != key[order][:-1])))
+        if new[order[-1]] == n - 1:
+            return order
+        rank, width = new, 2 * width
 
 
 def _same_substrings(t: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -120,17 +107,20 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
 
     ``t`` holds non-negative integers and ends with a 0 that occurs nowhere else. Suffixes are classified, the
     leftmost-smaller substrings sorted by inducing and, where their names repeat, by the suffix array of the string
-    of names; the order of those suffixes induces that of all.
+    of names; the order of those suffixes induces that of all. The recursion ends with strings of more than
+    :data:`WIDE` names, which are a fraction as long and are ranked by doubling.
     """
-    t = np.asarray(t, np.int64)
+    t = np.asarray(t)
     n, sigma = len(t), int(t.max()) + 1
     if n == 1:
         return np.zeros(1, np.int64)
+    if sigma > WIDE:
+        return _ranked_by_doubling(t.astype(np.int64))
+    t = t.astype(np.uint16)  # numpy sorts small integers in linear time
     smaller = suffix_types(t)
     first = np.concatenate(([0], np.cumsum(np.bincount(t, minlength=sigma))))
-    induce = _induce_buckets if sigma <= WIDE else _induce_one_by_one
     left = leftmost_smaller(smaller)
-    begin = induce(t, smaller, first, left[np.argsort(t[left], kind="stable")])
+    begin = _induce_buckets(t, smaller, first, left[np.argsort(t[left], kind="stable")])
     place = np.full(n, -1, np.int64)
     place[left] = np.arange(len(left))
     ranked = begin[place[begin] >= 0]
@@ -142,7 +132,7 @@ def suffix_array(t: np.ndarray) -> np.ndarray:
     names = np.empty(len(left), np.int64)
     names[place[ranked]] = np.cumsum(fresh) - 1
     order = left[suffix_array(names)] if not fresh.all() else ranked
-    return induce(t, smaller, first, order)
+    return _induce_buckets(t, smaller, first, order)
 
 
 def permuted_prefixes(t: np.ndarray, sa: np.ndarray) -> np.ndarray:
