@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -32,7 +33,7 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     Later jobs start from the files, so a lost executor costs no recomputation of what came before.
     """
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -75,6 +76,24 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def frugal(work: Task) -> Task:
+    """``work``, after which the worker gives the memory that it holds but does not use back to the system.
+
+    Workers serve one task after another; what the allocators keep of each would add up beside the executor's heap.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def by_group(key: str, solve: Solve) -> Task:
     """A task function over rows sorted by ``key`` that calls ``solve(table)`` on the rows of each value."""
 

@@ -14,6 +14,8 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rostrum.llm.common import frugal
+
 #: Pre-tokens of a new leaf; a leaf that edits have grown beyond four times as many is cut again.
 LEAF = 64
 #: Pre-tokens whose counts a worker remembers; beyond it the memory starts anew.
@@ -180,7 +182,7 @@ def _mapped(rows: DataFrame, columns: list[str], schema: str, work: Callable[[di
 
     kinds = {"id": pa.int64(), "text": pa.large_string(), "leaf_chars": pa.list_(pa.int64()), "leaf_tokens": pa.list_(pa.int64()),
              "tokens": pa.int64(), "n_edits": pa.int64(), "tokens_before": pa.int64(), "pieces_renewed": pa.int64(), "edits": pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("text", pa.string())]))}
-    return rows.select(*columns).mapInArrow(run, schema)
+    return rows.select(*columns).mapInArrow(frugal(run), schema)
 
 
 def build_trees(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", edits: Column | None = None) -> DataFrame:

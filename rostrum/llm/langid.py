@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rostrum.llm.common import frugal
 from rostrum.llm.shingles import views
 
 #: Columns into which byte n-grams are hashed.
@@ -152,7 +153,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             found = [(lang, x) for lang, x in zip(batch.column(0).to_pylist(), features(batch.column(1)), strict=True) if x is not None]
             yield pa.record_batch([pa.array([z[0] for z in found], pa.string()), pa.array([z[1].tobytes() for z in found], pa.binary())], ["lang", "x"])
 
-    got = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(vectors, "lang string, x binary").toArrow()
+    got = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(frugal(vectors), "lang string, x binary").toArrow()
     if not len(got):
         return None
     langs = np.array(got["lang"].to_pylist())
@@ -198,4 +199,4 @@ def identify(
 
     out = T.StructType([*fields.fields, T.StructField(lang_name, T.StringType()), T.StructField(score_name, T.DoubleType())])
     held = F.coalesce(F.crc32(F.col(id_col).cast("string")) % 4 == 2, F.lit(False))
-    return docs.mapInArrow(label, out).withColumn(held_name, held)
+    return docs.mapInArrow(frugal(label), out).withColumn(held_name, held)

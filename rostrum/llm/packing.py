@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import mixed, parts_for, scratch
+from rostrum.llm.common import frugal, mixed, parts_for, scratch
 from rostrum.llm.wordids import word_ids
 
 #: Tokens of a window.
@@ -33,16 +33,21 @@ def crc_of(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def locality_key(ids: np.ndarray) -> int:
-    """Two tokens drawn alike by documents with alike rarer tokens; rows sorted by it have neighbours nearby.
+def term_draws(vocabulary: int) -> np.ndarray:
+    """A number for each token that rarer tokens tend to have smaller.
 
-    Each distinct token draws a number by its id alone; ids grow with rarity, and rare tokens are favoured in
-    proportion to the square of their id. The two smallest draws name the key.
+    It depends on the id alone; ids grow with rarity, and a token is favoured in proportion to the square of its id.
     """
-    terms = np.unique(ids).astype(np.uint64)
-    draw = -np.log((mixed(terms) >> np.uint64(11)).astype(np.float64) / 2**53 + 1e-18) / (1.0 + terms.astype(np.float64)) ** 2
-    best = terms[np.argsort(draw, kind="stable")[:2]]
-    return int(best[0]) << 20 | int(best[-1])
+    terms = np.arange(vocabulary, dtype=np.uint64)
+    return -np.log((mixed(terms) >> np.uint64(11)).astype(np.float64) / 2**53 + 1e-18) / (1.0 + terms.astype(np.float64)) ** 2
+
+
+def locality_key(terms: np.ndarray, draws: np.ndarray) -> int:
+    """The two tokens of least draw; rows sorted by it have neighbours with alike rarer tokens nearby."""
+    own = draws[terms]
+    first = int(own.argmin())
+    own[first] = np.inf
+    return int(terms[first]) << 20 | int(terms[own.argmin()])
 
 
 class Shard:
@@ -149,20 +154,23 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, windo
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(tokenizer)
         holds = np.zeros(max(encoder.vocabulary, END + 1), np.int64)
+        draws = term_draws(len(holds))
+        end = np.array([END], encoder.kind)
         number = total = 0
         names = [x.split()[0] for x in TOKENS.split(",")]
         blank = lambda n, kind: pa.nulls(n, kind)
         for batch in batches:
             sizes, crcs, rests, keys = [], [], [], []
             for ids in encoder.encode(batch.column(1)):
-                ids = np.append(ids, np.array([END], ids.dtype))
+                ids = np.concatenate((ids, end))
                 full = len(ids) // window * window
                 sizes.append(len(ids))
-                holds[np.unique(ids)] += 1
+                terms = np.unique(ids)
+                holds[terms] += 1
                 crcs.append([crc_of(ids[i : i + window]) for i in range(0, full, window)])
                 rest = ids[full:]
                 rests.append(rest.tobytes() if len(rest) else None)
-                keys.append(locality_key(rest) if len(rest) else None)
+                keys.append(locality_key(np.unique(rest) if full else terms, draws) if len(rest) else None)
             n = len(sizes)
             number, total = number + n, total + sum(sizes)
             yield pa.record_batch(
@@ -174,7 +182,7 @@ def tokenized(docs: DataFrame, tokenizer: str, id_col: str, text_col: str, windo
             [pa.array([1] * (n - 1) + [2], pa.int32()), blank(n, pa.string()), blank(n, pa.int64()), blank(n, pa.list_(pa.int64())), blank(n, pa.binary()), blank(n, pa.int64()),
              pa.array([*terms.tolist(), None], pa.int32()), pa.array([*holds[terms].tolist(), number], pa.int64()), pa.array([None] * (n - 1) + [total], pa.int64())], names)
 
-    return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(encode, TOKENS)
+    return docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(frugal(encode), TOKENS)
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -242,5 +250,5 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         if held:
             yield solve()
 
-    packed = rests.mapInArrow(fill, PIECES)
+    packed = rests.mapInArrow(frugal(fill), PIECES)
     return full.unionByName(packed).withColumn("doc_id", F.col("doc_id").cast(kind)).withColumnRenamed("doc_id", id_col)

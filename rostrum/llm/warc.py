@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import salted, spread
+from rostrum.llm.common import frugal, salted, spread
 
 #: Bytes after which gathered members are handed to Spark's writer.
 CHUNK = 1 << 20
@@ -110,7 +110,7 @@ def write_warc(
         if held:
             yield pa.record_batch([_raw([b"".join(held)])], ["value"])
 
-    out = rows.mapInArrow(members, "value string")
+    out = rows.mapInArrow(frugal(members), "value string")
     out.write.option("lineSep", "\0").option("maxRecordsPerFile", CHUNKS).text(path)
 
 
@@ -246,4 +246,4 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in SCHEMA.replace("\n", " ").split(",")])
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(read, SCHEMA)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(frugal(read), SCHEMA)

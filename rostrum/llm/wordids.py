@@ -12,9 +12,9 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Text bytes split at once.
-STEP = 16 << 20
+STEP = 8 << 20
 #: Word parts a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 #: Word parts encoded in one call, with a mark between them.
 CALL = 500
 MARK = "\x01"
@@ -26,7 +26,9 @@ def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.
     """The runs ``which`` of a flat array one after another, and where each begins (with the end of the last)."""
     size = sizes[which]
     place = np.concatenate(([0], np.cumsum(size)))
-    return flat[np.repeat(starts[which] - place[:-1], size) + np.arange(place[-1])], place
+    at = np.repeat((starts[which] - place[:-1]).astype(np.int32), size)  # steps and memory stay far below 2^31 ids
+    at += np.arange(place[-1], dtype=np.int32)
+    return flat[at], place
 
 
 class WordIds:
