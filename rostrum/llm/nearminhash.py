@@ -6,11 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import kept
+from rostrum.llm.common import by_group, frugal, kept
 from rostrum.llm.graph import components
 from rostrum.llm.shingles import shingle_sets
 
@@ -55,7 +54,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, coordinates: int = C
                 tokens.append(signature(hashes, factors) if len(hashes) else None)
             yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(hashed, "id long, n long, d1 long, d2 long, tokens array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(frugal(hashed), "id long, n long, d1 long, d2 long, tokens array<long>")
 
 
 def prefix_postings(reps: DataFrame, coordinates: int, least: int) -> DataFrame:
@@ -97,64 +96,102 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
                 keep.append(inter > 0 and 100 * inter >= percent * (len(x) + len(y) - inter))
             yield pa.record_batch([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(exact, "a long, b long")
+    return both.mapInArrow(frugal(exact), "a long, b long")
 
 
-def cross_pairs(mixed_lists: DataFrame, least: int) -> DataFrame:
-    """Pairs of one posting list from different components whose signatures agree in ``least`` places.
+def _cells(lists: DataFrame) -> DataFrame:
+    """Rows of lists cut into blocks of about :data:`BLOCK`, every two blocks of a list in a cell of their own.
 
-    Input: ``token, id, component, tokens, n`` with the list's length ``n``. A list longer than :data:`BLOCK` is cut
-    into blocks and every two blocks meet in a cell of their own, so that no task holds a long list.
+    A row meets the rows on the other side of its cells; on the diagonal it is on both sides.
     """
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    dealt = mixed_lists.withColumn("_blocks", blocks).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    dealt = lists.withColumn("_blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    cells = dealt.select(
-        F.concat_ws("/", "token", F.least("_block", "_other"), F.greatest("_block", "_other")).alias("cell"),
-        (F.col("_block") <= F.col("_other")).alias("left"), (F.col("_block") >= F.col("_other")).alias("right"), "id", "component", "tokens",
+    low, high = F.least("_block", "_other"), F.greatest("_block", "_other")
+    cell = F.concat_ws("/", "token", low, high)
+    return dealt.select(
+        cell.alias("cell"), (F.col("_block") <= F.col("_other")).alias("left"), (F.col("_block") >= F.col("_other")).alias("right"),
+        "token", "id", "component", "prefix", "tokens",
     )
 
-    def meet(ids: np.ndarray, comps: np.ndarray, sigs: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[np.ndarray]:
-        out = []
-        r = np.flatnonzero(right)
+
+def _flag(table: pa.Table, name: str) -> np.ndarray:
+    return np.asarray(table[name].to_numpy(zero_copy_only=False), bool)
+
+
+def candidates(cells: DataFrame, least: int) -> DataFrame:
+    """``cell, id, component, left, right``: rows with a partner in their cell that they may be linked with.
+
+    Partners are of another component, agree in ``least`` places of the signature, and share no smaller token of
+    their prefixes, so that two documents are candidates in one list only. No pair leaves the task.
+    """
+
+    def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        token = table["token"][0].as_py()
+        ids, comps = table["id"].to_numpy(), table["component"].to_numpy()
+        left, right = _flag(table, "left"), np.flatnonzero(_flag(table, "right"))
+        sigs = table["tokens"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
+        before = [x[x < token] for x in (np.asarray(p) for p in table["prefix"].to_pylist())]
+        active = np.zeros(len(table), bool)
         for i in np.flatnonzero(left):
-            other = r[(ids[r] != ids[i]) & (comps[r] != comps[i])]
+            other = right[(ids[right] != ids[i]) & (comps[right] != comps[i])]
+            other = other[(sigs[other] == sigs[i]).sum(axis=1) >= least]
+            if len(other) and len(before[i]):
+                sizes = [len(before[j]) for j in other]
+                shared = np.isin(np.concatenate([before[j] for j in other]), before[i])
+                other = other[np.bincount(np.repeat(np.arange(len(other)), sizes), shared, minlength=len(other)) == 0]
             if len(other):
-                hit = other[(sigs[other] == sigs[i]).sum(axis=1) >= least]
-                if len(hit):
-                    out.append(np.stack([np.full(len(hit), ids[i]), ids[hit]], axis=1))
-        return out
+                active[i] = True
+                active[other] = True
+        if active.any():
+            yield from table.filter(pa.array(active)).select(["cell", "id", "component", "left", "right"]).combine_chunks().to_batches()
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            held = table if held is None else pa.concat_tables([held, table])
-            last = held["cell"][-1].as_py()
-            keys = held["cell"].combine_chunks()
-            cut = int(np.argmax(np.asarray(pc.equal(keys, last))))
-            if cut:
-                yield from solve(held.slice(0, cut))
-                held = held.slice(cut).combine_chunks()
-        if held is not None and len(held):
-            yield from solve(held)
+    dealt = cells.repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(frugal(by_group("cell", solve)), "cell string, id long, component long, left boolean, right boolean")
+
+
+def cross_links(active: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """``a, b``: what the confirmed links of each cell join, as a link of each id with the smallest one it reaches.
+
+    Whole shingle sets are intersected in the cell, all partners of a document at once.
+    """
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        codes = table["cell"].combine_chunks().dictionary_encode().indices.to_numpy()
         ids, comps = table["id"].to_numpy(), table["component"].to_numpy()
-        left, right = (np.asarray(table[c].combine_chunks().to_numpy(zero_copy_only=False), bool) for c in ("left", "right"))
-        flat = table["tokens"].combine_chunks()
-        sigs = flat.flatten().to_numpy().reshape(len(table), -1)
-        bounds = np.concatenate(([0], np.flatnonzero(np.diff(codes)) + 1, [len(codes)]))
-        out = []
-        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-            out += meet(ids[a:b], comps[a:b], sigs[a:b], left[a:b], right[a:b])
-        if out:
-            found = np.concatenate(out)
-            found = np.unique(np.sort(found, axis=1), axis=0)
-            yield pa.record_batch([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
-
-    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(pairs, "a long, b long").distinct()
+        left, right = np.flatnonzero(_flag(table, "left")), np.flatnonzero(_flag(table, "right"))
+        sets = list(shingle_sets(table["text"].combine_chunks()))
+        sizes = np.array([len(x) for x in sets])
+        if not len(left) or not len(right):
+            return
+        hashes = np.concatenate([sets[j] for j in right])
+        owner = np.repeat(right, sizes[right])
+        order = np.argsort(hashes, kind="stable")
+        hashes, owner = hashes[order], owner[order]
+        nodes, place = np.unique(ids, return_inverse=True)
+        parent = np.arange(len(nodes))
+        for i in left:
+            lo, hi = np.searchsorted(hashes, sets[i], "left"), np.searchsorted(hashes, sets[i], "right")
+            runs = hi - lo
+            ends = np.cumsum(runs)
+            at = np.repeat(lo - np.concatenate(([0], ends))[:-1], runs) + np.arange(ends[-1] if len(ends) else 0)
+            inter = np.bincount(owner[at], minlength=len(ids))
+            hit = (inter > 0) & (100 * inter >= percent * (sizes[i] + sizes - inter)) & (comps != comps[i]) & (ids != ids[i])
+            own = place[i]
+            for j in place[np.flatnonzero(hit)].tolist():
+                x, y = own, j
+                while parent[x] != x:
+                    x = parent[x]
+                while parent[y] != y:
+                    y = parent[y]
+                parent[max(x, y)] = min(x, y)
+        for x in range(len(nodes)):
+            parent[x] = parent[parent[x]]
+        moved = np.flatnonzero(parent != np.arange(len(nodes)))
+        if len(moved):
+            yield pa.record_batch([pa.array(nodes[moved]), pa.array(nodes[parent[moved]])], ["a", "b"])
+
+    told = active.join(texts, "id").select("cell", "id", "component", "left", "right", "text")
+    return told.repartition("cell").sortWithinPartitions("cell").mapInArrow(frugal(by_group("cell", solve)), "a long, b long")
 
 
 def near_groups(
@@ -170,7 +207,7 @@ def near_groups(
     Equal sets become one class. Classes are posted under the coordinates of their signatures (see
     :func:`prefix_postings`). First each class is compared with the smallest id of the list that it shares most often,
     which joins large groups with one comparison per member; then lists that still hold several components are
-    compared across those components in blocks (:func:`cross_pairs`). Every link is confirmed on the whole sets.
+    compared across those components in blocks (:func:`candidates`, :func:`cross_links`). Every link is confirmed on the whole sets.
     """
     least = match_threshold(percent, coordinates)
     sigs = kept(signatures(docs, id_col, text_col, coordinates), "signatures")
@@ -199,8 +236,10 @@ def near_groups(
     tagged = kept(tagged, "tagged")
     several = tagged.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n"))
     several = kept(several.filter("lo <> hi"), "several").select(F.col("token").alias("_token"), "n")
-    open_lists = tagged.join(several, F.col("token") == F.col("_token")).drop("_token").join(sig, "id")
-    rest = kept(confirmed(kept(cross_pairs(open_lists, least), "candidates"), texts, percent), "rest")
+    open_lists = kept(tagged.join(several, F.col("token") == F.col("_token")).drop("_token"), "open-lists")
+    prefixes = open_lists.groupBy("id").agg(F.collect_list("token").alias("prefix")).join(sig, "id")
+    cells = _cells(open_lists.join(prefixes, "id"))
+    rest = kept(cross_links(kept(candidates(cells, least), "candidates"), texts, percent), "rest")
     groups = components(links.unionByName(rest)).select(F.col("id").alias("_id"), "component")
     return (
         sigs.select("id", "n").join(groups, F.col("id") == F.col("_id"), "left")
