@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import by_group, kept, mixed, parts_for
+from rostrum.llm.common import by_group, frugal, kept, mixed, parts_for
 from rostrum.llm.shingles import views
 from rostrum.llm.suffixes import permuted_prefixes, suffix_array
 
@@ -19,13 +20,13 @@ LENGTH, ANCHOR = 50, 24
 #: Text bytes of a block of consecutive documents.
 BLOCK = 4 << 20
 #: Text bytes behind one bucket of anchors.
-BUCKET = 32 << 20
+BUCKET = 16 << 20
 #: Bytes of segments under one suffix array.
-SHARD = 1 << 20
+SHARD = 1 << 19
 #: Segments of one anchor beyond which it is told apart by longer context.
 HOT = 2048
 #: Entries a task gathers before it hands them on.
-GATHER = 1 << 21
+GATHER = 1 << 20
 #: Document ids looked at to place the block bounds; they decide the balance and nothing else.
 BOUND_SAMPLE = 1_000_000
 
@@ -156,7 +157,7 @@ def anchor_entries(docs: DataFrame, buckets: int) -> DataFrame:
         if count:
             yield flush()
 
-    return docs.select("block", "text").mapInArrow(gather, "bucket int, block int, h binary, s binary")
+    return docs.select("block", "text").mapInArrow(frugal(gather), "bucket int, block int, h binary, s binary")
 
 
 def replies(entries: DataFrame, parts: int) -> DataFrame:
@@ -191,7 +192,7 @@ def replies(entries: DataFrame, parts: int) -> DataFrame:
             yield _blobs([block[order].astype(np.int32), kind[order].astype(np.int32)], h[order], s[order], ["block", "kind", "h", "s"])
 
     dealt = entries.repartition(parts, "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(by_group("bucket", solve), "block int, kind int, h binary, s binary")
+    return dealt.mapInArrow(frugal(by_group("bucket", solve)), "block int, kind int, h binary, s binary")
 
 
 def _listed(h: np.ndarray, s: np.ndarray, table: list[tuple[bytes, bytes]]) -> np.ndarray:
@@ -300,7 +301,7 @@ def resolve_blocks(docs: DataFrame, answers: DataFrame, parts: int) -> DataFrame
             yield _batch(len(more["kind"]), **more)
 
     both = left.unionByName(right).repartition(parts, "block").sortWithinPartitions("block", "kind", "id")
-    return both.mapInArrow(by_group("block", solve), FOUND)
+    return both.mapInArrow(frugal(by_group("block", solve)), FOUND)
 
 
 SPANS = "key long, start long, stop long"
@@ -319,7 +320,7 @@ def shard_repeats(segs: DataFrame, parts: int) -> DataFrame:
         owner = np.repeat(np.arange(len(texts)), sizes + 1)
         begin = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
         left = begin[owner] + sizes[owner] - np.arange(len(raw))
-        coded = np.where(left > 0, raw.astype(np.int64) + 2, 1)
+        coded = np.where(left > 0, raw.astype(np.uint16) + 2, 1).astype(np.uint16)
         t = np.append(coded, 0)
         sa = suffix_array(t)
         same = permuted_prefixes(t, sa)[sa] >= LENGTH
@@ -357,54 +358,58 @@ def shard_repeats(segs: DataFrame, parts: int) -> DataFrame:
             yield got
 
     dealt = segs.select("fam", "id", "key", "start", "text").repartition(parts, "fam").sortWithinPartitions("fam")
-    return dealt.mapInArrow(run, SPANS)
+    return dealt.mapInArrow(frugal(run), SPANS)
 
 
-def told_apart(segs: DataFrame, low: int, high: int) -> DataFrame:
-    """The strings of a family that begin ``low`` .. ``high`` bytes before its anchor, under what all of them share."""
+SEGMENTS = "fam binary, low int, high int, id long, key long, start long, anchor long, text binary"
+
+
+def told_apart(segs: DataFrame) -> DataFrame:
+    """Each segment's strings in two halves by where they begin before the anchor, under what all of a half share.
+
+    A row stands for the strings that begin ``low`` .. ``high`` bytes before its anchor.
+    """
+    kinds = [pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = [x.split()[0] for x in SEGMENTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for _, who, key, start, anchor, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                a, b = max(0, anchor - high), min(len(text), anchor + LENGTH - low)
-                if b - a >= LENGTH:
-                    common = text[max(a, anchor - low) : anchor + LENGTH - high]
-                    whole = anchor >= low and anchor + LENGTH - high <= len(text)
-                    if whole:
-                        out.append((hashlib.blake2b(common, digest_size=16, salt=bytes([low, high])).digest(), who, key, start + a, anchor - a, text[a:b]))
-            cols = list(zip(*out, strict=True)) or [[]] * 6
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["fam", "id", "key", "start", "anchor", "text"])
+            for _, least, most, who, key, start, anchor, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                middle = (least + most) // 2
+                for low, high in ((least, middle), (middle + 1, most)):
+                    a, b = max(0, anchor - high), min(len(text), anchor + LENGTH - low)
+                    if b - a >= LENGTH and anchor >= low and anchor + LENGTH - high <= len(text):
+                        common = text[anchor - low : anchor + LENGTH - high]
+                        fam = hashlib.blake2b(common, digest_size=16, salt=bytes([low, high])).digest()
+                        out.append((fam, low, high, who, key, start + a, anchor - a, text[a:b]))
+            cols = list(zip(*out, strict=True)) or [[]] * len(names)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return segs.select("fam", "id", "key", "start", "anchor", "text").mapInArrow(run, "fam binary, id long, key long, start long, anchor long, text binary")
+    return segs.select(*names).mapInArrow(frugal(run), SEGMENTS)
 
 
 def family_repeats(segs: DataFrame, parts: int) -> DataFrame:
     """Repeated spans of all families.
 
     A family of more than :data:`HOT` segments is told apart by longer common context, the offsets of its strings
-    halved each time; what is alone then is dropped. Where one offset is left all strings of a family are equal, and
-    the smallest id is all that the others need.
+    halved each time, five times at most; what is alone then is dropped. Where one offset is left all strings of a
+    family are equal, and the smallest id is all that the others need.
     """
-    found: DataFrame | None = None
-    open_ = [(segs, 0, LENGTH - ANCHOR)]
-    while open_:
-        rows, low, high = open_.pop()
-        counts = kept(rows.groupBy("fam").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).filter("n > 1"), "families")
-        hot = counts.filter(F.col("n") > HOT)
-        if low == high:
-            named = counts.select(F.col("fam").alias("_fam"), "least")
-            late = rows.join(named, F.col("fam") == F.col("_fam")).filter("id > least")
-            more = late.select("key", "start", (F.col("start") + LENGTH).alias("stop"))
-        else:
-            named = counts.filter(F.col("n") <= HOT).select(F.col("fam").alias("_fam"))
-            more = shard_repeats(rows.join(named, F.col("fam") == F.col("_fam"), "left_semi"), parts)
-            if not hot.isEmpty():
-                busy = kept(rows.join(hot.select(F.col("fam").alias("_fam")), F.col("fam") == F.col("_fam"), "left_semi"), "hot-segments")
-                middle = (low + high) // 2
-                open_ += [(kept(told_apart(busy, a, b), "told-apart"), a, b) for a, b in ((low, middle), (middle + 1, high))]
-        found = more if found is None else found.unionByName(more)
-    return found
+    rows = segs.withColumn("low", F.lit(0)).withColumn("high", F.lit(LENGTH - ANCHOR))
+    cold: list[DataFrame] = []
+    single: list[DataFrame] = []
+    while True:
+        counts = rows.groupBy("fam").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.min(F.col("high") - F.col("low")).alias("wide"))
+        counts = kept(counts.filter("n > 1"), "families").withColumnRenamed("fam", "_fam")
+        of = lambda which, rows=rows, counts=counts: rows.join(counts.filter(which), F.col("fam") == F.col("_fam"))
+        cold.append(of(f"wide > 0 AND n <= {HOT}").select("fam", "id", "key", "start", "text"))
+        single.append(of("wide = 0").filter("id > least").select("key", "start", (F.col("start") + LENGTH).alias("stop")))
+        if counts.filter(f"wide > 0 AND n > {HOT}").isEmpty():
+            break
+        rows = kept(told_apart(of(f"wide > 0 AND n > {HOT}")), "told-apart")
+    found = shard_repeats(reduce(DataFrame.unionByName, cold), parts)
+    return reduce(DataFrame.unionByName, single, found)
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_spans: bool = False) -> DataFrame:
@@ -431,7 +436,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         for batch in batches:
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.searchsorted(edges, batch.column(0).to_numpy(), "right").astype(np.int32))], ["id", "text", "block"])
 
-    placed = rows.mapInArrow(block_of, "id long, text string, block int")
+    placed = rows.mapInArrow(frugal(block_of), "id long, text string, block int")
     answers = replies(anchor_entries(placed, parts_for(total, BUCKET)), parts_for(total, BUCKET))
     spark = docs.sparkSession
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -456,7 +461,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     c.append(v)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    closed = waiting.mapInArrow(close, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary")
+    closed = waiting.mapInArrow(frugal(close), "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans binary")
     out = settled.unionByName(closed).withColumn("id", F.when(F.col("id") != _LAST, F.col("id")).cast(docs.schema[id_col].dataType))
     out = out.withColumnRenamed("id", id_col)
     return out if with_spans else out.drop("spans")
