@@ -10,17 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import by_group, kept
+from rostrum.llm.common import by_group, frugal, kept
 from rostrum.llm.graph import components
 
 #: Vectors the quantiser is fitted on; the bound of what reaches the driver.
 SAMPLE = 20_000
 #: Vectors of a coarse list, about, and most lists that the sample can place.
-LIST, LISTS = 256, 2048
+LIST, LISTS = 512, 2048
 #: Dimensions of a subspace and codewords of its codebook.
 SUBSPACE, CODEWORDS = 4, 256
 #: Standard deviations by which a pair may straddle the border of two lists and still be found.
-BORDER = 4.0
+BORDER = 3.0
 #: Vectors of a list, and of its queries, that meet in one cell.
 BLOCK = 1024
 
@@ -122,7 +122,7 @@ def _checked(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> D
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(out, pa.binary())], ["id", "label", "size", "vec"])
 
     picked = rows.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    return picked.mapInArrow(scale, "id long, label string, size int, vec binary")
+    return picked.mapInArrow(frugal(scale), "id long, label string, size int, vec binary")
 
 
 def _stacked(column: pa.ChunkedArray) -> np.ndarray:
@@ -149,7 +149,7 @@ def _placed(classes: DataFrame, quantizer: Quantizer, radius: float) -> DataFram
                     table = pa.table([got["label"], got["size"], pa.array(lists), pa.array(query), got["id"], got["copies"], got["vec"]], ["label", "size", "list", "query", "id", "copies", "vec"])
                     yield from table.combine_chunks().to_batches()
 
-    return classes.select("id", "label", "size", "vec", "copies").mapInArrow(place, "label string, size int, list int, query boolean, id long, copies long, vec binary")
+    return classes.select("id", "label", "size", "vec", "copies").mapInArrow(frugal(place), "label string, size int, list int, query boolean, id long, copies long, vec binary")
 
 
 def _cells(placed: DataFrame) -> DataFrame:
@@ -212,7 +212,7 @@ def _linked(cells: DataFrame, quantizer: Quantizer, least: float, radius: float)
             yield pa.record_batch([pa.array(nodes[used]), pa.array(links[used]), pa.array(nodes[parent[used]])], ["id", "links", "root"])
 
     dealt = cells.repartition("cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(by_group("cell", solve), "id long, links long, root long")
+    return dealt.mapInArrow(frugal(by_group("cell", solve)), "id long, links long, root long")
 
 
 def near_vectors(
