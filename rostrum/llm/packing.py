@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import frugal, mixed, parts_for, scratch
+from rostrum.llm.common import arrow_rows, frugal, mixed, parts_for, scratch
 from rostrum.llm.wordids import word_ids
 
 #: Tokens of a window.
@@ -21,6 +21,8 @@ END = 1
 SHARD = 1 << 20
 #: Bytes of token ids of one partition of the packing step.
 PART = 8 << 20
+#: Documents encoded at once.
+BATCH = 2000
 #: BM25's saturation and length parameters.
 K1, B = 1.2, 0.75
 
@@ -198,7 +200,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     path = scratch(spark, "tokens")
-    tokenized(docs, tokenizer, id_col, text_col, window).write.option("compression", "zstd").parquet(path)
+    with arrow_rows(spark, BATCH):
+        tokenized(docs, tokenizer, id_col, text_col, window).write.option("compression", "zstd").parquet(path)
     rows = spark.read.schema(TOKENS).parquet(path)
     stats = {r[0]: r[1] for r in rows.filter("kind = 1").groupBy("term").agg(F.sum("docs")).collect()}
     size = rows.agg(F.sum(F.when(F.col("kind") == 2, F.col("docs"))), F.sum("total"), F.sum(F.octet_length("rest"))).first()

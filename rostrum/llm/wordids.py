@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 #: Text bytes split at once.
 STEP = 8 << 20
 #: Word parts a worker remembers; beyond it the memory starts anew.
-REMEMBERED = 700_000
+REMEMBERED = 1_000_000
 #: Word parts encoded in one call, with a mark between them.
 CALL = 500
 MARK = "\x01"
@@ -49,12 +49,12 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.index: dict[str, int] = {}
+        self.parts = pa.array([], pa.large_string())
         self.flat, self.starts, self.sizes = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, parts: list[str]) -> None:
+    def _learn(self, new: pa.Array) -> None:
         """Add parts to the memory: plain ones many to a call, others one by one."""
-        plain = pc.match_substring_regex(pa.array(parts, pa.large_string()), PLAIN).to_pylist()
+        parts, plain = new.to_pylist(), pc.match_substring_regex(new, PLAIN).to_pylist()
         easy = [p for p, ok in zip(parts, plain, strict=True) if ok and p and not any(t in p for t in self.special)]
         known = set(easy)
         hard = [p for p in parts if p not in known]
@@ -74,7 +74,7 @@ class WordIds:
             return
         size = np.concatenate(sizes).astype(np.int64)
         start = np.concatenate(([0], np.cumsum(size)))[:-1] + len(self.flat)
-        self.index.update(zip([*easy, *hard], range(len(self.index), len(self.index) + len(size)), strict=True))
+        self.parts = pa.concat_arrays([self.parts, pa.array([*easy, *hard], pa.large_string())])
         self.flat = np.concatenate([self.flat, *ids])
         self.starts, self.sizes = np.concatenate([self.starts, start]), np.concatenate([self.sizes, size])
 
@@ -86,12 +86,11 @@ class WordIds:
         cut = pc.replace_substring_regex(pc.ascii_lower(words), r"([^\p{L}]+)", r" \1 ")
         lists = pc.split_pattern(pc.if_else(plain, cut, words), " ")
         coded = lists.flatten().dictionary_encode()
-        parts = coded.dictionary.to_pylist()
-        new = [p for p in parts if p not in self.index]
-        if new:
-            self._learn(new)
-        index = self.index
-        number = np.fromiter((index[p] for p in parts), np.int64, len(parts))
+        number = pc.index_in(coded.dictionary, self.parts)
+        if number.null_count:
+            self._learn(coded.dictionary.filter(pc.is_null(number)))
+            number = pc.index_in(coded.dictionary, self.parts)
+        number = number.to_numpy(zero_copy_only=False)
         ids, place = gathered(self.flat, self.starts, self.sizes, number[coded.indices.to_numpy(zero_copy_only=False)])
         return ids, place[np.asarray(lists.offsets)]
 
@@ -108,7 +107,7 @@ class WordIds:
         return out
 
     def _step(self, texts: pa.Array) -> list[np.ndarray]:
-        if len(self.index) > REMEMBERED:
+        if len(self.parts) > REMEMBERED:
             self.forget()
         lists = pc.utf8_split_whitespace(texts)
         coded = lists.flatten().dictionary_encode()
