@@ -8,12 +8,13 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rostrum.llm.common import frugal
 from rostrum.llm.shingles import views
+from rostrum.operators.common import top_k
 
 #: Columns into which byte n-grams are hashed.
 WIDTH = 4096
@@ -143,9 +144,9 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     the number of languages. None where there is no labelled text with a letter.
     """
     docs = docs.select(*dict.fromkeys([id_col, text_col, lang_col]))
-    rank = F.row_number().over(Window.partitionBy(lang_col).orderBy(F.md5(F.col(id_col).cast("string")), id_col))
-    chosen = docs.filter(learnable(id_col, lang_col)).select(id_col, lang_col).withColumn("_rank", rank)
-    chosen = chosen.filter(F.col("_rank") <= sample).select(F.col(id_col).alias("_id")).distinct()
+    labelled = docs.filter(learnable(id_col, lang_col)).select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"))
+    labelled = labelled.withColumn("_draw", F.md5(F.col("_id").cast("string")))
+    chosen = top_k(labelled, ["_lang"], [F.asc("_draw"), F.asc("_id")], sample).select("_id").distinct()
     rows = docs.filter(learnable(id_col, lang_col)).join(F.broadcast(chosen), F.col(id_col) == F.col("_id"), "left_semi")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
