@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rostrum.llm.common import frugal
+from rostrum.llm.common import frugal, give_back
 from rostrum.llm.shingles import views
 from rostrum.operators.common import top_k
 
@@ -21,7 +21,7 @@ WIDTH = 4096
 #: Lengths of the n-grams in bytes.
 GRAMS = (1, 2, 3, 4)
 #: Labelled rows per language that a model is fitted on; the bound of what reaches the driver.
-SAMPLE = 1000
+SAMPLE = 500
 UNKNOWN = "und"
 
 #: Families by language code; a code that is not listed belongs to "other".
@@ -81,12 +81,11 @@ def features(column: pa.Array) -> Iterator[np.ndarray | None]:
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, rounds: int = 30) -> np.ndarray:
-    """Weights (last one the bias) of a linear SVM with squared hinge loss, by dual coordinate descent."""
+    """Weights of a linear SVM with squared hinge loss, by dual coordinate descent; ``x`` ends in a column of ones."""
     rng = np.random.default_rng(10)
-    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     w, alpha = np.zeros(x.shape[1], x.dtype), np.zeros(len(x))
     lean = 0.5 / cost
-    diagonal = (x * x).sum(axis=1) + lean
+    diagonal = np.einsum("ij,ij->i", x, x) + lean
     for _ in range(rounds):
         moved = 0.0
         for i in rng.permutation(len(x)):
@@ -158,9 +157,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     if not len(got):
         return None
     langs = np.array(got["lang"].to_pylist())
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(len(langs), WIDTH)
-    order = np.lexsort((x[:, 0], x[:, 1], langs))
-    langs, x = langs[order], x[order]
+    column = got["x"].combine_chunks()
+    del got
+    start = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    vectors_of = np.frombuffer(column.buffers()[2], np.float32, len(langs) * WIDTH, start).reshape(len(langs), WIDTH)
+    order = np.lexsort((vectors_of[:, 0], vectors_of[:, 1], langs))
+    langs, x = langs[order], np.ones((len(langs), WIDTH + 1), np.float32)
+    np.take(vectors_of, order, axis=0, out=x[:, :WIDTH])
+    del vectors_of, column
     kinds = np.array([family(z) for z in langs])
     families = sorted(set(kinds.tolist()))
     wide = np.stack([fit_svm(x, np.where(kinds == name, 1.0, -1.0)) for name in families]) if len(families) > 1 else np.zeros((1, WIDTH + 1))
@@ -173,6 +177,8 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
             part = (langs == a) | (langs == b)
             rows_of.append(fit_svm(x[part], np.where(langs[part] == a, 1.0, -1.0)))
         pairs[name] = np.stack(rows_of) if rows_of else np.zeros((0, WIDTH + 1))
+    del x
+    give_back()
     return Model(families, wide, languages, pairs)
 
 
