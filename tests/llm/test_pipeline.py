@@ -43,6 +43,27 @@ def test_stage_decisions(steps):
     assert {r.doc_id for r in packed.collect()} == set(ids)
 
 
+def test_near_stage_on_the_given_documents(steps):
+    """What goes has a partner at 0.80 or more, and no two that stay are so alike."""
+    exact, near = ({r.doc_id: r.text for r in s.collect()} for s in steps[2:4])
+    sets = {d: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(max(1, len(w) - 4))} for d, t in exact.items()}
+    alike = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    assert all(any(alike(d, k) for k in sets if k != d) for d in exact if d not in near)
+    assert not any(alike(a, b) for a in near for b in near if a < b)
+
+
+def test_near_stage_links_from_080_on(spark):
+    """Copies at 0.80 exactly and at 0.81 go, those just below 0.80 stay."""
+    base = lambda tag, n: [f"{tag}{i}" for i in range(n)]
+    edited = lambda words, *at: [f"new{i}" if i in at else w for i, w in enumerate(words)]
+    texts = {1: base("a", 49), 2: edited(base("a", 49), 20), 3: base("b", 100), 4: edited(base("b", 100), 20, 60), 5: base("c", 48), 6: edited(base("c", 48), 20)}
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, w in texts.items()}
+    shares = [len(sets[d] & sets[d + 1]) / len(sets[d] | sets[d + 1]) for d in (1, 3, 5)]
+    assert shares[0] == 0.8 < shares[1] < 0.85 and 0.79 < shares[2] < 0.8
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in texts.items()], "doc_id long, text string")
+    assert sorted(r.doc_id for r in cp.distinct_shingles(spark, docs, SF).collect()) == [1, 3, 5, 6]
+
+
 def test_empty_input(spark):
     none = spark.read.parquet(f"{SF}/documents.parquet").filter("doc_id < 0")
     for _, stage in cp.STAGES:
