@@ -23,6 +23,9 @@ SALTS = 64
 #: Fixed by the format: the profile that names a record without payload.
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Digests that are checked, as WARC labels them without hyphens.
+DIGESTS = frozenset({"md5", "sha1", "sha224", "sha256", "sha384", "sha512"})
+
 SCHEMA = """archive string, kind string, start long, stop long, reason string, record_id string, record_type string,
  target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"""
 
@@ -128,8 +131,33 @@ def _headers(data: bytes, start: int) -> tuple[dict[str, str], int] | None:
     return fields, end + 4
 
 
-def parse_record(data: bytes, start: int = 0) -> tuple[dict, int] | str:
-    """The record at ``start`` and the offset after it, or why there is none."""
+def _agrees(said: str, data: bytes) -> bool | None:
+    """Whether a labelled digest (hex, base32 or base64) is that of ``data``; None where its algorithm is not known."""
+    name, colon, value = said.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if not colon or name not in DIGESTS:
+        return None
+    digest, value = hashlib.new(name, data).digest(), value.strip().rstrip("=")
+    short = base64.b32encode(digest).decode().rstrip("=")
+    return value.lower() == digest.hex() or value.upper() == short or value in (base64.b64encode(digest).decode().rstrip("="), base64.urlsafe_b64encode(digest).decode().rstrip("="))
+
+
+def _plain_digest(said: str) -> str | None:
+    """A SHA-1 as base32 without the algorithm's name, any other digest as it stands."""
+    name, colon, value = said.partition(":")
+    if not colon or name.strip().lower().replace("-", "") != "sha1":
+        return said or None
+    value = value.strip()
+    if len(value) == 40:
+        try:
+            return base64.b32encode(bytes.fromhex(value)).decode()
+        except ValueError:
+            return value
+    return value or None
+
+
+def _parsed(data: bytes, start: int) -> tuple[dict, int, bool] | str:
+    """The record at ``start``, the offset after it, and whether a digest vouches for it; or why there is none."""
     head = _headers(data, start)
     if head is None:
         return "no header"
@@ -141,40 +169,120 @@ def parse_record(data: bytes, start: int = 0) -> tuple[dict, int] | str:
     if data[stop : stop + 4] != b"\r\n\r\n":
         return "no record end"
     block = data[body:stop]
-    said = fields.get("warc-block-digest", "")
-    if said.startswith("sha1:") and said[5:] != base32_sha1(block):
+    whole = _agrees(fields.get("warc-block-digest", ""), block)
+    if whole is False:
         return "block digest"
     kind = fields.get("warc-type", "")
-    http, _, payload = block.partition(b"\r\n\r\n")
-    digest, size = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None, len(payload)
+    http, payload = b"", block
+    if fields.get("content-type", "").split(";")[0].strip().lower() == "application/http":
+        http, _, payload = block.partition(b"\r\n\r\n")
+    said = fields.get("warc-payload-digest", "")
+    digest, size, inner = _plain_digest(said), len(payload), None
     if kind == "revisit":
         payload = None
         sizes = [x.split(b":", 1)[1].strip() for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:")]
         size = int(sizes[0]) if sizes and sizes[0].isdigit() else None
     elif digest is None:
         digest = base32_sha1(payload)
-    elif digest != base32_sha1(payload):
-        return "payload digest"
+    elif "warc-segment-number" not in fields:  # the digest of a segment is that of all segments together
+        inner = _agrees(said, payload)
+        if inner is False:
+            return "payload digest"
     record = {
         "record_id": fields.get("warc-record-id", "").strip("<>"), "record_type": kind, "target_uri": fields.get("warc-target-uri"),
         "refers_to": fields["warc-refers-to"].strip("<>") if "warc-refers-to" in fields else None,
         "payload_digest": digest, "payload_bytes": size, "payload": payload,
     }
-    return record, stop + 4
+    return record, stop + 4, bool(whole or inner)
+
+
+def parse_record(data: bytes, start: int = 0) -> tuple[dict, int] | str:
+    """The record at ``start`` and the offset after it, or why there is none.
+
+    The payload is the block, without its HTTP head where the content type is ``application/http``. Digests of
+    algorithms that are not known are returned and not checked.
+    """
+    part = _parsed(data, start)
+    return part if isinstance(part, str) else part[:2]
 
 
-def _member(data: bytes, start: int) -> tuple[bytes, int] | str:
-    """The gzip member at ``start``, checked by its CRC and length, and the offset after it."""
+def _member(data: bytes, start: int) -> tuple[bytes, int, str | None, bool]:
+    """What the gzip member at ``start`` inflates to, the offset after it, why it is not whole (CRC, length), and whether it breaks off in its text."""
     view, z, out, at = memoryview(data), zlib.decompressobj(31), [], start
     try:
         while not z.eof:
             if at >= len(data):
-                return "cut short"
+                text = b"".join(out)
+                return text, at, "cut short", not _ended(z, text)
             out.append(z.decompress(view[at : at + 65536]))
             at = min(len(data), at + 65536)
     except zlib.error:
-        return "bad member"
-    return b"".join(out), at - len(z.unused_data)
+        text, stop = _inflated(view, start, at)
+        return text, stop, "bad member", False
+    return b"".join(out), at - len(z.unused_data), None, False
+
+
+def _ended(z, text: bytes) -> bool:
+    """Whether only the CRC and length, or the rest of them, are missing after ``text``."""
+    trailer = zlib.crc32(text).to_bytes(4, "little") + (len(text) & 0xFFFFFFFF).to_bytes(4, "little")
+    for have in range(8):
+        ahead = z.copy()
+        try:
+            ahead.decompress(trailer[have:])
+        except zlib.error:
+            continue
+        if ahead.eof:
+            return True
+    return False
+
+
+def _inflated(view: memoryview, start: int, at: int) -> tuple[bytes, int]:
+    """All that inflates from ``start`` until zlib finds a fault, which it does not before ``at``; and where that is."""
+    z = zlib.decompressobj(31)
+    out = [z.decompress(view[start:at])]
+    for step in (4096, 256, 16, 1):
+        while True:
+            ahead = z.copy()
+            try:
+                out.append(ahead.decompress(view[at : at + step]))
+            except zlib.error:
+                break
+            z, at = ahead, at + step
+    try:
+        tail = bytes(view[at : at + 1])
+        while piece := z.decompress(tail, 1):
+            out.append(piece)
+            tail = z.unconsumed_tail
+    except zlib.error:
+        pass
+    return b"".join(out), min(at + 1, len(view))
+
+
+def _inner(text: bytes, why: str | None, broken: bool) -> tuple[list[dict], list[str]]:
+    """The records of an inflated text, sought again from version lines after a fault, and the reason of each gap.
+
+    ``why`` tells that the member itself is damaged: its records that no digest vouches for carry that as ``reason``.
+    In a text that is ``broken`` off, the record at the break is not taken for whole.
+    """
+    found: list[dict] = []
+    faults: list[str] = []
+    at, whole = 0, True
+    while at < len(text):
+        part = _parsed(text, at)
+        if broken and not isinstance(part, str) and part[1] == len(text):
+            part = why
+        if isinstance(part, str):
+            if whole:
+                faults.append(part)
+            whole = False
+            at = text.find(b"WARC/1.", at + 1)
+            if at < 0:
+                break
+            continue
+        record, at, vouched = part
+        found.append(record if vouched or why is None else record | {"reason": why})
+        whole = True
+    return found, faults
 
 
 def salvage(data: bytes) -> Iterator[dict]:
@@ -183,39 +291,55 @@ def salvage(data: bytes) -> Iterator[dict]:
     Where a check fails, the reader looks for the next byte that starts a gzip member or a version line, tries there,
     and goes on until one is whole; the bytes in between are one gap with the first reason. NULs after a member are
     padding. Gaps and records together cover all other bytes.
+
+    A member may hold several records. If one of them fails a check, the others are kept, and each run of text that is
+    lost is a gap over the bytes of the member. Of a damaged member the records that inflate are kept and its bytes
+    are a gap as well; where no digest vouches for such a record, it carries the damage as ``reason``. The record at
+    which a cut member breaks off is not kept. What follows a fault in a deflate stream can only be had where zlib
+    still inflates it.
     """
     at, lost, why = 0, None, None
+    told, until = set(), 0
+    name = lambda r: (r["record_id"], r["record_type"], r["payload_digest"])
     while at < len(data):
         if lost is None and data[at] == 0:
             at += 1
             continue
         found: list[dict] = []
+        faults: list[str] = []
+        damage, stop = None, at
         if data.startswith(b"\x1f\x8b\x08", at):
-            got = _member(data, at)
-            if isinstance(got, tuple):
-                text, stop = got
-                inner = 0
-                while inner < len(text):
-                    part = parse_record(text, inner)
-                    if isinstance(part, str):
-                        found, got = [], part
-                        break
-                    found.append(part[0])
-                    inner = part[1]
+            text, stop, damage, broken = _member(data, at)
+            found, faults = _inner(text, damage, broken)
+            reason = damage or (faults or ["empty member"])[0]
         else:
-            got = parse_record(data, at)
-            if isinstance(got, tuple):
-                found, stop = [got[0]], got[1]
+            part = _parsed(data, at)
+            if isinstance(part, str):
+                reason = damage = part
+            else:
+                found, stop = [part[0]], part[1]
+                if at < until and name(part[0]) in told:  # stored as it is inside the damaged member that gave it
+                    at = stop
+                    continue
         if found:
             if lost is not None:
                 yield {"kind": "gap", "start": lost, "stop": at, "reason": why}
                 lost = None
             for record in found:
                 yield record | {"kind": "record", "start": at, "stop": stop}
+            if damage is None:
+                for fault in faults:
+                    yield {"kind": "gap", "start": at, "stop": stop, "reason": fault}
+            else:
+                told, until = told | set(map(name, found)) if at < until else set(map(name, found)), max(until, stop)
+        if damage is None and found:
             at = stop
             continue
         if lost is None:
-            lost, why = at, got if isinstance(got, str) else "empty member"
+            lost, why = at, reason
+        if damage is None:
+            at = stop
+            continue
         nexts = [x for x in (data.find(b"\x1f\x8b\x08", at + 1), data.find(b"WARC/1.", at + 1)) if x > at]
         at = min(nexts, default=len(data))
     if lost is not None:
@@ -226,7 +350,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records (``kind = 'record'``) and quarantined byte ranges (``kind = 'gap'``) of all archives below ``path``.
 
     Files are read by Spark, one row each; every record of a file is checked (gzip CRC, lengths, record end, block and
-    payload digest) and what fails becomes a gap with ``start``, ``stop`` and ``reason``.
+    payload digest) and what fails becomes a gap with ``start``, ``stop`` and ``reason``, see :func:`salvage`.
     """
     names = [x.split()[0] for x in SCHEMA.replace("\n", " ").split(",")]
 

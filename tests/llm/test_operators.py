@@ -252,6 +252,69 @@ def test_salvage_goes_on_after_damage(compress):
     assert gaps == [(0, 4), (two, two + len(broken)), (two + len(broken) + len(parts[3]) + 2, len(data))]
 
 
+def squeezed(data):
+    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
+def plain_record(name, kind, block, *lines):
+    head = ["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: <{name}>", *lines, f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("bad", [0, 2, 4])
+def test_salvage_keeps_the_other_records_of_a_member(bad):
+    parts = [warc.record_bytes(f"urn:page:{i}", "response", "u", None, b"payload %d" % i * 50, "1970-01-01T00:00:00Z") for i in range(5)]
+    good, other = squeezed(parts[0]), parts[bad].replace(b"payload", b"pAyload", 1)
+    member = squeezed(b"".join(parts[:bad] + [other] + parts[bad + 1 :]))
+    out = list(warc.salvage(member + good))
+    kept = [r["record_id"] for r in out if r["kind"] == "record"]
+    assert kept == [f"urn:page:{i}" for i in range(5) if i != bad] + ["urn:page:0"]
+    assert [(r["start"], r["stop"], r["reason"]) for r in out if r["kind"] == "gap"] == [(0, len(member), "block digest")]
+
+
+@pytest.mark.parametrize("level", [6, 0])
+@pytest.mark.parametrize("share", [0.02, 0.5, 0.98, "cut", "crc"])
+def test_salvage_reads_a_damaged_member_as_far_as_it_inflates(share, level):
+    rng = random.Random(9)
+    parts = [warc.record_bytes(f"urn:page:{i}", "response", "u", None, rng.randbytes(9000), "1970-01-01T00:00:00Z") for i in range(20)]
+    z = zlib.compressobj(level, zlib.DEFLATED, 31)
+    member = bytearray(z.compress(b"".join(parts)) + z.flush())
+    if share == "cut":
+        del member[len(member) // 2 :]
+    else:
+        member[-6 if share == "crc" else int(len(member) * share)] ^= 255
+    tail = squeezed(parts[0].replace(b"urn:page:0", b"urn:page:x"))
+    out = list(warc.salvage(bytes(member) + tail))
+    kept = [r["record_id"] for r in out if r["kind"] == "record"]
+    assert kept[-1] == "urn:page:x" and len(kept) == len(set(kept))
+    least = {0.02: 0, 0.5: 9, 0.98: 19, "cut": 9, "crc": 20}[share]
+    assert kept[:least] == [f"urn:page:{i}" for i in range(least)]
+    assert [(r["start"], r["stop"]) for r in out if r["kind"] == "gap"][0][0] == 0
+
+
+def test_records_without_a_digest_in_a_damaged_member_say_so():
+    member = squeezed(plain_record("a", "resource", b"one") + plain_record("b", "resource", b"two"))
+    assert [r.get("reason") for r in warc.salvage(member)] == [None, None]
+    out = list(warc.salvage(member[:-4]))
+    assert [(r["kind"], r.get("record_id"), r["reason"]) for r in out] == [("record", "a", "cut short"), ("record", "b", "cut short"), ("gap", None, "cut short")]
+
+
+def test_payloads_of_all_record_types_and_digests():
+    block = b"name: x\r\n\r\nbody"
+    sha256, sha1 = hashlib.sha256(block).hexdigest(), hashlib.sha1(block).hexdigest()
+    for kind in ("conversion", "metadata", "resource", "warcinfo"):
+        for said in (f"sha256:{sha256}", f"SHA-256:{sha256.upper()}", "blake9:abc", f"sha1:{sha1}", f"sha1:{warc.base32_sha1(block)}"):
+            record, _ = warc.parse_record(plain_record("a", kind, block, "Content-Type: text/plain", f"WARC-Payload-Digest: {said}", f"WARC-Block-Digest: {said}"))
+            assert (record["payload"], record["payload_bytes"]) == (block, len(block))
+            assert record["payload_digest"] == (warc.base32_sha1(block) if said.startswith("sha1") else said)
+    http = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    assert warc.parse_record(plain_record("a", "response", http, "Content-Type: Application/HTTP;msgtype=response"))[0]["payload"] == b"body"
+    for said in (f"sha256:{sha256[1:]}0", f"md5:{sha256}", f"sha1:{sha1[1:]}0"):
+        assert warc.parse_record(plain_record("a", "resource", block, f"WARC-Payload-Digest: {said}")) == "payload digest"
+        assert warc.parse_record(plain_record("a", "resource", block, f"WARC-Block-Digest: {said}")) == "block digest"
+
+
 def test_edits_follow_a_full_count(monkeypatch):
     import public_tokenizers as P
 
