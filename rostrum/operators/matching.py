@@ -22,9 +22,7 @@ from rostrum.session import materialize
 
 NAME_DISTANCE = 3
 PARTIAL_SIMILARITY = 0.5
-PARTIAL_CHARS = 200
 DUPLICATE_SIMILARITY = 0.85
-DUPLICATE_CHARS = 500
 
 
 def edit_distance(a: Column, b: Column, limit: int | None = None) -> Column:
@@ -49,14 +47,19 @@ def _sequence_ratio(a: Column, b: Column) -> Column:
     def ratio_of(x: pd.Series, y: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, s, t).ratio() if s and t else 0.0 for s, t in zip(x, y, strict=True)])
+        # difflib's skipping of frequent characters leaves nothing to match on in longer texts
+        return pd.Series([SequenceMatcher(None, s, t, autojunk=len(t) <= 500).ratio() if s and t else 0.0 for s, t in zip(x, y, strict=True)])
 
     return ratio_of(a, b)
 
 
-def text_similarity(a: Column, b: Column, chars: int = PARTIAL_CHARS) -> Column:
-    """Ratio of matching blocks of the first ``chars`` lower-case characters (0 for empty texts)."""
-    return _sequence_ratio(F.lower(F.substring(a, 1, chars)), F.lower(F.substring(b, 1, chars)))
+def _head(text: Column, chars: int | None) -> Column:
+    return text if chars is None else F.substring(text, 1, chars)
+
+
+def text_similarity(a: Column, b: Column, chars: int | None = None) -> Column:
+    """Ratio of matching blocks of the lower-case texts, or of their first ``chars`` characters (0 for empty texts)."""
+    return _sequence_ratio(F.lower(_head(a, chars)), F.lower(_head(b, chars)))
 
 
 def _letter_counts(text: Column) -> Column:
@@ -249,16 +252,17 @@ def match_exact(truth: DataFrame, pred: DataFrame, block: str = "protocol_id") -
 
 
 def match_partial(
-    truth: DataFrame, pred: DataFrame, block: str = "protocol_id", threshold: float = PARTIAL_SIMILARITY, chars: int = PARTIAL_CHARS
+    truth: DataFrame, pred: DataFrame, block: str = "protocol_id", threshold: float = PARTIAL_SIMILARITY, chars: int | None = None
 ) -> DataFrame:
     """1:1 pairs of the remaining rows by text similarity above ``threshold``, best prediction first.
 
     Rows meet within their transcript only. Before the sequence comparison two
     upper bounds cut the candidates inside the join: text lengths and shared
-    characters. The result says whether the names agree.
+    characters. The result says whether the names agree. Whole texts are compared;
+    where ``text_preview`` is only the head of a text, ``chars`` gives its length.
     """
     def prepared(df: DataFrame, text: str, side: str) -> DataFrame:
-        head = F.lower(F.substring(F.col(text), 1, chars))
+        head = F.lower(_head(F.col(text), chars))
         return df.select(
             block, F.col("idx").cast("long").alias(f"{side}_idx"), F.col("speaker").alias(f"{side}_speaker"), head.alias(f"{side}_head")
         ).filter(F.col(f"{side}_head") != "").withColumn(f"{side}_letters", _letter_counts(F.col(f"{side}_head")))
@@ -282,10 +286,10 @@ def match_partial(
     )
 
 
-def match_all(truth: DataFrame, pred: DataFrame, block: str = "protocol_id") -> DataFrame:
+def match_all(truth: DataFrame, pred: DataFrame, block: str = "protocol_id", chars: int | None = None) -> DataFrame:
     """Labelled matches ``(block, truth_idx, pred_idx, match_type, similarity, same_speaker)``.
 
-    ``match_type`` is exact, partial, truth_only or pred_only.
+    ``match_type`` is exact, partial, truth_only or pred_only; ``chars`` as in :func:`match_partial`.
     """
     t = truth.withColumn("idx", F.col("idx").cast("long"))
     p = pred.withColumn("idx", F.col("idx").cast("long"))
@@ -295,7 +299,7 @@ def match_all(truth: DataFrame, pred: DataFrame, block: str = "protocol_id") ->
         return df.join(found.select(block, F.col(idx).alias("idx")), [block, "idx"], "left_anti")
 
     t1, p1 = rest(t, exact, "truth_idx"), rest(p, exact, "pred_idx")
-    partial = materialize(match_partial(t1, p1, block))
+    partial = materialize(match_partial(t1, p1, block, chars=chars))
     t2, p2 = rest(t1, partial, "truth_idx"), rest(p1, partial, "pred_idx")
     nul_d, nul_b, nul_l = F.lit(None).cast("double"), F.lit(None).cast("boolean"), F.lit(None).cast("long")
     return (
@@ -348,19 +352,19 @@ def match_issues(matches: DataFrame, truth: DataFrame, pred: DataFrame, block: s
 
 def near_duplicates(
     df: DataFrame, block: str = "protocol_id", id_col: str = "speech_id", speaker: str = "speaker", text: str = "text",
-    threshold: float = DUPLICATE_SIMILARITY, chars: int = DUPLICATE_CHARS,
+    threshold: float = DUPLICATE_SIMILARITY, chars: int | None = None,
 ) -> DataFrame:
-    """Pairs of different text heads of matching speakers in a block with similarity above ``threshold``.
+    """Pairs of different texts of matching speakers in a block with similarity above ``threshold``.
 
-    Copies with the same speaker and the same first ``chars`` characters form
-    one class, represented by its smallest id; ``n_left`` and ``n_right`` are
+    Whole texts are compared, or their first ``chars`` characters if that is given.
+    Copies with the same speaker and the same text form one class, represented by its smallest id; ``n_left`` and ``n_right`` are
     the class sizes, so a class of a million copies is one row (``pairs`` counts
     the row pairs it stands for). A class with several copies is also listed
     against itself with similarity 1. Classes meet on matching names, in the
     same or neighbouring length band, and after the character bound.
     """
     keyed = df.select(
-        block, F.col(id_col).alias("_id"), match_name_key(F.col(speaker)).alias("_name"), F.substring(F.col(text), 1, chars).alias("_head")
+        block, F.col(id_col).alias("_id"), match_name_key(F.col(speaker)).alias("_name"), _head(F.col(text), chars).alias("_head")
     )
     # read four times below, so the classes are kept once
     classes = materialize(keyed.groupBy(block, "_name", "_head").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_n")))

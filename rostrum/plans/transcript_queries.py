@@ -485,7 +485,7 @@ def truth_and_pred(spark, sf) -> tuple[DataFrame, DataFrame]:
     """The parsed speeches, and a truth with every fifth dropped, every seventh name misspelt and some under another name."""
     sp = materialize(
         v.speeches(spark, sf).select(
-            "protocol_id", F.col("speech_id").alias("idx"), "speaker", "party", "role", "is_government", F.substring("text", 1, 200).alias("text")
+            "protocol_id", F.col("speech_id").alias("idx"), "speaker", "party", "role", "is_government", "text"
         )
     )
     i = F.col("idx")
@@ -494,7 +494,7 @@ def truth_and_pred(spark, sf) -> tuple[DataFrame, DataFrame]:
     )
     truth = sp.filter(i % 5 != 4).select(
         "protocol_id", "idx", misspelt.alias("speaker"), F.when(~F.col("is_government"), F.col("party")).alias("party"), "role",
-        F.substring("text", 1, 150).alias("text_preview"),
+        F.col("text").alias("text_preview"),
     )
     return truth, sp.select("protocol_id", "idx", "speaker", "party", "text")
 

@@ -142,6 +142,24 @@ def test_near_duplicates_against_all_pairs(spark):
     assert {(r.protocol_id, r.left_id, r.right_id) for r in got if r.left_id != r.right_id} <= want
 
 
+def test_whole_texts_are_compared(spark):
+    """Texts that agree in the head only are no match; texts that differ in the head only are one."""
+    rng = random.Random(4)
+    prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    head, tail = prose(120), prose(700)
+    texts = [head + " " + prose(400), head + " " + prose(400), prose(90) + " " + tail, prose(90) + " " + tail]
+    rows = [(1, i, "Anna Schmidt", t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "protocol_id int, speech_id int, speaker string, text string")
+    assert len(head) > 500
+    assert [(r.left_id, r.right_id, r.n_left) for r in ma.near_duplicates(df).collect()] == [(2, 3, 1)]
+    assert [(r.left_id, r.right_id, r.n_left) for r in ma.near_duplicates(df, chars=500).collect()] == [(0, 0, 2)]
+    cols = "protocol_id int, idx int, speaker string, party string, role string, {} string"
+    truth = spark.createDataFrame([(1, i, "Zora Xylander", "FDP", None, texts[i]) for i in (0, 2)], cols.format("text_preview"))
+    pred = spark.createDataFrame([(1, i, "Bernd Maier", "SPD", None, texts[i]) for i in (1, 3)], cols.format("text"))
+    got = {(r.truth_idx, r.pred_idx, r.match_type) for r in ma.match_all(truth, pred).collect()}
+    assert (2, 3, "partial") in got and (0, 1, "partial") not in got
+
+
 def test_a_large_group_of_copies_is_one_row(spark):
     df = spark.range(2000).select(F.lit(1).alias("protocol_id"), F.col("id").alias("speech_id"), F.lit("Anna Schmidt").alias("speaker"), F.lit("Derselbe Text.").alias("text"))
     got = ma.near_duplicates(df).collect()
