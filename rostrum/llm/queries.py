@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rostrum.llm import chat, edits, exact, langid, mixing, nearminhash, packing, repeats, vectors, warc
+from rostrum.llm import chat, chunkids, divergence, edits, exact, langid, mixing, nearminhash, packing, repeats, variants, vectors, warc
 from rostrum.llm.common import scratch, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,3 +231,74 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs)
     return langid.identify(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query("op11_bpe_chunks")
+def op11_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the token ids of every document and of the text that they decode to."""
+    path = word_tokenizer()
+    rows = chunkids.encode(table(spark, sf_dir, "documents"), path)
+    decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2(chunkids.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+
+
+def dropped_letter(name: Column, word: Column) -> Column:
+    """``word``, without one code point where 199 divides the checksum of ``name:word``."""
+    h = F.crc32(F.concat(name, F.lit(":"), word))
+    at = (h % F.length(word)).cast("int")
+    return F.when(h % 199 == 0, F.concat(F.substring(word, F.lit(1), at), F.substring(word, at + 2, F.length(word)))).otherwise(word)
+
+
+@query(
+    "op12_spelling_variants",
+    r"""
+    WITH RECURSIVE runs AS (
+        SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+    w AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS c FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+    x AS (SELECT w, c, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w)) AS hx FROM w),
+    h AS (SELECT w, c, xor(list_reduce(
+            list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(0, length(hx)), lambda k: CAST(instr('0123456789ABCDEF', hx[CASE WHEN k % 2 = 0 THEN k + 2 ELSE k END]) - 1 AS BIGINT))),
+            lambda a, b: xor(a >> 4, ([0, 498536548, 997073096, 651767980, 1994146192, 1802195444, 1303535960, 1342533948,
+                3988292384, 4027552580, 3604390888, 3412177804, 2607071920, 2262029012, 2685067896, 3183342108]::BIGINT[])[(xor(a, b) & 15) + 1])),
+            CAST(4294967295 AS BIGINT)) AS h FROM x),
+    r AS (SELECT CASE WHEN h % 199 = 0 THEN w[1:h % length(w)] || w[h % length(w) + 2:] ELSE w END AS word, c FROM h),
+    v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM r WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+    d AS (SELECT word, n, length(word) AS len, i, word[1:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+    p AS (SELECT DISTINCT a.word AS a, b.word AS b, b.n AS n FROM d a JOIN d b ON a.len = b.len AND a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+        UNION SELECT d.word, v.word, v.n FROM d JOIN v ON d.rest = v.word
+        UNION SELECT v.word, d.word, d.n FROM d JOIN v ON d.rest = v.word),
+    b AS (SELECT a AS word, count(*) AS n_near, max(n) AS most, first(b ORDER BY n DESC, b) AS near FROM p GROUP BY a),
+    f AS (SELECT v.word, v.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN most >= 5 * v.n THEN near END AS form, CASE WHEN most >= 5 * v.n THEN most END AS form_n
+        FROM v LEFT JOIN b ON v.word = b.word),
+    chain AS (SELECT word, word AS at FROM f UNION SELECT chain.word, f.form FROM chain JOIN f ON chain.at = f.word WHERE f.form IS NOT NULL)
+    SELECT f.word, f.form, chain.at AS root, f.n, f.n_near, f.form_n
+    FROM f JOIN chain ON f.word = chain.word JOIN f e ON chain.at = e.word AND e.form IS NULL""",
+)
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents, some with a letter dropped, and the forms that they may stand for."""
+    words = variants.word_counts(table(spark, sf_dir, "documents"), least_length=6, least_count=5, respell=dropped_letter)
+    return variants.variant_groups(words, ratio=5, least_length=6)
+
+
+@query(
+    "op13_source_divergence",
+    r"""
+    WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+    t AS (SELECT id, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+    k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+    c AS (SELECT t.lang, t.source, t.term, CAST(count(*) AS HUGEINT) AS n FROM t JOIN k ON t.lang = k.lang AND t.term = k.term GROUP BY ALL),
+    l AS (SELECT lang, CAST(sum(n) AS HUGEINT) AS total, CAST(count(*) AS HUGEINT) AS v FROM k GROUP BY lang),
+    g AS (SELECT d.lang, d.source, coalesce(max(s.total), 0) AS total FROM d LEFT JOIN (SELECT lang, source, CAST(sum(n) AS HUGEINT) AS total FROM c GROUP BY ALL) s
+        ON d.lang = s.lang AND d.source = s.source GROUP BY d.lang, d.source),
+    p AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, 1 + (1000000000 * (coalesce(c.n, 0) + 5)) // (g.total + 5 * l.v) AS p, 1 + (1000000000 * (k.n + 5)) // (l.total + 5 * l.v) AS q
+        FROM g JOIN k ON g.lang = k.lang JOIN l ON g.lang = l.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+    s AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+    u AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+        FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+        UNION ALL SELECT lang, source, 'term', term, CAST(p - q AS BIGINT) FROM p WHERE n > 0 AND p > q),
+    o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM u)
+    SELECT lang, source, part, item, value, rank FROM o WHERE part = 'pair' OR rank <= 50""",
+)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the sources of each language differ in the terms that at least 30 documents of the language have."""
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, most_terms=50)
