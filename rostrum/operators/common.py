@@ -14,6 +14,8 @@ from rostrum.session import materialize
 
 # Cells over which the rows of a busy group are dealt before they meet in one place.
 SALTS = 16
+# Rows of one key on the left of a dealt join that stay in one cell.
+CELL_ROWS = 512
 
 
 def lookup_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
@@ -59,6 +61,22 @@ def join_groups(df: DataFrame, groups: DataFrame, on: Sequence[str]) -> DataFram
     return df.withColumn("_salt", salt).join(cells, [*on, "_salt"]).drop("_salt")
 
 
+def dealt_join(left: DataFrame, right: DataFrame, on: Sequence[str], rows: int | None = None) -> DataFrame:
+    """Inner equi join for keys of very uneven size.
+
+    Keys with more than ``rows`` left rows are dealt over cells of about that size, and the right rows of such a key are
+    repeated for each of its cells, so the work of a hot key is spread however large it is.
+    """
+    rows = rows or CELL_ROWS
+    many = left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")).filter(F.col("_rows") > rows)
+    many = materialize(many.select(*on, F.ceil(F.col("_rows") / rows).alias("_cells")))
+    cells = F.coalesce(F.col("_cells"), F.lit(1))
+    others = [F.col(f"`{c}`") for c in left.columns if c not in on] or [F.lit(0)]
+    dealt = left.join(many, list(on), "left").withColumn("_cell", F.pmod(F.xxhash64(*others), cells)).drop("_cells")
+    spread = right.join(many, list(on), "left").withColumn("_cell", F.explode(F.sequence(F.lit(0).cast("long"), cells - 1))).drop("_cells")
+    return dealt.join(spread, [*on, "_cell"]).drop("_cell")
+
+
 def count_if(cond: Column) -> Column:
     """Number of rows that satisfy ``cond`` as a long (0 when there are none)."""
     return F.coalesce(F.sum(F.when(cond, F.lit(1)).otherwise(F.lit(0))), F.lit(0)).cast("long")

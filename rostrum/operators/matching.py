@@ -3,26 +3,28 @@
 Comparisons never run over all pairs. Names are compared as distinct keys and
 candidates come from equi joins: two names within edit distance k share at
 least one of k+1 segments near the same position, so that join finds every
-match. Only names that match are joined back to rows.
+match. Only names that match are joined back to rows. Texts meet in a
+set-similarity join, and 1:1 pairs are found in rounds over rows.
 """
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.functions.groups import party_compare_key
 from rostrum.functions.text import match_name_key
 from rostrum.operators.common import count_if, distributed_rank, ratio
+from rostrum.operators.similar import jaccard, similar_sets, with_shingles
 from rostrum.session import materialize
 
 NAME_DISTANCE = 3
 PARTIAL_SIMILARITY = 0.5
-DUPLICATE_SIMILARITY = 0.85
+PARTIAL_WORDS = 2
+DUPLICATE_SIMILARITY = 0.8
+DUPLICATE_WORDS = 5
 
 
 def edit_distance(a: Column, b: Column, limit: int | None = None) -> Column:
@@ -36,46 +38,18 @@ def _last_token(key: Column) -> Column:
 
 def names_match(a: Column, b: Column, threshold: int = NAME_DISTANCE) -> Column:
     """Equal keys, keys within ``threshold`` edits, or the same last token."""
-    ka, kb = match_name_key(a), match_name_key(b)
-    near = F.levenshtein(ka, kb, threshold) >= 0
-    return (ka == kb) | near | ((ka != "") & (kb != "") & (_last_token(ka) == _last_token(kb)))
-
-
-def _sequence_ratio(a: Column, b: Column) -> Column:
-    # defined inside, so that workers need not have this package installed
-    @F.pandas_udf("double")
-    def ratio_of(x: pd.Series, y: pd.Series) -> pd.Series:
-        from difflib import SequenceMatcher
-
-        # difflib's skipping of frequent characters leaves nothing to match on in longer texts
-        return pd.Series([SequenceMatcher(None, s, t, autojunk=len(t) <= 500).ratio() if s and t else 0.0 for s, t in zip(x, y, strict=True)])
-
-    return ratio_of(a, b)
-
-
-def _head(text: Column, chars: int | None) -> Column:
-    return text if chars is None else F.substring(text, 1, chars)
+    return keys_match(match_name_key(a), match_name_key(b), threshold)
 
 
-def text_similarity(a: Column, b: Column, chars: int | None = None) -> Column:
-    """Ratio of matching blocks of the lower-case texts, or of their first ``chars`` characters (0 for empty texts)."""
-    return _sequence_ratio(F.lower(_head(a, chars)), F.lower(_head(b, chars)))
-
-
-def _letter_counts(text: Column) -> Column:
-    """Sorted array of (character, count) of a text."""
-    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
-    kinds = F.array_distinct(chars)
-    return F.map_from_entries(
-        F.transform(kinds, lambda k: F.struct(k.alias("k"), (F.length(text) - F.length(F.replace(text, k, F.lit("")))).alias("n")))
-    )
+def keys_match(ka: Column, kb: Column, threshold: int = NAME_DISTANCE) -> Column:
+    """The same for name keys."""
+    near = F.levenshtein(ka, kb, threshold) >= 0
+    return (ka == kb) | near | ((ka != "") & (kb != "") & (_last_token(ka) == _last_token(kb)))
 
 
-def _shared_letters(a: Column, b: Column) -> Column:
-    """Characters two count maps have in common: an upper bound of the matched characters."""
-    return F.aggregate(
-        F.map_keys(a), F.lit(0), lambda acc, k: acc + F.least(a[k], F.coalesce(F.try_element_at(b, k), F.lit(0)))
-    )
+def text_similarity(a: Column, b: Column) -> Column:
+    """Shared part (Jaccard) of two arrays of shingles from :func:`rostrum.operators.similar.with_shingles`; 0 for empty ones."""
+    return jaccard(a, b)
 
 
 # ---------------------------------------------------------------- name candidates
@@ -148,140 +122,91 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.withColumn("_name", match_name_key(F.col("speaker"))).withColumn("_party", party_compare_key(F.col("party")))
 
 
-def _best_first(pairs: DataFrame, block: str) -> DataFrame:
-    """Left rows in order each take their best free right row.
-
-    ``pairs(block, l_idx, r_idx, pref)`` holds the few admissible pairs of a
-    transcript; lower ``pref`` is better.
-    """
+def assign_in_order(left: DataFrame, right: DataFrame, options: DataFrame, block: str) -> DataFrame:
+    """1:1 pairs ``(block, l_idx, r_idx)``: left rows in order of ``l_idx`` each take their best free right row.
 
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[int] = set()
-        done: set[int] = set()
-        out = []
-        for row in pdf.sort_values(["l_idx", "pref", "r_idx"]).itertuples(index=False):
-            if row.l_idx not in done and row.r_idx not in taken:
-                done.add(row.l_idx)
-                taken.add(row.r_idx)
-                out.append((row.block, row.l_idx, row.r_idx))
-        return pd.DataFrame(out, columns=["block", "l_idx", "r_idx"])
+    ``left(block, l_idx, l_class)`` and ``right(block, r_idx, r_class)`` name the class of each row;
+    ``options(block, l_class, r_class, pref)`` says which classes may be paired. The smallest ``pref`` is best, then
+    the smallest ``r_idx``. Indexes are unique within a block.
 
-    source = pairs.withColumnRenamed(block, "block")
-    kind = dict(source.dtypes)["block"]
-    picked = source.groupBy("block").applyInPandas(assign, f"block {kind}, l_idx long, r_idx long")
-    return picked.withColumnRenamed("block", block)
-
-
-def _first_free(rows: DataFrame, block: str) -> DataFrame:
-    """Left rows in order each take the first free right row of any class open to them.
-
-    ``rows(block, side, idx, classes)``: left rows (side 0) list the classes they
-    may take, right rows (side 1) name their own class. Rows are sent once, not as pairs.
+    The order of service is resolved in rounds over rows on reliable storage. Left classes with the same options are
+    one class first. In a round the k-th waiting row of a class aims at the k-th free row of its list, which is the best it can
+    still get. It gets it unless the first waiting row of another class comes before it and aims there or at something
+    it likes better; then it and the rest of its class wait. Rows whose list is exhausted stay alone. One round
+    settles all classes that share nothing; each further round settles at least the first waiting row of every knot.
     """
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("idx")
-        free: dict[str, deque[int]] = {}
-        for row in pdf[pdf["side"] == 1].itertuples(index=False):
-            free.setdefault(row.classes[0], deque()).append(row.idx)
-        out = []
-        for row in pdf[pdf["side"] == 0].itertuples(index=False):
-            open_ = [c for c in row.classes if free.get(c)]
-            if open_:
-                best = min(open_, key=lambda c: free[c][0])
-                out.append((row.block, row.idx, free[best].popleft()))
-        return pd.DataFrame(out, columns=["block", "l_idx", "r_idx"])
-
-    source = rows.withColumnRenamed(block, "block")
-    kind = dict(source.dtypes)["block"]
-    picked = source.groupBy("block").applyInPandas(assign, f"block {kind}, l_idx long, r_idx long")
-    return picked.withColumnRenamed("block", block)
+    choice = F.sort_array(F.collect_list(F.struct("pref", "r_class")))
+    lists = options.groupBy(block, "l_class").agg(F.md5(F.to_json(choice)).alias("_list"))
+    merged = materialize(options.join(lists.groupBy(block, "_list").agg(F.min("l_class").alias("l_class")), [block, "l_class"]).select(block, "_list", "r_class", "pref"))
+    waiting = materialize(left.join(lists, [block, "l_class"]).select(block, "_list", "l_idx"))
+    free = right.select(block, "r_class", "r_idx")
+    done = []
+    while not waiting.isEmpty():
+        aims = distributed_rank(waiting, [block, "_list"], [F.asc("l_idx")], "_k")
+        goods = distributed_rank(free.join(merged, [block, "r_class"]), [block, "_list"], [F.asc("pref"), F.asc("r_idx")], "_k")
+        aimed = materialize(aims.join(goods, [block, "_list", "_k"]))
+        heads = aimed.filter("_k = 1").select(block, F.col("_list").alias("_other"), F.col("l_idx").alias("_head"), F.struct("pref", "r_idx").alias("_head_aim"))
+        rivals = merged.select(block, "r_class", F.col("_list").alias("_other"), F.col("pref").alias("_their_pref"))
+        ahead = (F.col("_other") != F.col("_list")) & (F.col("_head") < F.col("l_idx")) & (F.col("_head_aim") <= F.struct(F.col("_their_pref").alias("pref"), "r_idx"))
+        stopped = aimed.join(rivals, [block, "r_class"]).join(heads, [block, "_other"]).filter(ahead).groupBy(block, "_list").agg(F.min("l_idx").alias("_stop"))
+        told = materialize(aimed.join(stopped, [block, "_list"], "left").select(block, "l_idx", "r_idx", (F.col("_stop").isNull() | (F.col("l_idx") < F.col("_stop"))).alias("_gets")))
+        got = told.filter("_gets").select(block, "l_idx", "r_idx")
+        done.append(got)
+        waiting = materialize(waiting.join(told.filter("NOT _gets").select(block, "l_idx"), [block, "l_idx"], "left_semi"))
+        free = materialize(free.join(got.select(block, "r_idx"), [block, "r_idx"], "left_anti"))
+    if not done:
+        return waiting.select(block, "l_idx", F.col("l_idx").alias("r_idx"))
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def match_exact(truth: DataFrame, pred: DataFrame, block: str = "protocol_id") -> DataFrame:
     """1:1 pairs ``(block, truth_idx, pred_idx)`` by matching name and equal party (or an official without party).
 
-    Truth rows are served in order and take the first free prediction. Rows are
-    grouped into classes of equal (name, party, role); where a truth class and a
-    prediction class only match each other, the k-th takes the k-th by rank.
-    Only classes with several counterparts need the step-by-step assignment.
+    Truth rows are served in order and take the first free prediction. Rows of equal (name, party, role) form classes,
+    so names are compared as classes and rows are paired by rank (:func:`assign_in_order`).
     """
     t, p = _keyed(truth), _keyed(pred)
     official = F.coalesce(F.col("role"), F.lit("")) != ""
     t = t.withColumn("_free", official & (F.col("_party") == ""))
-    names = matching_names(
-        t.select(block, F.col("_name").alias("key")), p.select(block, F.col("_name").alias("key")), block
-    )
-    tc = t.groupBy(block, F.col("_name").alias("left_key"), F.col("_party").alias("_tp"), "_free").agg(F.count(F.lit(1)).alias("_tn"))
-    pc = p.groupBy(block, F.col("_name").alias("right_key"), F.col("_party").alias("_pp")).agg(F.count(F.lit(1)).alias("_pn"))
-    # one row per pair of matching classes; read by all steps below
-    classes = materialize(
-        tc.join(names, [block, "left_key"]).join(pc, [block, "right_key"]).filter((F.col("_tp") == F.col("_pp")) | F.col("_free"))
-    )
-    left_deg = classes.groupBy(block, "left_key", "_tp", "_free").agg(F.count(F.lit(1)).alias("_ld"))
-    right_deg = classes.groupBy(block, "right_key", "_pp").agg(F.count(F.lit(1)).alias("_rd"))
-    classes = classes.join(left_deg, [block, "left_key", "_tp", "_free"]).join(right_deg, [block, "right_key", "_pp"])
-    clean = (F.col("_ld") == 1) & (F.col("_rd") == 1)
-
-    t_rows = t.select(block, F.col("idx").cast("long").alias("l_idx"), F.col("_name").alias("left_key"), F.col("_party").alias("_tp"), "_free")
-    p_rows = p.select(block, F.col("idx").cast("long").alias("r_idx"), F.col("_name").alias("right_key"), F.col("_party").alias("_pp"))
-
-    simple = classes.filter(clean).select(block, "left_key", "_tp", "_free", "right_key", "_pp")
-    t_ranked = distributed_rank(t_rows.join(simple, [block, "left_key", "_tp", "_free"], "left_semi"), [block, "left_key", "_tp", "_free"], [F.asc("l_idx")], "_k")
-    p_ranked = distributed_rank(p_rows.join(simple, [block, "right_key", "_pp"], "left_semi"), [block, "right_key", "_pp"], [F.asc("r_idx")], "_k")
-    direct = t_ranked.join(simple, [block, "left_key", "_tp", "_free"]).join(p_ranked, [block, "right_key", "_pp", "_k"]).select(
-        block, "l_idx", "r_idx"
-    )
-
-    class_id = F.concat_ws("\u0001", "right_key", "_pp")
-    tangled = classes.filter(~clean)
-    options = tangled.groupBy(block, "left_key", "_tp", "_free").agg(F.collect_set(class_id).alias("classes"))
-    right_classes = tangled.select(block, "right_key", "_pp").distinct()
-    rows = (
-        t_rows.join(options, [block, "left_key", "_tp", "_free"])
-        .select(block, F.lit(0).alias("side"), F.col("l_idx").alias("idx"), "classes")
-        .unionByName(
-            p_rows.join(right_classes, [block, "right_key", "_pp"], "left_semi").select(
-                block, F.lit(1).alias("side"), F.col("r_idx").alias("idx"), F.array(class_id).alias("classes")
-            )
-        )
-    )
-    return direct.unionByName(_first_free(rows, block)).select(
-        block, F.col("l_idx").alias("truth_idx"), F.col("r_idx").alias("pred_idx")
-    )
+    names = matching_names(t.select(block, F.col("_name").alias("key")), p.select(block, F.col("_name").alias("key")), block)
+    l_class = F.concat_ws("\u0001", "_name", "_party", F.col("_free").cast("string"))
+    r_class = F.concat_ws("\u0001", "_name", "_party")
+    left = t.select(block, F.col("idx").cast("long").alias("l_idx"), l_class.alias("l_class"))
+    right = p.select(block, F.col("idx").cast("long").alias("r_idx"), r_class.alias("r_class"))
+    lc = t.select(block, F.col("_name").alias("left_key"), F.col("_party").alias("_tp"), "_free", l_class.alias("l_class")).distinct()
+    rc = p.select(block, F.col("_name").alias("right_key"), F.col("_party").alias("_pp"), r_class.alias("r_class")).distinct()
+    options = lc.join(names, [block, "left_key"]).join(rc, [block, "right_key"]).filter((F.col("_tp") == F.col("_pp")) | F.col("_free"))
+    options = materialize(options.select(block, "l_class", "r_class", F.lit(0.0).alias("pref")))
+    return assign_in_order(left, right, options, block).select(block, F.col("l_idx").alias("truth_idx"), F.col("r_idx").alias("pred_idx"))
 
 
 def match_partial(
-    truth: DataFrame, pred: DataFrame, block: str = "protocol_id", threshold: float = PARTIAL_SIMILARITY, chars: int | None = None
+    truth: DataFrame, pred: DataFrame, block: str = "protocol_id", threshold: float = PARTIAL_SIMILARITY, chars: int | None = None, words: int = PARTIAL_WORDS
 ) -> DataFrame:
     """1:1 pairs of the remaining rows by text similarity above ``threshold``, best prediction first.
 
-    Rows meet within their transcript only. Before the sequence comparison two
-    upper bounds cut the candidates inside the join: text lengths and shared
-    characters. The result says whether the names agree. Whole texts are compared;
-    where ``text_preview`` is only the head of a text, ``chars`` gives its length.
+    The similarity is the Jaccard share of runs of ``words`` words of the whole texts; where ``text_preview`` is only
+    the head of a text, ``chars`` gives its length. Texts with the same runs are one class, classes meet in a
+    set-similarity join within their transcript, and rows are paired by rank. The result says whether the names agree.
     """
-    def prepared(df: DataFrame, text: str, side: str) -> DataFrame:
-        head = F.lower(_head(F.col(text), chars))
-        return df.select(
-            block, F.col("idx").cast("long").alias(f"{side}_idx"), F.col("speaker").alias(f"{side}_speaker"), head.alias(f"{side}_head")
-        ).filter(F.col(f"{side}_head") != "").withColumn(f"{side}_letters", _letter_counts(F.col(f"{side}_head")))
-
-    l, r = prepared(truth, "text_preview", "l"), prepared(pred, "text", "r")
-    total = F.length("l_head") + F.length("r_head")
-    by_length = 2 * F.least(F.length("l_head"), F.length("r_head")) / total > threshold
-    by_letters = 2 * _shared_letters(F.col("l_letters"), F.col("r_letters")) / total > threshold
-    scored = (
-        l.join(r, block)
-        .filter(by_length)
-        .filter(by_letters)
-        .withColumn("similarity", _sequence_ratio(F.col("l_head"), F.col("r_head")))
-        .filter(F.col("similarity") > threshold)
-    )
-    pairs = scored.select(block, "l_idx", "r_idx", (-F.col("similarity")).alias("pref"))
-    chosen = _best_first(pairs, block)
-    return chosen.join(scored.select(block, "l_idx", "r_idx", "l_speaker", "r_speaker", "similarity"), [block, "l_idx", "r_idx"]).select(
-        block, F.col("l_idx").alias("truth_idx"), F.col("r_idx").alias("pred_idx"), "similarity",
+    def prepared(df: DataFrame, text: str) -> DataFrame:
+        head = F.col(text) if chars is None else F.substring(text, 1, chars)
+        rows = with_shingles(df.select(block, F.col("idx").cast("long").alias("idx"), "speaker", head.alias("_head")), F.col("_head"), words).drop("_head")
+        # two texts are one class if they have the same runs
+        return materialize(rows.withColumn("shingles", F.sort_array("shingles")).withColumn("id", F.md5(F.to_json("shingles"))))
+
+    l, r = prepared(truth, "text_preview"), prepared(pred, "text")
+    sets = [s.dropDuplicates([block, "id"]).select(block, "id", "shingles") for s in (l, r)]
+    scored = similar_sets(*sets, block, threshold, strict=True)
+    options = materialize(scored.select(block, F.col("left_id").alias("l_class"), F.col("right_id").alias("r_class"), (-F.col("similarity")).alias("pref")))
+    left = l.select(block, F.col("idx").alias("l_idx"), F.col("id").alias("l_class"), F.col("speaker").alias("l_speaker"))
+    right = r.select(block, F.col("idx").alias("r_idx"), F.col("id").alias("r_class"), F.col("speaker").alias("r_speaker"))
+    chosen = assign_in_order(left, right, options, block).join(left, [block, "l_idx"]).join(right, [block, "r_idx"]).join(options, [block, "l_class", "r_class"])
+    return chosen.select(
+        block, F.col("l_idx").alias("truth_idx"), F.col("r_idx").alias("pred_idx"), (-F.col("pref")).alias("similarity"),
         names_match(F.col("l_speaker"), F.col("r_speaker")).alias("same_speaker"),
     )
 
@@ -352,51 +277,28 @@ def match_issues(matches: DataFrame, truth: DataFrame, pred: DataFrame, block: s
 
 def near_duplicates(
     df: DataFrame, block: str = "protocol_id", id_col: str = "speech_id", speaker: str = "speaker", text: str = "text",
-    threshold: float = DUPLICATE_SIMILARITY, chars: int | None = None,
+    threshold: float = DUPLICATE_SIMILARITY, chars: int | None = None, words: int = DUPLICATE_WORDS,
 ) -> DataFrame:
-    """Pairs of different texts of matching speakers in a block with similarity above ``threshold``.
-
-    Whole texts are compared, or their first ``chars`` characters if that is given.
-    Copies with the same speaker and the same text form one class, represented by its smallest id; ``n_left`` and ``n_right`` are
-    the class sizes, so a class of a million copies is one row (``pairs`` counts
-    the row pairs it stands for). A class with several copies is also listed
-    against itself with similarity 1. Classes meet on matching names, in the
-    same or neighbouring length band, and after the character bound.
+    """Pairs of different texts of matching speakers in a block with a similarity of ``threshold`` or more.
+
+    The similarity is the Jaccard share of runs of ``words`` words of the whole texts, or of their first ``chars``
+    characters if that is given. Copies with the same speaker and the same text form one class, represented by its smallest id;
+    ``n_left`` and ``n_right`` are the class sizes, so a class of a million copies is one row (``pairs`` counts
+    the row pairs it stands for). A class with several copies is also listed against itself with similarity 1.
+    Classes meet in a set-similarity join, and names are compared on its pairs. Empty texts are left out.
     """
-    keyed = df.select(
-        block, F.col(id_col).alias("_id"), match_name_key(F.col(speaker)).alias("_name"), _head(F.col(text), chars).alias("_head")
-    )
-    # read four times below, so the classes are kept once
-    classes = materialize(keyed.groupBy(block, "_name", "_head").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_n")))
-    copies = classes.filter((F.col("_n") > 1) & (F.col("_head") != "")).select(
-        block, F.col("_id").alias("left_id"), F.col("_id").alias("right_id"), F.lit(1.0).alias("similarity"),
+    head = F.col(text) if chars is None else F.substring(text, 1, chars)
+    keyed = with_shingles(df.select(block, F.col(id_col).alias("_id"), match_name_key(F.col(speaker)).alias("_name"), head.alias("_head")).filter("_head <> ''"), F.col("_head"), words)
+    keyed = keyed.select(block, "_name", F.sha2("_head", 256).alias("_text"), "_id", "shingles")
+    classes = materialize(keyed.groupBy(block, "_name", "_text").agg(F.min("_id").alias("id"), F.count(F.lit(1)).alias("_n"), F.first("shingles").alias("shingles")))
+    copies = classes.filter(F.col("_n") > 1).select(
+        block, F.col("id").alias("left_id"), F.col("id").alias("right_id"), F.lit(1.0).alias("similarity"),
         F.col("_n").alias("n_left"), F.col("_n").alias("n_right"), (F.col("_n") * (F.col("_n") - 1) / 2).cast("long").alias("pairs"),
     )
-    names = classes.select(block, F.col("_name").alias("key"))
-    match = matching_names(names, names, block)
-    # lengths of similar texts differ by less than the factor threshold / (2 - threshold)
-    step = -F.log(F.lit(threshold / (2 - threshold)))
-    heads = classes.filter(F.col("_head") != "").withColumn("_letters", _letter_counts(F.col("_head"))).withColumn(
-        "_band", F.floor(F.log(F.length("_head")) / step)
-    )
-    def side(s: str) -> DataFrame:
-        return heads.select(
-            block, F.col("_name").alias(f"{s}_key"), F.col("_id").alias(f"{s}_id"), F.col("_n").alias(f"n_{s}"),
-            F.col("_head").alias(f"{s}_head"), F.col("_letters").alias(f"{s}_letters"), F.col("_band").alias(f"_{s}_band"),
-        )
-
-    left = side("left").withColumn("_band", F.explode(F.sequence(F.col("_left_band") - 1, F.col("_left_band") + 1))).join(match, [block, "left_key"])
-    right = side("right").withColumnRenamed("_right_band", "_band")
-    total = F.length("left_head") + F.length("right_head")
-    scored = (
-        left.join(right, [block, "right_key", "_band"])
-        .filter((F.col("left_id") < F.col("right_id")))
-        .filter(2 * F.least(F.length("left_head"), F.length("right_head")) / total > threshold)
-        .filter(2 * _shared_letters(F.col("left_letters"), F.col("right_letters")) / total > threshold)
-        .withColumn("similarity", _sequence_ratio(F.col("left_head"), F.col("right_head")))
-        .filter(F.col("similarity") > threshold)
-    )
-    different = scored.select(
+    found = similar_sets(classes.select(block, "id", "shingles"), None, block, threshold).select(block, "left_id", "right_id", "similarity")
+    side = lambda tag: classes.select(block, F.col("id").alias(f"{tag}_id"), F.col("_name").alias(f"{tag}_name"), F.col("_n").alias(f"n_{tag}"))
+    named = found.join(side("left"), [block, "left_id"]).join(side("right"), [block, "right_id"])
+    different = named.filter(keys_match(F.col("left_name"), F.col("right_name"))).select(
         block, "left_id", "right_id", "similarity", "n_left", "n_right", (F.col("n_left") * F.col("n_right")).alias("pairs")
     )
     return different.unionByName(copies)

@@ -13,6 +13,7 @@ from rostrum.operators import attributes as at
 from rostrum.operators import interjections as ij
 from rostrum.operators import matching as ma
 from rostrum.operators import rankings as rk
+from rostrum.operators import similar as si
 from rostrum.operators import transcript as tr
 from rostrum.operators.common import forward_asof, lookup_frame
 from rostrum.plans import views as v
@@ -522,10 +523,79 @@ def edit_distance(spark, sf):
     return a.join(b, "n_regionkey").filter("k1 < k2").select("a", "b", ma.edit_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
-@query("match_all")
+def _shingles(words: int) -> str:
+    """SQL of the distinct runs of ``words`` words of a list ``ws``."""
+    return f"list_distinct(list_transform(range(1, greatest(1, len(ws) - {words - 1}) + 1), lambda i: array_to_string(ws[i:i + {words - 1}], ' ')))"
+
+
+def _alike(a: str, b: str) -> str:
+    return f"(levenshtein({a}, {b}) <= 3 OR ({a} <> '' AND {b} <> '' AND string_split({a}, ' ')[-1] = string_split({b}, ' ')[-1]))"
+
+
+_WORDS = r"regexp_extract_all(lower(coalesce({}, '')), '[^\x20\x09-\x0D]+')"
+_PARTY = "CASE WHEN coalesce({0}, '') = '' THEN '' WHEN upper({0}) LIKE '%GRÜNE%' OR upper({0}) LIKE '%BÜNDNIS%' THEN 'GRÜNE' WHEN upper({0}) LIKE '%LINKE%' THEN 'LINKE' ELSE upper(trim({0})) END"
+
+
+def _served(name: str, pairs: str) -> str:
+    """SQL of the greedy assignment, one left row after another: ``name(protocol_id, l, r)`` from ``pairs(protocol_id, l, r, pref)``."""
+    return f""",
+{name}_c AS (SELECT protocol_id, l, list(r ORDER BY pref, r) AS rs, row_number() OVER (PARTITION BY protocol_id ORDER BY l) AS k FROM {pairs} GROUP BY protocol_id, l),
+{name}_g AS (SELECT DISTINCT protocol_id, CAST(0 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS l, CAST(NULL AS BIGINT) AS r, CAST([] AS BIGINT[]) AS used FROM {name}_c
+  UNION ALL SELECT protocol_id, k, l, r, list_append(used, r) FROM (SELECT g.protocol_id, c.k, c.l, list_filter(c.rs, lambda x: NOT list_contains(g.used, x))[1] AS r, g.used
+    FROM {name}_g g JOIN {name}_c c ON g.protocol_id = c.protocol_id AND c.k = g.k + 1)),
+{name} AS (SELECT protocol_id, l, r FROM {name}_g WHERE r IS NOT NULL)"""
+
+
+_SIDES = f""",
+tr AS (SELECT protocol_id, speech_id AS idx, CASE WHEN speech_id % 11 = 0 THEN 'Zora Unbekannt-Xylander' WHEN speech_id % 7 = 0 THEN replace(speaker, 'a', 'e') ELSE speaker END AS speaker,
+  CASE WHEN NOT is_government THEN party END AS party, role, text FROM speeches WHERE speech_id % 5 <> 4),
+tk AS (SELECT *, {_KEY.format('speaker')} AS name, {_PARTY.format('party')} AS pk, {_WORDS.format('text')} AS ws FROM tr),
+pk AS (SELECT protocol_id, speech_id AS idx, {_KEY.format('speaker')} AS name, {_PARTY.format('party')} AS pk, {_WORDS.format('text')} AS ws FROM speeches)"""
+_EXACT = f""",
+xp AS (SELECT t.protocol_id, t.idx AS l, p.idx AS r, 0 AS pref FROM tk t JOIN pk p ON t.protocol_id = p.protocol_id
+  WHERE {_alike('t.name', 'p.name')} AND (t.pk = p.pk OR (coalesce(t.role, '') <> '' AND t.pk = '')))""" + _served("xm", "xp")
+
+
+def _partial(taken: str) -> str:
+    """SQL of the pairs by text of the rows that ``taken(protocol_id, l, r)`` leaves."""
+    return f""",
+tl AS (SELECT protocol_id, idx, name, {_shingles(2)} AS sh FROM tk WHERE len(ws) > 0 AND NOT EXISTS (SELECT 1 FROM {taken} m WHERE m.protocol_id = tk.protocol_id AND m.l = tk.idx)),
+pl AS (SELECT protocol_id, idx, name, {_shingles(2)} AS sh FROM pk WHERE len(ws) > 0 AND NOT EXISTS (SELECT 1 FROM {taken} m WHERE m.protocol_id = pk.protocol_id AND m.r = pk.idx)),
+ov AS (SELECT t.protocol_id, t.idx AS l, p.idx AS r, count(*) AS o FROM (SELECT protocol_id, idx, unnest(sh) AS x FROM tl) t JOIN (SELECT protocol_id, idx, unnest(sh) AS x FROM pl) p
+  ON t.protocol_id = p.protocol_id AND t.x = p.x GROUP BY ALL),
+sp AS (SELECT ov.protocol_id, l, r, CAST(o AS DOUBLE) / (len(tl.sh) + len(pl.sh) - o) AS similarity, {_alike('tl.name', 'pl.name')} AS same_speaker FROM ov
+  JOIN tl ON tl.protocol_id = ov.protocol_id AND tl.idx = l JOIN pl ON pl.protocol_id = ov.protocol_id AND pl.idx = r),
+pp AS (SELECT *, -similarity AS pref FROM sp WHERE similarity > 0.5)""" + _served("pm", "pp")
+
+
+_NONE = ", nobody AS (SELECT CAST(NULL AS BIGINT) AS protocol_id, CAST(NULL AS BIGINT) AS l, CAST(NULL AS BIGINT) AS r WHERE false)"
+_BY_TEXT = "SELECT pm.protocol_id, pm.l AS truth_idx, pm.r AS pred_idx, {} similarity, same_speaker FROM pm JOIN pp ON pm.protocol_id = pp.protocol_id AND pm.l = pp.l AND pm.r = pp.r"
+
+
+def recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("match_exact", recursive(sql(_SIDES + _EXACT + " SELECT protocol_id, l AS truth_idx, r AS pred_idx FROM xm", "speeches")))
+def match_exact(spark, sf):
+    """Pairs of the altered truth and the parsed speeches by name and group, served in order."""
+    return ma.match_exact(*truth_and_pred(spark, sf))
+
+
+@query("match_partial", recursive(sql(_SIDES + _NONE + _partial("nobody") + " " + _BY_TEXT.format(""), "speeches")))
+def match_partial(spark, sf):
+    """Pairs of the same rows by their whole texts alone."""
+    return ma.match_partial(*truth_and_pred(spark, sf))
+
+
+@query("match_all", recursive(sql(_SIDES + _EXACT + _partial("xm") + """
+SELECT protocol_id, l AS truth_idx, r AS pred_idx, 'exact' AS match_type, CAST(NULL AS DOUBLE) AS similarity, CAST(NULL AS BOOLEAN) AS same_speaker FROM xm
+UNION ALL """ + _BY_TEXT.format("'partial' AS match_type,") + """
+UNION ALL SELECT protocol_id, idx, NULL, 'truth_only', NULL, NULL FROM tk WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM xm UNION ALL SELECT * FROM pm) m WHERE m.protocol_id = tk.protocol_id AND m.l = tk.idx)
+UNION ALL SELECT protocol_id, NULL, idx, 'pred_only', NULL, NULL FROM pk WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM xm UNION ALL SELECT * FROM pm) m WHERE m.protocol_id = pk.protocol_id AND m.r = pk.idx)""", "speeches")))
 def match_all(spark, sf):
     """Labelled matches of the altered truth against the parsed speeches."""
-    return ma.match_all(*truth_and_pred(spark, sf)).drop("similarity")
+    return ma.match_all(*truth_and_pred(spark, sf))
 
 
 def _labelled(spark, sf) -> DataFrame:
@@ -545,18 +615,61 @@ def detection_metrics(spark, sf):
     return ma.detection_metrics(_labelled(spark, sf))
 
 
-@query("near_duplicates", sql("""
-, s AS (SELECT protocol_id, speech_id, least(length(text), 500) AS a, least(length(text) + 1, 500) AS b, CASE WHEN speech_id % 4 = 0 THEN 2 ELSE 1 END AS n FROM speeches)
-SELECT protocol_id, speech_id * 10 AS left_id, speech_id * 10 + 1 AS right_id, CAST(2 * (b - 1) AS DOUBLE) / (a + b) AS similarity, CAST(n AS BIGINT) AS n_left, CAST(1 AS BIGINT) AS n_right, CAST(n AS BIGINT) AS pairs FROM s WHERE speech_id % 3 = 0
-UNION ALL SELECT protocol_id, speech_id * 10, speech_id * 10, 1.0, 2, 2, 1 FROM s WHERE speech_id % 4 = 0""", "speeches"))
+_EDITED = """, ed AS (SELECT protocol_id, speech_id AS i, speaker, text, len(string_split(text, ' ')) // 2 AS half, string_split(text, ' ') AS ws0 FROM speeches),
+rows AS (SELECT protocol_id, i * 10 AS id, speaker, text FROM ed
+  UNION ALL SELECT protocol_id, i * 10 + 1, speaker, CASE (i // 3) % 3 WHEN 0 THEN 'xq ' || text WHEN 1 THEN text || ' zq'
+    ELSE array_to_string(list_concat(list_append(ws0[1:half], 'qq'), ws0[half + 1:]), ' ') END FROM ed WHERE i % 3 = 0
+  UNION ALL SELECT protocol_id, i * 10 + 2, speaker, text FROM ed WHERE i % 4 = 0)"""
+_PAIRED = f"""
+ns AS (SELECT *, {_shingles(5)} AS sh FROM cl WHERE len(ws) > 0),
+nx AS (SELECT protocol_id, id, unnest(sh) AS x FROM ns),
+no AS (SELECT a.protocol_id, a.id AS l, b.id AS r, count(*) AS o FROM nx a JOIN nx b ON a.protocol_id = b.protocol_id AND a.x = b.x AND a.id < b.id GROUP BY ALL)"""
+
+
+@query("near_duplicates", sql(_EDITED + f""",
+cl AS (SELECT protocol_id, {_KEY.format('speaker')} AS name, text, min(id) AS id, count(*) AS n, {_WORDS.format('text')} AS ws FROM rows WHERE text <> '' GROUP BY ALL),
+{_PAIRED}
+SELECT no.protocol_id, l AS left_id, r AS right_id, CAST(o AS DOUBLE) / (len(a.sh) + len(b.sh) - o) AS similarity, a.n AS n_left, b.n AS n_right, a.n * b.n AS pairs
+FROM no JOIN ns a ON a.protocol_id = no.protocol_id AND a.id = l JOIN ns b ON b.protocol_id = no.protocol_id AND b.id = r
+WHERE CAST(o AS DOUBLE) / (len(a.sh) + len(b.sh) - o) >= 0.8 AND {_alike('a.name', 'b.name')}
+UNION ALL SELECT protocol_id, id, id, 1.0, n, n, n * (n - 1) // 2 FROM cl WHERE n > 1""", "speeches"))
 def near_duplicates(spark, sf):
-    """Near-duplicates of a speaker inside a transcript: every third speech again with a letter in front, every fourth copied."""
+    """Near-duplicates of a speaker inside a transcript: every third speech again with a word put in front, at the end or in the middle, every fourth copied."""
     i = F.col("speech_id")
+    words = F.split("text", " ")
+    half = F.floor(F.size(words) / 2).cast("int")
+    middle = F.array_join(F.concat(F.slice(words, F.lit(1), half), F.array(F.lit("qq")), F.slice(words, half + 1, F.size(words))), " ")
+    turn = F.floor(i / 3) % 3
+    edited = F.when(turn == 0, F.concat(F.lit("xq "), "text")).when(turn == 1, F.concat("text", F.lit(" zq"))).otherwise(middle)
     copies = F.array_compact(F.array(
         F.struct((i * 10).alias("id"), F.col("text").alias("t")),
-        F.when(i % 3 == 0, F.struct((i * 10 + 1).alias("id"), F.concat(F.lit("x"), F.col("text")).alias("t"))),
+        F.when(i % 3 == 0, F.struct((i * 10 + 1).alias("id"), edited.alias("t"))),
         F.when(i % 4 == 0, F.struct((i * 10 + 2).alias("id"), F.col("text").alias("t"))),
     ))
     sp = v.speeches(spark, sf).select("protocol_id", "speaker", F.inline(copies))
     named = sp.select("protocol_id", F.col("id").cast("long").alias("speech_id"), "speaker", F.col("t").alias("text"))
     return ma.near_duplicates(named)
+
+
+@query("similar_texts", f"""
+WITH cl AS (SELECT lang AS protocol_id, doc_id AS id, {_WORDS.format('text')} AS ws FROM documents),
+{_PAIRED}
+SELECT no.protocol_id AS lang, l AS left_id, r AS right_id, o AS overlap, CAST(o AS DOUBLE) / (len(a.sh) + len(b.sh) - o) AS similarity
+FROM no JOIN ns a ON a.protocol_id = no.protocol_id AND a.id = l JOIN ns b ON b.protocol_id = no.protocol_id AND b.id = r WHERE CAST(o AS DOUBLE) / (len(a.sh) + len(b.sh) - o) >= 0.8""")
+def similar_texts(spark, sf):
+    """Pairs of whole documents of a language that share four fifths of their five-word runs."""
+    docs = v.read(spark, sf, "documents").select("lang", F.col("doc_id").alias("id"), "text")
+    pairs = si.similar_sets(si.with_shingles(docs, F.col("text"), 5), None, "lang", 0.8)
+    return pairs.select("lang", "left_id", "right_id", F.col("overlap").cast("long").alias("overlap"), "similarity")
+
+
+@query("text_similarity", f"""
+WITH p AS (SELECT d.doc_id, b.item_id, {_WORDS.format('d.text')} AS dw, {_WORDS.format('b.text')} AS bw FROM documents d JOIN benchmark b ON d.doc_id % 40 = b.item_id % 40),
+s AS (SELECT doc_id, item_id, (SELECT {_shingles(2)} FROM (SELECT dw AS ws)) AS a, (SELECT {_shingles(2)} FROM (SELECT bw AS ws)) AS b, len(dw) AS na, len(bw) AS nb FROM p),
+t AS (SELECT doc_id, item_id, CASE WHEN na = 0 OR nb = 0 THEN 0 ELSE len(list_intersect(a, b)) END AS o, len(a) AS la, len(b) AS lb, na, nb FROM s)
+SELECT doc_id, item_id, CASE WHEN o = 0 THEN 0.0 ELSE CAST(o AS DOUBLE) / (la + lb - o) END AS similarity FROM t""")
+def text_similarity(spark, sf):
+    """The shared part of two-word runs of each document and the benchmark items of its number."""
+    d = si.with_shingles(v.read(spark, sf, "documents").select("doc_id", "text"), F.col("text"), 2, "a").select("doc_id", "a", (F.col("doc_id") % 40).alias("_n"))
+    b = si.with_shingles(v.read(spark, sf, "benchmark").select("item_id", "text"), F.col("text"), 2, "b").select("item_id", "b", (F.col("item_id") % 40).alias("_n"))
+    return d.join(b, "_n").select("doc_id", "item_id", ma.text_similarity(F.col("a"), F.col("b")).alias("similarity"))

@@ -1,10 +1,22 @@
 import random
-from difflib import SequenceMatcher
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from rostrum.operators import common
 from rostrum.operators import matching as ma
+from rostrum.operators import similar as si
+
+
+def shingles(text, words):
+    found = re.findall("[^\x20\x09-\x0D]+", (text or "").lower())
+    return {tuple(found[i : i + words]) for i in range(max(1, len(found) - words + 1))} if found else set()
+
+
+def shared(a, b, words):
+    a, b = shingles(a, words), shingles(b, words)
+    return len(a & b) / len(a | b) if a and b else 0.0
 
 
 def distance(a, b):
@@ -75,7 +87,7 @@ def stepwise_match(truth, pred):
         for p in pred:
             if p["idx"] in used_p or not t["text_preview"] or not p["text"]:
                 continue
-            sim = SequenceMatcher(None, t["text_preview"][:200].lower(), p["text"][:200].lower()).ratio()
+            sim = shared(t["text_preview"], p["text"], 2)
             if sim > 0.5 and sim > best_sim:
                 best, best_sim = p, sim
         if best:
@@ -90,7 +102,7 @@ def stepwise_match(truth, pred):
 def test_match_all_against_the_stepwise_definition(spark):
     rng = random.Random(2)
     people = [("Anna Schmidt", "SPD"), ("Anna Schmitt", "SPD"), ("Bernd Maier", "AfD"), ("Clara Kraft", "SPD"), ("Kraft", "SPD"), ("Zora Xylander", "FDP")]
-    texts = ["Wir reden heute über Schulen und Lehrer im Land", "Der Haushalt ist zu groß und muss kleiner werden", "Straßen und Brücken brauchen mehr Geld"]
+    texts = ["Wir reden heute über Schulen und Lehrer im Land", "Der Haushalt ist zu groß und muss kleiner werden", "Straßen und Brücken brauchen mehr Geld", "Wir reden heute über Schulen und Lehrer", ""]
     truth, pred = [], []
     for block in (1, 2, 3):
         for i in range(25):
@@ -123,19 +135,19 @@ def test_detection_metrics_defaults(spark):
 
 def test_near_duplicates_against_all_pairs(spark):
     rng = random.Random(9)
-    bases = ["".join(rng.choice("abcdefgh ij") for _ in range(rng.randrange(40, 300))) for _ in range(4)]
+    bases = [[rng.choice("abcdefghij") for _ in range(rng.randrange(3, 300))] for _ in range(4)]
     data = []
     for i in range(60):
         text = list(rng.choice(bases))
-        for _ in range(rng.choice([0, 0, 3, 30])):
+        for _ in range(rng.choice([0, 0, 1, 3, 30])):
             text[rng.randrange(len(text))] = rng.choice("xyz")
-        data.append((rng.choice([1, 2]), i, rng.choice(["Anna Schmidt", "Anna Schmitt", "Bernd Maier", "B. Maier"]), "".join(text)))
+        data.append((rng.choice([1, 2]), i, rng.choice(["Anna Schmidt", "Anna Schmitt", "Bernd Maier", "B. Maier"]), " ".join(text)))
     df = spark.createDataFrame(data, "protocol_id int, speech_id int, speaker string, text string")
     got = ma.near_duplicates(df).collect()
     want, count = set(), 0
     for x in data:
         for y in data:
-            if x[0] == y[0] and x[1] < y[1] and keys_match(x[2].lower(), y[2].lower()) and SequenceMatcher(None, x[3][:500], y[3][:500]).ratio() > 0.85:
+            if x[0] == y[0] and x[1] < y[1] and keys_match(x[2].lower(), y[2].lower()) and shared(x[3], y[3], 5) >= 0.8:
                 count += 1
                 want.add((x[0], x[1], y[1]))
     assert sum(r.pairs for r in got) == count > 20
@@ -146,7 +158,7 @@ def test_whole_texts_are_compared(spark):
     """Texts that agree in the head only are no match; texts that differ in the head only are one."""
     rng = random.Random(4)
     prose = lambda n: " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(rng.randrange(2, 9))) for _ in range(n))
-    head, tail = prose(120), prose(700)
+    head, tail = prose(120), prose(900)
     texts = [head + " " + prose(400), head + " " + prose(400), prose(90) + " " + tail, prose(90) + " " + tail]
     rows = [(1, i, "Anna Schmidt", t) for i, t in enumerate(texts)]
     df = spark.createDataFrame(rows, "protocol_id int, speech_id int, speaker string, text string")
@@ -169,11 +181,84 @@ def test_a_large_group_of_copies_is_one_row(spark):
 def test_no_cross_joins(spark):
     df = spark.createDataFrame([(1, 1, "Anna", "x")], "protocol_id int, speech_id int, speaker string, text string")
     keys = df.select("protocol_id", F.lower("speaker").alias("key"))
-    for plan in (ma.near_duplicates(df), ma.matching_names(keys, keys, "protocol_id")):
+    sets = df.select("protocol_id", F.col("speech_id").alias("id"), F.array(F.lit(1).cast("long")).alias("shingles"))
+    for plan in (ma.near_duplicates(df), ma.matching_names(keys, keys, "protocol_id"), si.similar_sets(sets, sets, "protocol_id", 0.5)):
         text = plan._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
+def test_edits_at_any_place_of_long_texts(spark):
+    """One word more at the head, in the middle or at the end of a long text, or a shifted half, and what that shares."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(5000)]
+    put = lambda at: words[:at] + ["new"] + words[at:]
+    texts = [words, put(0), put(2500), put(5000), words[2500:] + words[:2500], words[:3900], words[:4100] + ["x"] * 50]
+    df = spark.createDataFrame([(1, i, "Anna Schmidt", " ".join(t)) for i, t in enumerate(texts)], "protocol_id int, speech_id int, speaker string, text string")
+    got = {(r.left_id, r.right_id): r.similarity for r in ma.near_duplicates(df).collect()}
+    sims = {(i, j): shared(" ".join(texts[i]), " ".join(texts[j]), 5) for i in range(7) for j in range(i + 1, 7)}
+    assert got == {k: v for k, v in sims.items() if v >= 0.8} and {(0, 1), (0, 2), (0, 3), (1, 2), (0, 4), (0, 6)} <= set(got)
+
+
+@pytest.mark.parametrize("threshold, strict", [(0.5, True), (0.5, False), (0.8, False), (1.0, False), (0.34, True)])
+def test_similar_sets_are_all_pairs(spark, threshold, strict, monkeypatch):
+    """Every pair of sets, between two tables and within one, with hot items and lists cut into small cells."""
+    monkeypatch.setattr(common, "CELL_ROWS", 4)
+    rng = random.Random(int(threshold * 100))
+    make = lambda n: [(rng.choice(["a", "a", "b", None]), i, rng.sample(range(12), rng.randrange(0, 9)) + ([99] if rng.random() < 0.9 else [])) for i in range(n)]
+    left, right = make(60), make(50)
+    schema = "block string, id long, shingles array<long>"
+    l, r = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    alike = lambda x, y: (s := len(set(x) & set(y)) / max(1, len(set(x) | set(y)))) and (s > threshold if strict else s >= threshold)
+    two = {(x.block, x.left_id, x.right_id) for x in si.similar_sets(l, r, "block", threshold, strict).collect()}
+    assert two == {(b, i, j) for b, i, x in left for c, j, y in right if b is not None and b == c and alike(x, y)}
+    one = si.similar_sets(l, None, "block", threshold, strict).collect()
+    want = {(b, i, j): len(set(x) & set(y)) for b, i, x in left for c, j, y in left if b is not None and b == c and i < j and alike(x, y)}
+    assert {(x.block, x.left_id, x.right_id): x.overlap for x in one} == want and len(one) == len(want)
+    assert si.similar_sets(l.filter("id < 0"), None, "block", threshold).count() == 0
+
+
+def test_shingles_of_odd_texts(spark):
+    rows = [(None,), ("",), (" \t",), ("One",), ("one TWO",), ("a b c d e f a b c d e",)]
+    df = spark.createDataFrame(rows, "text string").withColumn("words", F.lit(1))
+    sizes = [len(r.shingles) for r in si.with_shingles(df, F.col("text"), 5).collect()]
+    assert sizes == [0, 0, 0, 1, 1, 6]
+    pair = df.limit(1).select(F.array(F.lit(1), F.lit(2)).alias("a"), F.array(F.lit(2), F.lit(3)).alias("b"), F.array().cast("array<int>").alias("e"))
+    assert tuple(pair.select(ma.text_similarity(F.col("a"), F.col("b")), ma.text_similarity(F.col("e"), F.col("e"))).collect()[0]) == (1 / 3, 0.0)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_assignment_serves_in_order(spark, seed):
+    """The rounds give what serving one row after another gives, also where classes share some of their options."""
+    rng = random.Random(seed)
+    left = [(b, i, f"l{rng.randrange(6)}") for b in (1, 2) for i in rng.sample(range(100), 30)]
+    right = [(b, i, f"r{rng.randrange(6)}") for b in (1, 2) for i in rng.sample(range(100), 25)]
+    options = [(b, f"l{x}", f"r{y}", rng.choice([0.0, -0.5, -0.7])) for b in (1, 2) for x in range(6) for y in range(6) if rng.random() < (0.15 * (seed + 1))]
+    want = []
+    for b in (1, 2):
+        pref = {(x, y): p for c, x, y, p in options if c == b}
+        taken = set()
+        for i, x in sorted((i, x) for c, i, x in left if c == b):
+            best = min(((pref[x, y], j) for c, j, y in right if c == b and (x, y) in pref and j not in taken), default=None)
+            if best:
+                taken.add(best[1])
+                want.append((b, i, best[1]))
+    frames = (spark.createDataFrame(left, "block int, l_idx long, l_class string"), spark.createDataFrame(right, "block int, r_idx long, r_class string"), spark.createDataFrame(options, "block int, l_class string, r_class string, pref double"))
+    assert sorted(tuple(r) for r in ma.assign_in_order(*frames, "block").collect()) == sorted(want)
+
+
+def test_assignment_of_copies_is_one_round(spark, monkeypatch):
+    """A thousand equal rows are paired by rank, not one a round."""
+    rounds = []
+    ranked = ma.distributed_rank
+    monkeypatch.setattr(ma, "distributed_rank", lambda *a: rounds.append(1) or ranked(*a))
+    left = spark.range(1000).select(F.lit(1).alias("block"), F.col("id").alias("l_idx"), F.concat(F.lit("l"), F.col("id") % 3).alias("l_class"))
+    right = spark.range(900).select(F.lit(1).alias("block"), F.col("id").alias("r_idx"), F.concat(F.lit("r"), F.col("id") % 2).alias("r_class"))
+    options = spark.createDataFrame([(1, f"l{x}", f"r{y}", -1.0) for x in range(3) for y in range(2)], "block int, l_class string, r_class string, pref double")
+    got = ma.assign_in_order(left, right, options, "block").collect()
+    assert sorted(tuple(r) for r in got) == [(1, i, i) for i in range(900)] and len(rounds) == 2
+    assert ma.assign_in_order(left, right, options.filter("pref > 0"), "block").count() == 0
+
+
 def test_sample_is_repeatable(spark):
     df = spark.range(50).withColumnRenamed("id", "protocol_id")
     a = [r.protocol_id for r in ma.sample_protocols(df, 5, seed=1).collect()]
