@@ -57,12 +57,14 @@ def length_stats(speeches: DataFrame, by: str = "party") -> DataFrame:
     )
 
 
-def speaker_index(speeches: DataFrame, order: Sequence[str] = ("protocol_id", "speech_id")) -> DataFrame:
-    """One row per speaker: party (of the first speech), slug, counts and word statistics."""
-    first = F.struct(*order)
-    stats = speeches.groupBy("speaker").agg(
-        F.min_by("party", first).alias("party"),
-        F.min_by(F.struct("acad_title"), first).alias("_t"),
+def index_statistics(speeches: DataFrame, order: Sequence[str] = ("protocol_id", "speech_id")) -> DataFrame:
+    """What the index says of each speaker, in a form that adds up over parts of the speeches.
+
+    ``first`` holds the place of the first speech and the party and title there.
+    """
+    first = F.struct(*order, "party", "acad_title")
+    return speeches.groupBy("speaker").agg(
+        F.min(first).alias("first"),
         count_if(F.col("category") == FORMAL).alias("speeches"),
         count_if(F.col("category") != FORMAL).alias("wortbeitraege"),
         count_if(F.col("type").isin(*ANSWER_TYPES)).alias("befragung_responses"),
@@ -71,15 +73,24 @@ def speaker_index(speeches: DataFrame, order: Sequence[str] = ("protocol_id", "s
         F.min("words").alias("min_words"),
         F.max("words").alias("max_words"),
     )
+
+
+def index_columns(stats: DataFrame) -> DataFrame:
+    """The index of ``index_statistics``."""
     index = stats.select(
-        "speaker", "party", slug(F.col("speaker")).alias("slug"), "speeches", "wortbeitraege", "befragung_responses",
+        "speaker", F.col("first.party").alias("party"), slug(F.col("speaker")).alias("slug"), "speeches", "wortbeitraege", "befragung_responses",
         "total_interventions", "total_words",
         F.round(ratio(F.col("total_words"), F.col("speeches") + F.col("wortbeitraege"))).cast("long").alias("avg_words"),
-        "min_words", "max_words", F.col("_t.acad_title").alias("acad_title"),
+        "min_words", "max_words", F.col("first.acad_title").alias("acad_title"),
     )
     return resolve_slug_collisions(index)
 
 
+def speaker_index(speeches: DataFrame, order: Sequence[str] = ("protocol_id", "speech_id")) -> DataFrame:
+    """One row per speaker: party (of the first speech), slug, counts and word statistics."""
+    return index_columns(index_statistics(speeches, order))
+
+
 def speaker_profiles(
     speeches: DataFrame, events: DataFrame, genders, order: Sequence[str] = ("protocol_id", "speech_id")
 ) -> DataFrame:

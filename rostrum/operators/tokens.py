@@ -184,36 +184,28 @@ def word_rollup(
 ) -> DataFrame:
     """Counts per speaker, party and whole corpus: ``(level, party, speaker, word_type, word, n)``.
 
-    Tokens are reduced to (party, speaker, word) first and only that table is
-    rolled up. With a lexicon, words of its adjective, verb and topic schemes
-    are also counted under these word types.
+    Tokens are reduced to (party, speaker, word) in one shuffle; parties are summed up from speakers and the corpus from
+    parties, so each level moves only what its tasks have already combined. With a lexicon, words of its adjective,
+    verb and topic schemes are also counted under these word types.
     """
-    base = word_counts(speeches, ["party", "speaker"], min_len=min_len, exclude_types=exclude_types)
+    none = F.lit(None).cast("string")
+    by_speaker = word_counts(speeches, ["party", "speaker"], min_len=min_len, exclude_types=exclude_types)
+    by_party = by_speaker.groupBy("party", "word").agg(F.sum("n").alias("n"))
+    corpus = by_party.groupBy("word").agg(F.sum("n").alias("n"))
+    levels = (
+        by_speaker.select(F.lit("speaker").alias("level"), "party", "speaker", "word", "n")
+        .unionByName(by_party.select(F.lit("party").alias("level"), "party", none.alias("speaker"), "word", "n"))
+        .unionByName(corpus.select(F.lit("corpus").alias("level"), none.alias("party"), none.alias("speaker"), "word", "n"))
+    )
     if lexicon is None:
-        typed = base.withColumn("word_type", F.lit("all"))
-    else:
-        kinds = lexicon.filter(F.col("scheme").isin("adjective", "verb", "topic")).groupBy(F.col("word").alias("_word")).agg(
-            F.collect_set("scheme").alias("_kinds")
-        )
-        # the word types of a word as an array: the counts are read once
-        types = F.concat(F.array(F.lit("all")), F.coalesce("_kinds", F.expr("cast(array() as array<string>)")))
-        typed = base.join(kinds, F.col("word") == F.col("_word"), "left").select(
-            "party", "speaker", "word", "n", F.explode(types).alias("word_type")
-        )
-    sets = [
-        [F.col("word_type"), F.col("word"), F.col("party"), F.col("speaker")],
-        [F.col("word_type"), F.col("word"), F.col("party")],
-        [F.col("word_type"), F.col("word")],
-    ]
-    level = F.grouping("party") + F.grouping("speaker")
-    return (
-        typed.groupingSets(sets, "word_type", "word", "party", "speaker")
-        .agg(F.sum("n").alias("n"), level.alias("_level"))
-        .select(
-            F.when(F.col("_level") == 0, "speaker").when(F.col("_level") == 1, "party").otherwise("corpus").alias("level"),
-            "party", "speaker", "word_type", "word", "n",
-        )
+        return levels.select("level", "party", "speaker", F.lit("all").alias("word_type"), "word", "n")
+    kinds = lexicon.filter(F.col("scheme").isin("adjective", "verb", "topic")).groupBy(F.col("word").alias("_word")).agg(
+        F.collect_set("scheme").alias("_kinds")
     )
+    # the word types of a word as an array: the counts are read once
+    types = F.concat(F.array(F.lit("all")), F.coalesce("_kinds", F.expr("cast(array() as array<string>)")))
+    typed = levels.join(kinds, F.col("word") == F.col("_word"), "left")
+    return typed.select("level", "party", "speaker", F.explode(types).alias("word_type"), "word", "n")
 
 
 def top_words(counts: DataFrame, by: Sequence[str], n: int = 50) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Everything that concerns one transcript is computed inside its row with array
 expressions: a transcript is cut at its headers, positions are running sums of
-piece lengths, and question-and-answer ranges are small arrays. Parsing is
-therefore a map over the protocols table and shuffles no text at all.
+piece lengths in time linear in the pieces, and question-and-answer ranges are
+small arrays. Parsing is therefore a map over the protocols table and shuffles
+no text at all.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from rostrum.functions.groups import PARTY_PATTERNS, normalize_party
 from rostrum.functions.rules import PRECEDING_RULES, Rule, classify_preceding, classify_start, rule_windows, start_rules
 from rostrum.functions.text import clean_text, derive_category, name_parts, strip_parentheses, word_count
-from rostrum.operators.common import interval_join, pinned
+from rostrum.operators.common import bound, interval_join, pinned, running
 
 # The three kinds of header line (the line ends with a colon).
 SPEAKER_HEADER = r"([A-ZÄÖÜ][^(\n:]{2,60})[^\S\n]*\(([^)\n]+)\):"
@@ -53,18 +54,19 @@ def _pieces(text: Column, marker: str) -> Column:
 
 def marker_spans(text: Column, marker: str) -> Column:
     """Array of ``(start, end)`` offsets of all matches of ``marker``, in order."""
-    init = "named_struct('pos', 0, 'spans', cast(array() as array<struct<start:int,end:int>>))"
 
-    def step(acc: Column, piece: Column) -> Column:
-        found = F.length(F.regexp_extract(piece, f"^(?:{marker})", 0))
-        span = F.struct(acc["pos"].alias("start"), (acc["pos"] + found).alias("end"))
-        spans = F.when(found > 0, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"])
-        return F.struct((acc["pos"] + F.length(piece)).alias("pos"), spans.alias("spans"))
+    def of(pieces: Column) -> Column:
+        def spans(starts: Column) -> Column:
+            found = F.transform(
+                pieces,
+                lambda p, i: F.struct(F.get(starts, i).alias("start"), (F.get(starts, i) + F.length(F.regexp_extract(p, f"^(?:{marker})", 0))).alias("end")),
+            )
+            return F.filter(found, lambda s: s["end"] > s["start"])
 
-    spans = F.aggregate(_pieces(text, marker), F.expr(init), step)["spans"]
-    return F.when(text.rlike(marker), spans).otherwise(
-        F.expr("cast(array() as array<struct<start:int,end:int>>)")
-    )
+        return bound(running(F.transform(pieces, F.length), lambda a, b: a + b, F.lit(0), "int"), spans)
+
+    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+    return F.when(text.rlike(marker), bound(_pieces(text, marker), of)).otherwise(none)
 
 
 def with_session_ranges(
@@ -135,26 +137,33 @@ def segment(protocols: DataFrame, key: str = "protocol_id", text: str = "full_te
     """
     header = _header_pattern()
     cleaned = protocols.withColumn("_text", clean_text(F.col(text))).drop(text)
-    init = (
-        "named_struct('pos', 0, 'tail', '', 'hdr', '', 'segs', "
-        "cast(array() as array<struct<start:int,context:string,prev_header:string,header:string,piece:string>>))"
-    )
-
-    def step(acc: Column, piece: Column) -> Column:
-        head = F.regexp_extract(piece, f"^{header}", 0)
-        seg = F.struct(
-            acc["pos"].alias("start"), acc["tail"].alias("context"), acc["hdr"].alias("prev_header"),
-            head.alias("header"), piece.alias("piece"),
-        )
-        tail = F.concat(acc["tail"], F.right(piece, F.lit(CONTEXT_CHARS)))
-        return F.struct(
-            (acc["pos"] + F.length(piece)).alias("pos"),
-            F.right(tail, F.lit(CONTEXT_CHARS)).alias("tail"),
-            head.alias("hdr"),
-            F.when(head != "", F.concat(acc["segs"], F.array(seg))).otherwise(acc["segs"]).alias("segs"),
+    zero = F.struct(F.lit(0).alias("pos"), F.lit("").alias("tail"), F.lit("").alias("header"))
+
+    def after(a: Column, b: Column) -> Column:
+        tail = F.right(F.concat(a["tail"], b["tail"]), F.lit(CONTEXT_CHARS))
+        return F.struct((a["pos"] + b["pos"]).alias("pos"), tail.alias("tail"), b["header"].alias("header"))
+
+    def cut(pieces: Column) -> Column:
+        def numbered(items: Column) -> Column:
+            def rows(before: Column) -> Column:
+                seg = F.transform(
+                    pieces,
+                    lambda p, i: F.struct(
+                        F.get(before, i)["pos"].alias("start"), F.get(before, i)["tail"].alias("context"), F.get(before, i)["header"].alias("prev_header"),
+                        F.get(items, i)["header"].alias("header"), p.alias("piece"),
+                    ),
+                )
+                return F.filter(seg, lambda x: x["header"] != "")
+
+            return bound(running(items, after, zero, "struct<pos:int,tail:string,header:string>"), rows)
+
+        parts = F.transform(
+            pieces,
+            lambda p: F.struct(F.length(p).alias("pos"), F.right(p, F.lit(CONTEXT_CHARS)).alias("tail"), F.regexp_extract(p, f"^{header}", 0).alias("header")),
         )
+        return bound(parts, numbered)
 
-    segs = F.aggregate(_pieces(F.col("_text"), header), F.expr(init), step)["segs"]
+    segs = bound(_pieces(F.col("_text"), header), cut)
     others = [c for c in cleaned.columns if c != "_text"]
     ranged = with_session_ranges(cleaned, "_text", "_ranges", anchored=anchored)
     rows = ranged.select(*others, "_ranges", F.posexplode(segs).alias("ordinal", "s")).select(

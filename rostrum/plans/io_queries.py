@@ -8,12 +8,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.operators import tokens as tk
-from rostrum.plans import views as v
-from rostrum.plans.registry import query
+from rostrum.plans import corpus_queries, views as v  # noqa: F401
+from rostrum.plans.registry import ORACLES, query
 from rostrum.plans.sqltext import sql
-from rostrum.session import ensure_checkpoint_dir
-from rostrum.sources import readers, writers
-from rostrum.streaming import ingest
+from rostrum.session import ensure_checkpoint_dir, materialize
+from rostrum.sources import readers, records, writers
+from rostrum.streaming import current, ingest
 
 #: Documents in one JSON file.
 PER_FILE = 64
@@ -54,6 +54,89 @@ def ingest_stream(spark, sf):
     return spark.read.parquet(sink).select("protocol_id", "publisher", F.length("full_text").alias("chars"))
 
 
+@query("read_records", """
+SELECT CASE WHEN doc_id % 17 IN (0, 3, 5) OR text = '' THEN NULL ELSE doc_id END AS protocol_id, CASE WHEN doc_id % 17 IN (3, 5) THEN 'malformed' WHEN doc_id % 17 = 0 OR text = '' THEN 'no text' ELSE 'good' END AS outcome,
+  CASE WHEN doc_id % 17 IN (0, 3, 5) OR text = '' THEN NULL ELSE length(text) END AS chars, CASE WHEN doc_id % 17 IN (0, 3, 5) OR text = '' THEN doc_id END AS raw_id FROM documents
+UNION ALL SELECT NULL, 'no record', NULL, NULL FROM (SELECT DISTINCT doc_id // 64 AS file FROM documents WHERE (doc_id // 64) % 3 = 0)
+UNION ALL SELECT NULL, 'no id', NULL, NULL FROM (SELECT DISTINCT doc_id // 64 AS file FROM documents WHERE (doc_id // 64) % 3 = 1)""")
+def read_records(spark, sf):
+    """Protocol files with records cut off in the middle, broken ones, some without id or text, and stray text in front: good rows and those set aside."""
+    i, per = F.col("doc_id"), PER_FILE
+    data = F.struct(i.cast("string").alias("id"), F.lit("20/1").alias("dokumentnummer"))
+    record = F.to_json(F.struct(data.alias("data"), F.when(i % 17 == 0, F.lit("")).otherwise(F.col("text")).alias("fullText")))
+    broken = F.when(i % 17 == 3, F.substring(record, F.lit(1), F.length(record) - 2)).when(i % 17 == 5, F.replace(record, F.lit('"dokumentnummer":'), F.lit('"dokumentnummer"'))).otherwise(record)
+    files = v.read(spark, sf, "documents").groupBy(F.floor(i / per).alias("file")).agg(F.array_join(F.collect_list(broken), ",\n").alias("body"))
+    before = F.when(F.col("file") % 3 == 0, 'stray text [').when(F.col("file") % 3 == 1, '[{"data":{"id":"x"},"fullText":"y"},').otherwise("[")
+    path = folder(spark, "records")
+    files.select(F.concat(before, "body", F.lit("]")).alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    got = records.read_records(spark, path)
+    good = got.good.select("protocol_id", F.lit("good").alias("outcome"), F.length("full_text").alias("chars"), F.lit(None).cast("long").alias("raw_id"))
+    none = F.lit(None).cast("long")
+    raw_id = F.regexp_extract("raw", r'"id":"(\d+)"', 1).try_cast("long")
+    return good.unionByName(got.quarantine.select(none.alias("protocol_id"), F.col("reason").alias("outcome"), none.cast("int").alias("chars"), raw_id.alias("raw_id")))
+
+
+@query("read_record_lines", "SELECT CASE WHEN doc_id % 17 NOT IN (0, 3) AND text <> '' THEN doc_id END AS protocol_id, CASE WHEN doc_id % 17 = 3 THEN 'malformed' WHEN doc_id % 17 = 0 OR text = '' THEN 'no text' ELSE 'good' END AS outcome FROM documents")
+def read_record_lines(spark, sf):
+    """The same from files with a record a line, which tasks share."""
+    i = F.col("doc_id")
+    record = F.to_json(F.struct(F.struct(i.cast("string").alias("id")).alias("data"), F.when(i % 17 == 0, F.lit("")).otherwise(F.col("text")).alias("fullText")))
+    path = folder(spark, "record-lines")
+    v.read(spark, sf, "documents").select(F.when(i % 17 == 3, F.substring(record, F.lit(1), F.length(record) - 2)).otherwise(record).alias("value")).write.text(path)
+    got = records.read_records(spark, path, lines=True)
+    return got.good.select("protocol_id", F.lit("good").alias("outcome")).unionByName(got.quarantine.select(F.lit(None).cast("long").alias("protocol_id"), F.col("reason").alias("outcome")))
+
+
+@query("ingest_once", "SELECT doc_id AS protocol_id, source AS publisher, length(text) AS chars FROM documents WHERE text <> ''")
+def ingest_once(spark, sf):
+    """Protocol files that arrive in three waves, the third late by its own date and full of repeated ids; then a replayed batch."""
+    source, sink, checkpoint = folder(spark, "waves"), folder(spark, "once"), folder(spark, "once-state")
+    i = F.col("doc_id")
+    docs = v.read(spark, sf, "documents")
+
+    def wave(n: int) -> None:
+        chosen = docs.filter((i % 3 == n) | ((F.lit(n) == 2) & (i % 5 == 0)))
+        data = F.struct(i.cast("string").alias("id"), F.lit("20/1").alias("dokumentnummer"), F.lit(f"{2023 - 10 * (n == 2) + n}-01-01").alias("datum"), F.col("source").alias("herausgeber"), F.lit("20").alias("wahlperiode"))
+        one = F.struct(data.alias("data"), F.col("text").alias("fullText"))
+        files = chosen.groupBy(F.floor(i / PER_FILE).alias("file")).agg(F.to_json(F.collect_list(one)).alias("value"))
+        files.select("value").write.mode("append").option("maxRecordsPerFile", 1).text(source)
+
+    for n in range(3):
+        wave(n)
+        current.ingest_once(readers.stream_protocols(spark, source), sink, checkpoint).awaitTermination()
+    first = spark.read.parquet(f"{sink}/batch=0")
+    current.write_batch(sink)(materialize(first), 0)
+    return spark.read.parquet(sink).select("protocol_id", "publisher", F.length("full_text").alias("chars"))
+
+
+def _arriving(spark: SparkSession, sf: str, tables: list[current.CurrentTable]) -> None:
+    """The speeches of the documents taken in as a stream of four batches; the last is replayed."""
+    source, sink, checkpoint = folder(spark, "arriving"), folder(spark, "arrived"), folder(spark, "arriving-state")
+    docs = v.corpus_docs(spark, sf).withColumn("protocol_id", F.col("speech_id"))
+    for n in range(4):
+        docs.filter(F.col("speech_id") % 4 == n).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(docs.schema).parquet(source)
+        current.ingest_once(stream, sink, checkpoint, also=current.keep_current(*tables)).awaitTermination()
+    for t in tables:
+        t.write(spark.read.parquet(f"{sink}/batch=3"), 3)
+
+
+@query("current_activity", ORACLES["activity_counts"])
+def current_activity(spark, sf):
+    """Activity counts after four batches of a stream equal those of all speeches at once."""
+    table = current.current_activity(folder(spark, "activity"), lambda b: b, compact_every=3)
+    _arriving(spark, sf, [table])
+    return table.read(spark)
+
+
+@query("current_index", ORACLES["speaker_index"])
+def current_index(spark, sf):
+    """The speaker index after four batches of a stream equals that of all speeches at once."""
+    table = current.current_index(folder(spark, "index"), lambda b: b, ["speech_id"], compact_every=3)
+    _arriving(spark, sf, [table])
+    return current.read_index(spark, table)
+
+
 @query("read_speeches", sql("SELECT speech_id, party, speaker, type, category, words, length(text) AS chars FROM corpus", "corpus"))
 def read_speeches(spark, sf):
     """Speeches from JSON files that map a party to its speeches."""

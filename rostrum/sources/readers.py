@@ -20,7 +20,8 @@ SPEECH_STRUCT = (
 )
 
 
-def _protocol_columns(df: DataFrame) -> DataFrame:
+def protocol_columns(df: DataFrame) -> DataFrame:
+    """Columns of parsed protocol records that have a text."""
     return df.filter(F.coalesce(F.col("fullText"), F.lit("")) != "").select(
         F.col("data.id").try_cast("long").alias("protocol_id"),
         F.col("data.dokumentnummer").alias("document_number"),
@@ -34,7 +35,7 @@ def _protocol_columns(df: DataFrame) -> DataFrame:
 def read_protocols(spark: SparkSession, path: str) -> DataFrame:
     """Protocol JSON files (one document per file). Unreadable files and empty texts are skipped."""
     raw = spark.read.schema(PROTOCOL_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    return _protocol_columns(raw)
+    return protocol_columns(raw)
 
 
 def stream_protocols(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
@@ -46,12 +47,12 @@ def stream_protocols(spark: SparkSession, path: str, max_files: int = 1000) -> D
         .option("maxFilesPerTrigger", max_files)
         .json(path)
     )
-    return _protocol_columns(raw)
+    return protocol_columns(raw)
 
 
 def read_speeches(spark: SparkSession, path: str) -> DataFrame:
     """Speeches from JSON files that map a party to its list of speeches; the party becomes a column."""
-    parsed = spark.read.option("wholetext", True).text(path).select(
+    parsed = spark.read.text(path, wholetext=True).select(
         F.from_json("value", f"map<string,array<{SPEECH_STRUCT}>>").alias("m")
     )
     rows = parsed.select(F.explode("m").alias("party", "list")).select("party", F.inline("list"))
@@ -108,7 +109,7 @@ def read_lexicon(spark: SparkSession, path: str, on_conflict: str = "last") -> D
 
 def load_overrides(spark: SparkSession, path: str) -> DataFrame:
     """Name -> gender JSON as rows ``(first_name, gender, source, ambiguous)`` with lower-case names."""
-    parsed = spark.read.option("wholetext", True).text(path).select(F.from_json("value", "map<string,string>").alias("m"))
+    parsed = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
     return parsed.select(F.explode("m").alias("k", "gender")).select(
         F.lower("k").alias("first_name"), "gender", F.lit("manual").alias("source"), F.lit(False).alias("ambiguous")
     )

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import preview
 from rostrum.operators.common import distributed_rank
+from rostrum.session import materialize
 
 
 def write_speeches(df: DataFrame, path: str) -> None:
@@ -25,14 +28,24 @@ def speech_db(speeches: DataFrame, mode: str = "full", speaker: str = "speaker",
     """Speech listing with a dense ``id`` by (speaker, original id).
 
     ``full`` keeps the text and a preview, ``short`` only the first ``chars`` characters.
-    The numbering is distributed: no task sorts all speeches.
+    The numbering is distributed: no task sorts all speeches, and no text is sorted or kept on the way.
+    Rows with the same speaker and ids get neighbouring numbers.
     """
-    keys = [c for c in ("protocol_id", orig_id) if c in speeches.columns]
+    ids = [c for c in ("protocol_id", orig_id) if c in speeches.columns]
+    keys = [speaker, *ids]
     text = F.substring("text", 1, chars) if mode == "short" else F.col("text")
     cols = [speaker, "party", "type", "words", *(["category"] if mode == "full" else [])]
-    rows = speeches.select(*dict.fromkeys([*cols, *keys]), text.alias("text"))
-    # the rows themselves are numbered where they are sorted: no second pass over the texts, and null speakers stay
-    numbered = distributed_rank(rows, [], [F.asc_nulls_first(speaker), *[F.asc_nulls_first(k) for k in keys]], "id")
+    rows = speeches.select(*dict.fromkeys([*cols, *ids]), text.alias("text"))
+    # only keys are sorted and kept; texts meet their numbers in one join
+    ranked = distributed_rank(speeches.select(*keys), [], [F.asc_nulls_first(k) for k in keys], "_rank")
+    named = [F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)]
+    first = materialize(ranked.groupBy(*named).agg(F.min("_rank").alias("_from"), F.count(F.lit(1)).alias("_rows")))
+    on = reduce(and_, [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)])
+    numbered = rows.join(first.filter("_rows = 1"), on).withColumn("id", F.col("_from"))
+    if not first.filter("_rows > 1").isEmpty():  # rows that share a key are told apart by their content
+        order = [F.asc(F.xxhash64(*[F.col(c) for c in rows.columns]))]
+        several = distributed_rank(rows.join(first.filter("_rows > 1"), on), ["_from"], order, "_k")
+        numbered = numbered.unionByName(several.withColumn("id", F.col("_from") + F.col("_k") - 1).drop("_k"))
     if mode == "short":
         return numbered.select("id", speaker, "party", "text", "type", "words")
     return numbered.select("id", speaker, "party", "type", "category", "words", preview(F.col("text")).alias("preview"), "text")

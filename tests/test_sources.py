@@ -62,6 +62,8 @@ def test_speeches_round_trip(spark, tmp_path):
     src.write_text(json.dumps({"SPD": [{"speaker": "A", "text": "x", "type": "rede", "words": 3}], "AfD": [{"speaker": "B", "text": "y", "type": "other", "words": 1, "category": None}]}))
     df = rd.read_speeches(spark, str(src))
     assert sorted((r.party, r.speaker, r.category, r.words) for r in df.collect()) == [("AfD", "B", "wortbeitrag", 1), ("SPD", "A", "rede", 3)]
+    (tmp_path / "lines.json").write_text(json.dumps(json.loads(src.read_text()), indent=2))
+    assert sorted(map(tuple, rd.read_speeches(spark, str(tmp_path / "lines.json")).collect())) == sorted(map(tuple, df.collect()))
     wr.write_speeches(df, str(tmp_path / "out"))
     back = rd.read_speech_table(spark, str(tmp_path / "out"))
     assert back.filter("party = 'SPD'").count() == 1
