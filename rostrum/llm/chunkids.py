@@ -20,6 +20,8 @@ BLOCK = 16 << 20
 PART = 32 << 20
 #: Bytes that the rolling hash covers, mean and greatest length of a chunk.
 WINDOW, MEAN, LONGEST = 32, 512, 4096
+#: Level of compression of what is shuffled.
+LEVEL = 6
 #: No pre-token of such a tokenizer crosses these, so ids on both sides do not depend on each other.
 SAFE = (0x20, 0x0A)
 
@@ -32,7 +34,7 @@ FIELDS = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("block", pa.int6
 def squeezed(x: bytes | np.ndarray) -> bytes:
     """Bytes behind their length, compressed."""
     raw = x if isinstance(x, bytes) else x.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", LEVEL).compress(raw, asbytes=True)
 
 
 def unsqueezed(x: bytes) -> bytes:
@@ -172,29 +174,34 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 yield batch_of(list(cut_block(ids.to_pylist(), texts, number, parts)))
                 first, number = last, number + 1
 
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def answer(table: pa.Table) -> Iterator[pa.RecordBatch]:
         encoder = word_ids(tokenizer)
-        part, known, held = None, {}, []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if row["kind"] == 1:
-                    if row["part"] != part:
-                        part, known, held = row["part"], {}, []
-                    joined, sizes, text = row["data"]
-                    digests = [joined[i : i + 16] for i in range(0, len(joined), 16)]
-                    new = np.array([d not in known for d in digests], bool)
-                    texts = texts_of(unsqueezed(text), np.frombuffer(unsqueezed(sizes), np.int32))
-                    known.update(zip((d for d, n in zip(digests, new, strict=True) if n), range(len(held), len(held) + int(new.sum())), strict=True))
-                    held += encoder.encode(texts.filter(pa.array(new)))
-                    ids, sizes = flattened([held[known[d]] for d in digests], encoder.kind)
-                    row["data"] = [squeezed(sizes.astype(np.int32)), squeezed(ids)]
-                yield batch_of([tuple(row.values())])
+        rows = table.to_pylist()
+        asked = [r for r in rows if r["kind"] == 1]
+        known: dict[bytes, int] = {}
+        fresh = []
+        for row in asked:  # the distinct chunks of a part in one call, since the encoder looks up distinct words
+            joined, sizes, text = row["data"]
+            row["ids"] = [joined[i : i + 16] for i in range(0, len(joined), 16)]
+            new = np.zeros(len(row["ids"]), bool)
+            for i, d in enumerate(row["ids"]):
+                if d not in known:
+                    known[d] = len(known)
+                    new[i] = True
+            fresh.append(texts_of(unsqueezed(text), np.frombuffer(unsqueezed(sizes), np.int32)).filter(pa.array(new)))
+            row["data"] = None
+        held = encoder.encode(pa.concat_arrays(fresh)) if fresh else []
+        for row in rows:
+            if row["kind"] == 1:
+                ids, sizes = flattened([held[known[d]] for d in row["ids"]], encoder.kind)
+                row["ids"], row["data"] = None, [squeezed(sizes.astype(np.int32)), squeezed(ids)]
+            yield batch_of([tuple(row.values())])
 
     def gather(table: pa.Table) -> Iterator[pa.RecordBatch]:
         yield put_together(sorted(table.to_pylist(), key=lambda r: (r["kind"], r["part"] or 0)), tokenizer)
 
     asked = rows.mapInArrow(frugal(cut), ROWS).repartition(parts, "key").sortWithinPartitions("key")
-    told = asked.mapInArrow(frugal(answer), ROWS).repartition(parts, "block").sortWithinPartitions("block")
+    told = asked.mapInArrow(frugal(by_group("key", answer)), ROWS).repartition(parts, "block").sortWithinPartitions("block")
     return told.mapInArrow(frugal(by_group("block", gather)), "id string, ids array<int>").select(F.col("id").cast(kind).alias(id_col), "ids")
 
 
