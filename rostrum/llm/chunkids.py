@@ -20,6 +20,8 @@ BLOCK = 16 << 20
 PART = 32 << 20
 #: Bytes that the rolling hash covers, mean and greatest length of a chunk.
 WINDOW, MEAN, LONGEST = 32, 512, 4096
+#: Text bytes encoded in one call, and token ids that leave a task at once.
+CALL, SENT = 8 << 20, 500_000
 #: Level of compression of what is shuffled.
 LEVEL = 6
 #: No pre-token of such a tokenizer crosses these, so ids on both sides do not depend on each other.
@@ -122,32 +124,54 @@ def flattened(arrays: list[np.ndarray], kind: type) -> tuple[np.ndarray, np.ndar
     return np.concatenate([np.zeros(0, kind), *arrays]), np.array([len(a) for a in arrays], np.int64)
 
 
-def put_together(rows: list[dict], tokenizer: str) -> pa.RecordBatch:
-    """``id, ids`` of a block: the ids of its chunks' insides with those of the seams between them."""
+def put_together(rows: list[dict], tokenizer: str, decoded: bool) -> Iterator[pa.RecordBatch]:
+    """``id, ids`` and, if ``decoded``, ``text`` of a block: the ids of its chunks' insides with those of the seams between them."""
     encoder = word_ids(tokenizer)
     layout, answers = rows[0], rows[1:]
     per, code, seam, sizes, joined = (unsqueezed(x) for x in layout["data"])
     per, code, seam = (np.frombuffer(x, np.int32).astype(np.int64) for x in (per, code, seam))
     seam_ids, seam_sizes = flattened(encoder.encode(texts_of(joined, np.frombuffer(sizes, np.int64))), encoder.kind)
     inner_sizes = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(unsqueezed(r["data"][0]), np.int32) for r in answers]])
-    inner_ids = np.concatenate([np.zeros(0, encoder.kind), *[np.frombuffer(unsqueezed(r["data"][1]), encoder.kind) for r in answers]])
+    flat = np.concatenate([*[np.frombuffer(unsqueezed(r["data"][1]), encoder.kind) for r in answers], seam_ids])
     # the units of a document: seam, inside, seam, ..., inside, seam
     units = 2 * per + 1
-    base = np.cumsum(units) - units
-    which = np.empty(int(units.sum()), np.int64)
+    base = np.append(np.cumsum(units) - units, units.sum())
+    which = np.empty(int(base[-1]), np.int64)
     turn = np.arange(len(seam)) - np.repeat(np.cumsum(per + 1) - per - 1, per + 1)
-    which[np.repeat(base, per + 1) + 2 * turn] = len(inner_sizes) + seam
+    which[np.repeat(base[:-1], per + 1) + 2 * turn] = len(inner_sizes) + seam
     turn = np.arange(len(code)) - np.repeat(np.cumsum(per) - per, per)
-    which[np.repeat(base, per) + 2 * turn + 1] = code
+    which[np.repeat(base[:-1], per) + 2 * turn + 1] = code
     all_sizes = np.concatenate((inner_sizes, seam_sizes)).astype(np.int64)
-    ids, place = gathered(np.concatenate((inner_ids, seam_ids)), np.cumsum(all_sizes) - all_sizes, all_sizes, which)
-    offsets = pa.array(place[np.append(base, len(which))], pa.int32())
-    return pa.record_batch([pa.array(layout["ids"], pa.string()), pa.ListArray.from_arrays(offsets, pa.array(ids.astype(np.int32)))], ["id", "ids"])
+    starts = np.cumsum(all_sizes) - all_sizes
+    # some documents at a time, so that what leaves the task at once is bounded
+    total = np.concatenate(([0], np.cumsum(all_sizes[which])))[base]
+    first = 0
+    while first < len(per):
+        last = max(first + 1, int(np.searchsorted(total, total[first] + SENT, "right")) - 1)
+        ids, place = gathered(flat, starts, all_sizes, which[base[first] : base[last]])
+        lists = pa.ListArray.from_arrays(pa.array(place[base[first : last + 1] - base[first]], pa.int32()), pa.array(ids.astype(np.int32)))
+        names = pa.array(layout["ids"][first:last], pa.string())
+        yield pa.record_batch([names, lists, decode_lists(lists, tokenizer)] if decoded else [names, lists], ["id", "ids", "text"][: 3 if decoded else 2])
+        first = last
+
+
+def decode_lists(lists: pa.Array, tokenizer: str) -> pa.Array:
+    """The texts of lists of token ids; null for null."""
+    encoder = word_ids(tokenizer)
+    if encoder.tokenizer.decoder is None:  # then the tokens are joined by blanks
+        if not hasattr(encoder, "names"):
+            encoder.names = pa.array([encoder.tokenizer.id_to_token(i) for i in range(encoder.vocabulary)], pa.string())
+        words = pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), encoder.names.take(lists.flatten()))
+        return pc.if_else(lists.is_null(), None, pc.binary_join(words, " "))
+    out = encoder.tokenizer.decode_batch([x or [] for x in lists.to_pylist()], skip_special_tokens=False)
+    return pc.if_else(lists.is_null(), None, pa.array(out, pa.string()))
 
 
-def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """``id_col, ids``: the token ids of every whole text, as the tokenizer file gives them without added tokens.
 
+    With ``decoded`` a column of that name holds the texts that the ids decode to (see :func:`decode`).
+
     Texts are cut where a rolling hash of the bytes says so, hence documents that share a passage share its chunks. The
     distinct chunks are shuffled by digest and each is encoded once; the blocks of documents that asked for them get the
     ids. What lies around a cut depends on both sides: each join is encoded anew from the last blank before it to the
@@ -179,8 +203,10 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         rows = table.to_pylist()
         asked = [r for r in rows if r["kind"] == 1]
         known: dict[bytes, int] = {}
-        fresh = []
-        for row in asked:  # the distinct chunks of a part in one call, since the encoder looks up distinct words
+        held: list[np.ndarray] = []
+        waiting: list[pa.Array] = []
+        size = 0
+        for row in asked:  # many distinct chunks in one call, since the encoder looks up distinct words
             joined, sizes, text = row["data"]
             row["ids"] = [joined[i : i + 16] for i in range(0, len(joined), 16)]
             new = np.zeros(len(row["ids"]), bool)
@@ -188,9 +214,13 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
                 if d not in known:
                     known[d] = len(known)
                     new[i] = True
-            fresh.append(texts_of(unsqueezed(text), np.frombuffer(unsqueezed(sizes), np.int32)).filter(pa.array(new)))
+            texts = texts_of(unsqueezed(text), np.frombuffer(unsqueezed(sizes), np.int32))
+            waiting.append(texts if new.all() else texts.filter(pa.array(new)))
+            size += texts.nbytes
             row["data"] = None
-        held = encoder.encode(pa.concat_arrays(fresh)) if fresh else []
+            if size >= CALL or row is asked[-1]:
+                held += encoder.encode(pa.concat_arrays(waiting))
+                waiting, size = [], 0
         for row in rows:
             if row["kind"] == 1:
                 ids, sizes = flattened([held[known[d]] for d in row["ids"]], encoder.kind)
@@ -198,11 +228,12 @@ def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             yield batch_of([tuple(row.values())])
 
     def gather(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        yield put_together(sorted(table.to_pylist(), key=lambda r: (r["kind"], r["part"] or 0)), tokenizer)
+        yield from put_together(sorted(table.to_pylist(), key=lambda r: (r["kind"], r["part"] or 0)), tokenizer, decoded)
 
     asked = rows.mapInArrow(frugal(cut), ROWS).repartition(parts, "key").sortWithinPartitions("key")
     told = asked.mapInArrow(frugal(by_group("key", answer)), ROWS).repartition(parts, "block").sortWithinPartitions("block")
-    return told.mapInArrow(frugal(by_group("block", gather)), "id string, ids array<int>").select(F.col("id").cast(kind).alias(id_col), "ids")
+    out = told.mapInArrow(frugal(by_group("block", gather)), "id string, ids array<int>, text string" if decoded else "id string, ids array<int>")
+    return out.select(F.col("id").cast(kind).alias(id_col), *[F.col(c).alias(n) for c, n in (("ids", "ids"), ("text", "decoded")) if c in out.columns])
 
 
 def decode(ids: Column, tokenizer: str) -> Column:
@@ -210,14 +241,6 @@ def decode(ids: Column, tokenizer: str) -> Column:
 
     @F.arrow_udf("string")
     def texts(lists: pa.Array) -> pa.Array:
-        encoder = word_ids(tokenizer)
-        if encoder.tokenizer.decoder is None:  # then the tokens are joined by blanks
-            if not hasattr(encoder, "names"):
-                names = [encoder.tokenizer.id_to_token(i) for i in range(encoder.vocabulary)]
-                encoder.names = pa.array(names, pa.string())
-            words = pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), encoder.names.take(lists.flatten()))
-            return pc.if_else(lists.is_null(), None, pc.binary_join(words, " "))
-        out = encoder.tokenizer.decode_batch([x or [] for x in lists.to_pylist()], skip_special_tokens=False)
-        return pc.if_else(lists.is_null(), None, pa.array(out, pa.string()))
+        return decode_lists(lists, tokenizer)
 
     return texts(ids)

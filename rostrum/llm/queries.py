@@ -237,9 +237,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the token ids of every document and of the text that they decode to."""
     path = word_tokenizer()
-    rows = chunkids.encode(table(spark, sf_dir, "documents"), path)
+    rows = chunkids.encode(table(spark, sf_dir, "documents"), path, decoded=True)
     decimal = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2(chunkids.decode(F.col("ids"), path), 256).alias("decoded_sha256"))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(decimal, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def dropped_letter(name: Column, word: Column) -> Column:

@@ -63,6 +63,8 @@ def sizes(request, monkeypatch):
             monkeypatch.setattr(module, "PART", 20_000)
         monkeypatch.setattr(chunkids, "MEAN", 32)
         monkeypatch.setattr(chunkids, "LONGEST", 100)
+        monkeypatch.setattr(chunkids, "CALL", 500)
+        monkeypatch.setattr(chunkids, "SENT", 50)
         monkeypatch.setattr(variants, "BLOCK", 3)
 
 
@@ -73,6 +75,8 @@ def test_ids_equal_the_tokenizer(docs, texts, none, sizes):
     rows = chunkids.encode(docs, word_tokenizer())
     assert rows.columns == ["doc_id", "ids"]
     got = rows.withColumn("text", chunkids.decode(F.col("ids"), word_tokenizer())).collect()
+    both = chunkids.encode(docs, word_tokenizer(), decoded=True)
+    assert both.columns == ["doc_id", "ids", "decoded"] and sorted(map(tuple, both.collect()), key=repr) == sorted(map(tuple, got), key=repr)
     want = [(d, tokenizer.encode(t or "", add_special_tokens=False).ids) for d, t, *_ in texts]
     assert sorted(((r.doc_id, list(r.ids)) for r in got), key=repr) == sorted(want, key=repr)
     assert all(r.text == tokenizer.decode(list(r.ids), skip_special_tokens=False) for r in got)
