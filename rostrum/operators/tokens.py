@@ -9,12 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostrum.functions.text import is_valid_word, tokenize
 from rostrum.operators.common import join_groups, ratio, top_k
+from rostrum.session import materialize
 
 TOKEN_SCHEMA = (
     "doc_id long, idx int, token string, lemma string, upos string, "
@@ -75,6 +79,108 @@ def annotate(
     return source.mapInPandas(run, TOKEN_SCHEMA)
 
 
+#: Columns of an annotator's answer beside ``text``, the number of the text in the call, with what stands for a missing one.
+ANSWER = {"token": None, "lemma": None, "upos": None, "is_space": False, "is_punct": False, "ent_id": None, "ent_label": None, "ent_text": None}
+ANNOTATED_SCHEMA = f"{TOKEN_SCHEMA}, start long, error string"
+
+
+def _cut_text(text: str, size: int) -> Iterator[tuple[int, str]]:
+    """``(start, part)``: a text in parts of at most ``size`` characters, cut behind white space where there is any."""
+    at = 0
+    while len(text) - at > size:
+        end = max(text.rfind(c, at, at + size) for c in "\n ") + 1
+        end = end if end > at else at + size
+        yield at, text[at:end]
+        at = end
+    yield at, text[at:]
+
+
+def annotate_columns(
+    df: DataFrame, annotator: Callable[[], Callable[[list[str]], dict[str, Sequence]]], doc_id: str = "doc_id", text: str = "text", max_chars: int = 1 << 20,
+) -> DataFrame:
+    """Token columns of every text, or the error of what the annotator fails on: ``TOKEN_SCHEMA`` with ``start`` and ``error``.
+
+    ``annotator()`` is called once per Python worker. The function it returns takes a list of texts of at most
+    ``max_chars`` characters in sum and answers with columns: ``text`` (the number of the text in the call), ``token``,
+    ``lemma`` and any of the others in :data:`ANSWER`. Longer texts are cut behind white space; ``idx`` and ``ent_id``
+    go on counting over the parts, so a text of any length takes the memory of one part. If a call fails, its texts are
+    tried one by one; one that fails again yields a row with ``error`` and its ``start`` in the text (null tokens), and costs
+    the others nothing. See :func:`split_errors`.
+    """
+    names = list(ANSWER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pipe = annotator()
+        kinds = {"ent_id": pa.int32(), "is_space": pa.bool_(), "is_punct": pa.bool_()}
+        columns = [c.split()[0] for c in ANNOTATED_SCHEMA.split(", ")]
+        seen: dict[str, int] = {}
+
+        def tokens(parts: list[tuple[int, int, str]]) -> pa.RecordBatch:
+            got = pipe([p[2] for p in parts])
+            which = np.asarray(got["text"], np.int64)
+            if len(which) and ((np.diff(which) < 0).any() or which[0] < 0 or which[-1] >= len(parts)):
+                raise ValueError("tokens must come in the order of the texts")
+            filled = {n: pa.array(got[n] if n in got else [ANSWER[n]] * len(which), kinds.get(n, pa.string())) for n in names}
+            docs = [p[0] for p in parts]
+            number = np.arange(len(which)) - np.searchsorted(which, which)
+            entities = filled["ent_id"]
+            for i, doc in enumerate(docs):  # parts of one text go on counting
+                mine = slice(*np.searchsorted(which, [i, i + 1]))
+                if doc == seen.get("doc") and parts[i][1] > 0:
+                    number[mine] += seen["idx"]
+                    if seen["ent"]:
+                        entities = pc.if_else(pa.array(which == i), pc.add(entities, seen["ent"]), entities).cast(pa.int32())
+                    seen["idx"] += mine.stop - mine.start
+                else:
+                    seen.update(doc=doc, idx=mine.stop - mine.start, ent=0)
+                top = pc.max(entities.slice(mine.start, mine.stop - mine.start)).as_py()
+                seen["ent"] = max(seen["ent"], -1 if top is None else top + 1, 0)
+            filled["ent_id"] = entities
+            starts = np.array([p[1] for p in parts], np.int64)[which] if len(which) else np.zeros(0, np.int64)
+            row = [pa.array(np.array(docs, np.int64)[which] if len(which) else np.zeros(0, np.int64)), pa.array(number.astype(np.int32)), *filled.values(), pa.array(starts), pa.nulls(len(which), pa.string())]
+            return pa.record_batch(row, columns)
+
+        def failed(part: tuple[int, int, str], error: Exception) -> pa.RecordBatch:
+            row = {"doc_id": pa.array([part[0]], pa.int64()), "idx": pa.nulls(1, pa.int32()), **{n: pa.nulls(1, kinds.get(n, pa.string())) for n in names}}
+            return pa.record_batch([*row.values(), pa.array([part[1]], pa.int64()), pa.array([f"{type(error).__name__}: {error}"[:500]])], columns)
+
+        def answer(parts: list[tuple[int, int, str]]) -> Iterator[pa.RecordBatch]:
+            before = dict(seen)
+            try:
+                yield tokens(parts)
+            except Exception as error:  # noqa: BLE001 - whatever a user's model raises concerns these texts alone
+                seen.clear()
+                seen.update(before)
+                if len(parts) == 1:
+                    yield failed(parts[0], error)
+                else:
+                    for part in parts:
+                        yield from answer([part])
+
+        held: list[tuple[int, int, str]] = []
+        size = 0
+        for batch in batches:
+            for i in range(batch.num_rows):
+                doc, value = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                for start, part in _cut_text(value, max_chars):
+                    if held and size + len(part) > max_chars:
+                        yield from answer(held)
+                        held, size = [], 0
+                    held.append((doc, start, part))
+                    size += len(part)
+        if held:
+            yield from answer(held)
+
+    source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter((F.col("text") != "") & F.col("doc_id").isNotNull())
+    return source.mapInArrow(run, ANNOTATED_SCHEMA)
+
+
+def split_errors(annotated: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The tokens, and ``(doc_id, start, error)`` of the texts or parts that failed, from one run of the annotator."""
+    kept = materialize(annotated)
+    return kept.filter("error IS NULL").drop("start", "error"), kept.filter("error IS NOT NULL").select("doc_id", "start", "error")
+
+
 def lexicon_annotate(df: DataFrame, pos_lexicon: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """Default annotator without a language model: word tokens tagged from ``pos_lexicon(word, lemma, upos)``.
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,13 +15,14 @@ from rostrum.operators import attributes as at
 from rostrum.operators import interjections as ij
 from rostrum.operators import matching as ma
 from rostrum.operators import rankings as rk
+from rostrum.operators import ruletable as rt
 from rostrum.operators import similar as si
 from rostrum.operators import transcript as tr
 from rostrum.operators.common import forward_asof, lookup_frame
 from rostrum.plans import views as v
 from rostrum.plans.registry import query
 from rostrum.plans.sqltext import _SUMS, div, pick, sql
-from rostrum.session import materialize
+from rostrum.session import ensure_checkpoint_dir, materialize
 
 # ---------------------------------------------------------------- segmentation
 
@@ -87,6 +90,34 @@ def classify_start(spark, sf):
     return c.select("conv_id", "turn", kind.alias("start_type"), (kind == "rede").alias("addresses_chair"))
 
 
+# literal openings that are placed where prepared statements and short replies are tested: (priority, label, opening)
+_LITERALS = [
+    (11_100, "abstimmung", "Dem vorliegenden Antrag stimme ich zu"), (11_200, "statement", "Unsere Haltung zu diesem Vorhaben"), (11_200, "statement", "Unsere Haltung"),
+    (11_300, "protokoll", "Zu Protokoll gebe ich"), (16_100, "zwischenfrage", "Dazu nur so viel"), (16_050, "statement", "Dazu nur so viel, Herr Nachbar"),
+]
+# openings, each with the label that the table gives it
+_TABLE_OPENINGS = [
+    ("Ich habe eine Frage. ", "fragestunde"), ("Danke, dass Sie die Zwischenfrage zulassen. ", "zwischenfrage"), ("- Ich komme zum Schluss. ", "continuation"),
+    ("Moment, ich unterbreche kurz. ", "continuation"), ("Nun eine Frage an den Bundesminister. ", "fragestunde"), ("Dazu eine Nachfrage. ", "fragestunde"),
+    ("Sehr geehrte Frau Präsidentin! ", "rede"), ("Guten Tag, Frau Ministerin. ", "fragestunde"), ("Werte Gäste, Herr Vizepräsident! ", "rede"), ("Verehrtes Präsidium! ", "rede"),
+    ("Liebe Kolleginnen! ", "rede"), ("Dem vorliegenden Antrag stimme ich zu. ", "abstimmung"), ("Unsere Haltung zu diesem Vorhaben ist klar. ", "statement"), ("Unsere Haltung ist klar. ", "statement"),
+    ("Zu Protokoll gebe ich: ", "protokoll"), ("Deutschland hat in den vergangenen Jahren viele Ortskräfte geholt. ", "ortskraefte"), ("Wie hoch sieht die Bundesregierung den Bedarf? ", "fragestunde"),
+    ("Nein, so nicht. ", "zwischenfrage"), ("Herr Kollege! ", "zwischenfrage"), ("Dazu nur so viel: ", "zwischenfrage"), ("Dazu nur so viel, Herr Nachbar: ", "statement"), ("Vielen Dank, Herr Staatssekretär. ", "fragestunde"),
+    ("Danke für die Frage. ", "fragestunde_antwort"), ("Herzlichen Dank, liebes Haus, geschätzter Präsident. ", "rede"), ("Danke schön. ", "zwischenfrage"), ("Meine Damen und Herren! ", "rede"), ("Xyz. ", "other"),
+]
+
+
+@query("classify_by_table", f"SELECT doc_id, {pick([k for _, k in _TABLE_OPENINGS], f'doc_id % {len(_TABLE_OPENINGS)}')} AS label FROM documents")
+def classify_by_table(spark, sf):
+    """Openings of all documents by a rules file: the built-in decision list, with literal openings of single sittings in between."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/rules-{uuid.uuid4().hex}"
+    extra = [(p, label, [{"window": 100, "kind": rt.STARTS, "pattern": o}]) for p, label, o in _LITERALS]
+    rt.rule_table(spark, ru.start_rules()).unionByName(lookup_frame(spark, extra, rt.RULE_SCHEMA)).write.json(path)
+    d = v.read(spark, sf, "documents")
+    text = F.concat(v._pick([o for o, _ in _TABLE_OPENINGS], F.col("doc_id") % len(_TABLE_OPENINGS)), "text")
+    return rt.classify_by_table(d.select("doc_id", text.alias("text")), rt.read_rules(spark, path), ["doc_id"])
+
+
 _INTROS = [
     "Das Wort hat nun die Abgeordnete.", "Ihre Redezeit ist abgelaufen.", "Eine Kurzintervention folgt.", "Gestatten Sie eine Frage?",
     "Es gibt eine Nachfrage.", "Wir kommen zur Fragestunde.", "Guten Morgen.",
