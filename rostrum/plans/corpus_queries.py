@@ -64,38 +64,47 @@ def count_words(spark, sf):
     return v.read(spark, sf, "documents").select("doc_id", tx.word_count(F.col("text")).alias("words"))
 
 
-_NAMES = ["Dr. Anna von Berg", "Schmidt", "Prof. Dr. h. c. Éva  Müller-Lüden", "Graf zu Solms", "José Ñandú Çelik", "Weiß, Jörg"]
+_NAMED = r"""
+WITH pc AS (SELECT DISTINCT regexp_extract_all(p, '[^\x20\x09-\x0D]+') AS w, length(p) % 4 AS f FROM (SELECT unnest(string_split(coalesce(text, ''), '.')) AS p FROM documents)),
+n AS (SELECT DISTINCT CASE f WHEN 0 THEN w[1] || ' ' || w[2] WHEN 1 THEN 'Dr. ' || w[1] || ' ' || w[2] || ' ' || w[3] WHEN 2 THEN w[2] || ', ' || w[1] ELSE 'Prof. Dr. ' || w[2] END AS name
+  FROM pc WHERE len(w) >= 3)"""
 
 
-@query("name_parts", f"""
-WITH n AS (SELECT c_custkey, {pick(_NAMES, f'c_custkey % {len(_NAMES)}')} AS name FROM customer),
+def _names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names of several forms, made of the first words of every sentence of the documents."""
+    pieces = v.read(spark, sf, "documents").select(F.explode(F.split(F.coalesce("text", F.lit("")), r"\.")).alias("p"))
+    w = lambda i: F.get("w", F.lit(i))
+    found = pieces.select(F.regexp_extract_all("p", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)).alias("w"), (F.length("p") % 4).alias("f")).filter(F.size("w") >= 3)
+    name = (
+        F.when(F.col("f") == 0, F.concat_ws(" ", w(0), w(1))).when(F.col("f") == 1, F.concat_ws(" ", F.lit("Dr."), w(0), w(1), w(2)))
+        .when(F.col("f") == 2, F.concat(w(1), F.lit(", "), w(0))).otherwise(F.concat(F.lit("Prof. Dr. "), w(1)))
+    )
+    return found.select(name.alias("name")).distinct()
+
+
+@query("name_parts", _NAMED + f""",
 p AS (SELECT *, list_filter(string_split(trim(regexp_replace(regexp_replace(name, '[^a-zA-ZÀ-ÿÖÄÜäöüßğşçıİ\\-\\s]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x <> '') AS t FROM n),
 q AS (SELECT *, list_filter(t, lambda x: NOT list_contains({tx.NAME_TITLES!r}, x)) AS nm, list_filter(t, lambda x: list_contains({tx.NAME_TITLES!r}, x)) AS tt FROM p)
-SELECT c_custkey, CASE WHEN len(nm) > 1 THEN array_to_string(nm[1:len(nm)-1], ' ') ELSE '' END AS first_name,
+SELECT name, CASE WHEN len(nm) > 1 THEN array_to_string(nm[1:len(nm)-1], ' ') ELSE '' END AS first_name,
   CASE WHEN len(nm) > 0 THEN nm[len(nm)] ELSE '' END AS last_name, CASE WHEN len(tt) > 0 THEN array_to_string(tt, ' ') END AS acad_title FROM q""")
 def name_parts(spark, sf):
-    c = v.read(spark, sf, "customer")
-    name = v._pick(_NAMES, F.col("c_custkey") % len(_NAMES))
-    return c.select("c_custkey", tx.name_parts(name).alias("p")).select("c_custkey", "p.*")
+    return _names(spark, sf).select("name", tx.name_parts(F.col("name")).alias("p")).select("name", "p.*")
 
 
-@query("name_keys", f"""
-WITH n AS (SELECT c_custkey, {pick(_NAMES, f'c_custkey % {len(_NAMES)}')} AS name FROM customer)
-SELECT c_custkey, lower(trim(regexp_replace(regexp_replace(name, '\\b(Dr\\.?|Prof\\.?)\\s*', '', 'g'), '\\s+', ' ', 'g'))) AS match_key,
+@query("name_keys", _NAMED + """
+SELECT name, lower(trim(regexp_replace(regexp_replace(name, '\\b(Dr\\.?|Prof\\.?)\\s*', '', 'g'), '\\s+', ' ', 'g'))) AS match_key,
   lower(list_extract(string_split(trim(regexp_replace(replace(replace(name, 'Dr.', ''), 'Prof.', ''), '\\s+', ' ', 'g')), ' '), -1)) AS last_key FROM n""")
 def name_keys(spark, sf):
-    c = v.read(spark, sf, "customer")
-    name = v._pick(_NAMES, F.col("c_custkey") % len(_NAMES))
-    return c.select("c_custkey", tx.match_name_key(name).alias("match_key"), tx.last_name_key(name).alias("last_key"))
-
-
-_SLUGS = ["anna-von-berg", "schmidt", "h-c-eva-mueller-lueden", "graf-zu-solms", "jose-nandu-celik", "joerg-weiss"]
+    return _names(spark, sf).select("name", tx.match_name_key(F.col("name")).alias("match_key"), tx.last_name_key(F.col("name")).alias("last_key"))
 
 
-@query("slugs", f"SELECT c_custkey, {pick(_SLUGS, f'c_custkey % {len(_SLUGS)}')} AS slug FROM customer")
+@query("slugs", _NAMED + r""",
+b AS (SELECT name, trim(regexp_replace(name, '\b(Dr\.|Prof\.|Dr\s|Prof\s)\s*', '', 'g')) AS bare FROM n),
+t AS (SELECT name, lower(CASE WHEN len(string_split(bare, ',')) = 2 THEN trim(string_split(bare, ',')[2]) || ' ' || trim(string_split(bare, ',')[1]) ELSE bare END) AS low FROM b),
+u AS (SELECT name, strip_accents(replace(replace(replace(replace(low, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue'), 'ß', 'ss')) AS plain FROM t)
+SELECT name, trim(regexp_replace(plain, '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM u""")
 def slugs(spark, sf):
-    c = v.read(spark, sf, "customer")
-    return c.select("c_custkey", tx.slug(v._pick(_NAMES, F.col("c_custkey") % len(_NAMES))).alias("slug"))
+    return _names(spark, sf).select("name", tx.slug(F.col("name")).alias("slug"))
 
 
 @query("slug_collisions", """

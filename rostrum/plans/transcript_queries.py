@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from rostrum.functions import rules as ru
 from rostrum.functions import text as tx
-from rostrum.functions.groups import normalize_party, parties_in_annotation, party_compare_key
+from rostrum.functions.groups import PARTY_PATTERNS, normalize_party, parties_in_annotation, party_compare_key
 from rostrum.operators import activity as ac
 from rostrum.operators import attributes as at
 from rostrum.operators import interjections as ij
@@ -21,7 +21,7 @@ from rostrum.operators import transcript as tr
 from rostrum.operators.common import forward_asof, lookup_frame
 from rostrum.plans import views as v
 from rostrum.plans.registry import query
-from rostrum.plans.sqltext import _SUMS, div, pick, sql
+from rostrum.plans.sqltext import _SUMS, div, lit, pick, sql
 from rostrum.session import ensure_checkpoint_dir, materialize
 
 # ---------------------------------------------------------------- segmentation
@@ -143,24 +143,40 @@ def classify_preceding(spark, sf):
     return c.select("conv_id", "turn", ru.classify_preceding(F.right(context, F.lit(600))).alias("context_type"))
 
 
-_SPELLINGS = ["CDU/CSU", "SPD-Gast", "BÜNDNIS 90/DIE GRÜNEN", "F.D.P.", "AfD", "DIE LINKE", "BSW", "parteilos", "Unbekannt"]
-_CANONICAL = ["CDU/CSU", "SPD", "GRÜNE", "FDP", "AfD", "DIE LINKE", "BSW", "fraktionslos", None]
+def _party_of(text: str) -> str:
+    """SQL of the canonical group of a text: the first spelling found."""
+    arms = " ".join(f"WHEN regexp_matches(trim({text}), {lit('(?i)' + pattern)}) THEN {lit(name)}" for name, pattern in PARTY_PATTERNS)
+    return f"CASE {arms} END"
 
 
-@query("normalize_party", f"SELECT c_custkey, {pick(_CANONICAL, f'c_custkey % {len(_CANONICAL)}')} AS party, {pick(['CDU/CSU', 'SPD-GAST', 'GRÜNE', 'F.D.P.', 'AFD', 'LINKE', 'BSW', 'PARTEILOS', 'UNBEKANNT'], f'c_custkey % {len(_SPELLINGS)}')} AS compare_key FROM customer")
-def normalize_parties(spark, sf):
-    spelled = v._pick(_SPELLINGS, F.col("c_custkey") % len(_SPELLINGS))
-    return v.read(spark, sf, "customer").select("c_custkey", normalize_party(spelled).alias("party"), party_compare_key(spelled).alias("compare_key"))
-
-
-_NOTES = ["SPD und der AfD", "CDU/CSU sowie bei Abgeordneten der SPD", "Abg. Dr. Ralf Adler [SPD]", "AfD: Oh nein", "ganzen Hause", "FDP , LINKEN"]
-_NOTE_PARTIES = ["SPD,AfD", "CDU/CSU,SPD", "SPD", "AfD", "", "FDP,DIE LINKE"]
+_UPPER = "upper(replace(trim({0}), 'ß', 'ss'))"
+_COMPARED = f"CASE WHEN {{0}} = '' THEN '' WHEN {_UPPER} LIKE '%GRÜNE%' OR {_UPPER} LIKE '%BÜNDNIS%' THEN 'GRÜNE' WHEN {_UPPER} LIKE '%LINKE%' THEN 'LINKE' ELSE {_UPPER} END"
+_SPELLED = r"""
+, words AS (SELECT unnest(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS spelled FROM documents
+  UNION ALL SELECT unnest(regexp_extract_all(header || spoken, '[(\[]([^)\]]*)[)\]]', 1)) FROM turns),
+d AS (SELECT spelled, count(*) AS n FROM words GROUP BY spelled)"""
 
 
-@query("parties_in_annotation", f"SELECT c_custkey, {pick(_NOTE_PARTIES, f'c_custkey % {len(_NOTES)}')} AS parties FROM customer")
+@query("normalize_party", sql(_SPELLED + f" SELECT spelled, n, {_party_of('spelled')} AS party, {_COMPARED.format('spelled')} AS compare_key FROM d", "turns"))
+def normalize_parties(spark, sf):
+    """Groups in all words of the documents and in all that stands in brackets in the transcripts."""
+    words = v.read(spark, sf, "documents").select(F.explode(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))).alias("spelled"))
+    noted = v.turns(spark, sf).select(F.explode(F.regexp_extract_all("part", F.lit(r"[(\[]([^)\]]*)[)\]]"), F.lit(1))).alias("spelled"))
+    spelled = words.unionByName(noted).groupBy("spelled").agg(F.count(F.lit(1)).alias("n"))
+    return spelled.select("spelled", "n", normalize_party(F.col("spelled")).alias("party"), party_compare_key(F.col("spelled")).alias("compare_key"))
+
+
+@query("parties_in_annotation", sql(r"""
+, notes AS (SELECT conv_id AS protocol_id, turn, unnest(regexp_extract_all(header || chr(10) || spoken, '\(([^)]*)\)', 1)) AS note FROM turns),
+kinds AS (SELECT note, count(*) AS n, string_split_regex(regexp_replace(note, ':\s*[^,)]+', '', 'g'), '\s+(?:sowie|und|–|,)\s+') AS parts FROM notes GROUP BY note),
+split AS (SELECT note, n, unnest(parts) AS part, unnest(range(0, len(parts))) AS i FROM kinds),
+found AS (SELECT note, n, i, coalesce(""" + ", ".join(_party_of(x) for x in ("part", r"regexp_extract(part, '\[([^\]]+)\]', 1)", r"regexp_extract(part, '(?:der|dem|des|bei)\s+(\S+)', 1)")) + """) AS party FROM split)
+SELECT note, n, coalesce(string_agg(party, ',' ORDER BY i), '') AS parties FROM found GROUP BY note, n""", "turns"))
 def parties_in_notes(spark, sf):
-    note = v._pick(_NOTES, F.col("c_custkey") % len(_NOTES))
-    return v.read(spark, sf, "customer").select("c_custkey", F.array_join(parties_in_annotation(note), ",").alias("parties"))
+    """Groups named in every bracketed note of the transcripts."""
+    notes = v.turns(spark, sf).select(F.explode(F.regexp_extract_all("part", F.lit(r"\(([^)]*)\)"), F.lit(1))).alias("note"))
+    kinds = notes.groupBy("note").agg(F.count(F.lit(1)).alias("n"))
+    return kinds.select("note", "n", F.array_join(parties_in_annotation(F.col("note")), ",").alias("parties"))
 
 
 # ---------------------------------------------------------------- interjections
@@ -293,31 +309,58 @@ def gender_stats(spark, sf):
     return ac.gender_stats(v.profiles(spark, sf))
 
 
-_FIRST = ["Anna", "Emil Otto", "Gustav", "Dora", "Karoline", "Adalbert", "Petra", "Tomo", "Anuschka", "Xyz", ""]
-_EXPECT = [("female", 0.95, "dictionary"), ("male", 0.9, "override"), ("male", 1.0, "manual"), ("female", 0.7, "dictionary"), ("female", 0.8, "heuristic"),
-           ("male", 0.8, "heuristic"), ("female", 0.65, "heuristic"), ("male", 0.65, "heuristic"), ("unknown", 0.0, "unknown"), ("unknown", 0.0, "unknown"), ("unknown", 0.0, "empty")]
-_IDX = f"c_custkey % {len(_FIRST)}"
+_FIRSTS = r"""
+, f AS (SELECT w[1] AS first_name FROM (SELECT DISTINCT regexp_extract_all(p, '[^\x20\x09-\x0D]+') AS w FROM (SELECT unnest(string_split(coalesce(text, ''), '.')) AS p FROM documents)) WHERE len(w) > 0
+  UNION SELECT first_name || ' Otto' FROM speeches UNION SELECT first_name FROM speeches UNION SELECT ''),
+k AS (SELECT first_name, lower(regexp_extract(trim(first_name), '^\S+')) AS t FROM f)"""
+
+
+def _detected(extra: str = "") -> str:
+    """SQL of gender, confidence and source of ``t``: the listed names by priority, then endings."""
+    ending = lambda words: f"regexp_matches(t, '(?:{'|'.join(words)})$')"
+    arms = [(extra, "female", 1.0, "manual")] if extra else []
+    arms += [("t = 'gustav'", "male", 1.0, "manual"), ("t = 'emil'", "male", 0.9, "override"), ("t IN ('anna', 'clara')", "female", 0.95, "dictionary"), ("t = 'bernd'", "male", 0.95, "dictionary"),
+             ("t = 'dora'", "female", 0.7, "dictionary"), ("t = ''", "unknown", 0.0, "empty"), (ending(at.FEMALE_ENDINGS), "female", 0.8, "heuristic"), (ending(at.MALE_ENDINGS), "male", 0.8, "heuristic"),
+             ("ends_with(t, 'a') AND NOT ends_with(t, 'ka')", "female", 0.65, "heuristic"), ("ends_with(t, 'o')", "male", 0.65, "heuristic")]
+    pieces = [" ".join(f"WHEN {c} THEN {lit(x)}" for c, *x_ in arms for x in [x_[i]]) for i in range(3)]
+    return f"CASE {pieces[0]} ELSE 'unknown' END AS gender, CASE {pieces[1]} ELSE CAST(0.0 AS DOUBLE) END AS confidence, CASE {pieces[2]} ELSE 'unknown' END AS source"
 
 
 def _first_names(spark, sf) -> DataFrame:
-    c = v.read(spark, sf, "customer")
-    return c.select("c_custkey", v._pick(_FIRST, F.col("c_custkey") % len(_FIRST)).alias("first_name"))
+    """First words of all sentences of the documents, and first names of the speakers, some with a second name."""
+    pieces = v.read(spark, sf, "documents").select(F.explode(F.split(F.coalesce("text", F.lit("")), r"\.")).alias("p"))
+    words = pieces.select(F.regexp_extract("p", r"[^\x20\x09-\x0D]+", 0).alias("first_name")).filter("first_name <> ''")
+    speakers = v.speeches(spark, sf).select("first_name").distinct()
+    both = words.unionByName(speakers).unionByName(speakers.select(F.concat("first_name", F.lit(" Otto")).alias("first_name"))).unionByName(lookup_frame(spark, [("",)], "first_name string"))
+    return both.distinct()
 
 
-@query("detect_gender", f"SELECT c_custkey, {pick(_FIRST, _IDX)} AS first_name, {pick([e[0] for e in _EXPECT], _IDX)} AS gender, CAST({pick([e[1] for e in _EXPECT], _IDX)} AS DOUBLE) AS confidence, {pick([e[2] for e in _EXPECT], _IDX)} AS source FROM customer")
+@query("detect_gender", sql(_FIRSTS + f" SELECT first_name, {_detected()} FROM k", "speeches"))
 def detect_gender(spark, sf):
     return at.detect_gender(_first_names(spark, sf), v.names(spark))
 
 
-@query("unknown_names", f"SELECT DISTINCT lower({pick(_FIRST, _IDX)}) AS name FROM customer WHERE {_IDX} IN (8, 9)")
+@query("unknown_names", sql(_FIRSTS + f" SELECT DISTINCT t AS name FROM (SELECT t, {_detected()} FROM k) WHERE source = 'unknown' AND t NOT IN (SELECT lower(text[1:3]) FROM documents)", "speeches"))
 def unknown_names(spark, sf):
-    return at.unknown_names(at.detect_gender(_first_names(spark, sf), v.names(spark)))
+    """First names that no source resolves, without those that are on file already."""
+    known = v.read(spark, sf, "documents").select(F.lower(F.substring("text", 1, 3)).alias("name")).distinct()
+    return at.unknown_names(at.detect_gender(_first_names(spark, sf), v.names(spark)), known)
 
 
-@query("add_mapping", f"SELECT {pick(['female', 'male', 'male', 'female', 'female', 'male', 'female', 'male', 'female', 'unknown', 'unknown'], _IDX)} AS gender, count(*) AS n FROM customer GROUP BY ALL")
+@query("add_mapping", sql(_FIRSTS + f" SELECT first_name, {_detected(extra="t IN ('the', 'bernd')")} FROM k", "speeches"))
 def add_mapping(spark, sf):
-    extended = at.add_mapping(v.names(spark), {"Anuschka": "female"})
-    return at.detect_gender(_first_names(spark, sf), extended).groupBy("gender").agg(F.count(F.lit(1)).alias("n"))
+    """The same with manual entries, one against the dictionary."""
+    extended = at.add_mapping(v.names(spark), {"The": "female", "Bernd": "female"})
+    return at.detect_gender(_first_names(spark, sf), extended)
+
+
+@query("detector_stats", "SELECT 'dictionary' AS source, CASE WHEN n_nationkey % 3 = 0 THEN 'female' ELSE 'male' END AS gender, count(DISTINCT lower(n_name)) AS names, count(*) FILTER (n_nationkey % 4 = 0) AS ambiguous FROM nation GROUP BY ALL UNION ALL SELECT 'manual', 'female', count(*), 0 FROM region")
+def detector_stats(spark, sf):
+    """Counts of a name table made of the nations, with the regions as manual entries."""
+    k = F.col("n_nationkey")
+    names = v.read(spark, sf, "nation").select(F.col("n_name").alias("first_name"), F.when(k % 3 == 0, "female").otherwise("male").alias("gender"), F.lit("dictionary").alias("source"), (k % 4 == 0).alias("ambiguous"))
+    manual = v.read(spark, sf, "region").select(F.col("r_name").alias("first_name"), F.lit("female").alias("gender"), F.lit("manual").alias("source"), F.lit(None).cast("boolean").alias("ambiguous"))
+    return at.detector_stats(names.unionByName(manual))
 
 
 def _g(name: str, body: str):
@@ -683,10 +726,14 @@ def near_duplicates(spark, sf):
 
 
 @query("similar_texts", f"""
-WITH cl AS (SELECT lang AS protocol_id, doc_id AS id, {_WORDS.format('text')} AS ws FROM documents),
-{_PAIRED}
-SELECT no.protocol_id AS lang, l AS left_id, r AS right_id, o AS overlap, CAST(o AS DOUBLE) / (len(a.sh) + len(b.sh) - o) AS similarity
-FROM no JOIN ns a ON a.protocol_id = no.protocol_id AND a.id = l JOIN ns b ON b.protocol_id = no.protocol_id AND b.id = r WHERE CAST(o AS DOUBLE) / (len(a.sh) + len(b.sh) - o) >= 0.8""")
+WITH w AS (SELECT lang, doc_id, {_WORDS.format('text')} AS ws FROM documents),
+x AS (SELECT lang, doc_id, w, lead(w, 1) OVER p AS w1, lead(w, 2) OVER p AS w2, lead(w, 3) OVER p AS w3, lead(w, 4) OVER p AS w4
+  FROM (SELECT lang, doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM w) WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+s AS (SELECT DISTINCT lang, doc_id, concat_ws(' ', w, w1, w2, w3, w4) AS x FROM x WHERE w4 IS NOT NULL UNION ALL SELECT lang, doc_id, array_to_string(ws, ' ') FROM w WHERE len(ws) BETWEEN 1 AND 4),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.lang, a.doc_id AS left_id, b.doc_id AS right_id, count(*) AS overlap FROM s a JOIN s b ON a.lang = b.lang AND a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL)
+SELECT lang, left_id, right_id, overlap, CAST(overlap AS DOUBLE) / (l.n + r.n - overlap) AS similarity
+FROM o JOIN n l ON l.doc_id = left_id JOIN n r ON r.doc_id = right_id WHERE CAST(overlap AS DOUBLE) / (l.n + r.n - overlap) >= 0.8""")
 def similar_texts(spark, sf):
     """Pairs of whole documents of a language that share four fifths of their five-word runs."""
     docs = v.read(spark, sf, "documents").select("lang", F.col("doc_id").alias("id"), "text")
