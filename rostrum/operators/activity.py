@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -314,6 +315,105 @@ def compare_parties(speeches: DataFrame, tone: DataFrame, topics: DataFrame, par
     return activity, rankings, spread.orderBy(F.desc("spread"), F.asc("topic"))
 
 
+def compare_profiles(
+    speeches: DataFrame, words: DataFrame, tone: DataFrame, topics: DataFrame, parties: Sequence[str] | None = None, top: int = 20,
+) -> DataFrame:
+    """Whole profiles of parties side by side, long: ``(party, part, item, value, rank)``.
+
+    Parts: ``activity`` (speakers, speeches, words, avg_words), one part per word type with its ``top`` words and counts,
+    and ``<type>_per_1000`` with their share, ``tone`` with every tone score, ``topic`` with every topic score, and the rankings
+    ``by_aggression``, ``by_collaboration`` and ``by_solution_focus`` (item is null, value the score). ``words(party, word_type, word, n)``; ``tone`` has
+    one row per party, ``topics(party, topic, score)``. Without ``parties`` all that occur are compared. Ranks start
+    at 1 per party and part, for the rankings per part; parts without an order have none.
+    """
+    chosen = speeches.filter(F.col("party").isNotNull())
+    if parties is not None:
+        chosen = chosen.filter(F.col("party").isin(*parties))
+    base = chosen.groupBy("party", "speaker").agg(F.count(F.lit(1)).alias("_n"), F.sum("words").alias("_w")).groupBy("party").agg(
+        F.count("speaker").alias("speakers"), F.sum("_n").alias("speeches"), F.sum("_w").alias("words"), F.round(F.sum("_w") / F.sum("_n"), 1).alias("avg_words")
+    )
+    names = base.select("party", F.col("words").alias("_total"))
+    none = F.lit(None).cast("int")
+
+    def rows(df: DataFrame, part: Column, item: Column, value: Column, rank: Column) -> DataFrame:
+        return df.select("party", part.alias("part"), item.cast("string").alias("item"), value.cast("double").alias("value"), rank.cast("int").alias("rank"))
+
+    def long(df: DataFrame, part: str) -> DataFrame:
+        cols = [c for c in df.columns if c not in ("party", "_total")]
+        cells = F.array(*[F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("value")) for c in cols])
+        return rows(df.select("party", F.inline(cells)), F.lit(part), F.col("item"), F.col("value"), none)
+
+    listed = top_k(words.join(names, "party"), ["party", "word_type"], [F.desc("n"), F.asc("word")], top)
+    scores = tone.join(names, "party")
+    parts = [
+        long(base, "activity"),
+        rows(listed, F.col("word_type"), F.col("word"), F.col("n"), F.col("rank")),
+        rows(listed, F.concat("word_type", F.lit("_per_1000")), F.col("word"), ratio(F.col("n"), F.col("_total"), scale=1000.0), F.col("rank")),
+        long(scores, "tone"),
+        rows(topics.join(names, "party"), F.lit("topic"), F.col("topic"), F.col("score"), none),
+    ]
+    for metric in ("aggression", "collaboration", "solution_focus"):
+        place = F.row_number().over(Window.orderBy(F.desc(metric), F.asc("party")))  # a row per party
+        parts.append(rows(scores.withColumn("_place", place), F.lit(f"by_{metric}"), F.lit(None), F.col(metric), F.col("_place")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+#: Shares below which a fact is not worth telling, in percent.
+LEAST_LABELING, LEAST_SPREAD = 1, 10
+FACT_COLUMNS = ("fact", "party", "other", "item", "value")
+
+
+def _facts(df: DataFrame, fact: str, value: Column, party: str | None = "party", other: str | None = None, item: str | None = None) -> DataFrame:
+    text = lambda c: F.lit(None).cast("string") if c is None else F.col(c).cast("string")
+    return df.select(F.lit(fact).alias("fact"), text(party).alias("party"), text(other).alias("other"), text(item).alias("item"), value.cast("double").alias("value"))
+
+
+def tone_facts(tone: DataFrame, words: DataFrame) -> DataFrame:
+    """What stands out in tone: ``(fact, party, other, item, value)``.
+
+    The parties with the most aggressive, most labeling (if above :data:`LEAST_LABELING`) and most collaborative
+    language, the most frequent labeling and aggressive word of any party, and the distance between the most and the
+    least affirmative party (if above :data:`LEAST_SPREAD`). ``words(party, category, word, n)`` holds adjectives by
+    category. Ties go to the smaller party or word.
+    """
+    first = lambda metric: top_k(tone.select("party", metric), [], [F.desc(metric), F.asc("party")], 1)
+    word = lambda category: top_k(words.filter(F.col("category") == category), [], [F.desc("n"), F.asc("word"), F.asc("party")], 1)
+    ends = tone.agg(
+        F.min(F.struct((-F.col("affirmative")).alias("s"), F.col("party").alias("p"))).alias("top"), F.max(F.struct((-F.col("affirmative")).alias("s"), F.col("party").alias("p"))).alias("low"), F.count(F.lit(1)).alias("_n")
+    ).select(F.col("top.p").alias("party"), F.col("low.p").alias("other"), (F.col("low.s") - F.col("top.s")).alias("spread"), "_n")
+    parts = [
+        _facts(first("aggression"), "most_aggressive", F.col("aggression")),
+        _facts(first("labeling").filter(F.col("labeling") > LEAST_LABELING), "most_labeling", F.col("labeling")),
+        _facts(first("collaboration"), "most_collaborative", F.col("collaboration")),
+        _facts(word("labeling"), "labeling_word", F.col("n"), item="word"),
+        _facts(word("aggressive"), "aggressive_word", F.col("n"), item="word"),
+        _facts(ends.filter((F.col("_n") >= 2) & (F.col("spread") > LEAST_SPREAD)), "affirmative_spread", F.col("spread"), other="other"),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def gender_facts(profiles: DataFrame) -> DataFrame:
+    """What stands out by gender: ``(fact, party, other, item, value)``.
+
+    The share of women among speakers of known gender in percent, the party with the highest share, the woman with most
+    contributions (item is her last name), and how many times as often men interrupt as women. Facts without a base
+    are left out; ties go to the smaller name.
+    """
+    by_party = profiles.groupBy("party").agg(count_if(F.col("gender") == "female").alias("f"), count_if(F.col("gender").isin("female", "male")).alias("k")).filter("k > 0")
+    best = top_k(by_party.select("party", (F.col("f") / F.col("k") * 100).alias("share")), [], [F.desc("share"), F.asc("party")], 1)
+    totals = by_party.agg(F.sum("f").alias("f"), F.sum("k").alias("k")).filter("k > 0")
+    women = profiles.filter("gender = 'female'").select("speaker", "party", "total_speeches")
+    top = top_k(women, [], [F.desc("total_speeches"), F.asc("speaker"), F.asc("party")], 1).withColumn("last", F.element_at(F.split("speaker", " "), -1))
+    made = profiles.agg(sum_if(F.col("gender") == "male", F.col("interruptions_made")).alias("m"), sum_if(F.col("gender") == "female", F.col("interruptions_made")).alias("f"))
+    parts = [
+        _facts(totals, "female_percent", F.col("f") / F.col("k") * 100, party=None),
+        _facts(best, "most_female", F.col("share")),
+        _facts(top, "top_woman", F.col("total_speeches"), item="last"),
+        _facts(made.filter("m > 0 AND f > 0"), "men_interrupt", F.col("m") / F.col("f"), party=None),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def kpi_facts(speeches: DataFrame, sessions: int) -> DataFrame:
     """Whole-number facts of a corpus: words per session day, words per contribution, book equivalents."""
     totals = speeches.agg(F.coalesce(F.sum("words"), F.lit(0)).alias("_w"), F.count(F.lit(1)).alias("_n"))

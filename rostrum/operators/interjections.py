@@ -11,6 +11,7 @@ from rostrum.functions.groups import PARTY_PATTERNS, normalize_party, parties_in
 from rostrum.functions.sentiment import NEGATIVE_KEYWORDS, POSITIVE_KEYWORDS, annotation_content, classify_sentiment
 from rostrum.functions.text import last_name_key, strip_honorific
 from rostrum.operators.common import count_if, distributed_rank, ratio, top_k
+from rostrum.operators.tokens import groups_of
 
 # The forms of annotations in a transcript.
 INTERJECTION = r"\(([A-ZÄÖÜ][^\[\]()]{2,40})\s*\[([A-ZÄÖÜa-zäöü0-9/\s-]+)\]:[^)]+\)"
@@ -102,7 +103,7 @@ def cross_group_wide(events: DataFrame, groups: Sequence[str] | None = None) ->
     """The matrix with one column per receiving group: the given ones, or all that occur."""
     edges = cross_group_matrix(events)
     if groups is None:
-        groups = [r[0] for r in edges.select("to_party").filter(F.col("to_party").isNotNull()).distinct().orderBy("to_party").collect()]
+        groups = groups_of(edges, "to_party")
     return edges.groupBy("from_party").pivot("to_party", list(groups)).agg(F.sum("n")).na.fill(0)
 
 

@@ -339,9 +339,16 @@ def per_thousand(counts: DataFrame, totals: DataFrame, by: Sequence[str], total:
     return joined.withColumn("per_1000", F.col("n") / F.col(total) * 1000)
 
 
+#: Groups that may become columns.
+MOST_GROUPS = 1000
+
+
 def groups_of(totals: DataFrame, by: str) -> list[str]:
-    """The groups of a table of one row per group; each becomes a column, which bounds their number."""
-    return [r[0] for r in totals.select(by).filter(F.col(by).isNotNull()).distinct().orderBy(by).collect()]
+    """The groups of a table of one row per group, at most :data:`MOST_GROUPS`, since each becomes a column."""
+    found = [r[0] for r in totals.select(by).filter(F.col(by).isNotNull()).distinct().orderBy(by).limit(MOST_GROUPS + 1).collect()]
+    if len(found) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups in column {by}: name those that shall be columns")
+    return found
 
 
 def frequency_matrix(counts: DataFrame, totals: DataFrame, groups: Sequence[str] | None = None, by: str = "party") -> DataFrame:

@@ -348,7 +348,18 @@ def distinctive_words(spark, sf):
     return d.select("party", "word", "n", F.round("per_1000", 6).alias("per_1000"), F.round("ratio", 4).alias("ratio"), F.round("score", 4).alias("score"), "rank")
 
 
-@query("key_topics")
+def _folded(n: int) -> str:
+    """SQL of the key topics: the most frequent mildly distinctive words, folded into longer ones, one list ``ks`` per party."""
+    return _RATED + f"""
+, pool AS (SELECT party, word, n, ratio, row_number() OVER (PARTITION BY party ORDER BY n DESC, word) AS k FROM r WHERE n >= counted * 0.0005::DOUBLE AND ratio > 1.5 QUALIFY k <= {2 * n}),
+lists AS (SELECT party, list([{{'word': word, 'n': n, 'ratio': ratio}}] ORDER BY k) AS ws FROM pool GROUP BY party),
+folded AS (SELECT party, list_reduce(list_prepend(ws[1][2:1], ws), lambda kept, w: CASE
+    WHEN len(kept) >= {n} OR len(list_filter(kept, lambda x: contains(x.word, w[1].word) AND x.word <> w[1].word)) > 0 THEN kept
+    ELSE list_concat(list_filter(kept, lambda x: NOT contains(w[1].word, x.word)), w) END) AS ks FROM lists)"""
+
+
+@query("key_topics", sql(_folded(10) + """
+SELECT party, k.word AS word, CAST(k.n AS BIGINT) AS n, round(k.ratio, 4) AS ratio, rank FROM (SELECT party, unnest(ks) AS k, unnest(range(1, len(ks) + 1)) AS rank FROM folded)""", "ptot"))
 def key_topics(spark, sf):
     counts, totals = _party(spark, sf)
     return di.key_topics(counts, totals).withColumn("ratio", F.round("ratio", 4))
@@ -632,13 +643,16 @@ def corpus_overview(spark, sf):
     return ac.corpus_overview(v.corpus_docs(spark, sf))
 
 
-@query("group_overview", sql(_STYLE + f""",
-f AS (SELECT party, speaker, {_F} (type = 'rede') AS formal, count(*) AS n, sum(words) AS w FROM corpus GROUP BY ALL),
-tw AS (SELECT party, word, n, row_number() OVER (PARTITION BY party ORDER BY n DESC, word) AS r FROM pwc QUALIFY r <= 7)
-SELECT f.party, CAST(sum(formal) AS BIGINT) AS speeches, CAST(sum(n) - sum(formal) AS BIGINT) AS wortbeitraege, CAST(sum(w) AS BIGINT) AS total_words, {_F} (formal > 0) AS unique_speakers,
-  arg_min(speaker, (-formal, speaker)) AS top_speaker, (SELECT string_agg(word || ':' || n, ',' ORDER BY r) FROM tw WHERE tw.party = f.party) AS top_words,
+@query("group_overview", sql(_STYLE.replace(", s AS (", ", sz AS (", 1).replace("FROM s JOIN", "FROM sz s JOIN").replace(", w AS (", ", wz AS (", 1).replace("JOIN w ON", "JOIN wz w ON").replace("c AS (SELECT party, coalesce", "cz AS (SELECT party, coalesce", 1).replace("JOIN c ON", "JOIN cz c ON") + _folded(5) + f""",
+sg AS (SELECT party, word, ratio, row_number() OVER (PARTITION BY party ORDER BY round(ratio * sqrt(per_1000), 6) DESC, word) AS k FROM r WHERE n >= counted * 0.0005::DOUBLE AND ratio > 2 QUALIFY k <= 5),
+fm AS (SELECT party, speaker, {_F} (type = 'rede') AS formal, count(*) AS n, sum(words) AS w FROM corpus GROUP BY ALL),
+tw AS (SELECT party, word, n, row_number() OVER (PARTITION BY party ORDER BY n DESC, word) AS k FROM pwc QUALIFY k <= 7)
+SELECT fm.party, CAST(sum(formal) AS BIGINT) AS speeches, CAST(sum(n) - sum(formal) AS BIGINT) AS wortbeitraege, CAST(sum(w) AS BIGINT) AS total_words, {_F} (formal > 0) AS unique_speakers,
+  arg_min(speaker, (-formal, speaker)) AS top_speaker, max(formal) AS top_speeches, (SELECT string_agg(word || ':' || n, ',' ORDER BY k) FROM tw WHERE tw.party = fm.party) AS top_words,
+  coalesce((SELECT string_agg(word || ':' || CAST(round(ratio * 10) AS BIGINT), ',' ORDER BY k) FROM sg WHERE sg.party = fm.party), '') AS signature_words,
+  coalesce((SELECT array_to_string(list_transform(ks, lambda x: x.word || ':' || CAST(x.n AS BIGINT) || ':' || CAST(round(x.ratio * 10) AS BIGINT)), ',') FROM folded WHERE folded.party = fm.party), '') AS key_topics,
   CAST(floor(any_value(avg_speech_length)) AS BIGINT) AS avg_speech_length, round(any_value(descriptiveness) * 100, 1) AS descriptiveness
-FROM f JOIN style s ON f.party = s.party GROUP BY f.party""", "corpus", "pwc", "cat"))
+FROM fm JOIN style s ON fm.party = s.party GROUP BY fm.party""", "corpus", "pwc", "cat", "ptot"))
 def group_overview(spark, sf):
     docs = v.corpus_docs(spark, sf)
     counts, totals = _party(spark, sf)
@@ -646,10 +660,12 @@ def group_overview(spark, sf):
         docs, tk.top_words(counts, ["party"], 7), di.distinctive_words(counts, totals), di.key_topics(counts, totals, n=5),
         ac.style_metrics(_style_input(spark, sf)),
     )
-    words = F.array_join(F.transform("top_words", lambda w: F.concat_ws(":", w["word"], w["n"].cast("string"))), ",")
+    tenths = lambda c: F.round(c * 10).cast("long").cast("string")
+    listed = lambda name, *parts: F.array_join(F.transform(F.coalesce(F.col(name), F.array().cast(out.schema[name].dataType)), lambda w: F.concat_ws(":", *[p(w) for p in parts])), ",").alias(name)
+    word, n, ratio_ = (lambda w: w["word"]), (lambda w: w["n"].cast("string")), (lambda w: tenths(w["ratio"]))
     return out.select(
-        "party", "speeches", "wortbeitraege", "total_words", "unique_speakers", F.col("top_speaker.name").alias("top_speaker"),
-        words.alias("top_words"), "avg_speech_length", "descriptiveness",
+        "party", "speeches", "wortbeitraege", "total_words", "unique_speakers", F.col("top_speaker.name").alias("top_speaker"), F.col("top_speaker.speeches").alias("top_speeches"),
+        listed("top_words", word, n), listed("signature_words", word, ratio_), listed("key_topics", word, n, ratio_), "avg_speech_length", "descriptiveness",
     )
 
 
@@ -657,8 +673,11 @@ def group_overview(spark, sf):
 , c AS (SELECT party, speaker, count(*) AS speeches, CAST(sum(words) AS BIGINT) AS words, round(CAST(sum(words) AS DOUBLE) / count(*), 1) AS avg_words FROM corpus GROUP BY ALL),
 w AS (SELECT party, speaker, word, n, row_number() OVER (PARTITION BY party, speaker ORDER BY n DESC, word) AS r FROM wc QUALIFY r <= 20),
 l AS (SELECT party, speaker, string_agg(word || ':' || n, ',' ORDER BY r) AS top_words FROM w GROUP BY ALL),
-m AS (SELECT party, speaker, CAST(coalesce(sum(n) FILTER (scheme = 'topic' AND category = 'klima'), 0) AS BIGINT) AS k FROM cat GROUP BY ALL)
-SELECT c.*, l.top_words, t.aggression, CAST(coalesce(m.k, 0) AS DOUBLE) / t.total_words * 1000 AS klima FROM c LEFT JOIN l ON c.party = l.party AND c.speaker = l.speaker LEFT JOIN stone t ON c.party = t.party AND c.speaker = t.speaker LEFT JOIN m ON c.party = m.party AND c.speaker = m.speaker""", "corpus", "wc", "stone"))
+m AS (SELECT party, speaker, category AS topic, CAST(sum(n) AS BIGINT) AS k FROM cat WHERE scheme = 'topic' GROUP BY ALL),
+g AS (SELECT s.party, s.speaker, string_agg(topic || ':' || CAST(round(coalesce(k, 0) * CAST(1000000 AS DOUBLE) / s.total_words) AS BIGINT), ',' ORDER BY topic) AS topic_list
+  FROM (SELECT * FROM stot, topics) s LEFT JOIN m USING (party, speaker, topic) GROUP BY ALL)
+SELECT c.*, l.top_words, """ + ", ".join(f"t.{m}" for m in lx.TONE_METRICS) + """, g.topic_list FROM c LEFT JOIN l ON c.party = l.party AND c.speaker = l.speaker LEFT JOIN stone t ON c.party = t.party AND c.speaker = t.speaker
+LEFT JOIN g ON c.party = g.party AND c.speaker = g.speaker""", "corpus", "wc", "stone", "topics"))
 def speaker_analysis(spark, sf):
     by = ["party", "speaker"]
     counts, totals, cat = _cat(spark, sf, by)
@@ -666,8 +685,8 @@ def speaker_analysis(spark, sf):
         v.corpus_docs(spark, sf), counts, lx.tone_scores(cat, totals, by), lx.topic_scores(cat, totals, by, v.TOPIC_LIST)
     )
     words = F.array_join(F.transform("top_words", lambda w: F.concat_ws(":", w["word"], w["n"].cast("string"))), ",")
-    klima = F.get(F.filter("topics", lambda t: t["topic"] == "klima"), F.lit(0))["score"]
-    return out.select(*by, "speeches", "words", "avg_words", words.alias("top_words"), "tone.aggression", klima.alias("klima"))
+    topics = F.array_join(F.transform("topics", lambda t: F.concat_ws(":", t["topic"], F.round(t["score"] * 1000).cast("long").cast("string"))), ",")
+    return out.select(*by, "speeches", "words", "avg_words", words.alias("top_words"), *[f"tone.{m}" for m in lx.TONE_METRICS], topics.alias("topic_list"))
 
 
 def _compare(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -694,6 +713,57 @@ def compare_parties_topics(spark, sf):
     return _compare(spark, sf)[2]
 
 
+def _typed(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Words of each party as nouns, adjectives and verbs, and the categorised ones."""
+    counts = _kept(spark, sf, ["party"])
+    cat = lx.categorize(counts, v.lexicon(spark))
+    kinds = cat.filter(F.col("scheme").isin("adjective", "verb")).select("party", "word", "n", F.col("scheme").alias("word_type"))
+    return counts.withColumn("word_type", F.lit("noun")).unionByName(kinds), cat
+
+
+_TONES = ", ".join(f"('{m}', {m})" for m in lx.TONE_METRICS)
+_BY_SCORE = " UNION ALL ".join(f"SELECT party, 'by_{m}', NULL, {m}, CAST(row_number() OVER (ORDER BY {m} DESC, party) AS BIGINT) FROM tone WHERE party <> 'es'" for m in ("aggression", "collaboration", "solution_focus"))
+
+
+@query("compare_profiles", sql(f"""
+, b AS (SELECT party, CAST(count(DISTINCT speaker) AS DOUBLE) AS speakers, CAST(count(*) AS DOUBLE) AS speeches, CAST(sum(words) AS DOUBLE) AS words, round(CAST(sum(words) AS DOUBLE) / count(*), 1) AS avg_words FROM corpus WHERE party <> 'es' GROUP BY party),
+k AS (SELECT party, 'noun' AS word_type, word, n FROM pwc UNION ALL SELECT party, scheme, word, n FROM (SELECT party, scheme, word, sum(n) AS n FROM cat WHERE scheme IN ('adjective', 'verb') GROUP BY ALL)),
+o AS (SELECT *, row_number() OVER (PARTITION BY party, word_type ORDER BY n DESC, word) AS rank FROM k WHERE party <> 'es' QUALIFY rank <= 20)
+SELECT party, 'activity' AS part, u.n AS item, u.x AS value, CAST(NULL AS BIGINT) AS rank FROM (SELECT party, unnest([{{'n': 'speakers', 'x': speakers}}, {{'n': 'speeches', 'x': speeches}}, {{'n': 'words', 'x': words}}, {{'n': 'avg_words', 'x': avg_words}}]) AS u FROM b)
+UNION ALL SELECT party, word_type, word, CAST(n AS DOUBLE), rank FROM o
+UNION ALL SELECT o.party, word_type || '_per_1000', word, CAST(n AS DOUBLE) / words * 1000, rank FROM o JOIN b ON o.party = b.party
+UNION ALL SELECT party, 'tone', u.n, u.x, NULL FROM (SELECT party, unnest([{", ".join(f"{{'n': '{m}', 'x': {m}}}" for m in ["total_words", *lx.TONE_METRICS])}]) AS u FROM tone WHERE party <> 'es')
+UNION ALL SELECT party, 'topic', topic, score, NULL FROM tscore WHERE party <> 'es'
+UNION ALL {_BY_SCORE}""", "corpus", "pwc", "cat", "tone", "tscore"))
+def compare_profiles(spark, sf):
+    """Whole profiles of three parties: activity, top words by type, all tone and topic scores, rankings."""
+    words, _ = _typed(spark, sf)
+    return ac.compare_profiles(v.corpus_docs(spark, sf), words, _tone(spark, sf), _topics(spark, sf), ["en", "de", "fr"])
+
+
+@query("tone_facts", sql("""
+, k AS (SELECT party, category, word, sum(n) AS n FROM cat WHERE scheme = 'adjective' GROUP BY ALL),
+e AS (SELECT arg_min(party, (-affirmative, party)) AS hi, arg_max(party, (-affirmative, party)) AS lo, max(affirmative) - min(affirmative) AS spread, count(*) AS n FROM tone)
+SELECT * FROM (SELECT 'most_aggressive' AS fact, party, CAST(NULL AS VARCHAR) AS other, CAST(NULL AS VARCHAR) AS item, aggression AS value FROM tone ORDER BY aggression DESC, party LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'most_labeling', party, NULL, NULL, labeling FROM tone WHERE labeling > 1 ORDER BY labeling DESC, party LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'most_collaborative', party, NULL, NULL, collaboration FROM tone ORDER BY collaboration DESC, party LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'labeling_word', party, NULL, word, CAST(n AS DOUBLE) FROM k WHERE category = 'labeling' ORDER BY n DESC, word, party LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'aggressive_word', party, NULL, word, CAST(n AS DOUBLE) FROM k WHERE category = 'aggressive' ORDER BY n DESC, word, party LIMIT 1)
+UNION ALL SELECT 'affirmative_spread', hi, lo, NULL, spread FROM e WHERE n >= 2 AND spread > 10""", "cat", "tone"))
+def tone_facts(spark, sf):
+    _, cat = _typed(spark, sf)
+    words = cat.filter("scheme = 'adjective'").groupBy("party", "category", "word").agg(F.sum("n").alias("n"))
+    return ac.tone_facts(_tone(spark, sf), words)
+
+
+@query("has_scores", sql("SELECT 'tone' AS scores, count(*) > 0 AS present FROM tone UNION ALL SELECT 'tone of nobody', false", "tone"))
+def has_scores(spark, sf):
+    """Whether there are scores, for all parties and for one that does not occur."""
+    tone = _tone(spark, sf)
+    rows = [("tone", lx.has_scores(tone)), ("tone of nobody", lx.has_scores(tone.filter("party = 'nobody'")))]
+    return lookup_frame(spark, rows, "scores string, present boolean")
+
+
 @query("kpi_facts", sql("""
 , t AS (SELECT sum(words) AS w, count(*) AS n FROM corpus)
 SELECT 'words_per_session' AS fact, CAST(w // 50 AS BIGINT) AS value FROM t UNION ALL SELECT 'words_per_speech', CAST(w // n AS BIGINT) FROM t UNION ALL SELECT 'book_equivalents', CAST(w // 50000 AS BIGINT) FROM t""", "corpus"))

@@ -7,9 +7,12 @@ import uuid
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from rostrum.operators import activity as ac
+from rostrum.operators import rankings as rk
 from rostrum.operators import tokens as tk
-from rostrum.plans import corpus_queries, views as v  # noqa: F401
-from rostrum.plans.registry import ORACLES, query
+from rostrum.plans import corpus_queries, transcript_queries  # noqa: F401
+from rostrum.plans import views as v
+from rostrum.plans.registry import ORACLES, QUERIES, query
 from rostrum.plans.sqltext import sql
 from rostrum.session import ensure_checkpoint_dir, materialize
 from rostrum.sources import readers, records, writers
@@ -231,3 +234,35 @@ def unknown_names_file(spark, sf):
         writers.append_unknown_names(names.filter(F.pmod(F.hash("name"), F.lit(2)) == part), path)
     return spark.read.text(path).groupBy(F.col("value").alias("name")).agg(F.count(F.lit(1)).alias("n"))
 
+
+
+@query("export_profiles", sql(f"""
+, i AS ({corpus_queries._INDEX}), l AS (SELECT party, word, n, row_number() OVER (PARTITION BY party, speaker ORDER BY n DESC, word) AS k, speaker FROM wc QUALIFY k <= 5),
+w AS (SELECT party, speaker, string_agg(word || ':' || n, ',' ORDER BY k) AS words FROM l GROUP BY ALL)
+SELECT 'speakers' AS file, i.speaker, i.party, slug, speeches, wortbeitraege, total_words, coalesce(words, '') AS words FROM i LEFT JOIN w ON i.party = w.party AND i.speaker = w.speaker
+UNION ALL SELECT 'index', speaker, party, slug, speeches, wortbeitraege, total_words, NULL FROM i""", "corpus", "wc"))
+def export_profiles(spark, sf):
+    """Speaker records with their words and their index written as JSON twice, the second time without stale ones, and read back."""
+    docs = v.corpus_docs(spark, sf)
+    index = ac.speaker_index(docs, ["speech_id"])
+    words = rk.listed_per_speaker(tk.top_words(tk.word_counts(docs, ["party", "speaker"]), ["party", "speaker"], 5), ["word", "n"], "top")
+    ranks = index.select("speaker", "party", F.col("max_words").alias("longest"))
+    records_ = rk.speaker_documents(index, ranks, ranks, ("words", words))
+    path = folder(spark, "profiles")
+    for part in (records_.withColumn("slug", F.lit("stale")), records_):
+        writers.export_profiles(part, rk.speaker_listing(index), path)
+    cols = "speaker string, party string, slug string, speeches long, wortbeitraege long, total_words long"
+    names = [c.split()[0] for c in cols.split(", ")]
+    back = spark.read.schema(f"{cols}, words struct<top:array<struct<word:string,n:long>>>").json(f"{path}/speakers")
+    listed = F.array_join(F.transform("words.top", lambda w: F.concat_ws(":", w["word"], w["n"].cast("string"))), ",")
+    one = back.select(F.lit("speakers").alias("file"), *names, F.coalesce(listed, F.lit("")).alias("words"))
+    return one.unionByName(spark.read.schema(cols).json(f"{path}/index").select(F.lit("index").alias("file"), *names, F.lit(None).cast("string").alias("words")))
+
+
+@query("export_evaluation", ORACLES["detection_metrics"])
+def export_evaluation(spark, sf):
+    """Metrics per protocol and overall written as JSON and read back."""
+    metrics = QUERIES["detection_metrics"](spark, sf)
+    path = folder(spark, "evaluation")
+    writers.export_evaluation(metrics, path)
+    return spark.read.schema(metrics.schema).json(path)

@@ -209,12 +209,16 @@ def cross_group_totals(spark, sf):
     return ij.cross_group_totals(v.events(spark, sf))
 
 
-_RECEIVERS = ["SPD", "CDU/CSU", "GRÜNE", "AfD", "DIE LINKE"]
-
-
-@query("cross_group_wide", sql("SELECT from_party, " + ", ".join(f"count(*) FILTER (to_party = '{g}') AS \"{g}\"" for g in _RECEIVERS) + " FROM ev GROUP BY ALL", "ev"))
+@query("cross_group_wide", sql("""
+, e AS (SELECT from_party, to_party, count(*) AS n FROM ev GROUP BY ALL)
+SELECT f.from_party, string_agg(g.to_party || ':' || coalesce(e.n, 0), ',' ORDER BY g.to_party) AS cells
+FROM (SELECT DISTINCT from_party FROM e) f CROSS JOIN (SELECT DISTINCT to_party FROM e WHERE to_party IS NOT NULL) g LEFT JOIN e ON e.from_party IS NOT DISTINCT FROM f.from_party AND e.to_party = g.to_party
+GROUP BY f.from_party""", "ev"))
 def cross_group_wide(spark, sf):
-    return ij.cross_group_wide(v.events(spark, sf), _RECEIVERS)
+    """The matrix with a column for every receiving group that occurs, each named beside its cell."""
+    wide = ij.cross_group_wide(v.events(spark, sf))
+    columns = sorted(c for c in wide.columns if c != "from_party")
+    return wide.select("from_party", F.array_join(F.array(*[F.concat_ws(":", F.lit(c), F.col(f"`{c}`").cast("string")) for c in columns]), ",").alias("cells"))
 
 
 @query("sentiment_counts", sql(_BY_NAME, "ev"))
@@ -367,6 +371,24 @@ def _g(name: str, body: str):
     return query(name, sql(body, "profiles"))
 
 
+@_g("gender_facts", """
+, p AS (SELECT party, count(*) FILTER (gender = 'female') AS f, count(*) FILTER (gender IN ('female', 'male')) AS k FROM profiles GROUP BY party HAVING k > 0),
+m AS (SELECT coalesce(sum(interruptions_made) FILTER (gender = 'male'), 0) AS m, coalesce(sum(interruptions_made) FILTER (gender = 'female'), 0) AS f FROM profiles)
+SELECT 'female_percent' AS fact, CAST(NULL AS VARCHAR) AS party, CAST(NULL AS VARCHAR) AS other, CAST(NULL AS VARCHAR) AS item, CAST(sum(f) AS DOUBLE) / sum(k) * 100 AS value FROM p HAVING sum(k) > 0
+UNION ALL SELECT * FROM (SELECT 'most_female', party, NULL, NULL, CAST(f AS DOUBLE) / k * 100 FROM p ORDER BY CAST(f AS DOUBLE) / k DESC, party LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'top_woman', party, NULL, string_split(speaker, ' ')[-1], CAST(total_speeches AS DOUBLE) FROM profiles WHERE gender = 'female' ORDER BY total_speeches DESC, speaker, party LIMIT 1)
+UNION ALL SELECT 'men_interrupt', NULL, NULL, NULL, CAST(m AS DOUBLE) / f FROM m WHERE m > 0 AND f > 0""")
+def gender_facts(spark, sf):
+    return ac.gender_facts(v.profiles(spark, sf))
+
+
+@_g("has_profiles", "SELECT 'SPD' AS party, count(*) > 0 AS present FROM profiles WHERE party = 'SPD' UNION ALL SELECT 'nobody', false")
+def has_profiles(spark, sf):
+    """Whether there are profiles of a party, and of one that does not occur."""
+    p = v.profiles(spark, sf)
+    return lookup_frame(spark, [(party, at.has_profiles(p.filter(F.col("party") == party))) for party in ("SPD", "nobody")], "party string, present boolean")
+
+
 @_g("gender_distribution", "SELECT gender, count(*) AS speakers FROM profiles GROUP BY gender")
 def gender_distribution(spark, sf):
     return at.gender_distribution(v.profiles(spark, sf))
