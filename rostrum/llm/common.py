@@ -66,6 +66,25 @@ def spread(df: DataFrame, salts: int) -> DataFrame:
     return df.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
 
+#: Bits of a sieve: 4 MB, whatever the table.
+SIEVE = 1 << 25
+
+
+def sifted(df: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """``df`` without most rows whose ``keys`` are not in ``wanted``; rows that are always stay.
+
+    The keys of ``wanted`` set bits of a bitmap of fixed size, which Spark broadcasts by its size; rows whose bit is
+    unset go before they are shuffled. The more keys, the more other rows pass, so an exact join must follow.
+    """
+    bit = F.pmod(F.xxhash64(*keys), F.lit(SIEVE)).alias("_bit")
+    bitmaps = wanted.select(bit).select(F.floor(F.col("_bit") / 32768).alias("_bucket"), (F.col("_bit") % 32768).alias("_at"))
+    bitmaps = kept(bitmaps.groupBy("_bucket").agg(F.bitmap_construct_agg("_at").alias("_bits")), "sieve")
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), bit).withColumn("_bucket", F.floor(F.col("_bit") / 32768))
+    byte = F.expr("CAST(conv(hex(substring(_bits, CAST(_bit % 32768 div 8 AS INT) + 1, 1)), 16, 10) AS INT)")
+    held = byte.bitwiseAND(F.expr("shiftleft(1, CAST(_bit % 8 AS INT))")) != 0
+    return rows.join(bitmaps, "_bucket").filter(held).select("_row.*")
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit affects every output bit (wraps around by design)."""
     x = x.astype(np.uint64, copy=True)

@@ -9,14 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rostrum.llm.common import by_group, frugal, kept
+from rostrum.llm.common import by_group, frugal, kept, sifted
 from rostrum.llm.graph import components
 from rostrum.llm.shingles import shingle_sets
+from rostrum.operators.common import dealt_join
 
 #: Coordinates of a signature.
 COORDINATES = 48
 #: Rows of one posting list that are compared with each other in one cell.
 BLOCK = 512
+#: Coordinates counted before rows are skipped.
+STRIDE = 8
 #: Shingles hashed to all coordinates at once.
 SLICE = 2048
 
@@ -41,20 +44,27 @@ def signature(hashes: np.ndarray, factors: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, coordinates: int = COORDINATES) -> DataFrame:
-    """``id, n, d1, d2, tokens``: set size, a 128-bit fingerprint of the set, and its signature (null if empty)."""
+    """``id, text_hash, n, node, tokens``: hash of the text, set size, a key of the set (from a 128-bit fingerprint), and its signature (null if empty)."""
     factors = multipliers(coordinates)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, one, two, tokens = [], [], [], []
-            for hashes in shingle_sets(batch.column(1)):
+            for hashes in shingle_sets(batch.column(2)):
                 sizes.append(len(hashes))
                 one.append(int(hashes.sum(dtype=np.uint64).view(np.int64)))
                 two.append(int(np.bitwise_xor.reduce(hashes * (hashes | np.uint64(1))).view(np.int64)) if len(hashes) else 0)
                 tokens.append(signature(hashes, factors) if len(hashes) else None)
-            yield pa.record_batch([batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["id", "n", "d1", "d2", "tokens"])
+            columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))]
+            yield pa.record_batch(columns, ["id", "text_hash", "n", "d1", "d2", "tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(frugal(hashed), "id long, n long, d1 long, d2 long, tokens array<long>")
+    rows = named(docs, id_col, text_col).mapInArrow(frugal(hashed), "id long, text_hash long, n long, d1 long, d2 long, tokens array<long>")
+    return rows.select("id", "text_hash", "n", F.xxhash64("d1", "d2", "n").alias("node"), "tokens")
+
+
+def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``id, text_hash, text``: rows are told apart by id and text, since ids may repeat."""
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
 
 
 def prefix_postings(reps: DataFrame, coordinates: int, least: int) -> DataFrame:
@@ -133,9 +143,16 @@ def candidates(cells: DataFrame, least: int) -> DataFrame:
         sigs = table["tokens"].combine_chunks().flatten().to_numpy().reshape(len(table), -1)
         before = [x[x < token] for x in (np.asarray(p) for p in table["prefix"].to_pylist())]
         active = np.zeros(len(table), bool)
+        width = sigs.shape[1]
         for i in np.flatnonzero(left):
             other = right[(ids[right] != ids[i]) & (comps[right] != comps[i])]
-            other = other[(sigs[other] == sigs[i]).sum(axis=1) >= least]
+            collisions = np.zeros(len(other), np.int64)
+            for at in range(0, width, STRIDE):  # rows that cannot come to enough collisions any more are skipped
+                collisions += (sigs[other, at : at + STRIDE] == sigs[i, at : at + STRIDE]).sum(axis=1)
+                able = collisions + max(0, width - at - STRIDE) >= least
+                other, collisions = other[able], collisions[able]
+                if not len(other):
+                    break
             if len(other) and len(before[i]):
                 sizes = [len(before[j]) for j in other]
                 shared = np.isin(np.concatenate([before[j] for j in other]), before[i])
@@ -195,41 +212,41 @@ def cross_links(active: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 85, coordinates: int = COORDINATES
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, coordinates: int = COORDINATES
 ) -> DataFrame:
-    """One row per input row: id, ``n_shingles``, ``component_id``, ``kept``.
+    """One row per input row: id, ``n_shingles``, ``component_id``, ``kept``, ``text_hash``.
 
     Documents are linked when the intersection of their shingle sets is at least ``percent`` of the union; components
     are named by their smallest id, which is the one kept. Documents without words are linked with nothing; so are
-    rows with a null id, whose component is null and which are kept. Rows that share an id are one document of the
-    graph. An empty table gives an empty result; other columns are not read.
+    rows with a null id, whose component is null and which are kept. Rows that share an id but not a text are documents
+    of their own; if they lie in one component, that with the smallest ``text_hash`` (``xxhash64`` of the text) is
+    kept. An empty table gives an empty result; other columns are not read.
 
-    Equal sets become one class. Classes are posted under the coordinates of their signatures (see
-    :func:`prefix_postings`). First each class is compared with the smallest id of the list that it shares most often,
+    Equal sets become one node. Nodes are posted under the coordinates of their signatures (see
+    :func:`prefix_postings`). First each node is compared with the head of the list that it shares most often,
     which joins large groups with one comparison per member; then lists that still hold several components are
-    compared across those components in blocks (:func:`candidates`, :func:`cross_links`). Every link is confirmed on the whole sets.
+    compared across those components in blocks (:func:`candidates`, :func:`cross_links`). Every link is confirmed on
+    the whole sets; only texts of nodes that are compared leave the documents.
     """
     least = match_threshold(percent, coordinates)
     sigs = kept(signatures(docs, id_col, text_col, coordinates), "signatures")
     full = sigs.filter("n > 0 AND id IS NOT NULL")
-    reps = kept(full.groupBy("d1", "d2", "n").agg(F.min("id").alias("id"), F.first("tokens").alias("tokens")), "classes")
-    names = reps.select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2"), F.col("n").alias("_n"), F.col("id").alias("rep"))
-    members = full.select("id", "d1", "d2", "n")
-    on = (F.col("d1") == F.col("_d1")) & (F.col("d2") == F.col("_d2")) & (F.col("n") == F.col("_n"))
-    copies = members.join(names, on).filter("id <> rep").select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    first = F.min(F.struct(F.col("id").alias("id"), F.col("text_hash").alias("text_hash"))).alias("first")
+    reps = kept(full.groupBy("node").agg(first, F.first("tokens").alias("tokens")), "nodes")
+    sig = reps.select(F.col("node").alias("id"), "tokens")
 
-    postings = prefix_postings(reps, coordinates, least)
+    postings = prefix_postings(sig, coordinates, least)
     heads = kept(postings.groupBy("token").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "heads")
     heads = heads.withColumnRenamed("token", "_token")
     near = postings.join(heads, F.col("token") == F.col("_token")).filter("id <> head").groupBy("id", "head").agg(F.count(F.lit(1)).alias("n"))
-    best = near.groupBy(F.col("id").alias("a")).agg(F.max(F.struct("n", (-F.col("head")).alias("h"))).alias("m")).select("a", (-F.col("m.h")).alias("b"))
-    sig = reps.select("id", "tokens")
+    best = near.groupBy(F.col("id").alias("a")).agg(F.max_by("head", F.struct("n", "head")).alias("b"))
     stars = kept(agreeing(best, sig, least), "stars")
 
-    listed = postings.join(heads, F.col("token") == F.col("_token"), "left_semi").select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(listed, "id", "left_semi")
-    texts = kept(texts.dropDuplicates(["id"]), "texts")
-    links = kept(confirmed(stars, texts, percent).unionByName(copies.select("a", "b")), "links")
+    listed = postings.join(heads, F.col("token") == F.col("_token"), "left_semi").select(F.col("id").alias("node")).distinct()
+    wanted = kept(listed.join(reps.select("node", "first"), "node").select("node", "first.*"), "wanted")
+    texts = sifted(named(docs, id_col, text_col), ["id", "text_hash"], wanted)
+    texts = kept(texts.dropDuplicates(["id", "text_hash"]).join(wanted, ["id", "text_hash"]).select(F.col("node").alias("id"), "text"), "texts")
+    links = kept(confirmed(stars, texts, percent), "links")
     labels = kept(components(links), "labels").select(F.col("id").alias("_id"), "component")
 
     tagged = postings.join(labels, F.col("id") == F.col("_id"), "left").select("token", "id", F.coalesce("component", "id").alias("component"))
@@ -241,8 +258,11 @@ def near_groups(
     cells = _cells(open_lists.join(prefixes, "id"))
     rest = kept(cross_links(kept(candidates(cells, least), "candidates"), texts, percent), "rest")
     groups = components(links.unionByName(rest)).select(F.col("id").alias("_id"), "component")
-    return (
-        sigs.select("id", "n").join(groups, F.col("id") == F.col("_id"), "left")
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
-    )
+    nodes = kept(reps.select("node", "first").join(groups, F.col("node") == F.col("_id"), "left").select("node", "first", F.coalesce("component", "node").alias("component")), "named")
+    firsts = nodes.groupBy(F.col("component").alias("_component")).agg(F.min("first").alias("_first"))
+    of_node = nodes.join(firsts, F.col("component") == F.col("_component")).select("node", "_first")
+    # copies share a node, so the rows of a node may be very many
+    inside = dealt_join(full.select("id", "text_hash", "n", "node"), kept(of_node, "of-node"), ["node"])
+    inside = inside.select("id", "n", F.col("_first.id").alias("component_id"), (F.struct("id", "text_hash") == F.col("_first")).alias("kept"), "text_hash")
+    alone = sigs.filter("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component_id"), F.lit(True).alias("kept"), "text_hash")
+    return inside.unionByName(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept", "text_hash")

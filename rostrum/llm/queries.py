@@ -60,7 +60,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write_warc(table(spark, sf_dir, "pages"), path, least=0)
     records = warc.read_warc(spark, path).filter("kind = 'record'")
-    number = lambda c: F.regexp_extract(c, r"(-?\d+)$", 1).cast("long")
+    number = lambda c: F.regexp_extract(c, r"(-?\d+)$", 1).try_cast("long")
     return records.select(
         number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type",
         F.when(F.col("refers_to").isNotNull(), number("refers_to")).alias("refers_to"),
@@ -169,7 +169,7 @@ def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_minhash")
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups over all documents: five-word shingles, similarity 0.85."""
-    return nearminhash.near_groups(table(spark, sf_dir, "documents"), percent=85)
+    return nearminhash.near_groups(table(spark, sf_dir, "documents"), percent=85).drop("text_hash")
 
 
 @query(

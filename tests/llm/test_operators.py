@@ -103,7 +103,7 @@ def shingles(text):
 
 
 def test_near_groups(docs, texts, none):
-    got = nearminhash.near_groups(docs).collect()
+    got = nearminhash.near_groups(docs, percent=85).collect()
     assert len(got) == len(texts) and nearminhash.near_groups(none).count() == 0
     sets = {d: shingles(t) for d, t, *_ in texts if d is not None}
     links = [(a, b) for a, b in combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
@@ -115,6 +115,45 @@ def test_near_groups(docs, texts, none):
             assert r.component_id is None and r.kept
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_groups_tell_rows_apart_by_text(spark, percent, monkeypatch):
+    """Rows that share an id but not a text: each is judged by its own text, and of a component one row stays."""
+    monkeypatch.setattr(nearminhash, "BLOCK", 3)
+    rng = random.Random(21)
+    base = [words(rng, 80, 3000) for _ in range(4)]
+    rows = [(1, base[0]), (2, base[0] + " more"), (2, base[1]), (3, base[2]), (3, base[2] + " tail"), (3, base[2] + " other"), (4, base[1] + " end"), (7, base[3]), (7, base[3]), (None, base[0]), (5, "")]
+    rows += [(10 + i % 20, " ".join(w if rng.random() > 0.02 else "x" for w in base[i % 4].split())) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = nearminhash.near_groups(df, percent=percent).join(df.withColumn("text_hash", F.xxhash64("text")).distinct().withColumnRenamed("doc_id", "id"), "text_hash").filter("doc_id <=> id").collect()
+    distinct = sorted({r for r in rows if r[0] is not None and r[1]}, key=repr)
+    sets = [shingles(t) for _, t in distinct]
+    links = [(i, j) for i, j in combinations(range(len(sets)), 2) if 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j])]
+    component = brute_components(range(len(sets)), links)
+    least = {c: min(d for (d, _), i in zip(distinct, range(len(sets)), strict=True) if component[i] == c) for c in set(component.values())}
+    want = {row: least[component[i]] for i, row in enumerate(distinct)}
+    assert len(got) == len(rows)
+    survivors = {}
+    for r in got:
+        if r.doc_id is not None and r.text:
+            assert r.component_id == want[r.doc_id, r.text]
+            if r.kept:
+                survivors.setdefault(component[distinct.index((r.doc_id, r.text))], set()).add((r.doc_id, r.text))
+                assert r.doc_id == r.component_id
+        else:
+            assert r.kept and r.component_id == r.doc_id
+    assert {c: len(v) for c, v in survivors.items()} == dict.fromkeys(least, 1)
+
+
+def test_sieve_keeps_all_that_is_wanted(spark):
+    from rostrum.llm.common import sifted
+
+    df = spark.range(20_000).select((F.col("id") * 7919 - 50_000_000).alias("id"), F.col("id").alias("_bits"))
+    wanted = df.filter("_bits % 100 = 3").select("id")
+    got = sifted(df, ["id"], wanted)
+    assert got.columns == df.columns and got.join(wanted, "id").count() == 200 and got.count() < 260
+    assert sifted(df, ["id"], wanted.limit(0)).count() == 0
+
+
 def test_shingle_sets_do_not_depend_on_the_batch(texts):
     column = pa.array([t for _, t, *_ in texts])
     whole = list(shingle_sets(column))
@@ -134,7 +173,7 @@ def test_near_copies_of_one_text_in_many_blocks(spark, monkeypatch):
         for _ in range(rng.randrange(0, 5)):
             copy[rng.randrange(100)] = f"x{rng.randrange(9000)}"
         rows.append((i, " ".join(copy)))
-    got = {r.doc_id: r.component_id for r in nearminhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r.doc_id: r.component_id for r in nearminhash.near_groups(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()}
     sets = {d: shingles(t) for d, t in rows}
     links = [(a, b) for a, b in combinations(sets, 2) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
     assert got == brute_components(sets, links)
