@@ -32,9 +32,9 @@ def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def distinct_shingles(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, linked at a Jaccard similarity of 0.8 or more."""
-    surplus = nearminhash.near_groups(docs, percent=80).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    rows = rows_with(docs, _key=F.col("doc_id"))
-    return rows.join(kept(surplus, "surplus"), F.col("_key") == F.col("_gone"), "left_anti").select("_row.*")
+    surplus = nearminhash.near_groups(docs, percent=80).filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_text")).distinct()
+    rows = rows_with(docs, _key=F.col("doc_id"), _hash=F.xxhash64("text"))
+    return rows.join(kept(surplus, "surplus"), (F.col("_key") == F.col("_gone")) & (F.col("_hash") == F.col("_text")), "left_anti").select("_row.*")
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
