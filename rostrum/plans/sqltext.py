@@ -154,7 +154,8 @@ SELECT conv_id AS protocol_id, conv_id, turn, role,
   CASE WHEN turn % 3 = 0 THEN ' (Beifall bei der SPD und der AfD)' ELSE '' END ||
   CASE WHEN turn % 2 = 1 THEN {pick([f' ({n} [{p}]: {t})' for n, p, _, t, _ in v.INTERJECTIONS], f'(conv_id + turn) % {len(v.INTERJECTIONS)}')} ELSE '' END ||
   CASE WHEN turn % 4 = 1 THEN ' (Zuruf von der AfD)' ELSE '' END ||
-  CASE WHEN turn % 4 = 2 THEN ' (Zurufe vom BÜNDNIS 90/DIE GRÜNEN: Oh!)' ELSE '' END || chr(10) AS spoken,
+  CASE WHEN turn % 4 = 2 THEN ' (Zurufe vom BÜNDNIS 90/DIE GRÜNEN: Oh!)' ELSE '' END ||
+  CASE WHEN turn % 5 = 4 THEN {lit(v.NOISE_NOTE)} ELSE '' END || CASE WHEN turn % 5 = 3 THEN {lit(v.HEADING)} ELSE '' END || chr(10) AS spoken,
   {pick(_START_TYPES, f'(conv_id + turn) % {len(_START_TYPES)}')} AS start_type,
   (conv_id + turn) % {len(v.INTERJECTIONS)} AS heckle
 FROM conversations"""

@@ -31,6 +31,9 @@ OPENINGS = [
     "Sehr geehrte Frau Präsidentin! ", "Ich habe eine Frage. ", "Ja, so war es. ", "Ich komme zum Schluss. ", "", "Vielen Dank für die Frage. ",
     "Meine Damen und Herren! ",
 ]
+# a line like a header that begins no speech, and a note whose name is none
+HEADING = "\nFrage des Abgeordneten Max Muster (SPD):\nWie geht es weiter?"
+NOISE_NOTE = " (Heiterkeit Anna [SPD]: Ha!)"
 # (interrupter, group as written, normalised group, text, sentiment)
 INTERJECTIONS = [
     ("Clara Kraft", "GRÜNE", "GRÜNE", "Unsinn!", "negative"),
@@ -89,6 +92,8 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(turn % 2 == 1, heckler).otherwise(F.lit("")),
         F.when(turn % 4 == 1, F.lit(" (Zuruf von der AfD)")).otherwise(F.lit("")),
         F.when(turn % 4 == 2, F.lit(" (Zurufe vom BÜNDNIS 90/DIE GRÜNEN: Oh!)")).otherwise(F.lit("")),
+        F.when(turn % 5 == 4, F.lit(NOISE_NOTE)).otherwise(F.lit("")),
+        F.when(turn % 5 == 3, F.lit(HEADING)).otherwise(F.lit("")),
     )
     body = F.replace(F.translate(F.col("text"), "()[]", "    "), F.lit("\n"), F.lit("  "))
     return c.select(
