@@ -23,6 +23,8 @@ SHARD = 1 << 20
 PART = 8 << 20
 #: Documents encoded at once.
 BATCH = 2000
+#: Neighbours sorted at first; the others follow if these do not fill the window.
+BEST = 32
 #: BM25's saturation and length parameters.
 K1, B = 1.2, 0.75
 
@@ -61,26 +63,47 @@ class Shard:
         for i, ids in enumerate(pieces):
             term, count = np.unique(ids, return_counts=True)
             norm = K1 * (1 - B + B * len(ids) / mean)
-            docs.append(np.full(len(term), i, np.int32))
+            docs.append(np.full(len(term), i))
             terms.append(term)
-            weights.append(idf[term] * count * (K1 + 1) / (count + norm))
+            weights.append((idf[term] * count * (K1 + 1) / (count + norm)).astype(np.float32))
         self.terms_of = terms
         doc, term, weight = np.concatenate(docs), np.concatenate(terms).astype(np.int64), np.concatenate(weights)
         order = np.argsort(term, kind="stable")
-        self.doc, self.weight = doc[order], weight[order].astype(np.float32)
-        self.first = np.searchsorted(term[order], np.arange(len(idf) + 1))
+        self.doc, self.weight, self.term = doc[order], weight[order].astype(np.float64), term[order]
+        self.span = len(idf) + 1
         self.unused = np.ones(len(pieces), bool)
-
-    def neighbours(self, seed: int) -> np.ndarray:
-        """Unused pieces that share a token with the seed, the best match first; ties by position."""
+        self.indexed = len(pieces)
+        self._place()
+
+    def _place(self) -> None:
+        """Where each token's postings begin."""
+        self.first = np.searchsorted(self.term, np.arange(self.span))
+
+    def neighbours(self, seed: int) -> Iterator[int]:
+        """Unused pieces that share a token with the seed, the best match first; ties by position.
+
+        Postings of used pieces leave the index whenever an eighth of its pieces has been used.
+        """
+        left = int(self.unused.sum())
+        if left < self.indexed * 7 // 8:
+            alive = self.unused[self.doc]
+            self.doc, self.weight, self.term = self.doc[alive], self.weight[alive], self.term[alive]
+            self.indexed = left
+            self._place()
         terms = self.terms_of[seed].astype(np.int64)
-        sizes = self.first[terms + 1] - self.first[terms]
-        place = np.concatenate(([0], np.cumsum(sizes)))
-        at = np.repeat(self.first[terms] - place[:-1], sizes) + np.arange(place[-1])
-        score = np.bincount(self.doc[at], self.weight[at], minlength=len(self.sizes))
+        spans = [slice(a, b) for a, b in zip(self.first[terms].tolist(), self.first[terms + 1].tolist(), strict=True) if a < b]
+        if not spans:
+            return
+        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), minlength=len(self.sizes))
         score[~self.unused] = 0
         found = np.flatnonzero(score)
-        return found[np.argsort(-score[found], kind="stable")]
+        score = score[found]
+        if len(found) > 2 * BEST:
+            least = np.partition(score, len(score) - BEST)[len(score) - BEST]
+            best = score >= least
+            yield from found[best][np.argsort(-score[best], kind="stable")].tolist()
+            found, score = found[~best], score[~best]
+        yield from found[np.argsort(-score, kind="stable")].tolist()
 
 
 def pack_shard(sizes: np.ndarray, shard: Shard, window: int) -> Iterator[list[tuple[int, int, int, int]]]:

@@ -18,8 +18,9 @@ REMEMBERED = 1_000_000
 #: Word parts encoded in one call, with a mark between them.
 CALL = 500
 MARK = "\x01"
-#: Words of these characters are cut into letters and others; combining marks, apostrophes and rarer scripts are not.
-PLAIN = r"^[\x21-\x26\x28-\x7e¡-¬®-ɏΆ-ϿЀ-҂Ҋ-ӿ]*$".encode().decode("unicode_escape")
+#: Words of these characters are cut into letters and others; combining marks, apostrophes, rarer scripts and the one
+#: letter here that lower case turns into two characters (U+0130) are not.
+PLAIN = r"^[\x21-\x26\x28-\x7e¡-¬®-įı-ɏΆ-ϿЀ-҂Ҋ-ӿ]*$"
 
 
 def gathered(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,12 +53,19 @@ class WordIds:
         self.parts = pa.array([], pa.large_string())
         self.flat, self.starts, self.sizes = np.zeros(0, self.kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _learn(self, new: pa.Array) -> None:
-        """Add parts to the memory: plain ones many to a call, others one by one."""
-        parts, plain = new.to_pylist(), pc.match_substring_regex(new, PLAIN).to_pylist()
-        easy = [p for p, ok in zip(parts, plain, strict=True) if ok and p and not any(t in p for t in self.special)]
-        known = set(easy)
-        hard = [p for p in parts if p not in known]
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Add parts to the memory, plain ones many to a call, others one by one; returns their numbers."""
+        plain = pc.and_(pc.match_substring_regex(new, PLAIN), pc.greater(pc.binary_length(new), 0))
+        for token in self.special:
+            plain = pc.and_(plain, pc.invert(pc.match_substring(new, token)))
+        plain = plain.to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        new = new.take(pa.array(order))
+        easy, hard = new[: plain.sum()].to_pylist(), new[plain.sum() :].to_pylist()
+        first = len(self.parts)
+        self.parts = pa.concat_arrays([self.parts, new])
+        numbers = np.empty(len(order), np.int64)
+        numbers[order] = np.arange(first, first + len(order))
         ids, sizes = [], []
         calls = [f" {MARK} ".join(easy[i : i + CALL]) for i in range(0, len(easy), CALL)]
         for text, i in zip(self.tokenizer.encode_batch_fast(calls, add_special_tokens=False), range(0, len(easy), CALL), strict=True):
@@ -70,13 +78,11 @@ class WordIds:
         for x in self.tokenizer.encode_batch_fast(hard, add_special_tokens=False):
             ids.append(np.asarray(x.ids, self.kind))
             sizes.append(np.array([len(x.ids)]))
-        if not ids:
-            return
         size = np.concatenate(sizes).astype(np.int64)
         start = np.concatenate(([0], np.cumsum(size)))[:-1] + len(self.flat)
-        self.parts = pa.concat_arrays([self.parts, pa.array([*easy, *hard], pa.large_string())])
         self.flat = np.concatenate([self.flat, *ids])
         self.starts, self.sizes = np.concatenate([self.starts, start]), np.concatenate([self.sizes, size])
+        return numbers
 
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some distinct words one after another, and where each word's begin."""
@@ -87,10 +93,10 @@ class WordIds:
         lists = pc.split_pattern(pc.if_else(plain, cut, words), " ")
         coded = lists.flatten().dictionary_encode()
         number = pc.index_in(coded.dictionary, self.parts)
-        if number.null_count:
-            self._learn(coded.dictionary.filter(pc.is_null(number)))
-            number = pc.index_in(coded.dictionary, self.parts)
-        number = number.to_numpy(zero_copy_only=False)
+        new = pc.is_null(number)
+        number = pc.fill_null(number, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        if pc.any(new).as_py():
+            number[new.to_numpy(zero_copy_only=False)] = self._learn(coded.dictionary.filter(new))
         ids, place = gathered(self.flat, self.starts, self.sizes, number[coded.indices.to_numpy(zero_copy_only=False)])
         return ids, place[np.asarray(lists.offsets)]
 

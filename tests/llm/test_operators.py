@@ -424,9 +424,36 @@ def test_packing(docs, texts, none):
     ids = np.array(tokenizer.encode(dict((d, t) for d, t, *_ in texts)[8], add_special_tokens=False).ids + [1], "<u4")
     for r in (r for r in got if r.doc_id == 8):
         assert r.ids_crc32 == zlib.crc32(ids[r.start : r.start + r.length].tobytes())
+    for (name, size), rows in pieces.items():
+        ends = sorted((r.start, r.start + r.length) for r in rows)
+        copies = sum(r.length for r in rows) // size
+        assert sum(1 for a, _ in ends if a == 0) == copies and sum(1 for _, b in ends if b == size) == copies, name
+        assert sorted(a for a, _ in ends if a) == sorted(b for _, b in ends if b < size), name
     assert packing.pack(none, word_tokenizer()).count() == 0
 
 
+def test_neighbours_are_the_unused_pieces_by_their_scores():
+    rng = np.random.default_rng(2)
+    pieces = [rng.zipf(1.3, rng.integers(1, 60)) % 500 for _ in range(400)]
+    idf = rng.random(500).astype(np.float32)
+    shard = packing.Shard(pieces, idf, 30.0)
+    for _ in range(40):
+        unused = np.flatnonzero(shard.unused)
+        seed = int(rng.choice(unused))
+        shard.unused[seed] = False
+        score = {}
+        for i in map(int, unused):
+            both = set(pieces[seed].tolist()) & set(pieces[i].tolist()) if i != seed else ()
+            count = {t: int((pieces[i] == t).sum()) for t in both}
+            norm = packing.K1 * (1 - packing.B + packing.B * len(pieces[i]) / 30.0)
+            if both:
+                score[i] = sum(float(idf[t]) * n * (packing.K1 + 1) / (n + norm) for t, n in count.items())
+        got = list(shard.neighbours(seed))
+        assert sorted(got) == sorted(score) and all(score[a] >= score[b] - 1e-4 for a, b in zip(got, got[1:]))
+        shard.unused[got[:6]] = False
+    assert shard.indexed < 400
+
+
 def test_word_ids_equal_the_tokenizer():
     from rostrum.llm.wordids import word_ids
 
@@ -436,6 +463,10 @@ def test_word_ids_equal_the_tokenizer():
     column = pa.array(["".join(rng.choice(pool) for _ in range(200)) for _ in range(100)] + [None, "", "it's <|endoftext|>x \x1c!"])
     want = [e.ids for e in encoder.tokenizer.encode_batch([t or "" for t in column.to_pylist()], add_special_tokens=False)]
     assert [x.tolist() for x in encoder.encode(column)] == want
+    every = [chr(c) for a, b in ((0x21, 0x7F), (0xA0, 0x250), (0x300, 0x530), (0x1E00, 0x1F00)) for c in range(a, b)] + [" "] * 150 + ["'s", "İ.", "\x01"]
+    column = pa.array(["".join(rng.choice(every) for _ in range(100)) for _ in range(2000)])
+    want = [e.ids for e in encoder.tokenizer.encode_batch(column.to_pylist(), add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode(column)] == want
 
 
 def test_language(spark, docs, texts, none):
