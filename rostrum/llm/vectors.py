@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +49,14 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Quantizer:
-    """Coarse centres and, per subspace of the residuals, codewords. Vectors have length one."""
+    """Coarse centres and, per subspace of the residuals, codewords. Vectors have length one.
+
+    ``spread`` is the second moment of the residuals over their mean square, so its trace is one.
+    """
 
     centres: np.ndarray
     books: list[np.ndarray]
+    spread: np.ndarray
 
     @property
     def width(self) -> int:
@@ -79,17 +84,29 @@ class Quantizer:
         """Squared distances of each query's subvectors to all codewords."""
         return [squared(residual[:, m * SUBSPACE : (m + 1) * SUBSPACE], book) for m, book in enumerate(self.books)]
 
+    @cached_property
+    def borders(self) -> tuple[np.ndarray, np.ndarray]:
+        """Per pair of lists, the distance of their centres and the share of a displacement's square along it.
+
+        Displacements spread as residuals do, or evenly over all dimensions where that gives more: vectors of low rank
+        have few directions to move in, so more of a displacement falls along the line between two centres.
+        """
+        gap = np.sqrt(squared(self.centres, self.centres))
+        inner = self.centres @ self.spread @ self.centres.T
+        along = np.diag(inner)[:, None] + np.diag(inner)[None, :] - 2.0 * inner
+        return gap, np.maximum(along / np.maximum(gap * gap, 1e-24), 1.0 / self.width)
+
     def probes(self, x: np.ndarray, radius: float) -> list[np.ndarray]:
         """Lists that can hold a neighbour within ``radius``.
 
-        A neighbour in another list lies beyond the plane between the two centres; a displacement of that length has
-        ``radius / sqrt(width)`` as its standard deviation along the plane's normal.
+        A neighbour in another list lies beyond the plane between the two centres, at most ``radius`` away; the length
+        of a displacement along the plane's normal has its standard deviation from :attr:`borders`.
         """
         far = squared(x, self.centres)
         best = far.argmin(axis=1)
-        gap = np.sqrt(squared(self.centres, self.centres))
+        gap, share = self.borders
         depth = (far - far[np.arange(len(x)), best][:, None]) / (2.0 * np.maximum(gap[best], 1e-12))
-        close = depth <= BORDER * radius / np.sqrt(self.width)
+        close = depth <= radius * np.minimum(1.0, BORDER * np.sqrt(share[best]))
         close[np.arange(len(x)), best] = True
         return [np.flatnonzero(row) for row in close]
 
@@ -100,7 +117,7 @@ def fit(sample: np.ndarray, total: int) -> Quantizer:
     centres = k_means(sample, lists)
     residual = sample - centres[nearest(sample, centres)]
     books = [k_means(residual[:, m : m + SUBSPACE], CODEWORDS) for m in range(0, sample.shape[1], SUBSPACE)]
-    return Quantizer(centres, books)
+    return Quantizer(centres, books, residual.T @ residual / max(float((residual * residual).sum()), 1e-300))
 
 
 def _checked(rows: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
@@ -130,7 +147,10 @@ def _stacked(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _placed(classes: DataFrame, quantizer: Quantizer, radius: float) -> DataFrame:
-    """Each class once under its list (``query`` false) and once under every list it probes (``query`` true)."""
+    """Each class once under its list (``query`` false) and once under every list it probes (``query`` true).
+
+    ``lists`` tells the other side what the row asks: all probed lists of a listed row, the own list of a query.
+    """
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,10 +166,15 @@ def _placed(classes: DataFrame, quantizer: Quantizer, radius: float) -> DataFram
                     lists = np.concatenate([home, *probed]).astype(np.int32)
                     query = np.arange(len(take)) >= len(x)
                     got = own.take(pa.array(take))
-                    table = pa.table([got["label"], got["size"], pa.array(lists), pa.array(query), got["id"], got["copies"], got["vec"]], ["label", "size", "list", "query", "id", "copies", "vec"])
+                    told = [*probed, *home[take[len(x) :]][:, None]]
+                    told = pa.ListArray.from_arrays(np.cumsum([0, *map(len, told)]).astype(np.int32), np.concatenate(told).astype(np.int32))
+                    table = pa.table(
+                        [got["label"], got["size"], pa.array(lists), pa.array(query), got["id"], got["copies"], told, got["vec"]],
+                        ["label", "size", "list", "query", "id", "copies", "lists", "vec"],
+                    )
                     yield from table.combine_chunks().to_batches()
 
-    return classes.select("id", "label", "size", "vec", "copies").mapInArrow(frugal(place), "label string, size int, list int, query boolean, id long, copies long, vec binary")
+    return classes.select("id", "label", "size", "vec", "copies").mapInArrow(frugal(place), "label string, size int, list int, query boolean, id long, copies long, lists array<int>, vec binary")
 
 
 def _cells(placed: DataFrame) -> DataFrame:
@@ -165,11 +190,15 @@ def _cells(placed: DataFrame) -> DataFrame:
     dealt = dealt.withColumn("_other", F.explode(others))
     listed, asking = F.when(F.col("query"), F.col("_other")).otherwise(F.col("_own")), F.when(F.col("query"), F.col("_own")).otherwise(F.col("_other"))
     cell = F.concat_ws("/", "size", "list", listed, asking, "label")
-    return dealt.select(cell.alias("cell"), "list", "query", "id", "copies", "vec")
+    return dealt.select(cell.alias("cell"), "list", "query", "id", "copies", "lists", "vec")
 
 
 def _linked(cells: DataFrame, quantizer: Quantizer, least: float, radius: float) -> DataFrame:
-    """Per cell and vector: ``links`` found as a query, and the ``root`` of what the cell joins it with."""
+    """Per cell and vector: ``links`` found, and the ``root`` of what the cell joins it with.
+
+    A link between two lists can be found from both sides or from one. Each side counts its own end; the end of a
+    listed vector that does not ask in the query's list is counted with the query's.
+    """
 
     def solve(table: pa.Table) -> Iterator[pa.RecordBatch]:
         query = np.asarray(table["query"].to_numpy(zero_copy_only=False), bool)
@@ -183,6 +212,12 @@ def _linked(cells: DataFrame, quantizer: Quantizer, least: float, radius: float)
         parent = np.arange(len(nodes))
         links = np.zeros(len(nodes), np.int64)
         asked, listed = np.flatnonzero(query), np.flatnonzero(~query)
+        told = table["lists"].combine_chunks()
+        told, size = told.flatten().to_numpy(), told.value_lengths().to_numpy()
+        begin = np.cumsum(size) - size
+        home = told[begin].astype(np.int64)  # of queries
+        wide = len(quantizer.centres)
+        asks = np.sort((np.repeat(np.arange(len(size)), size) * wide + told)[np.repeat(~query, size)])
         for at in range(0, len(asked), 128):
             own = asked[at : at + 128]
             far = np.zeros((len(own), len(listed)))
@@ -193,6 +228,8 @@ def _linked(cells: DataFrame, quantizer: Quantizer, least: float, radius: float)
             good = np.einsum("ij,ij->i", vec[own[a]], vec[listed[b]]) >= least
             a, b = own[a[good]], listed[b[good]]
             np.add.at(links, place[a], copies[b])
+            alone = ~np.isin(b * wide + home[a], asks)
+            np.add.at(links, place[b[alone]], copies[a[alone]])
             x, y = place[a], place[b]
             while len(x):
                 x, y = parent[x], parent[y]
@@ -228,7 +265,7 @@ def near_vectors(
     Equal vectors are one class with a count. Classes lie in the coarse list of their nearest centre and ask in every
     list whose border is near enough (see :meth:`Quantizer.probes`). There the table-lookup distance drops what
     cannot be near: it errs by the coding error at most, which is known for each vector, so no pair of the list is
-    lost. The rest is compared exactly. Per cell only counts and a spanning forest leave the task. The quantiser is
+    lost. The rest is compared exactly. A link found from one side only counts for both ends. Per cell only counts and a spanning forest leave the task. The quantiser is
     fitted on at most about ``sample`` vectors.
     """
     vectors = kept(_checked(rows, id_col, vector_col, label_col), "vectors")

@@ -246,6 +246,20 @@ def test_vectors(spark):
     assert all(r.kept == (r.vec_id is None or r.component_id == r.vec_id) for r in got)
 
 
+@pytest.mark.parametrize("rank", [4, 8, 64])
+def test_vectors_of_any_rank_count_links_from_both_ends(spark, rank):
+    rng = np.random.default_rng(rank)
+    flat = rng.normal(size=(11_000 if rank < 64 else 3_700, rank)) @ np.linalg.qr(rng.normal(size=(64, rank)))[0].T
+    flat = flat if rank < 64 else np.concatenate([flat + rng.normal(size=flat.shape) * 0.25 for _ in range(3)])
+    flat /= np.linalg.norm(flat, axis=1)[:, None]
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(flat)], "vec_id long, embedding array<double>, label int")
+    assert len(flat) // vectors.LIST >= 20
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(df).collect()}
+    want = np.concatenate([(flat[i : i + 500] @ flat.T >= 0.93).sum(axis=1) - 1 for i in range(0, len(flat), 500)])
+    have = np.array([got[i] for i in range(len(flat))])
+    assert (have <= want).all() and have.sum() >= 0.99 * want.sum() > 1000
+
+
 def test_quantizer_loses_no_pair_within_a_list():
     rng = np.random.default_rng(7)
     x = rng.normal(size=(300, 12))
