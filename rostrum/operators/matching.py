@@ -3,14 +3,19 @@
 Comparisons never run over all pairs. Names are compared as distinct keys and
 candidates come from equi joins: two names within edit distance k share at
 least one of k+1 segments near the same position, so that join finds every
-match. Only names that match are joined back to rows. Texts meet in a
-set-similarity join, and 1:1 pairs are found in rounds over rows.
+match; only the few names of a small transcript are compared directly. Only
+names that match are joined back to rows. Texts meet in a set-similarity join,
+and 1:1 pairs are found in rounds over rows and, for what the first round
+leaves of a transcript, row by row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from heapq import heapify, heappop, heapreplace
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +26,12 @@ from rostrum.operators.similar import jaccard, similar_sets, with_shingles
 from rostrum.session import materialize
 
 NAME_DISTANCE = 3
+# Distinct names a side up to which the names of a block are compared pair by pair.
+PAIRED_NAMES = 64
+# Rows and options of a block that one task serves after the first round.
+SERVED_ROWS = 100_000
+# Rounds whose pairs are put together, so that the plan stays small however many rounds follow.
+ROUNDS = 16
 PARTIAL_SIMILARITY = 0.5
 PARTIAL_WORDS = 2
 DUPLICATE_SIMILARITY = 0.8
@@ -73,13 +84,28 @@ def _segments(key: Column, parts: int) -> Column:
 def matching_names(left: DataFrame, right: DataFrame, block: str, threshold: int = NAME_DISTANCE) -> DataFrame:
     """All pairs ``(block, left_key, right_key)`` of distinct name keys of a block that match (see ``names_match``).
 
-    ``left`` and ``right`` hold ``(block, key)``. Three equi joins find the
-    candidates: equal last token; for keys longer than ``threshold``, one of
+    ``left`` and ``right`` hold ``(block, key)``. In a block of at most :data:`PAIRED_NAMES` names a side, names are
+    compared as they are, which costs less than cutting them; in larger blocks candidates come from equi joins.
+    """
+    l = materialize(left.select(block, F.col("key").alias("left_key")).distinct())
+    r = materialize(right.select(block, F.col("key").alias("right_key")).distinct())
+    sizes = l.groupBy(block).count().unionByName(r.groupBy(block).count())
+    many = materialize(sizes.filter(F.col("count") > PAIRED_NAMES).select(block).distinct())
+    matches = keys_match(F.col("left_key"), F.col("right_key"), threshold)
+    if many.isEmpty():
+        return l.join(r, block).filter(matches)
+    few = l.join(many, block, "left_anti").join(r, block).filter(matches)
+    candidates = _name_candidates(l.join(many, block, "left_semi"), r.join(many, block, "left_semi"), block, threshold)
+    return few.unionByName(candidates.filter(matches))
+
+
+def _name_candidates(l: DataFrame, r: DataFrame, block: str, threshold: int) -> DataFrame:
+    """Distinct pairs ``(block, left_key, right_key)`` that contain all matches.
+
+    Three equi joins find them: equal last token; for keys longer than ``threshold``, one of
     ``threshold + 1`` segments at a position shifted by at most ``threshold``;
     and for the few shorter keys, the length.
     """
-    l = left.select(block, F.col("key").alias("left_key")).distinct()
-    r = right.select(block, F.col("key").alias("right_key")).distinct()
     lt = l.filter(F.col("left_key") != "").withColumn("_t", _last_token(F.col("left_key")))
     rt = r.filter(F.col("right_key") != "").withColumn("_t", _last_token(F.col("right_key")))
     by_last = lt.join(rt, [block, "_t"]).select(block, "left_key", "right_key")
@@ -108,11 +134,7 @@ def matching_names(left: DataFrame, right: DataFrame, block: str, threshold: int
     )
     by_length = tiny.join(r.withColumn("_n", F.length("right_key")), [block, "_n"]).select(block, "left_key", "right_key")
 
-    candidates = by_last.union(by_segment).union(by_length).distinct()
-    ka, kb = F.col("left_key"), F.col("right_key")
-    near = F.levenshtein(ka, kb, threshold) >= 0
-    same_last = (ka != "") & (kb != "") & (_last_token(ka) == _last_token(kb))
-    return candidates.filter(near | same_last)
+    return by_last.union(by_segment).union(by_length).distinct()
 
 
 # ---------------------------------------------------------------- matching truth and prediction
@@ -133,7 +155,9 @@ def assign_in_order(left: DataFrame, right: DataFrame, options: DataFrame, block
     one class first. In a round the k-th waiting row of a class aims at the k-th free row of its list, which is the best it can
     still get. It gets it unless the first waiting row of another class comes before it and aims there or at something
     it likes better; then it and the rest of its class wait. Rows whose list is exhausted stay alone. One round
-    settles all classes that share nothing; each further round settles at least the first waiting row of every knot.
+    settles all classes that share nothing. What is left of a block, rows and options without texts, is then served row
+    by row in one task (:func:`_serve_blocks`), so the number of jobs does not depend on how classes are tangled;
+    only where more than :data:`SERVED_ROWS` are left, rounds go on, each of which settles at least the first waiting row of every knot.
     """
     choice = F.sort_array(F.collect_list(F.struct("pref", "r_class")))
     lists = options.groupBy(block, "l_class").agg(F.md5(F.to_json(choice)).alias("_list"))
@@ -152,14 +176,72 @@ def assign_in_order(left: DataFrame, right: DataFrame, options: DataFrame, block
         told = materialize(aimed.join(stopped, [block, "_list"], "left").select(block, "l_idx", "r_idx", (F.col("_stop").isNull() | (F.col("l_idx") < F.col("_stop"))).alias("_gets")))
         got = told.filter("_gets").select(block, "l_idx", "r_idx")
         done.append(got)
+        if len(done) == ROUNDS:
+            done = [materialize(reduce(DataFrame.unionByName, done))]
         waiting = materialize(waiting.join(told.filter("NOT _gets").select(block, "l_idx"), [block, "l_idx"], "left_semi"))
         free = materialize(free.join(got.select(block, "r_idx"), [block, "r_idx"], "left_anti"))
+        if len(done) == 1 and not waiting.isEmpty():
+            pairs, large = _serve_blocks(waiting, free, merged, block)
+            done.append(pairs)
+            waiting, free = (materialize(df.join(large, block, "left_semi")) for df in (waiting, free))
     if not done:
         return waiting.select(block, "l_idx", F.col("l_idx").alias("r_idx"))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    return out
+    return reduce(DataFrame.unionByName, done)
+
+
+def _serve_blocks(waiting: DataFrame, free: DataFrame, options: DataFrame, block: str) -> tuple[DataFrame, DataFrame]:
+    """Pairs of the blocks with at most :data:`SERVED_ROWS` waiting rows, options and rows they can get, and the other blocks."""
+    none = {"idx": F.lit(None).cast("long"), "_list": F.lit(None).cast("string"), "r_class": F.lit(None).cast("string"), "pref": F.lit(None).cast("double")}
+    entry = lambda df, **cols: df.select(block, *[{**none, **cols}[c].alias(c) for c in none])
+    wanted = options.join(waiting.select(block, "_list").distinct(), [block, "_list"], "left_semi")
+    able = free.join(wanted.select(block, "r_class").distinct(), [block, "r_class"], "left_semi")
+    entries = entry(waiting, idx=F.col("l_idx"), _list=F.col("_list")).unionByName(entry(able, idx=F.col("r_idx"), r_class=F.col("r_class")))
+    entries = materialize(entries.unionByName(entry(wanted, _list=F.col("_list"), r_class=F.col("r_class"), pref=F.col("pref"))))
+    large = materialize(entries.groupBy(block).count().filter(F.col("count") > SERVED_ROWS).select(block))
+
+    def serve(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        pairs = _serve(*(table[c].to_pylist() for c in ("idx", "_list", "r_class", "pref")))
+        columns = [pa.array([key[0].as_py()] * len(pairs), key[0].type), *(pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1))]
+        return pa.Table.from_arrays(columns, [block, "l_idx", "r_idx"])
+
+    kind = waiting.schema[block].dataType.simpleString()
+    small = entries.join(large, block, "left_anti")
+    return small.groupBy(block).applyInArrow(serve, f"`{block}` {kind}, l_idx long, r_idx long"), large
+
+
+def _serve(idx: list, l_class: list, r_class: list, pref: list) -> list[tuple[int, int]]:
+    """Pairs of one block. A left row has an index and a left class, a right row an index and a right class,
+    an option both classes.
+
+    Rows of a right class are taken in order, so a class stands for its first free row. Each left class keeps its options
+    in a heap by (pref, first free row); an entry that is out of date is put back when it comes up.
+    """
+    rows, free, heaps = [], {}, {}
+    for i, l, r, p in zip(idx, l_class, r_class, pref, strict=True):
+        if r is None:
+            rows.append((i, l))
+        elif l is None:
+            free.setdefault(r, []).append(i)
+    for waiting in free.values():
+        waiting.sort(reverse=True)
+    for i, l, r, p in zip(idx, l_class, r_class, pref, strict=True):
+        if i is None and r in free:
+            heaps.setdefault(l, []).append((p, free[r][-1], r))
+    for heap in heaps.values():
+        heapify(heap)
+    pairs = []
+    for i, l in sorted(rows):
+        heap = heaps.get(l, [])
+        while heap:
+            p, at, r = heap[0]
+            if free[r] and free[r][-1] == at:
+                pairs.append((i, free[r].pop()))
+                break
+            if free[r]:
+                heapreplace(heap, (p, free[r][-1], r))
+            else:
+                heappop(heap)
+    return pairs
 
 
 def match_exact(truth: DataFrame, pred: DataFrame, block: str = "protocol_id") -> DataFrame:

@@ -259,6 +259,35 @@ def test_assignment_of_copies_is_one_round(spark, monkeypatch):
     assert ma.assign_in_order(left, right, options.filter("pref > 0"), "block").count() == 0
 
 
+def test_tangled_classes_take_one_round(spark, monkeypatch):
+    """Two lists that share a part hold each other up row after row; what the first round leaves is served at once, or in rounds if it is large."""
+    rounds = []
+    ranked = ma.distributed_rank
+    monkeypatch.setattr(ma, "distributed_rank", lambda *a: rounds.append(1) or ranked(*a))
+    left = spark.range(12).select(F.lit(1).alias("block"), F.col("id").alias("l_idx"), F.concat(F.lit("l"), F.col("id") % 2).alias("l_class"))
+    right = spark.range(12).select(F.lit(1).alias("block"), F.col("id").alias("r_idx"), F.concat(F.lit("r"), F.col("id") % 3).alias("r_class"))
+    options = spark.createDataFrame([(1, "l0", "r0", 0.0), (1, "l0", "r1", 0.0), (1, "l1", "r1", 0.0), (1, "l1", "r2", 0.0)], "block int, l_class string, r_class string, pref double")
+    got = sorted(tuple(r) for r in ma.assign_in_order(left, right, options, "block").collect())
+    assert len(got) == 12 and len(rounds) == 2
+    monkeypatch.setattr(ma, "SERVED_ROWS", 10)
+    monkeypatch.setattr(ma, "ROUNDS", 4)
+    assert sorted(tuple(r) for r in ma.assign_in_order(left, right, options, "block").collect()) == got and len(rounds) > 6
+
+
+def test_names_of_large_and_small_blocks(spark, monkeypatch):
+    """Blocks compared pair by pair and blocks that go through the candidate joins give the same pairs, and only the latter are cut into segments."""
+    names = ["anna schmidt", "enne schmidt", "anne schmitt", "bernd maier", "b. maier", "li", "", "lo", "clara kraft", "kraft"]
+    keys = spark.createDataFrame([(b, n) for b, size in ((1, 3), (2, 10), (None, 4)) for n in names[:size]], "block int, key string")
+    want = {(b, x, y) for b, size in ((1, 3), (2, 10)) for x in names[:size] for y in names[:size] if keys_match(x, y)}
+    cut = []
+    segments = ma._segments
+    monkeypatch.setattr(ma, "_segments", lambda *a: cut.append(1) or segments(*a))
+    for most in (64, 5, 0):
+        monkeypatch.setattr(ma, "PAIRED_NAMES", most)
+        got = [tuple(r) for r in ma.matching_names(keys, keys, "block").collect()]
+        assert set(got) == want and len(got) == len(want) and bool(cut) == (most < 64)
+
+
 def test_sample_is_repeatable(spark):
     df = spark.range(50).withColumnRenamed("id", "protocol_id")
     a = [r.protocol_id for r in ma.sample_protocols(df, 5, seed=1).collect()]
