@@ -28,15 +28,16 @@ def ingest_status(spark, sf):
 
 
 @query("in_range_counts", """
-WITH r AS (SELECT user_id, event_id, CAST(epoch(ts) AS BIGINT) AS s FROM events WHERE event_type = 'purchase'),
-p AS (SELECT user_id, event_id, CAST(epoch(ts) AS BIGINT) AS t FROM events WHERE event_type = 'click')
-SELECT r.event_id, count(*) AS clicks FROM r JOIN p ON r.user_id = p.user_id AND p.t >= r.s AND p.t < r.s + 86400 GROUP BY r.event_id""")
+WITH r AS (SELECT user_id, event_id, epoch_us(ts) AS s FROM events WHERE event_type = 'purchase'),
+p AS (SELECT user_id, event_id, epoch_us(ts) AS t FROM events WHERE event_type = 'click')
+SELECT r.event_id, count(*) AS clicks FROM r JOIN p ON r.user_id = p.user_id AND p.t >= r.s AND p.t < r.s + 86400000000 GROUP BY r.event_id""")
 def in_range_counts(spark, sf):
-    """Clicks of the same user within a day after each purchase."""
-    e = v.read(spark, sf, "events").select("user_id", "event_id", "event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("t"))
-    ranges = e.filter(F.col("event_type") == "purchase").select("user_id", F.col("event_id").alias("purchase"), F.col("t").alias("s"), (F.col("t") + 86400).alias("e"))
+    """Clicks of the same user within a day after each purchase, to the microsecond."""
+    day = 86_400_000_000
+    e = v.read(spark, sf, "events").select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    ranges = e.filter(F.col("event_type") == "purchase").select("user_id", F.col("event_id").alias("purchase"), F.col("t").alias("s"), (F.col("t") + day).alias("e"))
     points = e.filter(F.col("event_type") == "click").select("user_id", "t")
-    hits = interval_join(points, ranges, "user_id", "t", "s", "e", width=86400)
+    hits = interval_join(points, ranges, "user_id", "t", "s", "e", width=day)
     return hits.groupBy(F.col("purchase").alias("event_id")).agg(F.count(F.lit(1)).alias("clicks"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from rostrum.functions.rules import start_rules
 from rostrum.plans import views as v
 
 WORD = r"[^\s\x0B\p{Z}\x85\x1C-\x1F]+"
@@ -195,6 +196,22 @@ FROM (
   WHERE length(text) >= 50)
 WHERE type IS NOT NULL"""
 
+def decided(text: str) -> str:
+    """The label of a contribution by the decision list of its opening words: the first rule whose tests all match."""
+    arms = []
+    for rule in start_rules():
+        tests = " AND ".join(f"regexp_matches(lower(substring({text}, 1, {n})), {lit(regex)})" for n, regex in rule.tests)
+        arms.append(f"WHEN {tests} THEN {lit(rule.label)}")
+    return f"CASE {' '.join(arms)} ELSE 'other' END"
+
+
+# the speeches with the opening labelled by the decision list on the whole text; the view above takes the label of the words put
+# in front, which differs where none are and the text itself begins like a reply
+CTES["ruled_speeches"] = CTES["speeches"].replace("b.start_type, ", "").replace(
+    "WHERE length(text) >= 50)", "WHERE length(text) >= 50))"
+).replace("  FROM (\n    SELECT b.protocol_id", f"  FROM (SELECT *, {decided('text')} AS start_type FROM (\n    SELECT b.protocol_id")
+
+
 CTES["heckles"] = "SELECT * FROM " + values(
     [(i, n.replace("Abg. ", ""), n.split()[-1], g, t, s) for i, (n, _, g, t, s) in enumerate(v.INTERJECTIONS)],
     "heckle, from_name, from_last, from_party, content, sentiment",
@@ -232,7 +249,7 @@ FROM (
 _DEPS = {
     "tokens": ["corpus"], "wc": ["tokens"], "pwc": ["wc"], "ptot": ["pwc"], "stot": ["wc"], "cat": ["wc", "lex"],
     "tone": ["ptot", "cat"], "stone": ["stot", "cat"], "tscore": ["ptot", "topics", "cat"],
-    "parts": ["turns"], "bounds": ["parts"], "speeches": ["bounds", "people"], "ev": ["speeches", "heckles"],
+    "parts": ["turns"], "bounds": ["parts"], "speeches": ["bounds", "people"], "ruled_speeches": ["bounds", "people"], "ev": ["speeches", "heckles"],
     "raw_profiles": ["ev"], "profiles": ["raw_profiles"],
 }
 

@@ -21,7 +21,7 @@ from rostrum.operators import transcript as tr
 from rostrum.operators.common import forward_asof, lookup_frame
 from rostrum.plans import views as v
 from rostrum.plans.registry import query
-from rostrum.plans.sqltext import _SUMS, div, lit, pick, sql
+from rostrum.plans.sqltext import _SUMS, decided, div, lit, pick, sql, strip_parens
 from rostrum.session import ensure_checkpoint_dir, materialize
 
 # ---------------------------------------------------------------- segmentation
@@ -39,7 +39,7 @@ def segment_transcripts(spark, sf):
     return tr.segment(v.transcripts(spark, sf)).drop("context")
 
 
-@query("parse_protocols", sql("""SELECT protocol_id, speech_id, speaker, party, text, raw_text, type, category, words, first_name, last_name, acad_title, is_government, role, start, "end" FROM speeches""", "speeches"))
+@query("parse_protocols", sql("""SELECT protocol_id, speech_id, speaker, party, text, raw_text, type, category, words, first_name, last_name, acad_title, is_government, role, start, "end" FROM ruled_speeches""", "ruled_speeches"))
 def parse_protocols(spark, sf):
     return v.speeches(spark, sf)
 
@@ -81,7 +81,12 @@ def qa_interval_join(spark, sf):
     return tr.in_range(turn_points.unionByName(system), tr.qa_ranges(t), "protocol_id", "header_start", ["protocol_id", "ordinal"])
 
 
-@query("classify_start", sql("SELECT conv_id, turn, start_type, start_type = 'rede' AS addresses_chair FROM turns", "turns"))
+_OPENED = strip_parens(f"{pick(v.OPENINGS, f'(conv_id + turn) % {len(v.OPENINGS)}')} || translate(text, '()[]', '    ')")
+
+
+@query("classify_start", f"""
+SELECT conv_id, turn, start_type, start_type = 'rede' AS addresses_chair
+FROM (SELECT conv_id, turn, {decided('opened')} AS start_type FROM (SELECT conv_id, turn, {_OPENED} AS opened FROM conversations))""")
 def classify_start(spark, sf):
     c = v.read(spark, sf, "conversations")
     opening = v._pick(v.OPENINGS, (F.col("conv_id") + F.col("turn")) % len(v.OPENINGS))
