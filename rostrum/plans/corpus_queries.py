@@ -281,7 +281,9 @@ def annotate_columns(spark, sf):
     docs = docs.join(longest, F.col("doc_id") == F.col("_one"), "left").select("doc_id", F.repeat(F.concat("text", F.lit(" ")), times).alias("text"))
     docs = docs.withColumn("text", F.when(F.col("doc_id") % 29 == 3, F.concat(F.lit("FAIL 1 "), "text")).otherwise(F.col("text")))
     done = tk.annotate_columns(docs, annotator)
-    return done.groupBy("doc_id").agg(F.count("token").alias("tokens"), F.max("idx").cast("long").alias("last_idx"), F.max("error").alias("error"))
+    # by error first: the greatest of strings needs sorted tokens, and so few rows are left for it
+    counted = done.groupBy("doc_id", "error").agg(F.count("token").alias("tokens"), F.max("idx").cast("long").alias("last_idx"))
+    return counted.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.max("last_idx").alias("last_idx"), F.max("error").alias("error"))
 
 
 @query("annotate_batches", r"""

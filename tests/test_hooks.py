@@ -112,3 +112,13 @@ def test_parts_cover_a_text():
         parts = list(tk._cut_text(text, 7))
         assert "".join(p for _, p in parts) == text and all(len(p) <= 7 for _, p in parts)
         assert all(text[s : s + len(p)] == p for s, p in parts)
+
+
+def test_annotated_columns_are_not_sorted(spark):
+    """The counts of the annotator query hash its tokens; only one row per text and error is sorted for the greatest error."""
+    import __spark_entry__ as entries
+
+    plan = entries.queries()["annotate_columns"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    below = plan.split("MapInArrow")[0].splitlines()
+    nearest = [line for line in below if "Aggregate" in line][-1]
+    assert "HashAggregate" in nearest
