@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -56,27 +55,37 @@ def annotate(
 
     ``annotator()`` is called once per Python worker and returns a function from
     a batch of texts to one list of token dicts per text (fields as in
-    ``TOKEN_SCHEMA`` without ``doc_id`` and ``idx``).
+    ``TOKEN_SCHEMA`` without ``doc_id`` and ``idx``). ``ent_first`` marks the first token of each person entity of a
+    text, so that :func:`merge_entities` need not look for it.
     """
-    defaults = {"upos": None, "is_space": False, "is_punct": False, "ent_id": None, "ent_label": None, "ent_text": None}
-    columns = [c.split()[0] for c in TOKEN_SCHEMA.split(", ")]
+    schema = pa.schema([
+        ("doc_id", pa.int64()), ("idx", pa.int32()), ("token", pa.string()), ("lemma", pa.string()), ("upos", pa.string()), ("is_space", pa.bool_()),
+        ("is_punct", pa.bool_()), ("ent_id", pa.int32()), ("ent_label", pa.string()), ("ent_text", pa.string()), ("ent_first", pa.bool_()),
+    ])
+    defaults = {"token": None, "lemma": None, "upos": None, "is_space": False, "is_punct": False, "ent_id": None, "ent_label": None, "ent_text": None}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def firsts(tokens: list[dict]) -> list[bool]:
+        known: set = set()
+        return [t.get("ent_label") == ENTITY_LABEL and (e := t.get("ent_id")) not in known and known.add(e) is None for t in tokens]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pipe = annotator()
-        for frame in batches:
-            for at in range(0, len(frame), batch_size):
-                part = frame.iloc[at : at + batch_size]
-                rows = [
-                    {**defaults, **token, "doc_id": doc, "idx": idx}
-                    for doc, tokens in zip(part["doc_id"], pipe(part["text"].tolist()), strict=True)
-                    for idx, token in enumerate(tokens)
-                ]
-                out = pd.DataFrame(rows, columns=columns)
-                out["ent_id"] = out["ent_id"].astype("Int32")
-                yield out
+        for batch in batches:
+            for at in range(0, batch.num_rows, batch_size):
+                docs, texts = (batch.column(i).slice(at, batch_size).to_pylist() for i in (0, 1))
+                found = [list(tokens) for tokens in pipe(texts)]
+                if len(found) != len(docs):
+                    raise ValueError("an annotator answers with one list of tokens per text")
+                sizes = np.array([len(tokens) for tokens in found], np.int64)
+                flat = [t for tokens in found for t in tokens]
+                columns = {
+                    "doc_id": np.repeat(np.array(docs, object), sizes), "idx": np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes),
+                    **{n: [t.get(n, default) for t in flat] for n, default in defaults.items()}, "ent_first": [x for tokens in found for x in firsts(tokens)],
+                }
+                yield pa.record_batch([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
 
     source = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.col("text") != "")
-    return source.mapInPandas(run, TOKEN_SCHEMA)
+    return source.mapInArrow(run, f"{TOKEN_SCHEMA}, ent_first boolean")
 
 
 #: Columns of an annotator's answer beside ``text``, the number of the text in the call, with what stands for a missing one.
@@ -199,8 +208,16 @@ def lexicon_annotate(df: DataFrame, pos_lexicon: DataFrame, doc_id: str = "doc_i
 
 
 def merge_entities(tokens: DataFrame, by: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Replace the tokens of a person entity by one noun: the entity's whole text in lower case."""
+    """Replace the tokens of a person entity by one noun: the entity's whole text in lower case.
+
+    Where the annotator has marked the first tokens (``ent_first``), the tokens are read once and not shuffled.
+    """
     inside = F.col("ent_label") == ENTITY_LABEL
+    if "ent_first" in tokens.columns and list(by) == ["doc_id"]:
+        person = F.coalesce(inside, F.lit(False))
+        changed = {"token": F.col("ent_text"), "lemma": F.lower("ent_text"), "upos": F.lit("PROPN"), "is_space": F.lit(False), "is_punct": F.lit(False)}
+        kept = [F.when(person, changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in tokens.columns if c != "ent_first"]
+        return tokens.filter(~person | F.col("ent_first")).select(*kept)
     rest = tokens.filter(~F.coalesce(inside, F.lit(False)))
     firsts = tokens.filter(inside).groupBy(*by, "ent_id").agg(
         F.min_by(F.struct("idx", "ent_text"), "idx").alias("_e")

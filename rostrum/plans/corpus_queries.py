@@ -318,7 +318,7 @@ def annotate_batches(spark, sf):
         return run
 
     tokens = tk.merge_entities(tk.annotate(v.read(spark, sf, "documents"), annotator))
-    return tk.pos_counts(tokens, ["doc_id"]).groupBy("doc_id", "word_type").agg(F.sum("n").alias("n"))
+    return tk.typed_words(tokens).groupBy("doc_id", "word_type").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("extract_words", r"""

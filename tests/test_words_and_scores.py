@@ -281,3 +281,23 @@ def test_traits_ignore_constant_inclusivity(spark):
     varied = spark.createDataFrame([dict(r, inclusivity=float(i)) for i, r in enumerate(rows)])
     assert any("inclusivity" in r.traits for r in rk.group_traits(varied, n=9).collect())
     assert {r.party: r.category for r in rk.classify_group(scores).collect()}["C"] == "aggression"
+
+
+def test_marked_entities_are_merged_in_one_pass(spark):
+    """The annotator runs once and its tokens are not shuffled, with the result of the grouped form."""
+
+    def annotator():
+        def run(texts):
+            label = lambda w: {"ent_id": 7 if w == "Anna" else None, "ent_label": "PER" if w.istitle() else "LOC", "ent_text": w + " X"} if w.isalpha() else {}
+            return [[{"token": w, "lemma": w, "upos": "NOUN", **label(w)} for w in t.split()] for t in texts]
+
+        return run
+
+    df = spark.createDataFrame([(i, "Anna 1 sah Anna und Bernd und Clara 2") for i in range(5)] + [(9, ""), (10, " ")], "doc_id long, text string")
+    tokens = tk.annotate(df, annotator, batch_size=2)
+    once, grouped = tk.merge_entities(tokens), tk.merge_entities(tokens.drop("ent_first"))
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Exchange" not in plan
+    cols = grouped.columns
+    assert once.columns == cols and sorted(map(tuple, once.collect()), key=repr) == sorted(map(tuple, grouped.select(*cols).collect()), key=repr)
+    assert once.count() == 5 * 7 and [r.token for r in once.filter("doc_id = 3").orderBy("idx").collect()] == ["Anna X", "1", "sah", "und", "Bernd X", "und", "2"]
