@@ -244,10 +244,10 @@ UNION ALL SELECT 'index', speaker, party, slug, speeches, wortbeitraege, total_w
 def export_profiles(spark, sf):
     """Speaker records with their words and their index written as JSON twice, the second time without stale ones, and read back."""
     docs = v.corpus_docs(spark, sf)
-    index = ac.speaker_index(docs, ["speech_id"])
+    index = materialize(ac.speaker_index(docs, ["speech_id"]))  # read for the records, their ranks and the listing, each written twice
     words = rk.listed_per_speaker(tk.top_words(tk.word_counts(docs, ["party", "speaker"]), ["party", "speaker"], 5), ["word", "n"], "top")
     ranks = index.select("speaker", "party", F.col("max_words").alias("longest"))
-    records_ = rk.speaker_documents(index, ranks, ranks, ("words", words))
+    records_ = materialize(rk.speaker_documents(index, ranks, ranks, ("words", words)))
     path = folder(spark, "profiles")
     for part in (records_.withColumn("slug", F.lit("stale")), records_):
         writers.export_profiles(part, rk.speaker_listing(index), path)
