@@ -14,6 +14,8 @@ from rostrum.operators.tokens import unpivot_frequencies
 PROTOCOL_SCHEMA = (
     "data struct<id:string,dokumentnummer:string,datum:string,herausgeber:string,wahlperiode:string>, fullText string"
 )
+#: Size of the files of one batch of a stream.
+BATCH_BYTES = 1 << 30
 SPEECH_STRUCT = (
     "struct<speaker:string,text:string,type:string,category:string,words:bigint,first_name:string,"
     "last_name:string,acad_title:string,is_government:boolean,start:int,`end`:int>"
@@ -38,16 +40,15 @@ def read_protocols(spark: SparkSession, path: str) -> DataFrame:
     return protocol_columns(raw)
 
 
-def stream_protocols(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """The same files as a stream: each new file becomes rows of ``read_protocols`` once."""
-    raw = (
-        spark.readStream.schema(PROTOCOL_SCHEMA)
-        .option("multiLine", True)
-        .option("mode", "DROPMALFORMED")
-        .option("maxFilesPerTrigger", max_files)
-        .json(path)
-    )
-    return protocol_columns(raw)
+def stream_protocols(spark: SparkSession, path: str, max_files: int | None = None, max_bytes: int = BATCH_BYTES) -> DataFrame:
+    """The same files as a stream: each new file becomes rows of ``read_protocols`` once.
+
+    A batch takes files of ``max_bytes`` in sum, or ``max_files`` of them if that is given. Each batch costs a commit of
+    state and sink, so a batch by size keeps their number in proportion to the texts, however small the files are.
+    """
+    raw = spark.readStream.schema(PROTOCOL_SCHEMA).option("multiLine", True).option("mode", "DROPMALFORMED")
+    raw = raw.option("maxBytesPerTrigger", max_bytes) if max_files is None else raw.option("maxFilesPerTrigger", max_files)
+    return protocol_columns(raw.json(path))
 
 
 def read_speeches(spark: SparkSession, path: str) -> DataFrame:

@@ -52,21 +52,29 @@ def _existing(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def write_new_protocols(batch: DataFrame, sink: str, publisher: str | None = None) -> None:
-    """Append the protocols of a batch that the sink does not hold yet (one row per id)."""
+def new_protocols(batch: DataFrame, known: DataFrame | None, publisher: str | None = None) -> DataFrame:
+    """The protocols of a batch whose ids are not ``known`` yet (one row per id).
+
+    The known ids grow with the corpus, so they are shuffled to the rows, which the aggregate shuffles by id
+    anyway, and never sent through the driver.
+    """
     rows = batch.filter(F.col("protocol_id").isNotNull())
     if publisher is not None:
         rows = rows.filter(F.col("publisher") == publisher)
-    known = _existing(batch.sparkSession, sink)
     if known is not None:
-        rows = rows.join(known, "protocol_id", "left_anti")
+        rows = rows.join(known.hint("shuffle_merge"), "protocol_id", "left_anti")
     # copies of one id carry the same document; the aggregate keeps one without gathering the texts of an id in a window
     unique = rows.groupBy("protocol_id").agg(F.max(F.struct(*[c for c in rows.columns if c != "protocol_id"])).alias("r"))
-    unique.select("protocol_id", "r.*").write.mode("append").parquet(sink)
+    return unique.select("protocol_id", "r.*")
+
+
+def write_new_protocols(batch: DataFrame, sink: str, publisher: str | None = None) -> None:
+    """Append the protocols of a batch that the sink does not hold yet (one row per id)."""
+    new_protocols(batch, _existing(batch.sparkSession, sink), publisher).write.mode("append").parquet(sink)
 
 
 def ingest_incremental(
-    spark: SparkSession, source: str, sink: str, checkpoint: str, publisher: str | None = None, max_files: int = 1000,
+    spark: SparkSession, source: str, sink: str, checkpoint: str, publisher: str | None = None, max_files: int | None = None,
 ) -> StreamingQuery:
     """Ingest all files that arrived since the last run and stop; a rerun continues from the checkpoint.
 

@@ -13,6 +13,7 @@ from rostrum.sources import readers as rd
 from rostrum.sources import records as rc
 from rostrum.sources import writers as wr
 from rostrum.streaming import current as cu
+from rostrum.streaming import ingest as ing
 
 
 def record(i, text="Text", **more):
@@ -131,3 +132,23 @@ def test_dealt_join_is_a_join(spark):
     right = spark.range(30).select((F.col("id") % 5).alias("k"), F.col("id").alias("b"))
     want = sorted(tuple(r) for r in left.join(right, "k").select("k", "a", "b").collect())
     assert sorted(tuple(r) for r in dealt_join(left, right, ["k"], rows=50).select("k", "a", "b").collect()) == want
+
+
+def test_known_ids_are_not_broadcast(spark):
+    """The ids in the sink grow with the corpus and stay off the driver."""
+    batch = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b"), (None, "c")], "protocol_id long, full_text string")
+    got = ing.new_protocols(batch, spark.createDataFrame([(1,)], "protocol_id long"))
+    assert [tuple(r) for r in got.collect()] == [(2, "b")]
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_files_are_one_batch(spark, tmp_path):
+    """The batches of a stream grow in number with the size of the texts, not with the number of files."""
+    for i in range(1010):
+        (tmp_path / f"{i}.json").write_text(f'{{"data": {{"id": "{i}"}}, "fullText": "text {i}"}}', encoding="utf-8")
+    sizes = []
+    run = lambda files: rd.stream_protocols(spark, str(tmp_path), files).writeStream.foreachBatch(lambda b, e: sizes.append(b.count())).trigger(availableNow=True).start().awaitTermination()
+    run(None)
+    assert sizes == [1010]
+    run(600)
+    assert sizes[1:] == [600, 410]
