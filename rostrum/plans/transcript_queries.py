@@ -764,7 +764,7 @@ FROM o JOIN n l ON l.doc_id = left_id JOIN n r ON r.doc_id = right_id WHERE CAST
 def similar_texts(spark, sf):
     """Pairs of whole documents of a language that share four fifths of their five-word runs."""
     docs = v.read(spark, sf, "documents").select("lang", F.col("doc_id").alias("id"), "text")
-    pairs = si.similar_sets(si.with_shingles(docs, F.col("text"), 5), None, "lang", 0.8)
+    pairs = si.similar_texts(docs, "lang", 0.8, 5)
     return pairs.select("lang", "left_id", "right_id", F.col("overlap").cast("long").alias("overlap"), "similarity")
 
 

@@ -217,6 +217,38 @@ def test_similar_sets_are_all_pairs(spark, threshold, strict, monkeypatch):
     assert si.similar_sets(l.filter("id < 0"), None, "block", threshold).count() == 0
 
 
+def test_only_first_items_are_posted(spark):
+    """Of large sets with a few links only the first items of each leave their row, and only named sets are moved."""
+    rng = random.Random(8)
+    data = [("a", i, rng.sample(range(1 << 40), 200)) for i in range(300)]
+    data += [("a", 300 + i, data[i][2][:190] + rng.sample(range(1 << 40), 10)) for i in range(5)]
+    sets = spark.createDataFrame(data, "block string, id long, shingles array<long>")
+    both = sets.select("block", F.lit(0).alias("side"), "id", F.size("shingles").alias("n"), "shingles", F.col("id").alias("row"), F.xxhash64("block").alias("home"))
+    posted = si.postings(both, 0.8, 22)
+    assert posted.groupBy("row").count().agg(F.max("count")).first()[0] <= 41 and posted.count() < 1000
+    assert si.postings(both, 0.8, 8).count() == 305 * 41
+    assert {(x.left_id, x.right_id, x.overlap) for x in si.similar_sets(sets, None, "block", 0.8).collect()} == {(i, 300 + i, 190) for i in range(5)}
+    named = spark.createDataFrame([(0, 300)], "left_row long, right_row long")
+    assert sorted(r.row for r in si._sieved(both, named).collect()) == [0, 300]
+
+
+def test_similar_texts_compare_copies_once(spark, monkeypatch):
+    """Pairs of all texts, while only one text of a class of copies is compared."""
+    rng = random.Random(12)
+    bases = [[rng.choice("abcdefghij") for _ in range(rng.randrange(2, 200))] for _ in range(4)]
+    data = [(rng.choice(["a", "b", None]), i, " ".join(rng.choice(bases))) for i in range(60)]
+    data += [(b, i + 60, None if t is None or i % 20 == 0 else t + " x") for b, i, t in data] + [("a", 200, ""), ("a", 201, "")]
+    rng.shuffle(data)
+    compared, linked = [], si._linked
+    monkeypatch.setattr(si, "_linked", lambda both, *rest: compared.append(both.count()) or linked(both, *rest))
+    got = si.similar_texts(spark.createDataFrame(data, "block string, id long, text string"), "block", 0.8, 5).collect()
+    alike = lambda x, y: bool(x and y) and shared(x, y, 5) >= 0.8
+    want = {(b, i, j): shared(x, y, 5) for b, i, x in data for c, j, y in data if b is not None and b == c and i < j and alike(x, y)}
+    assert {(r.block, r.left_id, r.right_id): r.similarity for r in got} == want and len(got) == len(want) > 100
+    assert all(r.overlap / (r.n_left + r.n_right - r.overlap) == r.similarity for r in got)
+    assert compared == [len({(b, t) for b, _, t in data if b is not None and t})]
+
+
 def test_shingles_of_odd_texts(spark):
     rows = [(None,), ("",), (" \t",), ("One",), ("one TWO",), ("a b c d e f a b c d e",)]
     df = spark.createDataFrame(rows, "text string").withColumn("words", F.lit(1))
