@@ -5,9 +5,11 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from rostrum.llm.suffixes import permuted_prefixes, suffix_array
 
 #: Bytes of a string that counts as repeated, and of the anchor within it.
 LENGTH, ANCHOR = 50, 24
+#: Bytes that every such string has before the anchor, or else behind it, at least.
+HALF = (LENGTH - ANCHOR) // 2
 #: Text bytes of a block of consecutive documents.
 BLOCK = 4 << 20
 #: Text bytes behind one bucket of anchors.
@@ -307,10 +311,47 @@ def resolve_blocks(docs: DataFrame, answers: DataFrame, parts: int) -> DataFrame
 SPANS = "key long, start long, stop long"
 
 
+def _runs(column: pa.ChunkedArray) -> np.ndarray:
+    """Number of each row's run of equal values."""
+    if len(column) < 2:
+        return np.zeros(len(column), np.int64)
+    differ = pc.not_equal(column.slice(1).combine_chunks(), column.slice(0, len(column) - 1).combine_chunks())
+    return np.concatenate(([0], np.cumsum(differ.to_numpy(zero_copy_only=False))))
+
+
+def may_repeat(table: pa.Table, family: np.ndarray) -> np.ndarray:
+    """Which segments ``(id, anchor, text)`` may hold a string that another id of the same family has too.
+
+    A string reaches :data:`HALF` bytes or more beyond the anchor on one side. So segments that share a string share the
+    anchor with that many bytes before it or behind it; what shares neither with another id needs no suffix array.
+    """
+    texts = table["text"].combine_chunks()
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)
+    ids, anchor = table["id"].to_numpy(), table["anchor"].to_numpy()
+    may = np.zeros(len(texts), bool)
+    for begin, reaches in ((anchor - HALF, anchor >= HALF), (anchor + ANCHOR, np.diff(offsets) >= anchor + ANCHOR + HALF)):
+        rows = np.flatnonzero(reaches)
+        first = (offsets[:-1] + begin)[rows]
+        context = np.zeros(len(rows), np.uint64)
+        for k in range(HALF):
+            context = context * _POWER + _VALUE[data[first + k]]
+        context = mixed(context)
+        order = np.lexsort((ids[rows], context, family[rows]))
+        rows, context = rows[order], context[order]
+        if not len(rows):
+            continue
+        lead = np.flatnonzero(np.append(True, (context[1:] != context[:-1]) | (family[rows][1:] != family[rows][:-1])))
+        counts = np.diff(np.append(lead, len(rows)))
+        several = ids[rows[lead]] != ids[rows[lead + counts - 1]]
+        may[rows[np.repeat(several, counts)]] = True
+    return may
+
+
 def shard_repeats(segs: DataFrame, parts: int) -> DataFrame:
     """Spans of segments whose strings a smaller id of the same family has too.
 
-    Families are gathered into shards of about :data:`SHARD` bytes; adjacent suffixes with a common prefix of
+    What :func:`may_repeat` leaves of the families is gathered into shards of about :data:`SHARD` bytes; adjacent suffixes with a common prefix of
     :data:`LENGTH` bytes are occurrences of one string.
     """
 
@@ -337,27 +378,46 @@ def shard_repeats(segs: DataFrame, parts: int) -> DataFrame:
         return pa.record_batch([pa.array(np.array(keys, np.int64)[owner[a]]), pa.array(a + shift), pa.array(b + shift + LENGTH)], ["key", "start", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts: list[bytes] = []
-        ids: list[int] = []
-        keys: list[int] = []
-        starts: list[int] = []
-        size, last = 0, None
-        for batch in batches:
-            for fam, who, key, start, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if size >= SHARD and fam != last:
-                    if (got := solve(texts, ids, keys, starts)) is not None:
-                        yield got
-                    texts, ids, keys, starts, size = [], [], [], [], 0
-                last = fam
-                texts.append(text)
-                ids.append(who)
-                keys.append(key)
-                starts.append(start)
-                size += len(text) + 1
-        if texts and (got := solve(texts, ids, keys, starts)) is not None:
-            yield got
-
-    dealt = segs.select("fam", "id", "key", "start", "text").repartition(parts, "fam").sortWithinPartitions("fam")
+        waiting: list[pa.Table] = []
+        open_end: pa.Table | None = None
+        size = 0
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            columns = [pa.concat_tables(waiting)[c].to_pylist() for c in ("text", "id", "key", "start")]
+            waiting.clear()
+            if (got := solve(*columns)) is not None:
+                yield got
+
+        for batch in chain(batches, [None]):
+            table = open_end if batch is None else pa.Table.from_batches([batch])
+            if batch is not None and open_end is not None:
+                table = pa.concat_tables([open_end, table])
+            if table is None or not len(table):
+                continue
+            table = table.combine_chunks()
+            family = _runs(table["fam"])
+            # the last family may go on in the next batch
+            whole = len(table) if batch is None else int(np.searchsorted(family, family[-1]))
+            open_end = table.slice(whole)
+            if not whole:
+                continue
+            table = table.slice(0, whole)
+            table = table.filter(pa.array(may_repeat(table, family[:whole])))
+            while len(table):
+                ends = np.cumsum(pc.binary_length(table["text"]).to_numpy().astype(np.int64) + 1)
+                fam = _runs(table["fam"])
+                last = int(np.searchsorted(ends, SHARD - size))
+                last = int(np.searchsorted(fam, fam[last], "right")) if last < len(table) else len(table)
+                waiting.append(table.slice(0, last))
+                size += int(ends[last - 1])
+                table = table.slice(last)
+                if size >= SHARD:
+                    yield from closed()
+                    size = 0
+        if waiting:
+            yield from closed()
+
+    dealt = segs.select("fam", "id", "key", "start", "anchor", "text").repartition(parts, "fam").sortWithinPartitions("fam")
     return dealt.mapInArrow(frugal(run), SPANS)
 
 
@@ -403,7 +463,7 @@ def family_repeats(segs: DataFrame, parts: int) -> DataFrame:
         counts = rows.groupBy("fam").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"), F.min(F.col("high") - F.col("low")).alias("wide"))
         counts = kept(counts.filter("n > 1"), "families").withColumnRenamed("fam", "_fam")
         of = lambda which, rows=rows, counts=counts: rows.join(counts.filter(which), F.col("fam") == F.col("_fam"))
-        cold.append(of(f"wide > 0 AND n <= {HOT}").select("fam", "id", "key", "start", "text"))
+        cold.append(of(f"wide > 0 AND n <= {HOT}").select("fam", "id", "key", "start", "anchor", "text"))
         single.append(of("wide = 0").filter("id > least").select("key", "start", (F.col("start") + LENGTH).alias("stop")))
         if counts.filter(f"wide > 0 AND n > {HOT}").isEmpty():
             break

@@ -179,6 +179,22 @@ def test_near_copies_of_one_text_in_many_blocks(spark, monkeypatch):
     assert got == brute_components(sets, links)
 
 
+def test_segments_without_a_common_context_need_no_suffix_array():
+    """Of segments of one family only those stay that another id's segment may share a string with."""
+    rng = random.Random(3)
+    text = lambda n: bytes(rng.randrange(65, 91) for _ in range(n))
+    anchor, left, right = text(24), text(26), text(26)
+    data = [
+        (1, 26, left + anchor + right), (2, 26, text(13) + left[13:] + anchor + text(26)), (3, 0, anchor + right), (3, 26, text(26) + anchor + text(26)),
+        (4, 26, text(14) + left[14:] + anchor + right[:12] + text(14)), (5, 13, text(13) + anchor + text(13)), (5, 13, text(13) + anchor + text(13)),
+    ]
+    data += [(6, 0, b"x" * 50), (6, 0, b"x" * 50)]
+    table = pa.table({"id": [d[0] for d in data], "anchor": [d[1] for d in data], "text": pa.array([d[2] for d in data], pa.binary())})
+    family = np.array([0] * 7 + [1] * 2)
+    assert repeats.may_repeat(table, family).tolist() == [True, True, True, False, False, False, False, False, False]
+    assert repeats.may_repeat(table.slice(1, 3), family[1:4]).tolist() == [False] * 3
+
+
 def brute_repeats(rows):
     order = sorted(((1 << 63) - 1 if d is None else d, (t or "").encode()) for d, t, *_ in rows)
     first, out = {}, []
